@@ -87,3 +87,251 @@ oracle("trade_performance", """
 oracle("fixed_horizon_excess", """
   SELECT id, status, tx_anchor_date AS anchor_date, tx_return AS security_return, tx_benchmark_return AS benchmark_return,
     tx_excess_return AS excess_return FROM perf""", **PERF90)
+
+oracle("security_performance", """
+  SELECT id, status, tx_return AS return, tx_excess_return AS excess_return FROM perf WHERE ticker = 'Brand#14'
+  ORDER BY transaction_date DESC, id DESC LIMIT 200""", **PERF)
+oracle("asof_next_bar", """
+  SELECT t.id, min(s.date) AS asof_date, arg_min(s.price, s.date) AS asof_price
+  FROM trades t LEFT JOIN series s ON s.ticker = t.ticker AND s.date BETWEEN t.disclosure_date AND t.disclosure_date + 7
+  WHERE t.ticker IS NOT NULL AND t.disclosure_date IS NOT NULL GROUP BY t.id""")
+oracle("asof_previous_bar", """
+  SELECT t.id, s.date AS asof_date, s.price AS asof_price
+  FROM (SELECT * FROM trades WHERE ticker IS NOT NULL) t ASOF LEFT JOIN series s ON s.ticker = t.ticker AND s.date <= t.transaction_date""")
+oracle("rebased_series", """
+  SELECT ticker, date, price_index, bench / (SELECT price FROM shown_bench b WHERE b.date >= p.first_date ORDER BY b.date LIMIT 1) * 100 AS benchmark_index,
+    CASE WHEN bought THEN price_index END AS buy_mark, CASE WHEN sold THEN price_index END AS sell_mark
+  FROM (SELECT s.ticker, s.date, s.adj_close / first_value(s.adj_close) OVER w * 100 AS price_index, min(s.date) OVER (PARTITION BY s.ticker) AS first_date,
+          b.price AS bench, m.bought, m.sold
+        FROM shown s LEFT JOIN shown_bench b ON b.date = s.date LEFT JOIN marks m ON m.ticker = s.ticker AND m.date = s.date
+        WINDOW w AS (PARTITION BY s.ticker ORDER BY s.date)) p""", **PERF,
+    shown="SELECT ticker, date, adj_close FROM bars WHERE adj_close IS NOT NULL AND date >= DATE '1996-01-01'",
+    shown_bench="SELECT date, adj_close AS price FROM benchmark_bars WHERE adj_close IS NOT NULL",
+    marks="""SELECT ticker, tx_anchor_date AS date, bool_or(direction > 0) AS bought, bool_or(direction < 0) AS sold FROM perf
+      WHERE tx_anchor_date IS NOT NULL AND direction IS NOT NULL GROUP BY ALL""")
+
+DIGEST = {
+    "digest": """SELECT id, transaction_date, replace(ticker, 'Brand#', 'B') AS ticker,
+        CASE WHEN amount_max = 15000 THEN 8000 WHEN amount_max = 50000 THEN 32500 WHEN amount_max = 100000 THEN 75000
+             WHEN amount_max IS NULL THEN 1500000 ELSE 0 END AS estimated_value,
+        CASE WHEN transaction_type = 'buy' THEN 'BUY' WHEN transaction_type LIKE 'sell%' THEN 'SELL' END AS side FROM trades""",
+    "notable": f"""SELECT * FROM digest WHERE transaction_date >= {_D} - 30 AND ticker IS NOT NULL AND length(ticker) <= 5 AND side IS NOT NULL
+        AND estimated_value >= 15000""",
+    "dbars": "SELECT replace(ticker, 'Brand#', 'B') AS ticker, date, close AS price FROM bars",
+    "moves": """SELECT d.*, p.price_at_trade, c.current_price, CASE WHEN price_at_trade > 0 AND current_price > 0
+          THEN round((current_price - price_at_trade) / price_at_trade * 100, 6) END AS price_move_pct,
+          abs((current_price - price_at_trade) / price_at_trade * 100) AS size
+        FROM digest d LEFT JOIN (SELECT ticker, arg_max(price, date) AS current_price FROM dbars GROUP BY ticker) c USING (ticker)
+        LEFT JOIN (SELECT q.id, arg_min(b.price, b.date) AS price_at_trade FROM digest q JOIN dbars b ON b.ticker = q.ticker
+            AND b.date BETWEEN q.transaction_date + (CASE isodow(q.transaction_date) WHEN 6 THEN 2 WHEN 7 THEN 1 ELSE 0 END)
+                AND q.transaction_date + (CASE isodow(q.transaction_date) WHEN 6 THEN 2 WHEN 7 THEN 1 ELSE 0 END) + 4 GROUP BY q.id) p USING (id)""",
+}
+oracle("legacy_notable_filter", "SELECT id, ticker, estimated_value, side FROM notable", **DIGEST)
+oracle("legacy_moves", "SELECT id, price_at_trade, current_price, price_move_pct FROM moves", **DIGEST)
+oracle("notable_moves", """SELECT id, ticker, price_move_pct, size >= 5 AS notable FROM moves WHERE id IN (SELECT id FROM notable) AND price_move_pct IS NOT NULL
+  ORDER BY size DESC, id LIMIT 10""", **DIGEST)
+
+FEED = {
+    "named": """SELECT *, list_filter(string_split_regex(trim(replace(member, ',', ' ')), '\\s+'), lambda w: w <> '' AND
+          rtrim(lower(w), '.') NOT IN ('mr', 'mrs', 'ms', 'dr', 'hon', 'honorable', 'sen', 'rep', 'senator')) AS w FROM feed""",
+    "cleaned": """SELECT seq, array_to_string(CASE WHEN len(w) >= 3 AND rtrim(lower(w[1]), '.') = rtrim(lower(w[2]), '.') THEN w[2:] ELSE w END, ' ') AS politician_name,
+        CASE WHEN lower(trim(chamber)) IN ('house', 'senate') THEN lower(trim(chamber)) END AS chamber,
+        CASE WHEN regexp_full_match(upper(trim(ticker)), '[A-Z0-9][A-Z0-9.\\-]{0,15}') THEN upper(trim(ticker)) END AS ticker,
+        nullif(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(trim(asset), '\\s+[PSE]\\s+\\d{2}/\\d{2}/\\d{4}.*$', ''),
+          '\\s*\\[[A-Z]{1,3}\\]', '', 'g'), '\\s*\\([A-Z0-9.\\-]{1,10}\\)', '', 'g'), '\\s+', ' ', 'g'), ' -'), '') AS asset_name,
+        CASE trade_type WHEN 'Purchase' THEN 'buy' WHEN 'Sale (Partial)' THEN 'sell_partial' WHEN 'S' THEN 'sell' WHEN 'Exchange' THEN 'exchange' ELSE 'unknown' END AS transaction_type,
+        CASE WHEN regexp_full_match(tx_date[:10], '\\d{4}-\\d{2}-\\d{2}') THEN tx_date[:10]::date END AS transaction_date,
+        CASE WHEN regexp_full_match(disclosed, '\\d{4}-\\d{2}-\\d{2}') THEN disclosed::date END AS disclosure_date,
+        list_transform(regexp_extract_all(amount, '\\d[\\d,]*'), lambda x: replace(x, ',', '')::bigint) AS n, amount LIKE 'Over%' AS open_ended,
+        nullif(link, '') AS source_url
+      FROM named""",
+    "usable": """SELECT seq, politician_name, chamber, ticker, asset_name, transaction_type, transaction_date, disclosure_date,
+        CASE WHEN open_ended THEN n[1] ELSE list_min(n[1:2]) END AS amount_min, CASE WHEN NOT open_ended THEN list_max(n[1:2]) END AS amount_max, source_url
+      FROM cleaned WHERE chamber IS NOT NULL AND politician_name <> '' AND transaction_date IS NOT NULL""",
+    "identified": f"""SELECT *, {key_of('politician_name', 'chamber')} AS canonical_key, concat_ws('|', {key_of('politician_name', 'chamber')}, coalesce(ticker, ''),
+        CASE WHEN ticker IS NULL THEN lower(coalesce(asset_name, '')) ELSE '' END, transaction_type, transaction_date::varchar,
+        coalesce(disclosure_date::varchar, ''), coalesce(amount_min::varchar, 'None'), coalesce(amount_max::varchar, 'None')) AS identity FROM usable""",
+    "numbered": "SELECT *, row_number() OVER (PARTITION BY identity ORDER BY seq) - 1 AS occurrence, sha256(identity || '|' || (row_number() OVER (PARTITION BY identity ORDER BY seq) - 1)) AS fingerprint FROM identified",
+}
+oracle("normalize_disclosures_feed", "SELECT * FROM usable", **FEED)
+oracle("rejected_disclosures", """SELECT CASE WHEN chamber IS NULL THEN 'no chamber' WHEN politician_name = '' THEN 'no name' ELSE 'no transaction date' END AS reject_reason,
+  count(*) AS records FROM cleaned WHERE chamber IS NULL OR politician_name = '' OR transaction_date IS NULL GROUP BY 1""", **FEED)
+oracle("legacy_value_and_display", """
+  SELECT seq, 0 AS legacy_value, CASE WHEN lo IS NULL AND hi IS NULL THEN '—' WHEN hi IS NULL THEN 'Over ' || short(lo) WHEN lo = hi THEN short(hi)
+    ELSE short(lo) || ' – ' || short(hi) END AS shown
+  FROM (SELECT seq, CASE WHEN open_ended THEN n[1] ELSE list_min(n[1:2]) END AS lo, CASE WHEN NOT open_ended THEN list_max(n[1:2]) END AS hi FROM cleaned)""", **FEED)
+_SHORT = "(CASE WHEN {0} < 1000 THEN '$' || {0} WHEN round({0} / 1e3, 1) < 1000 THEN '$' || regexp_replace(round({0} / 1e3, 1)::varchar, '\\.0$', '') || 'K' ELSE '$' || regexp_replace(round({0} / 1e6, 1)::varchar, '\\.0$', '') || 'M' END)"
+for _v in ("lo", "hi"):
+    ORACLES["legacy_value_and_display"] = ORACLES["legacy_value_and_display"].replace(f"short({_v})", _SHORT.format(_v))
+oracle("dedupe_occurrences", "SELECT fingerprint, occurrence FROM numbered", **FEED)
+oracle("dedupe_against_stored", """SELECT transaction_date, transaction_type, count(*) AS new_trades FROM numbered
+  WHERE fingerprint NOT IN (SELECT fingerprint FROM numbered WHERE transaction_date <= DATE '2024-01-15') GROUP BY ALL""", **FEED)
+oracle("upsert_politicians", """SELECT canonical_key, coalesce(arg_min(politician_name, seq) FILTER (transaction_date <= DATE '2024-01-15'), arg_min(politician_name, seq)) AS name,
+  any_value(chamber) AS chamber, CASE WHEN count(*) FILTER (transaction_date <= DATE '2024-01-15') > 0 THEN 'D' END AS party, NULL::varchar AS state
+  FROM identified GROUP BY canonical_key""", **FEED)
+oracle("upsert_securities", "SELECT ticker, arg_min(asset_name, seq) FILTER (asset_name IS NOT NULL) AS name FROM usable WHERE ticker IS NOT NULL GROUP BY ticker", **FEED)
+oracle("merge_variants", f"""
+  SELECT survivor AS id, any_value(new_name) AS name, any_value(key) AS canonical_key, count(*) AS trades, min(fp) AS first_fingerprint, max(fp) AS last_fingerprint
+  FROM (SELECT survivor, new_name, key, sha256(identity || '|' || (row_number() OVER (PARTITION BY identity ORDER BY id) - 1)) AS fp
+        FROM (SELECT t.id, v.survivor, v.new_name, v.key, concat_ws('|', v.key, coalesce(t.ticker, ''), CASE WHEN t.ticker IS NULL THEN lower(coalesce(t.asset_name, '')) ELSE '' END,
+                t.transaction_type, t.transaction_date::varchar, coalesce(t.disclosure_date::varchar, ''), coalesce(t.amount_min::varchar, 'None'), coalesce(t.amount_max::varchar, 'None')) AS identity
+              FROM trades t JOIN variants v ON v.id = t.politician_id))
+  GROUP BY survivor""",
+    variants=f"""SELECT p.id, {key_of('p.name', 'p.chamber')} AS key, first_value(p.id) OVER w AS survivor, first_value(p.name) OVER w AS new_name
+      FROM politicians p LEFT JOIN (SELECT politician_id, count(*) AS n FROM trades GROUP BY 1) c ON c.politician_id = p.id
+      WINDOW w AS (PARTITION BY {key_of('p.name', 'p.chamber')} ORDER BY coalesce(n, 0) DESC, p.id)""")
+
+
+def _fingerprint(name, cols):
+    text = "concat_ws('|', " + ", ".join(f"coalesce({c}::varchar, '<null>')" for c in sorted(cols)) + ")"
+    return f"""SELECT '{name}' AS table_name, count(*) AS rows, sum(('0x' || substr(h, 1, 13))::bigint::hugeint)::varchar AS hash_a,
+      sum(('0x' || substr(h, 14, 13))::bigint::hugeint)::varchar AS hash_b FROM (SELECT md5({text}) AS h FROM {name})"""
+
+
+oracle("table_fingerprint", _fingerprint("orders", ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"]) + " UNION ALL "
+       + _fingerprint("events", ["event_id", "user_id", "event_type", "props"]))
+
+_BUY, _SELL = "transaction_type = 'buy'", "transaction_type IN ('sell', 'sell_partial')"
+
+
+def _totals(days):
+    w = f"disclosure_date >= {_D} - {days}"
+    return f"""SELECT count(*) AS trades, count(*) FILTER ({w}) AS trades_in_window, count(*) FILTER ({w} AND {_BUY}) AS buys_in_window,
+      count(*) FILTER ({w} AND {_SELL}) AS sells_in_window, max(disclosure_date) AS latest_disclosure_date,
+      (SELECT count(*) FROM politicians) AS politicians, (SELECT count(*) FROM securities) AS securities FROM trades"""
+
+
+DASH = {
+    "daily": f"""SELECT d.date, count(t.id) AS count FROM (SELECT unnest(generate_series({_D} - 365, {_D}, INTERVAL 1 DAY))::date AS date) d
+      LEFT JOIN trades t ON t.disclosure_date = d.date GROUP BY d.date""",
+    "monthly": f"""SELECT strftime(disclosure_date, '%Y-%m') AS month, count(*) FILTER ({_BUY}) AS buys, count(*) FILTER ({_SELL}) AS sells,
+      count(*) FILTER (NOT ({_BUY}) AND NOT ({_SELL})) AS other FROM trades WHERE disclosure_date IS NOT NULL GROUP BY 1""",
+    "totals365": _totals(365),
+}
+oracle("overview_totals", _totals(30))
+oracle("overview_daily", "SELECT * FROM daily", **DASH)
+oracle("overview_monthly", "SELECT * FROM monthly", **DASH)
+oracle("half_window_trend", """
+  SELECT recent, earlier, last_12_months, floor(buys_in_window * 100.0::double / trades_in_window + 0.5)::bigint AS buy_share_pct,
+    CASE WHEN earlier > 0 THEN floor((recent - earlier)::double / earlier * 100 + 0.5)::bigint END AS change_pct
+  FROM (SELECT sum(count) FILTER (i >= n // 2)::bigint AS recent, sum(count) FILTER (i < n // 2)::bigint AS earlier
+        FROM (SELECT count, row_number() OVER (ORDER BY date) - 1 AS i, count(*) OVER () AS n FROM daily)),
+       (SELECT sum(buys + sells + other)::bigint AS last_12_months FROM (SELECT * FROM monthly ORDER BY month DESC LIMIT 12)), totals365""", **DASH)
+for _name, _key, _dim, _cols in (("top_tickers", "ticker", "securities", "name"), ("top_politicians", "politician_id", "(SELECT id AS politician_id, name, chamber FROM politicians)", "name, chamber")):
+    _dims = ", ".join(f"any_value(d.{c.strip()}) AS {c.strip()}" for c in _cols.split(","))
+    oracle(_name, f"""SELECT {_key}, count(*) AS trades, count(*) FILTER ({_BUY}) AS buys, count(*) FILTER ({_SELL}) AS sells, {_dims}
+      FROM trades JOIN {_dim} d USING ({_key}) WHERE disclosure_date >= {_D} - 365 GROUP BY {_key} ORDER BY trades DESC, {_key} LIMIT 10""")
+oracle("politician_summary", """SELECT p.id AS politician_id, p.name, count(t.id) AS trade_count, max(t.transaction_date) AS latest_trade_date
+  FROM politicians p LEFT JOIN trades t ON t.politician_id = p.id GROUP BY p.id, p.name""")
+oracle("security_summary", """SELECT s.ticker, s.price_status, count(t.id) AS trade_count, max(t.transaction_date) AS latest_trade_date
+  FROM securities s LEFT JOIN trades t ON t.ticker = s.ticker GROUP BY s.ticker, s.price_status""")
+oracle("status_report", f"""
+  SELECT count(*) AS trades_total, max(disclosure_date) AS latest_disclosure_date, max(transaction_date) FILTER (transaction_date <= {_D}) AS latest_transaction_date,
+    count(*) FILTER (transaction_date > {_D} OR transaction_date > disclosure_date) AS invalid_date_trades,
+    (SELECT count(*) FROM politicians) AS politicians_total, (SELECT count(*) FROM traded) AS securities_total,
+    (SELECT count(*) FROM traded WHERE price_status = 'ok') AS securities_priced, (SELECT count(*) FROM traded WHERE price_status = 'unavailable') AS securities_unavailable,
+    (SELECT count(*) FROM traded WHERE price_status IS NULL) AS securities_pending, (SELECT count(*) FROM bars) AS price_bars, (SELECT max(date) FROM bars) AS latest_bar_date,
+    (SELECT price_from FROM securities WHERE ticker = 'Brand#3') AS benchmark_from, (SELECT price_to FROM securities WHERE ticker = 'Brand#3') AS benchmark_to,
+    (SELECT price_status FROM securities WHERE ticker = 'Brand#3') AS benchmark_status
+  FROM trades""", traded="SELECT * FROM securities WHERE ticker IN (SELECT ticker FROM trades)")
+oracle("trades_by_source", "SELECT source, count(*) AS trades FROM trades GROUP BY source")
+oracle("ingest_freshness", """SELECT max(ts) AS last_success_at, round((epoch(TIMESTAMP '2024-01-31 12:00:00') - floor(epoch(max(ts)))) / 3600, 2) AS age_hours,
+  (epoch(TIMESTAMP '2024-01-31 12:00:00') - floor(epoch(max(ts)))) / 3600 > 12 AS stale FROM events""")
+oracle("group_sizes", """SELECT id, politician_id || '|' || coalesce(ticker, '') || '|' || transaction_date || '|' || transaction_type AS group_key,
+  count(*) OVER (PARTITION BY politician_id, coalesce(ticker, ''), transaction_date, transaction_type) AS group_size FROM trades""")
+_NEWEST = {"newest": "SELECT * FROM trades WHERE politician_id = 7 ORDER BY transaction_date DESC, id DESC LIMIT 500"}
+oracle("politician_breakdown_months", f"""SELECT strftime(transaction_date, '%Y-%m') AS month, count(*) FILTER ({_BUY}) AS buys, count(*) FILTER ({_SELL}) AS sells
+  FROM newest GROUP BY 1""", **_NEWEST)
+oracle("politician_breakdown_tickers", f"""SELECT coalesce(ticker, '—') AS ticker, count(*) FILTER ({_BUY}) AS buys, count(*) FILTER ({_SELL}) AS sells
+  FROM newest GROUP BY 1 ORDER BY buys + sells DESC, 1 LIMIT 10""", **_NEWEST)
+oracle("newest_per_security", """SELECT ticker, id, disclosure_date FROM trades WHERE ticker IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY disclosure_date DESC NULLS LAST, id DESC) <= 10""")
+oracle("price_slice", "SELECT upper(ticker) AS ticker, date, close, adj_close FROM bars WHERE ticker = 'Brand#4' AND date BETWEEN DATE '1997-01-01' AND DATE '1999-12-31'")
+oracle("range_window", """SELECT ticker, date, close FROM bars JOIN (SELECT ticker, max(date) AS last FROM bars GROUP BY ticker) USING (ticker)
+  WHERE date >= date_trunc('month', last - INTERVAL 6 MONTH)::date + (day(last) - 1)::int""")
+oracle("committee_groups", """SELECT politician_id, committee_code, max(role) FILTER (subcommittee_code IS NULL) AS role,
+  count(DISTINCT (subcommittee_code, role)) FILTER (subcommittee_code IS NOT NULL) AS subcommittees FROM seats GROUP BY ALL""")
+oracle("ordered_seats", """SELECT politician_id, upper(committee_code[1]) || lower(committee_code[2:]) AS committee_name,
+  upper(subcommittee_code[1]) || lower(subcommittee_code[2:]) AS subcommittee_name, temporal_precision FROM seats""")
+oracle("traded_tickers", "SELECT DISTINCT ticker FROM trades WHERE ticker IS NOT NULL")
+
+SIZES = {
+    "sized": f"""SELECT *, NOT coalesce(transaction_date > {_D} OR transaction_date > disclosure_date, false) AS date_ok,
+        CASE WHEN amount_max IS NULL THEN amount_min::double WHEN amount_max >= amount_min THEN (amount_min + amount_max) / 2.0::double END AS value,
+        CASE WHEN amount_min IS NULL THEN NULL WHEN amount_max IS NULL THEN 'open_ended_lower_bound' WHEN amount_max = amount_min THEN 'exact_figure'
+             WHEN amount_max > amount_min THEN 'range_midpoint' END AS basis FROM trades""",
+    "history": """SELECT t.id, count(h.id) AS n, count(h.id) FILTER (h.value < t.value) AS less, count(h.id) FILTER (h.value = t.value) AS same,
+        quantile_cont(h.value, 0.5) AS med
+      FROM sized t LEFT JOIN sized h ON h.politician_id = t.politician_id AND h.transaction_date < t.transaction_date AND h.date_ok AND h.value IS NOT NULL
+      WHERE t.date_ok GROUP BY t.id""",
+    "size_signals": """SELECT t.*, CASE WHEN t.value IS NOT NULL AND h.n >= 10 THEN (less + 0.5::double * same) / n * 100 END AS pct, h.n, h.med
+      FROM sized t LEFT JOIN history h USING (id)""",
+}
+# round half to even on the exact double: the product with 100 is split into high and low part (134217729 = 2^27 + 1)
+_EXACT = """(floor(pct * 100) + CASE WHEN (pct * 100 - floor(pct * 100) - 0.5) + low > 0
+    OR ((pct * 100 - floor(pct * 100) - 0.5) + low = 0 AND floor(pct * 100) % 2 <> 0) THEN 1.0::double ELSE 0.0::double END) / 100.0::double"""
+SIZES["rounded"] = f"""SELECT *, {_EXACT} AS pct2 FROM (
+    SELECT *, (hi * 100.0::double - pct * 100.0::double) + (pct - hi) * 100.0::double AS low
+    FROM (SELECT *, pct * 134217729.0::double - (pct * 134217729.0::double - pct) AS hi FROM size_signals))"""
+oracle("trade_size_values", "SELECT basis, count(*) AS trades, sum(value) AS total FROM sized GROUP BY basis", **SIZES)
+oracle("size_percentile_prior", """SELECT id, pct >= 90 AS trade_size_anomaly, value AS trade_size_value, basis AS trade_size_basis, pct2 AS trade_size_percentile,
+  n AS trade_size_sample_size FROM rounded""", **SIZES)
+oracle("prior_median", "SELECT id, n AS trade_size_sample_size, CASE WHEN date_ok AND value IS NOT NULL THEN med END AS trade_size_median FROM size_signals", **SIZES)
+DELAY = {"delays": f"""SELECT id, CASE WHEN transaction_date <= {_D} AND disclosure_date >= transaction_date AND disclosure_date <= {_D}
+    THEN disclosure_date - transaction_date END AS days FROM trades"""}
+oracle("delay_signal", "SELECT id, days AS disclosure_delay_days, days > 45 AS disclosure_delay_signal FROM delays", **DELAY)
+EXCESS = {**PERF90, "excesses": """SELECT id, status AS performance_status, tx_return, tx_benchmark_return, tx_excess_return, tx_anchor_date,
+    direction * tx_excess_return AS adjusted, CASE WHEN tx_excess_return IS NOT NULL THEN tx_anchor_date + 90 END AS through_date,
+    CASE WHEN status = 'ok' THEN abs(tx_excess_return) + 1e-9 >= 0.20::double END AS signal FROM perf"""}
+oracle("excess_signal", """SELECT id, performance_status, tx_excess_return AS excess_return, adjusted AS excess_return_direction_adjusted,
+  through_date AS performance_through_date, signal AS excess_return_signal FROM excesses""", **EXCESS)
+oracle("invalid_dates", f"""SELECT id, CASE WHEN transaction_date > {_D} THEN 'transaction date is in the future' ELSE 'transaction date is after disclosure date' END AS problem
+  FROM trades WHERE transaction_date > {_D} OR transaction_date > disclosure_date""")
+
+
+def _starts(d):
+    return f"""SELECT ticker, min(least(transaction_date, CASE WHEN disclosure_date <= {d} THEN disclosure_date END, {d}))
+        FILTER (NOT coalesce(transaction_date > {d} OR transaction_date > disclosure_date, false)) AS start
+      FROM trades WHERE ticker IS NOT NULL GROUP BY ticker"""
+
+
+PRICES = {
+    "per_ticker": _starts(_D),
+    "starts": f"SELECT * FROM per_ticker WHERE start IS NOT NULL UNION ALL SELECT '{BENCHMARK}', min(start) FROM per_ticker",
+    "plan": f"""SELECT *, CASE WHEN action = 'fetch' THEN CASE WHEN price_from IS NULL OR price_to IS NULL OR start < price_from THEN start ELSE price_to - 7 END END AS lo,
+        CASE WHEN action = 'fetch' THEN CASE WHEN price_from IS NULL OR price_to IS NULL OR price_to < {_D} THEN {_D} ELSE price_from END END AS hi
+      FROM (SELECT t.ticker, t.start, s.price_from, s.price_to, s.price_from IS NOT NULL AS had_coverage,
+          CASE WHEN s.price_status = 'unavailable' AND s.price_checked_at > TIMESTAMP '{NOW}' - INTERVAL 7 DAY THEN 'deferred'
+               WHEN s.price_from IS NULL OR s.price_to IS NULL OR t.start < s.price_from OR s.price_to < {_D} THEN 'fetch' ELSE 'cached' END AS action
+        FROM starts t LEFT JOIN securities s USING (ticker))""",
+    "batches": """SELECT *, min(lo) OVER b AS batch_lo, max(hi) OVER b AS batch_hi, count(*) OVER b AS batch_size
+      FROM (SELECT *, (row_number() OVER (ORDER BY lo, hi, ticker) - 1) // 4 AS batch FROM plan WHERE action = 'fetch') WINDOW b AS (PARTITION BY batch)""",
+    "old_bars": "SELECT b.* FROM bars b JOIN securities s USING (ticker) WHERE b.date BETWEEN s.price_from AND s.price_to",
+    "new_bars": """SELECT * REPLACE (CASE WHEN substr(ticker, 7)::int % 3 = 0 THEN adj_close * 0.99::double ELSE adj_close END AS adj_close)
+      FROM bars WHERE substr(ticker, 7)::int % 7 <> 0""",
+    "wanted": "SELECT n.* FROM new_bars n JOIN batches p USING (ticker) WHERE n.date BETWEEN p.lo AND p.hi",
+    "outcomes": """SELECT p.ticker, p.lo, p.hi, p.had_coverage, coalesce(f.bars_fetched, 0) AS bars_fetched,
+        CASE WHEN sum(coalesce(a.n, 0)) OVER (PARTITION BY p.batch) = 0 AND p.batch_size >= 3 THEN 'failed'
+             WHEN f.bars_fetched IS NULL AND NOT p.had_coverage THEN CASE WHEN p.hi - p.lo >= 7 THEN 'unavailable' ELSE 'too_recent' END
+             WHEN p.had_coverage AND coalesce(d.moved, false) THEN 'restated' ELSE 'written' END AS outcome
+      FROM batches p LEFT JOIN (SELECT ticker, count(*) AS n FROM new_bars GROUP BY 1) a USING (ticker)
+      LEFT JOIN (SELECT ticker, count(*) AS bars_fetched FROM wanted GROUP BY 1) f USING (ticker)
+      LEFT JOIN (SELECT w.ticker, bool_or(abs(w.adj_close / o.adj_close - 1) > 1e-4) AS moved FROM wanted w JOIN old_bars o USING (ticker, date) GROUP BY 1) d USING (ticker)""",
+}
+oracle("price_starts", "SELECT * FROM starts", **PRICES)
+oracle("price_invalid_trades", f"""SELECT id, ticker, CASE WHEN transaction_date > {_D} THEN 'transaction date is in the future' ELSE 'transaction date is after disclosure date' END AS problem
+  FROM trades WHERE ticker IS NOT NULL AND (transaction_date > {_D} OR transaction_date > disclosure_date)""")
+oracle("price_no_valid_dates", "SELECT ticker FROM early WHERE start IS NULL", early=_starts("DATE '1995-01-10'"))
+oracle("price_fetch_plan", "SELECT ticker, action, lo, hi, start, had_coverage FROM plan", **PRICES)
+oracle("price_batches", "SELECT ticker, lo, hi, batch, batch_lo, batch_hi, batch_size FROM batches", **PRICES)
+oracle("restatement_check", """SELECT ticker, coalesce(bool_or(abs(n.adj_close / o.adj_close - 1) > 1e-4), false) AS restated, count(*) AS overlapping_bars
+  FROM new_bars n JOIN old_bars o USING (ticker, date) GROUP BY ticker""", **PRICES)
+oracle("price_batch_outcome", "SELECT ticker, outcome, bars_fetched, lo, hi FROM outcomes", **PRICES)
+oracle("price_range_replace", """SELECT ticker, count(*) AS bars, min(date) AS first_date, max(date) AS last_date, sum(trunc(close * 100)::bigint)::bigint AS cents FROM (
+    SELECT ticker, date, close FROM old_bars o WHERE NOT EXISTS (SELECT 1 FROM outcomes w WHERE w.ticker = o.ticker AND outcome = 'written' AND o.date BETWEEN lo AND hi)
+    UNION ALL SELECT ticker, date, close FROM wanted WHERE ticker IN (SELECT ticker FROM outcomes WHERE outcome = 'written')) GROUP BY ticker""", **PRICES)
+oracle("price_coverage", f"""SELECT s.ticker, CASE outcome WHEN 'written' THEN 'ok' WHEN 'unavailable' THEN 'unavailable' ELSE price_status END AS price_status,
+    CASE WHEN outcome = 'written' THEN CASE WHEN had_coverage THEN least(price_from, lo) ELSE lo END ELSE price_from END AS price_from,
+    CASE WHEN outcome = 'written' THEN CASE WHEN had_coverage THEN greatest(price_to, hi) ELSE hi END ELSE price_to END AS price_to,
+    CASE WHEN outcome IN ('written', 'unavailable') THEN TIMESTAMP '{NOW}' ELSE price_checked_at END AS price_checked_at
+  FROM securities s LEFT JOIN outcomes USING (ticker)""", **PRICES)

@@ -2,8 +2,13 @@
 
 from pyspark.sql import functions as F
 
-from ..operators import performance as P
-from .tables import BENCHMARK, CONGRESS, NOW, TODAY, Tables
+from ..functions import rules as R
+from ..functions import text as X
+from ..operators import asof, dashboards as D, ingest as I, performance as P, prices as B, screen as S, signals as G
+from ..operators.ordered import newest_per
+from ..sources.bars import normalize_bars
+from ..sources.disclosures import normalize_disclosures
+from .tables import BENCHMARK, NOW, TODAY, Tables
 
 QUERIES = {}
 
@@ -53,3 +58,338 @@ def fixed_horizon_excess(t):
                     F.col("transaction.return").alias("security_return"),
                     F.col("transaction.benchmark_return").alias("benchmark_return"),
                     F.col("transaction.excess_return").alias("excess_return"))
+
+
+@query
+def security_performance(t):
+    upper = F.upper("ticker")
+    p = P.security_performance(t.trades.withColumn("ticker", upper), t.bars.withColumn("ticker", upper), t.benchmark, "BRAND#14", TODAY)
+    return p.select("id", "status", F.col("transaction.return").alias("return"), F.col("transaction.excess_return").alias("excess_return"))
+
+
+@query
+def asof_next_bar(t):
+    asked = t.trades.filter("ticker IS NOT NULL").select("id", "ticker", "disclosure_date").filter("disclosure_date IS NOT NULL")
+    return asof.asof_forward(asked, asof.price_series(t.bars), "disclosure_date").select("id", "asof_date", "asof_price")
+
+
+@query
+def asof_previous_bar(t):
+    asked = t.trades.filter("ticker IS NOT NULL").select("id", "ticker", "transaction_date")
+    return asof.asof_backward(asked, asof.price_series(t.bars), "transaction_date").select("id", "asof_date", "asof_price")
+
+
+@query
+def rebased_series(t):
+    perf = _performance(t, legs=("transaction",))
+    return P.rebased_series(t.bars, t.benchmark, perf, "1996-01-01")
+
+
+def _digest(t):
+    """Trades in the shape of the legacy digest feed."""
+    label = (
+        F.when(F.col("amount_max") == 15000, "$1,001 - $15,000").when(F.col("amount_max") == 50000, "$15,001 - $50,000")
+        .when(F.col("amount_max") == 100000, "$50,001 - $100,000").when(F.col("amount_max").isNull(), "Over $1,000,000")
+        .otherwise("exact figure"))
+    kind = F.when(F.col("transaction_type") == "buy", "purchase").when(
+        F.col("transaction_type").startswith("sell"), "sale_full").otherwise("exchange")
+    return t.trades.withColumns({"amount": label, "trade_type": kind, "ticker": F.replace("ticker", F.lit("Brand#"), F.lit("B"))})
+
+
+def _digest_bars(t):
+    return t.bars.withColumn("ticker", F.replace("ticker", F.lit("Brand#"), F.lit("B")))
+
+
+@query
+def legacy_notable_filter(t):
+    return P.legacy_notable_filter(_digest(t), TODAY).select("id", "ticker", "estimated_value", "side")
+
+
+@query
+def legacy_moves(t):
+    return P.legacy_move(_digest(t), _digest_bars(t)).select("id", "price_at_trade", "current_price", _r("price_move_pct").alias("price_move_pct"))
+
+
+@query
+def notable_moves(t):
+    moves = P.legacy_move(P.legacy_notable_filter(_digest(t), TODAY), _digest_bars(t))
+    return P.notable_moves(moves).select("id", "ticker", _r("price_move_pct").alias("price_move_pct"), "notable")
+
+
+# --- ingest ----------------------------------------------------------------------------------------------------------
+
+@query
+def normalize_disclosures_feed(t):
+    return normalize_disclosures(t.feed)[0].drop("party", "state", "source")
+
+
+@query
+def rejected_disclosures(t):
+    return normalize_disclosures(t.feed)[1].groupBy("reject_reason").agg(F.count("*").alias("records"))
+
+
+@query
+def legacy_value_and_display(t):
+    lo, hi = X.parse_amount("amount")
+    return t.feed.select("seq", X.legacy_value("amount").alias("legacy_value"), X.format_amount_range(lo, hi).alias("shown"))
+
+
+@query
+def dedupe_occurrences(t):
+    """How often each line was disclosed, as numbered fingerprints."""
+    return I.dedupe_trades(normalize_disclosures(t.feed)[0]).select("fingerprint", "occurrence")
+
+
+@query
+def dedupe_against_stored(t):
+    """A second run over the feed after everything up to the middle of the month is stored: only later lines are new."""
+    trades = normalize_disclosures(t.feed)[0]
+    stored = I.dedupe_trades(trades.filter("transaction_date <= DATE '2024-01-15'"))
+    return I.dedupe_trades(trades, stored).groupBy("transaction_date", "transaction_type").agg(F.count("*").alias("new_trades"))
+
+
+@query
+def upsert_politicians(t):
+    trades = normalize_disclosures(t.feed)[0]
+    known = I.upsert_politicians(trades.filter("transaction_date <= DATE '2024-01-15'")).withColumn("party", F.lit("D"))
+    return I.upsert_politicians(trades, known)
+
+
+@query
+def upsert_securities(t):
+    return I.upsert_securities(normalize_disclosures(t.feed)[0])
+
+
+@query
+def merge_variants(t):
+    """Politicians whose names differ only by a middle initial become one; fingerprints are recomputed."""
+    trades = t.trades.withColumn("fingerprint", F.lit(None).cast("string"))
+    people, moved = I.merge_variants(t.politicians.select("id", "name", "chamber", "party", "state"), trades)
+    kept = people.select("id", "name", "canonical_key")
+    return moved.groupBy(F.col("politician_id").alias("id")).agg(
+        F.count("*").alias("trades"), F.min("fingerprint").alias("first_fingerprint"), F.max("fingerprint").alias("last_fingerprint")).join(kept, "id")
+
+
+@query
+def table_fingerprint(t):
+    return I.table_fingerprint(t.source("orders"), ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"], "orders").unionByName(
+        I.table_fingerprint(t.source("events"), ["event_id", "user_id", "event_type", "props"], "events"))
+
+
+# --- dashboards ------------------------------------------------------------------------------------------------------
+
+@query
+def overview_totals(t):
+    return D.overview_totals(t.trades, t.politicians, t.securities, TODAY, 30)
+
+
+@query
+def overview_daily(t):
+    return D.daily_counts(t.trades, TODAY, 365)
+
+
+@query
+def overview_monthly(t):
+    return D.monthly_counts(t.trades)
+
+
+@query
+def half_window_trend(t):
+    totals = D.overview_totals(t.trades, t.politicians, t.securities, TODAY, 365)
+    return D.half_window_trend(D.daily_counts(t.trades, TODAY, 365), totals, D.monthly_counts(t.trades))
+
+
+@query
+def top_tickers(t):
+    return D.top_entities(t.trades, t.securities.select("ticker", "name"), "ticker", TODAY, 365)
+
+
+@query
+def top_politicians(t):
+    people = t.politicians.select(F.col("id").alias("politician_id"), "name", "chamber")
+    return D.top_entities(t.trades, people, "politician_id", TODAY, 365)
+
+
+@query
+def politician_summary(t):
+    people = t.politicians.select(F.col("id").alias("politician_id"), "name")
+    return D.entity_summary(people, t.trades, "politician_id")
+
+
+@query
+def security_summary(t):
+    return D.entity_summary(t.securities.select("ticker", "price_status"), t.trades, "ticker")
+
+
+@query
+def status_report(t):
+    return D.status_report(t.trades, t.politicians, t.securities, t.bars, TODAY, "Brand#3")
+
+
+@query
+def trades_by_source(t):
+    return D.trades_by_source(t.trades)
+
+
+@query
+def ingest_freshness(t):
+    state = t.source("events").groupBy(F.col("event_type").alias("source")).agg(F.max("ts").cast("timestamp_ntz").alias("last_success_at"))
+    return D.ingest_status(state, "2024-01-31 12:00:00", 12)
+
+
+@query
+def group_sizes(t):
+    return D.with_group_size(t.trades).select("id", "group_key", "group_size")
+
+
+@query
+def politician_breakdown_months(t):
+    return D.politician_breakdown(t.trades, 7)[0]
+
+
+@query
+def politician_breakdown_tickers(t):
+    return D.politician_breakdown(t.trades, 7)[1]
+
+
+@query
+def newest_per_security(t):
+    order = [F.col("disclosure_date").desc_nulls_last(), F.col("id").desc()]
+    return newest_per(t.trades.filter("ticker IS NOT NULL"), "ticker", order, 10).select("ticker", "id", "disclosure_date")
+
+
+@query
+def price_slice(t):
+    return D.price_slice(t.bars.withColumn("ticker", F.upper("ticker")), "brand#4", "1997-01-01", "1999-12-31").select("ticker", "date", "close", "adj_close")
+
+
+@query
+def range_window(t):
+    return D.range_window(t.bars, 6).select("ticker", "date", "close")
+
+
+@query
+def committee_groups(t):
+    g = D.committee_groups(t.seats)
+    return g.select("politician_id", "committee_code", "role", F.size("subcommittees").alias("subcommittees"))
+
+
+@query
+def ordered_seats(t):
+    return D.order_seats(t.seats).select("politician_id", "committee_name", "subcommittee_name", "temporal_precision")
+
+
+@query
+def traded_tickers(t):
+    return D.distinct_values(t.trades, "ticker")
+
+
+# --- signals ---------------------------------------------------------------------------------------------------------
+
+@query
+def trade_size_values(t):
+    value, basis = R.trade_size("amount_min", "amount_max")
+    return t.trades.select(basis.alias("basis"), value.alias("value")).groupBy("basis").agg(
+        F.count("*").alias("trades"), F.sum("value").alias("total"))
+
+
+@query
+def size_percentile_prior(t):
+    return G.size_signal(t.trades, TODAY).select(
+        "id", "trade_size_anomaly", "trade_size_value", "trade_size_basis", "trade_size_percentile", "trade_size_sample_size")
+
+
+@query
+def prior_median(t):
+    return G.size_signal(t.trades, TODAY).select("id", "trade_size_sample_size", "trade_size_median")
+
+
+@query
+def delay_signal(t):
+    return G.with_delay_signal(t.trades, TODAY).select("id", "disclosure_delay_days", "disclosure_delay_signal")
+
+
+@query
+def excess_signal(t):
+    out = G.excess_signal(t.trades, t.bars, t.benchmark, TODAY)
+    return out.select("id", "performance_status", "excess_return", "excess_return_direction_adjusted", "performance_through_date",
+                      "excess_return_signal")
+
+
+@query
+def invalid_dates(t):
+    return t.trades.select("id", R.date_problem("transaction_date", "disclosure_date", TODAY).alias("problem")).filter("problem IS NOT NULL")
+
+
+# --- price cache -----------------------------------------------------------------------------------------------------
+
+def _plan(t):
+    starts, _, _ = B.price_starts(t.trades, TODAY, BENCHMARK)
+    return B.price_fetch_plan(starts, t.securities, TODAY, NOW)
+
+
+@query
+def price_starts(t):
+    return B.price_starts(t.trades, TODAY, BENCHMARK)[0]
+
+
+@query
+def price_invalid_trades(t):
+    return B.price_starts(t.trades, TODAY, BENCHMARK)[1]
+
+
+@query
+def price_no_valid_dates(t):
+    """Tickers whose every trade is invalid when the clock stands before most of them."""
+    return B.price_starts(t.trades, "1995-01-10", BENCHMARK)[2]
+
+
+@query
+def price_fetch_plan(t):
+    return _plan(t)
+
+
+@query
+def price_batches(t):
+    return B.batch_plan(_plan(t), 4).select("ticker", "lo", "hi", "batch", "batch_lo", "batch_hi", "batch_size")
+
+
+def _stored_bars(t):
+    """What an earlier run left behind: bars inside each security's recorded coverage."""
+    covered = t.securities.select("ticker", "price_from", "price_to")
+    return t.bars.join(covered, "ticker").filter("date BETWEEN price_from AND price_to").drop("price_from", "price_to")
+
+
+def _incoming_bars(t):
+    """A provider's answer: all bars, restated by a dividend for every third security, nothing for every seventh."""
+    no = F.substring("ticker", 7, 10).cast("int")
+    restated = F.when(no % 3 == 0, F.col("adj_close") * 0.99).otherwise(F.col("adj_close"))
+    answered = F.when(no % 7 == 0, F.lit(None)).otherwise(F.col("close"))
+    return normalize_bars(t.bars.withColumn("adj_close", restated).withColumn("close", answered))
+
+
+def _applied(t):
+    batches = B.batch_plan(_plan(t), 4)
+    return B.apply_price_batch(_stored_bars(t), _incoming_bars(t), batches, t.securities, NOW)
+
+
+@query
+def restatement_check(t):
+    return B.detect_restatement(_stored_bars(t), _incoming_bars(t))
+
+
+@query
+def price_batch_outcome(t):
+    return _applied(t)[2].select("ticker", "outcome", "bars_fetched", "lo", "hi")
+
+
+@query
+def price_range_replace(t):
+    return _applied(t)[0].groupBy("ticker").agg(
+        F.count("*").alias("bars"), F.min("date").alias("first_date"), F.max("date").alias("last_date"),
+        F.sum((F.col("close") * 100).cast("long")).alias("cents"))
+
+
+@query
+def price_coverage(t):
+    return _applied(t)[1].select("ticker", "price_status", "price_from", "price_to", "price_checked_at")

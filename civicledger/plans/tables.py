@@ -238,7 +238,7 @@ class Tables:
         return self.source("customer").select(key.alias("politician_id"), F.explode(seated).alias("s")).select(
             "politician_id", "s.*", F.initcap("s.committee_code").alias("committee_name"),
             F.when(F.col("s.subcommittee_code").isNotNull(), F.initcap("s.subcommittee_code")).alias("subcommittee_name"),
-            F.when(key % 7 == 0, "Chair").otherwise("Member").alias("role"),
+            F.when(F.col("politician_id") % 7 == 0, "Chair").otherwise("Member").alias("role"),
             F.when(F.col("s.temporal_precision") == "current_snapshot", "house.clerk").otherwise("house.resolutions").alias("source"),
         )
 
