@@ -220,12 +220,12 @@ KINDS = {
 
 
 def _mapping_evidence(context, mappings, key):
-    tagged = [
-        F.transform(F.col(name), lambda m, kind=kind, label=label, name=name: F.struct(
+    def tag(name, kind, label):
+        return F.transform(F.col(name), lambda m: F.struct(
             F.lit(kind).alias("evidence_type"), F.lit(label).alias("label"), m["mapping_id"].alias("mapping_id"),
             (F.lit(K.CONTRADICTED) if name == "rejected" else m["status"]).alias("temporal_status")))
-        for name, (kind, label) in KINDS.items()
-    ]
+
+    tagged = [tag(name, *texts) for name, texts in KINDS.items()]
     rows = context.select(*key, "sic_code", "industry", F.explode(F.concat(*tagged)).alias("m")).select(
         *key, "sic_code", "industry", "m.*")
     described = rows.join(mappings.drop("mapping_version"), "mapping_id")

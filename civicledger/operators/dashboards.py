@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions.rules import day
+from .ordered import newest_per
 
 BUY = "transaction_type = 'buy'"
 SELL = "transaction_type IN ('sell', 'sell_partial')"
@@ -110,7 +111,8 @@ def trades_by_source(trades: DataFrame) -> DataFrame:
 
 def ingest_status(state: DataFrame, now, stale_hours) -> DataFrame:
     """Age of the last successful ingest; unknown counts as stale."""
-    hours = (F.unix_timestamp(F.lit(str(now))) - F.unix_timestamp(F.max("last_success_at").cast("string"))) / 3600
+    hours = (F.unix_timestamp(F.lit(str(now)).cast("timestamp")) - F.unix_timestamp(
+        F.max("last_success_at").cast("timestamp"))) / 3600
     return state.agg(F.max("last_success_at").alias("last_success_at"), hours.alias("_age")).select(
         "last_success_at", F.round("_age", 2).alias("age_hours"),
         (F.col("_age").isNull() | (F.col("_age") > stale_hours)).alias("stale"))
@@ -152,26 +154,22 @@ def with_group_size(trades: DataFrame) -> DataFrame:
     return keyed.join(sizes, GROUP_KEY).withColumn("group_key", label).drop("ticker_key")
 
 
-def politician_breakdown(trades: DataFrame, politician, n=500) -> tuple[DataFrame, DataFrame]:
-    """(buys and sells per month, top ten tickers) over a politician's newest trades."""
-    newest = (
-        trades.filter(F.col("politician_id") == politician)
-        .orderBy(F.col("transaction_date").desc(), F.col("id").desc()).limit(n)
-    )
+def politician_breakdown(trades: DataFrame, politician=None, n=500) -> tuple[DataFrame, DataFrame]:
+    """(buys and sells per month, top ten tickers) over each politician's newest trades, or those of one politician."""
+    wanted = trades if politician is None else trades.filter(F.col("politician_id") == politician)
+    newest = newest_per(wanted, "politician_id", [F.col("transaction_date").desc(), F.col("id").desc()], n)
     counts = [_buys().alias("buys"), _sells().alias("sells")]
-    monthly = newest.groupBy(F.date_format("transaction_date", "yyyy-MM").alias("month")).agg(*counts).orderBy("month")
-    tickers = (
-        newest.groupBy(F.coalesce("ticker", F.lit("—")).alias("ticker")).agg(*counts)
-        .orderBy((F.col("buys") + F.col("sells")).desc(), "ticker").limit(10)
-    )
-    return monthly, tickers
+    monthly = newest.groupBy(
+        "politician_id", F.date_format("transaction_date", "yyyy-MM").alias("month")).agg(*counts)
+    tickers = newest.groupBy("politician_id", F.coalesce("ticker", F.lit("—")).alias("ticker")).agg(*counts)
+    return monthly, newest_per(tickers, "politician_id", [(F.col("buys") + F.col("sells")).desc(), F.col("ticker")], 10)
 
 
-def price_slice(bars, ticker, start=None, end=None) -> DataFrame:
-    out = bars.filter(F.col("ticker") == ticker.upper())
+def price_slice(bars, ticker=None, start=None, end=None) -> DataFrame:
+    out = bars if ticker is None else bars.filter(F.col("ticker") == ticker.upper())
     out = out.filter(F.col("date") >= day(start)) if start else out
     out = out.filter(F.col("date") <= day(end)) if end else out
-    return out.orderBy("date")
+    return out.orderBy("ticker", "date")
 
 
 def range_window(bars: DataFrame, months) -> DataFrame:

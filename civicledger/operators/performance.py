@@ -7,6 +7,7 @@ from .. import constants as K
 from ..functions.rules import date_problem, day, direction, ret, spread_null
 from ..functions.text import legacy_value
 from .asof import asof_backward, forward_days, price_series, repeat_days, with_first_day
+from .ordered import newest_per
 
 
 def leg_days(bars: DataFrame, benchmark: DataFrame, horizon_days=None) -> DataFrame:
@@ -133,12 +134,13 @@ def security_averages(perf: DataFrame) -> DataFrame:
     )
 
 
-def security_performance(trades, bars, benchmark, ticker, today, limit=200):
-    """The newest trades of one security with their performance."""
-    mine = trades.filter(F.col("ticker") == ticker.upper())
-    newest = mine.orderBy(F.col("transaction_date").desc(), F.col("id").desc()).limit(limit)
-    own_bars = bars.filter(F.col("ticker") == ticker.upper())
-    return trade_performance(newest, own_bars, benchmark, today)
+def security_performance(trades, bars, benchmark, today, ticker=None, limit=200):
+    """The newest trades of every security, or of one, with their performance."""
+    wanted = trades.filter("ticker IS NOT NULL")
+    if ticker is not None:
+        wanted, bars = (df.filter(F.col("ticker") == ticker.upper()) for df in (wanted, bars))
+    newest = newest_per(wanted, "ticker", [F.col("transaction_date").desc(), F.col("id").desc()], limit)
+    return trade_performance(newest, bars, benchmark, today)
 
 
 def rebased_series(bars, benchmark, perf, start=None):

@@ -54,7 +54,7 @@ def subject_matches(subjects: DataFrame, reach: DataFrame, key, on=("politician_
     on = list(on)
     evaluable = subjects.withColumn("_sic", sic_number("sic_code")).filter("_sic IS NOT NULL")
     pattern = F.col("industry_pattern")
-    fits = pattern.isNull() | is_true(F.col("industry").rlike(F.concat(F.lit("(?i)"), pattern)))
+    fits = pattern.isNull() | is_true(F.rlike("industry", F.concat(F.lit("(?i)"), pattern)))
     joined = evaluable.select(*key, *[c for c in on if c not in key], "_sic", "industry").join(reach, on)
     return joined.filter(F.col("_sic").between(F.col("sic_start"), F.col("sic_end")) & fits).drop("_sic", "industry")
 
@@ -171,7 +171,7 @@ def mapping_security_hits(mappings, securities) -> DataFrame:
     codes = securities.withColumn("_sic", sic_number("sic_code")).filter("_sic IS NOT NULL")
     profiles = codes.select("sic_code", "industry", "_sic").distinct()
     fits = F.col("industry_pattern").isNull() | is_true(
-        F.col("industry").rlike(F.concat(F.lit("(?i)"), F.col("industry_pattern"))))
+        F.rlike("industry", F.concat(F.lit("(?i)"), F.col("industry_pattern"))))
     # a range covers at most 9999 codes, so it is turned into an equi-join on the code
     per_code = m.withColumn("_sic", F.explode(F.sequence("sic_start", "sic_end")))
     hits = per_code.join(profiles, "_sic").filter(fits).select("mapping_id", "sic_code", "industry")

@@ -1,5 +1,6 @@
 """The registered queries as plain SQL for DuckDB."""
 
+from ..operators.context import ContextConfig
 from .oracle_tables import congress, key_of, with_tables
 from .tables import BENCHMARK, NOW, TODAY
 
@@ -89,8 +90,8 @@ oracle("fixed_horizon_excess", """
     tx_excess_return AS excess_return FROM perf""", **PERF90)
 
 oracle("security_performance", """
-  SELECT id, status, tx_return AS return, tx_excess_return AS excess_return FROM perf WHERE ticker = 'Brand#14'
-  ORDER BY transaction_date DESC, id DESC LIMIT 200""", **PERF)
+  SELECT id, ticker, status, tx_return AS return, tx_excess_return AS excess_return FROM perf WHERE ticker IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY transaction_date DESC, id DESC) <= 200""", **PERF)
 oracle("asof_next_bar", """
   SELECT t.id, min(s.date) AS asof_date, arg_min(s.price, s.date) AS asof_price
   FROM trades t LEFT JOIN series s ON s.ticker = t.ticker AND s.date BETWEEN t.disclosure_date AND t.disclosure_date + 7
@@ -239,14 +240,14 @@ oracle("ingest_freshness", """SELECT max(ts) AS last_success_at, round((epoch(TI
   (epoch(TIMESTAMP '2024-01-31 12:00:00') - floor(epoch(max(ts)))) / 3600 > 12 AS stale FROM events""")
 oracle("group_sizes", """SELECT id, politician_id || '|' || coalesce(ticker, '') || '|' || transaction_date || '|' || transaction_type AS group_key,
   count(*) OVER (PARTITION BY politician_id, coalesce(ticker, ''), transaction_date, transaction_type) AS group_size FROM trades""")
-_NEWEST = {"newest": "SELECT * FROM trades WHERE politician_id = 7 ORDER BY transaction_date DESC, id DESC LIMIT 500"}
-oracle("politician_breakdown_months", f"""SELECT strftime(transaction_date, '%Y-%m') AS month, count(*) FILTER ({_BUY}) AS buys, count(*) FILTER ({_SELL}) AS sells
-  FROM newest GROUP BY 1""", **_NEWEST)
-oracle("politician_breakdown_tickers", f"""SELECT coalesce(ticker, '—') AS ticker, count(*) FILTER ({_BUY}) AS buys, count(*) FILTER ({_SELL}) AS sells
-  FROM newest GROUP BY 1 ORDER BY buys + sells DESC, 1 LIMIT 10""", **_NEWEST)
+_NEWEST = {"newest": "SELECT * FROM trades QUALIFY row_number() OVER (PARTITION BY politician_id ORDER BY transaction_date DESC, id DESC) <= 500"}
+oracle("politician_breakdown_months", f"""SELECT politician_id, strftime(transaction_date, '%Y-%m') AS month, count(*) FILTER ({_BUY}) AS buys,
+  count(*) FILTER ({_SELL}) AS sells FROM newest GROUP BY ALL""", **_NEWEST)
+oracle("politician_breakdown_tickers", f"""SELECT politician_id, coalesce(ticker, '—') AS ticker, count(*) FILTER ({_BUY}) AS buys, count(*) FILTER ({_SELL}) AS sells
+  FROM newest GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY politician_id ORDER BY buys + sells DESC, coalesce(ticker, '—')) <= 10""", **_NEWEST)
 oracle("newest_per_security", """SELECT ticker, id, disclosure_date FROM trades WHERE ticker IS NOT NULL
   QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY disclosure_date DESC NULLS LAST, id DESC) <= 10""")
-oracle("price_slice", "SELECT upper(ticker) AS ticker, date, close, adj_close FROM bars WHERE ticker = 'Brand#4' AND date BETWEEN DATE '1997-01-01' AND DATE '1999-12-31'")
+oracle("price_slice", "SELECT ticker, date, close, adj_close FROM bars WHERE date BETWEEN DATE '1997-01-01' AND DATE '1999-12-31'")
 oracle("range_window", """SELECT ticker, date, close FROM bars JOIN (SELECT ticker, max(date) AS last FROM bars GROUP BY ticker) USING (ticker)
   WHERE date >= date_trunc('month', last - INTERVAL 6 MONTH)::date + (day(last) - 1)::int""")
 oracle("committee_groups", """SELECT politician_id, committee_code, max(role) FILTER (subcommittee_code IS NULL) AS role,
@@ -335,3 +336,277 @@ oracle("price_coverage", f"""SELECT s.ticker, CASE outcome WHEN 'written' THEN '
     CASE WHEN outcome = 'written' THEN CASE WHEN had_coverage THEN greatest(price_to, hi) ELSE hi END ELSE price_to END AS price_to,
     CASE WHEN outcome IN ('written', 'unavailable') THEN TIMESTAMP '{NOW}' ELSE price_checked_at END AS price_checked_at
   FROM securities s LEFT JOIN outcomes USING (ticker)""", **PRICES)
+
+# --- relevance -------------------------------------------------------------------------------------------------------
+_RANK = "(subcommittee_code IS NULL)::int, (relevance_level <> 'direct')::int, sic_end - sic_start, mapping_id"
+RELEVANCE = {
+    "cm": "SELECT *, 'x' AS k FROM current_mappings",
+    "subjects": """SELECT politician_id, sic_code, industry, count(*) AS trades FROM trades t LEFT JOIN securities s USING (ticker) GROUP BY ALL""",
+    "matches": f"""SELECT DISTINCT s.politician_id, s.sic_code, s.industry, s.trades, m.mapping_id, m.committee_code, m.subcommittee_code, m.relevance_level,
+        m.review_status, m.sic_start, m.sic_end
+      FROM subjects s JOIN seats USING (politician_id) JOIN cm m ON m.committee_code = seats.committee_code
+        AND (m.subcommittee_code IS NULL OR m.subcommittee_code = seats.subcommittee_code)
+        AND m.relevance_level <> 'none' AND s.sic_code::int BETWEEN m.sic_start AND m.sic_end
+        AND (m.industry_pattern IS NULL OR regexp_matches(s.industry, '(?i)' || m.industry_pattern))""",
+    "ranked": f"SELECT *, row_number() OVER (PARTITION BY politician_id, sic_code ORDER BY {_RANK}) AS place, count(*) OVER (PARTITION BY politician_id, sic_code) AS match_count FROM matches",
+    "graded": """SELECT s.*, CASE WHEN s.sic_code IS NULL THEN 'no_sic' WHEN f.politician_id IS NULL THEN 'no_committee_assignments' WHEN r.mapping_id IS NOT NULL THEN 'match'
+          WHEN f.unmapped THEN 'unmapped_committees' ELSE 'no_match' END AS reason,
+        CASE reason WHEN 'match' THEN 'relevant' WHEN 'no_match' THEN 'not_relevant' ELSE 'unknown' END AS status,
+        CASE WHEN status = 'unknown' THEN 'unknown' WHEN status = 'not_relevant' THEN 'no_relevance' WHEN g.direct THEN 'reviewed_direct'
+          WHEN g.reviewed THEN 'reviewed_related_only' ELSE 'needs_review_only' END AS review_category,
+        coalesce(r.match_count, 0) AS match_count, r.mapping_id, r.committee_code, r.subcommittee_code, r.relevance_level
+      FROM subjects s LEFT JOIN (SELECT politician_id, bool_or(committee_code NOT IN (SELECT committee_code FROM cm)) AS unmapped FROM seats GROUP BY 1) f USING (politician_id)
+      LEFT JOIN (SELECT * FROM ranked WHERE place = 1) r ON r.politician_id = s.politician_id AND r.sic_code = s.sic_code
+      LEFT JOIN (SELECT politician_id, sic_code, bool_or(review_status = 'reviewed' AND relevance_level = 'direct') AS direct, bool_or(review_status = 'reviewed') AS reviewed
+                 FROM matches GROUP BY ALL) g ON g.politician_id = s.politician_id AND g.sic_code = s.sic_code""",
+    "hits": """SELECT m.mapping_id, s.* FROM cm m JOIN (SELECT * FROM securities WHERE ticker IN (SELECT ticker FROM trades)) s
+        ON s.sic_code::int BETWEEN m.sic_start AND m.sic_end AND (m.industry_pattern IS NULL OR regexp_matches(s.industry, '(?i)' || m.industry_pattern))""",
+    "listed": """SELECT r.*, s.trades AS n FROM (SELECT * FROM ranked WHERE sic_code IS NOT NULL) r
+        JOIN (SELECT politician_id, sic_code, sum(trades) AS trades FROM subjects WHERE sic_code IS NOT NULL GROUP BY ALL) s USING (politician_id, sic_code)""",
+    "rowstats": """SELECT m.*, m.committee_code || coalesce('/' || m.subcommittee_code, '') || ':' || CASE WHEN sic_start IS NULL THEN 'none' ELSE
+          lpad(sic_start::varchar, 4, '0') || '-' || lpad(sic_end::varchar, 4, '0') END || ':' || relevance_level AS row_key,
+        (SELECT count(*) FROM hits h WHERE h.mapping_id = m.mapping_id) AS securities_matched,
+        (SELECT count(DISTINCT substr(sic_code, 1, 3)) FROM hits h WHERE h.mapping_id = m.mapping_id) AS industry_groups,
+        (SELECT string_agg(ticker, ',' ORDER BY ticker) FROM (SELECT ticker FROM hits h WHERE h.mapping_id = m.mapping_id ORDER BY ticker LIMIT 8)) AS example_tickers,
+        (SELECT coalesce(sum(n), 0)::bigint FROM listed l WHERE l.mapping_id = m.mapping_id) AS trades_matched,
+        (SELECT coalesce(sum(n) FILTER (place = 1), 0)::bigint FROM listed l WHERE l.mapping_id = m.mapping_id) AS trades_primary,
+        (SELECT count(DISTINCT politician_id) FROM listed l WHERE l.mapping_id = m.mapping_id) AS politicians_matched,
+        (SELECT count(DISTINCT sic_code) FROM securities s WHERE s.sic_code::int BETWEEN m.sic_start AND m.sic_end) AS official_titles FROM cm m""",
+    "range_overlaps": """SELECT DISTINCT m.mapping_id, o.committee_code || coalesce('/' || o.subcommittee_code, '') || ' ' || lpad(o.sic_start::varchar, 4, '0') || '-'
+          || lpad(o.sic_end::varchar, 4, '0') || ' (' || o.relevance_level || ')' AS overlaps_with
+        FROM cm m JOIN cm o ON o.committee_code <> m.committee_code AND o.sic_start <= m.sic_end AND m.sic_start <= o.sic_end
+        WHERE m.relevance_level <> 'none' AND o.relevance_level <> 'none'""",
+    "flagged_rows": """SELECT *, len(list_intersect(flags, ['broad_range', 'mixed_industries', 'many_matches', 'false_positive_history'])) > 0 AS priority FROM (SELECT *, list_filter([
+          CASE WHEN relevance_level <> 'none' AND (sic_end - sic_start >= 100 OR official_titles >= 10) THEN 'broad_range' END,
+          CASE WHEN relevance_level <> 'none' AND industry_groups >= 2 THEN 'mixed_industries' END,
+          CASE WHEN jurisdiction_basis NOT IN ('rule_x_text', 'committee_published_text') THEN 'inferred_from_name' END,
+          CASE WHEN relevance_level = 'related' THEN 'related_level' END, CASE WHEN trades_matched >= 25 THEN 'many_matches' END,
+          CASE WHEN mapping_id IN (SELECT mapping_id FROM range_overlaps) THEN 'overlaps_other_committee' END,
+          CASE WHEN review_note LIKE 'Review history%' THEN 'false_positive_history' END], lambda f: f IS NOT NULL) AS flags FROM rowstats)""",
+}
+oracle("industry_relevance", """SELECT politician_id, sic_code, industry, status, reason, review_category, match_count, mapping_id, committee_code, subcommittee_code, relevance_level
+  FROM graded""", **RELEVANCE)
+oracle("seat_mapping_matches", "SELECT politician_id, sic_code, mapping_id FROM matches", **RELEVANCE)
+oracle("primary_match", "SELECT politician_id, sic_code, mapping_id, match_count FROM ranked WHERE place = 1", **RELEVANCE)
+oracle("relevance_report", """
+  SELECT 'status' AS measure, status AS item, sum(trades)::bigint AS trades FROM graded GROUP BY 2
+  UNION ALL SELECT 'review_category', review_category, sum(trades)::bigint FROM graded GROUP BY 2
+  UNION ALL SELECT 'unknown_reason', reason, sum(trades)::bigint FROM graded WHERE status = 'unknown' GROUP BY 2
+  UNION ALL SELECT 'best_level', relevance_level, sum(trades)::bigint FROM graded WHERE relevance_level IS NOT NULL GROUP BY 2
+  UNION ALL SELECT 'primary_committee', committee_code || coalesce('/' || subcommittee_code, ''), sum(trades)::bigint FROM graded WHERE mapping_id IS NOT NULL GROUP BY 2
+  UNION ALL SELECT 'sic_group', CASE WHEN sic_code::int BETWEEN 3480 AND 3489 OR sic_code::int BETWEEN 3720 AND 3769 OR sic_code::int IN (3795, 3812) THEN 'defense'
+      WHEN sic_code::int BETWEEN 6000 AND 6499 THEN 'finance' WHEN sic_code::int BETWEEN 2833 AND 2836 OR sic_code::int BETWEEN 3841 AND 3845 THEN 'healthcare'
+      WHEN sic_code::int BETWEEN 1200 AND 1399 OR sic_code::int = 2911 OR sic_code::int BETWEEN 4911 AND 4939 THEN 'energy'
+      WHEN sic_code::int BETWEEN 4011 AND 4599 OR sic_code::int = 3743 THEN 'transportation' END AS item, sum(trades)::bigint FROM graded WHERE status = 'relevant' GROUP BY 2 HAVING item IS NOT NULL
+  UNION ALL SELECT 'unmapped_committee', s.committee_code, sum(g.trades)::bigint FROM graded g
+    JOIN (SELECT DISTINCT politician_id, committee_code FROM seats WHERE committee_code NOT IN (SELECT committee_code FROM cm)) s USING (politician_id)
+    WHERE g.reason = 'unmapped_committees' GROUP BY 2""", **RELEVANCE)
+oracle("mapping_review_stats", """SELECT mapping_id, row_key, securities_matched, industry_groups, trades_matched, trades_primary, politicians_matched, example_tickers
+  FROM rowstats""", **RELEVANCE)
+oracle("security_descriptions", "SELECT mapping_id, sic_code, coalesce(industry, '') AS industry, count(*) AS securities FROM hits GROUP BY ALL", **RELEVANCE)
+oracle("mapping_overlaps", "SELECT * FROM range_overlaps", **RELEVANCE)
+oracle("scrutiny_flags", "SELECT mapping_id, array_to_string(flags, ',') AS flags, official_titles FROM flagged_rows", **RELEVANCE)
+oracle("review_summary", """SELECT count(*) AS mappings, count(*) FILTER (relevance_level = 'direct') AS direct, count(*) FILTER (relevance_level = 'related') AS related,
+  count(*) FILTER (relevance_level = 'none') AS none, count(*) FILTER (subcommittee_code IS NULL) AS committee_level, count(*) FILTER (subcommittee_code IS NOT NULL) AS subcommittee_level,
+  count(*) FILTER (explicit) AS explicit_jurisdiction, count(*) FILTER (jurisdiction_basis = 'subcommittee_name') AS inferred_subcommittee_name,
+  count(*) FILTER (jurisdiction_basis = 'committee_name') AS inferred_committee_name, count(*) FILTER (explicit AND relevance_level <> 'none') AS explicit_jurisdiction_non_none,
+  count(*) FILTER (review_status = 'needs_review') AS needs_review, count(*) FILTER (review_status = 'reviewed') AS reviewed, count(*) FILTER (len(flags) > 0) AS rows_flagged_for_scrutiny,
+  count(*) FILTER (priority) AS rows_with_a_priority_concern, count(*) FILTER (relevance_level <> 'none' AND securities_matched = 0) AS rows_matching_no_current_security,
+  count(*) FILTER (relevance_level <> 'none' AND trades_matched = 0) AS rows_matching_no_current_trade
+  FROM (SELECT *, jurisdiction_basis IN ('rule_x_text', 'committee_published_text') AS explicit FROM flagged_rows)""", **RELEVANCE)
+oracle("priority_rows", "SELECT row_key, relevance_level, trades_matched FROM flagged_rows WHERE priority", **RELEVANCE)
+oracle("top_mappings", "SELECT row_key, trades_matched, trades_primary FROM flagged_rows WHERE relevance_level <> 'none' ORDER BY trades_matched DESC, row_key LIMIT 20", **RELEVANCE)
+oracle("recommendation_gaps", """
+  SELECT * FROM (SELECT coalesce(r.row_key, p.row_key) AS row_key, action, CASE WHEN r.row_key IS NULL THEN 'missing recommendation' WHEN reason IS NULL THEN 'reason needed'
+      WHEN action = 'CHANGE' THEN 'unknown action' WHEN p.row_key IS NULL THEN 'not a selected row'
+      WHEN action = 'APPROVE DIRECT' AND p.relevance_level <> 'direct' THEN 'action needs a direct row'
+      WHEN action = 'KEEP RELATED' AND p.relevance_level <> 'related' THEN 'action needs a related row' END AS problem
+    FROM (SELECT row_key, CASE mapping_id % 3 WHEN 0 THEN 'APPROVE DIRECT' WHEN 1 THEN 'KEEP RELATED' ELSE 'CHANGE' END AS action,
+            CASE WHEN mapping_id <> 8 THEN 'read' END AS reason FROM flagged_rows WHERE trades_matched > 0) r
+    FULL JOIN (SELECT * FROM flagged_rows WHERE priority) p ON p.row_key = r.row_key) WHERE problem IS NOT NULL""", **RELEVANCE)
+oracle("mapping_sync", """SELECT m.mapping_id, m.mapping_version, m.sic_start, m.sic_end, c.trades FROM mappings m LEFT JOIN (
+    SELECT committee_code, count(*) AS trades FROM trades JOIN (SELECT DISTINCT politician_id, committee_code FROM seats) USING (politician_id) GROUP BY 1) c USING (committee_code)""")
+
+# --- seats over time -------------------------------------------------------------------------------------------------
+_COVERS = f"""coalesce(CASE s.temporal_precision WHEN 'congress' THEN s.congress_number = {congress('d.transaction_date')}
+    WHEN 'exact_date' THEN d.transaction_date BETWEEN s.start_date AND coalesce(s.end_date, s.verified_through) END, false)"""
+SEATS = {
+    "ordered_events": f"""SELECT *, {congress('date')} AS congress, row_number() OVER w AS i, lag(verb) OVER w AS prev, lead(verb) OVER w AS next, lead(date) OVER w AS next_date
+      FROM committee_events WINDOW w AS (PARTITION BY bioguide_id, committee_code, {congress('date')} ORDER BY date, (verb = 'removed')::int, seq)""",
+    "intervals": """SELECT e.bioguide_id, e.committee_code, e.congress, e.date AS start_date, e.next_date AS end_date, e.url, a.re_elections, a.orphan_removals,
+        a.re_elections = 0 AND a.orphan_removals = 0 AS history_complete
+      FROM (SELECT * REPLACE (CASE WHEN next = 'removed' THEN next_date END AS next_date) FROM ordered_events WHERE verb = 'elected' AND (next IS NULL OR next = 'removed')) e
+      JOIN (SELECT bioguide_id, committee_code, congress, count(*) FILTER (verb = 'elected' AND prev = 'elected') AS re_elections,
+              count(*) FILTER (verb = 'removed' AND coalesce(prev, 'removed') = 'removed') AS orphan_removals FROM ordered_events GROUP BY ALL) a
+        USING (bioguide_id, committee_code, congress)""",
+    "days": "SELECT DISTINCT politician_id, transaction_date FROM trades",
+    "seat_facts": f"""SELECT d.politician_id, d.transaction_date, s.*, {congress('d.transaction_date')} AS n, {_COVERS} AS covers,
+        s.temporal_precision IN ('exact_date', 'congress') AS dated,
+        max(CASE WHEN s.temporal_precision = 'current_snapshot' THEN s.congress_number END) OVER p AS snapshot,
+        bool_or(s.temporal_precision = 'exact_date' AND s.history_complete AND s.congress_number = {congress('d.transaction_date')}) OVER p AS scanned
+      FROM days d JOIN (SELECT politician_id AS pid, * EXCLUDE (politician_id) FROM seats) s ON s.pid = d.politician_id
+      WINDOW p AS (PARTITION BY d.politician_id, d.transaction_date)""",
+    "statuses": """SELECT politician_id, transaction_date, committee_code, CASE
+        WHEN count(*) FILTER (here) = 0 THEN CASE WHEN bool_or(scanned) AND max(snapshot) <> max(n) THEN 'contradicted' ELSE 'unknown' END
+        WHEN coalesce(bool_or(covers) FILTER (here AND temporal_precision = 'exact_date'), false) THEN 'verified'
+        WHEN bool_and((transaction_date < start_date OR coalesce(transaction_date > end_date, false)) AND coalesce(history_complete, false)) FILTER (here AND temporal_precision = 'exact_date') THEN 'contradicted'
+        WHEN count(*) FILTER (here AND temporal_precision = 'congress') > 0 THEN 'verified' ELSE 'unknown' END AS history_status
+      FROM (SELECT *, dated AND congress_number = n AND subcommittee_code IS NULL AS here FROM seat_facts) GROUP BY ALL""",
+    "seat_days": """SELECT f.*, history_status, history_status <> 'contradicted' AND (NOT dated OR covers) AS applies,
+        CASE WHEN dated OR (subcommittee_code IS NULL AND history_status = 'verified') THEN 'temporally_verified' ELSE 'current_assignment_only' END AS seat_status
+      FROM seat_facts f JOIN statuses USING (politician_id, transaction_date, committee_code)""",
+}
+oracle("seat_intervals", "SELECT * FROM intervals", **SEATS)
+oracle("seats_on_date", "SELECT politician_id, transaction_date, committee_code, temporal_precision FROM seat_facts WHERE covers", **SEATS)
+oracle("committee_history_status", "SELECT * FROM statuses", **SEATS)
+oracle("effective_seats", "SELECT politician_id, transaction_date, committee_code, subcommittee_code, temporal_precision, seat_status FROM seat_days WHERE applies", **SEATS)
+oracle("congress_numbers", f"SELECT {congress('o_orderdate::date')} AS congress, count(*) AS days FROM orders GROUP BY 1")
+oracle("sync_seat_history", f"""
+  SELECT politician_id, committee_code, subcommittee_code, temporal_precision, CASE WHEN temporal_precision = 'current_snapshot' THEN 107 ELSE congress_number END AS congress_number,
+    start_date, end_date, CASE WHEN temporal_precision = 'current_snapshot' THEN {_D} ELSE verified_through END AS verified_through, history_complete,
+    upper(committee_code[1]) || lower(committee_code[2:]) AS committee_name
+  FROM seats WHERE NOT (temporal_precision <> 'current_snapshot' AND congress_number = 104)
+  UNION ALL SELECT c_custkey, committee_code, NULL, 'exact_date', congress, start_date, end_date, NULL, history_complete, 'Committee ' || committee_code
+  FROM intervals JOIN customer ON bioguide_id = chr((65 + c_custkey % 26)::int) || lpad((c_custkey % 1000000)::varchar, 6, '0') WHERE congress = 104""", **SEATS)
+
+# --- context ---------------------------------------------------------------------------------------------------------
+CONTEXT = {
+    **SEATS, **EXCESS, **SIZES, **DELAY,
+    "cm": "SELECT *, 'x' AS k FROM current_mappings",
+    "ask": "SELECT DISTINCT t.politician_id, t.transaction_date, coalesce(t.ticker, '') AS ticker_key, s.sic_code, s.industry FROM trades t LEFT JOIN securities s USING (ticker)",
+    "day_facts": """SELECT politician_id, transaction_date, count(*) AS seats, count(*) FILTER (applies) AS applied,
+        bool_and(seat_status = 'temporally_verified') FILTER (applies) AS all_verified, bool_or(applies AND committee_code NOT IN (SELECT committee_code FROM cm)) AS unmapped
+      FROM seat_days GROUP BY ALL""",
+    "reach": """SELECT d.politician_id, d.transaction_date, m.mapping_id, bool_or(applies) AS applied, bool_or(applies AND seat_status = 'temporally_verified') AS verified,
+        bool_or(NOT dated) AS snapshot
+      FROM seat_days d JOIN cm m ON m.committee_code = d.committee_code AND (m.subcommittee_code IS NULL OR m.subcommittee_code = d.subcommittee_code)
+      WHERE m.relevance_level <> 'none' GROUP BY ALL""",
+    "found": """SELECT a.politician_id, a.transaction_date, a.ticker_key, m.mapping_id, m.subcommittee_code, m.relevance_level, m.review_status = 'reviewed' AS reviewed, r.applied, r.verified, r.snapshot
+      FROM ask a JOIN reach r USING (politician_id, transaction_date) JOIN cm m USING (mapping_id)
+      WHERE a.sic_code::int BETWEEN m.sic_start AND m.sic_end AND (m.industry_pattern IS NULL OR regexp_matches(a.industry, '(?i)' || m.industry_pattern))""",
+    "summed": """SELECT politician_id, transaction_date, ticker_key, count(*) FILTER (applied AND reviewed AND relevance_level = 'direct') AS direct,
+        count(*) FILTER (applied AND reviewed AND relevance_level = 'direct' AND verified) AS direct_verified,
+        count(*) FILTER (applied AND reviewed AND relevance_level <> 'direct') AS related, count(*) FILTER (snapshot AND reviewed AND relevance_level = 'direct') AS current_direct,
+        count(*) FILTER (applied AND NOT reviewed) AS pending FROM found GROUP BY ALL""",
+    "signals": """SELECT a.*, f.seats, f.applied, CASE WHEN a.sic_code IS NULL THEN 'no_sic' WHEN f.seats IS NULL THEN 'no_committee_assignments' WHEN coalesce(s.direct, 0) > 0 THEN 'direct_match'
+          WHEN f.applied < f.seats AND coalesce(s.current_direct, 0) > 0 THEN 'seat_not_held_on_transaction_date' WHEN f.applied = 0 THEN 'no_seat_on_transaction_date'
+          WHEN f.unmapped THEN 'unmapped_committees' ELSE 'no_reviewed_direct_match' END AS reason,
+        CASE WHEN reason = 'direct_match' THEN true WHEN reason IN ('no_sic', 'no_committee_assignments', 'unmapped_committees') THEN NULL ELSE false END AS relevance,
+        CASE WHEN f.seats IS NULL THEN 'unavailable' WHEN reason = 'direct_match' THEN CASE WHEN s.direct_verified > 0 THEN 'temporally_verified' ELSE 'current_assignment_only' END
+          WHEN reason = 'seat_not_held_on_transaction_date' THEN 'contradicted' WHEN reason = 'no_seat_on_transaction_date' OR f.all_verified THEN 'temporally_verified'
+          ELSE 'current_assignment_only' END AS timing,
+        coalesce(s.direct, 0) AS direct, coalesce(s.related, 0) AS related, CASE WHEN reason = 'seat_not_held_on_transaction_date' THEN s.current_direct ELSE 0 END AS rejected,
+        coalesce(s.pending, 0) AS pending
+      FROM ask a LEFT JOIN day_facts f USING (politician_id, transaction_date) LEFT JOIN summed s USING (politician_id, transaction_date, ticker_key)""",
+    "ctx": f"""SELECT z.id AS trade_id, z.politician_id, z.ticker, z.transaction_date, '{ContextConfig().version_label()}' AS context_version, '2001.1' AS mapping_version, s.relevance AS committee_relevance,
+        s.reason AS committee_relevance_reason, s.timing AS committee_temporal_status, s.reason = 'seat_not_held_on_transaction_date' AS committee_contradicted,
+        z.pct >= 90 AS trade_size_anomaly, z.pct2, z.value, z.basis, z.n, d.days, d.days > 45 AS disclosure_delay_signal, x.signal AS excess_return_signal, x.tx_excess_return AS excess_return,
+        x.performance_status, s.pending AS pending_review, s.ticker_key,
+        coalesce(trade_size_anomaly, false)::int + coalesce(disclosure_delay_signal, false)::int + coalesce(excess_return_signal, false)::int AS secondary_signal_count,
+        secondary_signal_count + coalesce(committee_relevance, false)::int AS signal_count, coalesce(committee_relevance, false) AND secondary_signal_count >= 2 AS meets_flag_rule,
+        meets_flag_rule AND committee_temporal_status = 'temporally_verified' AS flagged_for_contextual_review, meets_flag_rule AND NOT flagged_for_contextual_review AS pending_temporal
+      FROM rounded z JOIN signals s ON s.politician_id = z.politician_id AND s.transaction_date = z.transaction_date AND s.ticker_key = coalesce(z.ticker, '')
+      JOIN delays d ON d.id = z.id JOIN excesses x ON x.id = z.id""",
+    "evidence": f"""SELECT c.trade_id, 'committee_relevance' AS signal_type, 'mapping:' || f.mapping_id AS evidence_key,
+        CASE WHEN NOT f.applied OR c.committee_contradicted AND f.relevance_level = 'direct' THEN 'rejected_current_assignment' WHEN f.relevance_level = 'direct' THEN 'reviewed_direct_mapping' ELSE 'reviewed_related_mapping' END AS evidence_type,
+        NULL::bigint AS days, f.mapping_id, CASE WHEN f.verified THEN 'temporally verified' ELSE 'current assignment only' END AS timing
+      FROM ctx c JOIN found f USING (politician_id, transaction_date, ticker_key)
+      WHERE f.reviewed AND (f.applied OR (c.committee_contradicted AND f.snapshot AND f.relevance_level = 'direct'))
+      UNION ALL SELECT trade_id, 'trade_size_anomaly', 'metric', 'metric', NULL, NULL, NULL FROM ctx WHERE value IS NOT NULL
+      UNION ALL SELECT trade_id, 'disclosure_delay_signal', 'metric', 'metric', days, NULL, NULL FROM ctx WHERE days IS NOT NULL
+      UNION ALL SELECT trade_id, 'excess_return_signal', 'metric', 'metric', NULL, NULL, NULL FROM ctx WHERE excess_return IS NOT NULL""",
+    "explained": """SELECT split_part(trade_id, '-', 1)::bigint AS explanation_id, trade_id, explanation_id % 5 <> 0 AND explanation_id % 3 <> 0 AS fresh FROM ctx""",
+}
+oracle("committee_signal", """SELECT politician_id, transaction_date, ticker_key, relevance AS committee_relevance, reason AS committee_relevance_reason, timing AS committee_temporal_status,
+  direct, related, rejected, pending AS pending_review FROM signals""", **CONTEXT)
+_CONTEXT_COLUMNS = """trade_id, context_version, mapping_version, committee_relevance, committee_relevance_reason, committee_temporal_status, committee_contradicted, trade_size_anomaly,
+  disclosure_delay_signal, excess_return_signal, signal_count, secondary_signal_count, meets_flag_rule, flagged_for_contextual_review, pending_temporal, pending_review"""
+oracle("context_flags", f"SELECT {_CONTEXT_COLUMNS} FROM ctx", **CONTEXT)
+oracle("context_flags_custom", """SELECT trade_id, committee_relevance IS TRUE AND k >= 1 AS meets_flag_rule, committee_relevance IS TRUE AND k >= 1 AS flagged_for_contextual_review, k AS secondary_signal_count
+  FROM (SELECT c.trade_id, c.committee_relevance, coalesce(CASE WHEN z.value IS NOT NULL AND z.n >= 5 THEN (less + 0.5::double * same) / h.n * 100 END >= 90, false)::int
+          + coalesce(c.days > 60, false)::int + coalesce(c.excess_return_signal, false)::int AS k
+        FROM ctx c JOIN size_signals z ON z.id = c.trade_id LEFT JOIN history h ON h.id = c.trade_id)""", **CONTEXT)
+
+
+def _tri(name):
+    return f"SELECT '{name}' AS measure, CASE WHEN {name} THEN 'true' WHEN NOT {name} THEN 'false' ELSE 'unknown' END AS item, count(*) AS trades FROM ctx GROUP BY 2"
+
+
+def _level(name, sub, verified):
+    test = f"subcommittee_code IS {'NOT ' if sub else ''}NULL" + (" AND verified" if verified else "")
+    return f"""SELECT '{name}', 'trades', count(*) FROM ctx c WHERE committee_relevance AND EXISTS (SELECT 1 FROM found f WHERE f.politician_id = c.politician_id
+      AND f.transaction_date = c.transaction_date AND f.ticker_key = c.ticker_key AND applied AND reviewed AND relevance_level = 'direct' AND {test}) HAVING count(*) > 0"""
+
+
+oracle("context_summary", " UNION ALL ".join([
+    *[_tri(n) for n in ("committee_relevance", "trade_size_anomaly", "disclosure_delay_signal", "excess_return_signal")],
+    "SELECT 'evaluated', 'trades', count(*) FROM ctx",
+    "SELECT 'secondary_signals', secondary_signal_count::varchar, count(*) FROM ctx GROUP BY 2",
+    "SELECT 'secondary_signals_committee', secondary_signal_count::varchar, count(*) FROM ctx WHERE committee_relevance GROUP BY 2",
+    "SELECT 'temporal_status', committee_temporal_status, count(*) FROM ctx GROUP BY 2",
+    "SELECT 'temporal_status_committee', committee_temporal_status, count(*) FROM ctx WHERE committee_relevance GROUP BY 2",
+    "SELECT 'committee_unknown_reason', committee_relevance_reason, count(*) FROM ctx WHERE committee_relevance IS NULL GROUP BY 2",
+    *[f"SELECT 'flag', '{item}', count(*) FROM ctx WHERE {c} HAVING count(*) > 0" for item, c in (
+        ("meets_rule", "meets_flag_rule"), ("flagged", "flagged_for_contextual_review"), ("pending_temporal", "pending_temporal"))],
+    "SELECT 'contradicted', 'trades', count(*) FROM ctx WHERE committee_contradicted HAVING count(*) > 0",
+    "SELECT 'needs_review_ignored', 'trades', count(*) FROM ctx WHERE pending_review > 0 HAVING count(*) > 0",
+    _level("committee_level", False, False), _level("committee_level_verified", False, True),
+    _level("subcommittee_level", True, False), _level("subcommittee_level_verified", True, True),
+    """SELECT 'subcommittee_only', 'trades', count(*) FROM ctx c WHERE committee_relevance AND NOT EXISTS (SELECT 1 FROM found f WHERE f.politician_id = c.politician_id
+      AND f.transaction_date = c.transaction_date AND f.ticker_key = c.ticker_key AND applied AND reviewed AND relevance_level = 'direct' AND subcommittee_code IS NULL) HAVING count(*) > 0""",
+    "SELECT 'flagged_distinct', 'politicians', count(DISTINCT politician_id) FROM ctx WHERE flagged_for_contextual_review",
+    "SELECT 'flagged_distinct', 'tickers', count(DISTINCT ticker) FROM ctx WHERE flagged_for_contextual_review",
+]), **CONTEXT)
+oracle("context_evidence", """SELECT signal_type, evidence_type, evidence_key, count(*) AS rows, sum(days)::bigint AS days, min(trade_id) AS first_trade, max(trade_id) AS last_trade
+  FROM evidence GROUP BY ALL""", **CONTEXT)
+oracle("context_evidence_text", """
+  SELECT trade_id, evidence_key, evidence_type, CASE signal_type WHEN 'disclosure_delay_signal' THEN 'Disclosed ' || days || ' days after the transaction (the signal marks a delay of more than 45 days; filing circumstances are not known).'
+    ELSE CASE evidence_type WHEN 'reviewed_direct_mapping' THEN 'Direct' WHEN 'reviewed_related_mapping' THEN 'Related (supporting context only)'
+        ELSE 'Rejected: a current seat would match, but official House records show it was not held on the transaction date' END
+      || ': ' || m.committee_name || coalesce(' / ' || m.subcommittee_name, '') || ', SIC ' || lpad(m.sic_start::varchar, 4, '0') || '-' || lpad(m.sic_end::varchar, 4, '0') || '. Jurisdiction row ' || mapping_id || '.'
+      || CASE WHEN evidence_type = 'rejected_current_assignment' THEN '' ELSE ' Seat timing: ' || timing || '.' END END AS description
+  FROM evidence LEFT JOIN cm m USING (mapping_id) WHERE signal_type IN ('committee_relevance', 'disclosure_delay_signal')""", **CONTEXT)
+oracle("context_merge", """SELECT CASE WHEN transaction_date > DATE '2000-06-30' THEN 'inserted' WHEN trade_size_anomaly THEN 'updated' ELSE 'unchanged' END AS action, count(*) AS rows
+  FROM ctx GROUP BY 1""", **CONTEXT)
+oracle("fresh_explanations", "SELECT trade_id, explanation_id, 'Trade ' || trade_id AS headline FROM explained WHERE fresh", **CONTEXT)
+oracle("trade_list_page", """SELECT id, politician_name, disclosure_date FROM trades WHERE chamber = 'house' AND transaction_type = 'buy' AND transaction_date >= DATE '1998-01-01'
+  ORDER BY disclosure_date DESC NULLS LAST, id DESC LIMIT 500 OFFSET 100""")
+oracle("trade_list_flagged", "SELECT trade_id AS id, ticker, transaction_date FROM ctx WHERE flagged_for_contextual_review", **CONTEXT)
+oracle("trade_page_nulls_last", "SELECT id, ticker, amount_min FROM trades ORDER BY ticker DESC NULLS LAST, id DESC LIMIT 500")
+oracle("politician_list", "SELECT id, name FROM politicians WHERE chamber = 'senate' AND name ILIKE '%marie%'")
+
+SCREEN = {
+    **CONTEXT,
+    "screen": """SELECT t.*, c.* EXCLUDE (politician_id, ticker, transaction_date, ticker_key), e.fresh, p.district, s.company_name, s.name AS security_name, s.industry, s.sector,
+        EXISTS (SELECT 1 FROM evidence v WHERE v.trade_id = t.id AND evidence_type = 'reviewed_related_mapping') AS has_related,
+        EXISTS (SELECT 1 FROM evidence v JOIN cm m USING (mapping_id) WHERE v.trade_id = t.id AND evidence_type <> 'rejected_current_assignment' AND
+          (m.committee_code = 'MACHINERY' OR m.subcommittee_code = 'MACHINERY1')) AS machinery
+      FROM trades t JOIN ctx c ON c.trade_id = t.id JOIN explained e ON e.trade_id = t.id LEFT JOIN politicians p ON p.id = t.politician_id LEFT JOIN securities s ON s.ticker = t.ticker""",
+}
+_FILTERS = {
+    "dimensions": "politician_name ILIKE '%marie%' AND chamber = 'house' AND party = 'R' AND (asset_name ILIKE '%ring%' OR company_name ILIKE '%ring%' OR security_name ILIKE '%ring%') "
+                  "AND (industry ILIKE '%ndustr%' OR sector ILIKE '%ndustr%') AND transaction_type IN ('buy', 'sell')",
+    "numbers": "transaction_date BETWEEN DATE '1996-01-01' AND DATE '2000-12-31' AND amount_min >= 15001 AND days >= 30 AND abs(excess_return * 100) + 1e-7 >= 10 AND pct2 <= 95",
+    "context": "committee_relevance AND machinery AND (committee_relevance AND committee_temporal_status = 'temporally_verified')::int + secondary_signal_count >= 2",
+    "unknowns": "committee_relevance IS NULL AND NOT flagged_for_contextual_review AND NOT fresh",
+    "exclusions": "district = '3' AND ticker ILIKE '%rand#1%' AND disclosure_date >= DATE '1997-01-01' AND amount_max <= 50000 AND state = 'SD' AND fresh",
+}
+oracle("screen_counts", " UNION ALL ".join(
+    f"""SELECT '{n}' AS filters, count(*) AS total, count(*) FILTER (flagged_for_contextual_review) AS custom_match_count,
+      count(*) FILTER (flagged_for_contextual_review) AS canonical_flag_count FROM screen WHERE {w}""" for n, w in _FILTERS.items()), **SCREEN)
+
+
+def _rule(name, committee, size, delay, excess, need, required=True):
+    oracle(name, f"""SELECT id, committee_active, size_active, delay_active, excess_active, active_count, matches, matches <> flagged_for_contextual_review AS differs_from_canonical
+      FROM (SELECT id, flagged_for_contextual_review, {committee} AS committee_active, coalesce({size}, false) AS size_active, coalesce({delay}, false) AS delay_active,
+          coalesce({excess}, false) AS excess_active, size_active::int + delay_active::int + excess_active::int AS k, k + {'committee_active::int' if required else '0'} AS active_count,
+          {'committee_active AND ' if required else ''} k >= {need} AS matches FROM screen)""", **SCREEN)
+
+
+_VERIFIED = "committee_relevance IS TRUE AND committee_temporal_status = 'temporally_verified'"
+_rule("screen_rule_balanced", _VERIFIED, "trade_size_anomaly", "disclosure_delay_signal", "excess_return_signal", 2)
+_rule("screen_rule_market", _VERIFIED, "trade_size_anomaly", "disclosure_delay_signal", "excess_return_signal", 2, False)
+_rule("screen_rule_strict", _VERIFIED, "pct2 >= 95", "days > 60", "performance_status = 'ok' AND abs(excess_return) * 100 + 1e-7 >= 25", 3)
+_rule("screen_rule_related", "(committee_relevance IS TRUE OR has_related)", "pct2 >= 75", "days > 30", "performance_status = 'ok' AND abs(excess_return) * 100 + 1e-7 >= 10", 1)
+oracle("screen_page", f"""SELECT id, politician_name, {_VERIFIED} AS matches, ({_VERIFIED})::int + secondary_signal_count AS active_count FROM screen WHERE {_FILTERS['numbers']}
+  ORDER BY politician_name NULLS LAST, id DESC LIMIT 200 OFFSET 20""", **SCREEN)

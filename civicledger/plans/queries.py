@@ -4,11 +4,16 @@ from pyspark.sql import functions as F
 
 from ..functions import rules as R
 from ..functions import text as X
-from ..operators import asof, dashboards as D, ingest as I, performance as P, prices as B, screen as S, signals as G
+from ..operators import asof, audit as A, context as C, dashboards as D, history as H, ingest as I, performance as P
+from ..operators import prices as B, relevance as V, resolve as E, screen as S, signals as G
 from ..operators.ordered import newest_per
 from ..sources.bars import normalize_bars
 from ..sources.disclosures import normalize_disclosures
-from .tables import BENCHMARK, NOW, TODAY, Tables
+from ..sources.resolutions import committee_events, listed_names, parse_resolutions
+from ..sources.reviewed import load_overrides, sync_mappings
+from ..sources.roster import normalize_members
+from ..session import stored
+from .tables import BENCHMARK, CONGRESS, NOW, TODAY, Tables, official_id
 
 QUERIES = {}
 
@@ -62,9 +67,8 @@ def fixed_horizon_excess(t):
 
 @query
 def security_performance(t):
-    upper = F.upper("ticker")
-    p = P.security_performance(t.trades.withColumn("ticker", upper), t.bars.withColumn("ticker", upper), t.benchmark, "BRAND#14", TODAY)
-    return p.select("id", "status", F.col("transaction.return").alias("return"), F.col("transaction.excess_return").alias("excess_return"))
+    p = P.security_performance(t.trades, t.bars, t.benchmark, TODAY)
+    return p.select("id", "ticker", "status", F.col("transaction.return").alias("return"), F.col("transaction.excess_return").alias("excess_return"))
 
 
 @query
@@ -244,12 +248,12 @@ def group_sizes(t):
 
 @query
 def politician_breakdown_months(t):
-    return D.politician_breakdown(t.trades, 7)[0]
+    return D.politician_breakdown(t.trades)[0]
 
 
 @query
 def politician_breakdown_tickers(t):
-    return D.politician_breakdown(t.trades, 7)[1]
+    return D.politician_breakdown(t.trades)[1]
 
 
 @query
@@ -260,7 +264,7 @@ def newest_per_security(t):
 
 @query
 def price_slice(t):
-    return D.price_slice(t.bars.withColumn("ticker", F.upper("ticker")), "brand#4", "1997-01-01", "1999-12-31").select("ticker", "date", "close", "adj_close")
+    return D.price_slice(t.bars, start="1997-01-01", end="1999-12-31").select("ticker", "date", "close", "adj_close")
 
 
 @query
@@ -393,3 +397,312 @@ def price_range_replace(t):
 @query
 def price_coverage(t):
     return _applied(t)[1].select("ticker", "price_status", "price_from", "price_to", "price_checked_at")
+
+
+# --- relevance -------------------------------------------------------------------------------------------------------
+
+def _subjects(t):
+    described, subjects = V.trade_subjects(t.trades, t.securities)
+    return subjects.drop("trades")
+
+
+def _mappings(t):
+    return V.current_version(t.mappings)
+
+
+@query
+def industry_relevance(t):
+    out = V.industry_relevance(_subjects(t), t.seats, _mappings(t), ["subject"])
+    return out.drop("subject")
+
+
+@query
+def seat_mapping_matches(t):
+    found = V.seat_mapping_matches(_subjects(t), t.seats, _mappings(t), ["subject", "sic_code"])
+    return found.select("politician_id", "sic_code", "mapping_id")
+
+
+@query
+def primary_match(t):
+    found = V.seat_mapping_matches(_subjects(t), t.seats, _mappings(t), ["subject", "politician_id", "sic_code"])
+    best = V.primary_match(found, ["subject", "politician_id", "sic_code"])
+    return best.select("politician_id", "sic_code", "mapping_id", "match_count")
+
+
+@query
+def relevance_report(t):
+    return V.relevance_report(t.trades, t.securities, t.seats, _mappings(t))
+
+
+def _stats(t):
+    stats = V.mapping_review_stats(_mappings(t), t.trades, t.seats, t.securities)
+    titles = t.securities.filter("sic_code IS NOT NULL").select("sic_code").distinct()
+    return V.scrutiny_flags(V.with_titles(stats, titles))
+
+
+@query
+def mapping_review_stats(t):
+    return V.mapping_review_stats(_mappings(t), t.trades, t.seats, t.securities).select(
+        "mapping_id", "row_key", "securities_matched", "industry_groups", "trades_matched", "trades_primary", "politicians_matched",
+        F.array_join("example_tickers", ",").alias("example_tickers"))
+
+
+@query
+def security_descriptions(t):
+    return V.security_descriptions(_mappings(t), t.trades, t.securities)
+
+
+@query
+def mapping_overlaps(t):
+    return V.mapping_overlaps(_mappings(t))
+
+
+@query
+def scrutiny_flags(t):
+    return _stats(t).select("mapping_id", F.array_join("flags", ",").alias("flags"), "official_titles")
+
+
+@query
+def review_summary(t):
+    return V.review_summary(_stats(t))
+
+
+@query
+def priority_rows(t):
+    return V.priority_rows(_stats(t)).select("row_key", "relevance_level", "trades_matched")
+
+
+@query
+def top_mappings(t):
+    return V.top_mappings(_stats(t)).select("row_key", "trades_matched", "trades_primary")
+
+
+@query
+def recommendation_gaps(t):
+    """Recommendations written for the rows that match trades, checked against the priority rows."""
+    stats = _stats(t)
+    recs = stats.filter("trades_matched > 0").select(
+        "row_key", F.when(F.col("mapping_id") % 3 == 0, "APPROVE DIRECT").when(F.col("mapping_id") % 3 == 1, "KEEP RELATED")
+        .otherwise("CHANGE").alias("action"), F.when(F.col("mapping_id") != 8, "read").alias("reason"))
+    return V.recommendation_gaps(V.priority_rows(stats), recs)
+
+
+@query
+def mapping_sync(t):
+    """Loading the current mapping file over the stored versions, from its untyped form."""
+    raw = _mappings(t).withColumns({c: F.lpad(F.col(c).cast("string"), 4, "0") for c in ("sic_start", "sic_end")}).withColumn(
+        "reviewed_at", F.col("reviewed_at").cast("string"))
+    rows, violations = sync_mappings(raw, t.mappings)
+    matched = t.trades.join(t.seats.select("politician_id", "committee_code").distinct(), "politician_id").groupBy("committee_code").agg(
+        F.count("*").alias("trades"))
+    return rows.join(matched, "committee_code", "left").select("mapping_id", "mapping_version", "sic_start", "sic_end", "trades").unionByName(
+        violations.select("mapping_id", F.col("problem").alias("mapping_version")), allowMissingColumns=True)
+
+
+# --- seats over time -------------------------------------------------------------------------------------------------
+
+@query
+def seat_intervals(t):
+    return H.seat_intervals(t.events).select(
+        "bioguide_id", "committee_code", "congress", "start_date", "end_date", "url", "history_complete", "re_elections", "orphan_removals")
+
+
+@query
+def seats_on_date(t):
+    return H.seats_on_date(t.trades, t.seats).select("politician_id", "transaction_date", "committee_code", "temporal_precision")
+
+
+@query
+def committee_history_status(t):
+    return H.committee_history_status(t.trades, t.seats)
+
+
+@query
+def effective_seats(t):
+    return H.effective_seats(t.trades, t.seats).select(
+        "politician_id", "transaction_date", "committee_code", "subcommittee_code", "temporal_precision", "seat_status")
+
+
+@query
+def congress_numbers(t):
+    return t.source("orders").groupBy(R.congress_of(F.to_date("o_orderdate")).alias("congress")).agg(F.count("*").alias("days"))
+
+
+@query
+def sync_seat_history(t):
+    """Seats after the dated seats of one Congress were rebuilt from the events and the snapshot was annotated."""
+    people = t.politicians.select("id", official_id(F.col("id")).alias("bioguide_id"))
+    committees = t.events.select("committee_code", F.concat(F.lit("Committee "), "committee_code").alias("committee_name")).distinct()
+    out = H.sync_seat_history(H.seat_intervals(t.events), people, t.seats, committees, 104, TODAY, CONGRESS)
+    return out.select("politician_id", "committee_code", "subcommittee_code", "temporal_precision", "congress_number", "start_date",
+                      "end_date", "verified_through", "history_complete", "committee_name")
+
+
+# --- context ---------------------------------------------------------------------------------------------------------
+
+def _context(t, cfg=C.ContextConfig(), **selectors):
+    return C.analyze(t, cfg, TODAY, **selectors)
+
+
+CONTEXT_COLUMNS = [
+    "trade_id", "context_version", "mapping_version", "committee_relevance", "committee_relevance_reason", "committee_temporal_status",
+    "committee_contradicted", "trade_size_anomaly", "disclosure_delay_signal", "excess_return_signal", "signal_count",
+    "secondary_signal_count", "meets_flag_rule", "flagged_for_contextual_review", "pending_temporal", "pending_review",
+]
+
+
+@query
+def committee_signal(t):
+    out = C.committee_signal(t.trades, t.seats, _mappings(t), t.securities)
+    return out.select("politician_id", "transaction_date", "ticker_key", "committee_relevance", "committee_relevance_reason",
+                      "committee_temporal_status", F.size("direct").alias("direct"), F.size("related").alias("related"),
+                      F.size("rejected").alias("rejected"), "pending_review")
+
+
+@query
+def context_flags(t):
+    return _context(t).select(*CONTEXT_COLUMNS)
+
+
+@query
+def context_flags_custom(t):
+    """A what-if run: longer delay, shorter history, one secondary signal, no temporal gate."""
+    cfg = C.ContextConfig(delay_days=60, min_history=5, min_secondary_signals=1, require_temporal_verification=False)
+    return _context(t, cfg).select("trade_id", "flagged_for_contextual_review", "meets_flag_rule", "secondary_signal_count")
+
+
+@query
+def context_summary(t):
+    return C.context_summary(stored(_context(t), "trade_context"))
+
+
+@query
+def context_evidence(t):
+    """Evidence rows by kind, with the numbers behind the metric rows."""
+    e = C.context_evidence(stored(_context(t), "trade_context"), t.mappings)
+    days = F.get_json_object("metadata", "$.days").cast("long")
+    return e.groupBy("signal_type", "evidence_type", "evidence_key").agg(
+        F.count("*").alias("rows"), F.sum(days).alias("days"), F.min("trade_id").alias("first_trade"), F.max("trade_id").alias("last_trade"))
+
+
+@query
+def context_evidence_text(t):
+    e = C.context_evidence(stored(_context(t), "trade_context"), t.mappings)
+    return e.filter("signal_type IN ('committee_relevance', 'disclosure_delay_signal')").select(
+        "trade_id", "evidence_key", "evidence_type", "description")
+
+
+@query
+def context_merge(t):
+    """A default run written over the rows an earlier, stricter reading left: which rows change."""
+    new = stored(_context(t), "trade_context")
+    earlier = new.filter("transaction_date <= DATE '2000-06-30'").withColumn("result_digest", F.when(
+        F.col("trade_size_anomaly"), F.lit("older")).otherwise(F.col("result_digest")))
+    return C.merge_context(new, earlier).groupBy("action").agg(F.count("*").alias("rows"))
+
+
+def _screen_tables(t):
+    """A screen reads the stored context; it never analyses anything itself."""
+    context = stored(_context(t), "trade_context")
+    return S.ScreenTables(t.trades, context, C.context_evidence(context, t.mappings), t.politicians, t.securities, t.mappings,
+                          _explanations(context))
+
+
+def _explanations(context):
+    """Stored explanations: written for the current context, for an outdated one, and under an older prompt."""
+    words = F.filter(F.split("trade_id", "-"), lambda w: w != "")
+    n = F.get(words, F.lit(0)).cast("long")
+    return context.select(
+        n.alias("id"), "trade_id", "context_version", "mapping_version",
+        F.when(n % 5 == 0, "2").otherwise("3").alias("prompt_version"),
+        F.when(n % 3 == 0, "outdated").otherwise(F.col("result_digest")).alias("context_digest"),
+        F.concat(F.lit("Trade "), "trade_id").alias("headline"), F.col("transaction_date").alias("created_at"))
+
+
+@query
+def fresh_explanations(t):
+    context = stored(_context(t), "trade_context")
+    return D.fresh_explanations(_explanations(context), context).select("trade_id", "explanation_id", "headline")
+
+
+@query
+def trade_list_page(t):
+    return S.page(S.filter_trades(t.trades, chamber="house", transaction_type="buy", date_from="1998-01-01"), limit=500, offset=100).select(
+        "id", "politician_name", "disclosure_date")
+
+
+@query
+def trade_list_flagged(t):
+    return S.filter_trades(t.trades, _context(t), flagged=True).select("id", "ticker", "transaction_date")
+
+
+@query
+def trade_page_nulls_last(t):
+    return S.page(t.trades, "ticker", "desc", limit=500).select("id", "ticker", "amount_min")
+
+
+@query
+def politician_list(t):
+    return S.list_politicians(t.politicians, "senate", "marie").select("id", "name")
+
+
+FILTER_SETS = {
+    "dimensions": [("politician", "contains", "marie"), ("chamber", "is", "house"), ("party", "is", "r"), ("company", "contains", "ring"),
+                   ("industry", "contains", "ndustr"), ("transaction_type", "in", ["buy", "sell"])],
+    "numbers": [("transaction_date", "between", ["1996-01-01", "2000-12-31"]), ("value", "gte", 15001), ("disclosure_delay", "gte", 30),
+                ("excess_return", "abs_gte", 10), ("trade_size_percentile", "lte", 95)],
+    "context": [("committee_relevance", "is", "yes"), ("committee_name", "contains", "machinery"), ("active_signals", "gte", 2)],
+    "unknowns": [("committee_relevance", "is", "unknown"), ("review_status", "is", "not_flagged"), ("custom_screen", "is", "no_match"),
+                 ("ai_context", "is", "unavailable")],
+    "exclusions": [("district", "is", "3"), ("ticker", "contains", "rand#1"), ("disclosure_date", "gte", "1997-01-01"),
+                   ("value", "lte", 50000), ("state", "is", "sd"), ("ai_context", "is", "available")],
+}
+
+
+def filters_of(name):
+    return S.parse_filters([{"field": f, "op": op, "value": v} for f, op, v in FILTER_SETS[name]])
+
+
+@query
+def screen_counts(t):
+    """Totals of every filter set under the canonical rule."""
+    tables = _screen_tables(t)
+    out = None
+    for name in FILTER_SETS:
+        counts = S.screen_counts(S.screened(tables, S.PRESETS["balanced"], filters_of(name))).withColumn("filters", F.lit(name))
+        out = counts if out is None else out.unionByName(counts)
+    return out
+
+
+def _rule_rows(t, rule, filters=()):
+    return S.screened(_screen_tables(t), rule, filters).select(
+        "id", "committee_active", "size_active", "delay_active", "excess_active", "active_count", "matches", "differs_from_canonical")
+
+
+@query
+def screen_rule_balanced(t):
+    return _rule_rows(t, S.PRESETS["balanced"])
+
+
+@query
+def screen_rule_strict(t):
+    return _rule_rows(t, S.PRESETS["strict"])
+
+
+@query
+def screen_rule_related(t):
+    """Related mappings count too, timing does not matter, and the thresholds are the reader's own."""
+    return _rule_rows(t, S.ContextRule(
+        reviewed_direct_only=False, require_temporal_verification=False, trade_size_percentile_threshold=75,
+        disclosure_delay_threshold_days=30, excess_return_threshold_pct_points=10, minimum_secondary_signals=1))
+
+
+@query
+def screen_rule_market(t):
+    return _rule_rows(t, S.PRESETS["market_focus"])
+
+
+@query
+def screen_page(t):
+    rows, _ = S.screen(_screen_tables(t), S.PRESETS["committee_focus"], filters_of("numbers"), "politician_name", "asc", 200, 20)
+    return rows.select("id", "politician_name", "matches", "active_count")

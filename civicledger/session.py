@@ -1,6 +1,7 @@
 """Session settings the jobs are written for, and where they may put intermediate tables."""
 
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -38,3 +39,14 @@ def work_dir(spark):
     folder = tempfile.mkdtemp(prefix="civicledger-")
     spark.conf.set("spark.checkpoint.dir", folder)
     return folder
+
+
+def stored(df, name):
+    """Write a result once to the shared folder and read it back: the plan behind it ends there.
+
+    Later steps start from files any executor can read again, so a lost executor repeats none of the work before.
+    """
+    spark = df.sparkSession
+    path = f"{work_dir(spark)}/civicledger/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
