@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from ..functions.rules import is_true, sic_number
+from ..functions.rules import is_true, sic_number, spread_null
 from .history import seat_days
-from .relevance import current_version, mapping_rank, seat_mappings, subject_matches
+from .relevance import current_version, mapping_rank, seat_mappings, usable_mappings
 from .signals import excess_signal, secondary_count, size_signal, with_delay_signal
 
 
@@ -33,96 +33,111 @@ class ContextConfig:
         return f"{K.ENGINE_VERSION}+custom-{hashlib.sha256(settings.encode()).hexdigest()[:6]}"
 
 
-KEY = ["politician_id", "transaction_date", "ticker_key"]
 DAY = ["politician_id", "transaction_date"]
 
 
-def committee_signal(trades: DataFrame, seats: DataFrame, mappings: DataFrame, securities: DataFrame) -> DataFrame:
-    """Committee relevance for every distinct (politician, day, ticker) of the trades.
+def with_security(trades: DataFrame, securities: DataFrame) -> DataFrame:
+    """Trades with the industry of their security; unlisted trades are dealt over the partitions of the join."""
+    profile = securities.select(F.col("ticker").alias("_ticker"), "sic_code", "industry")
+    return trades.withColumn("_ticker", spread_null("ticker", F.struct(*DAY))).join(profile, "_ticker", "left").drop("_ticker")
+
+
+def committee_days(days: DataFrame, seats: DataFrame, mappings: DataFrame) -> DataFrame:
+    """One row per politician and day: how the seats stand and the mappings they bring into play.
 
-    The answer depends on nothing else, so it is worked out on the distinct subjects and joined back by the caller.
     Seats that applied that day and today's snapshot seats are followed in the same pass: the snapshot only matters
-    where the record shows that a seat was not held.
+    where the record shows that a seat was not held. The list of a day is at most as long as the mapping file.
     """
-    subjects = (
-        trades.select(*DAY, "ticker").distinct()
-        .join(securities.select("ticker", "sic_code", "industry"), "ticker", "left")
-        .withColumn("ticker_key", F.coalesce("ticker", F.lit("")))
-    )
-    day_seats = seat_days(subjects, seats)
-    verified = F.col("seat_status") == K.TEMPORALLY_VERIFIED
+    stands = seat_days(days, seats)
+    verified = is_true(F.col("seat_status") == K.TEMPORALLY_VERIFIED)
     mapped = mappings.select("committee_code").distinct().withColumn("_mapped", F.lit(True))
-    facts = day_seats.join(mapped, "committee_code", "left").groupBy(*DAY).agg(
+    facts = stands.join(mapped, "committee_code", "left").groupBy(*DAY).agg(
         F.count("*").alias("seats"),
         F.count_if("applies").alias("seats_applied"),
         F.bool_and(F.when(F.col("applies"), verified)).alias("all_verified"),
         F.bool_or(F.col("applies") & F.col("_mapped").isNull()).alias("any_unmapped"),
     )
-    reach = seat_mappings(
-        day_seats.filter(F.col("applies") | F.col("is_snapshot")), mappings, DAY,
-        {"applied": F.col("applies"), "verified": is_true(verified), "snapshot": F.col("is_snapshot")},
-    )
-    matches = subject_matches(subjects, reach, KEY, DAY)
     text_hash = F.xxhash64(*[c for c in mappings.columns if c in (
         "rationale", "source_url", "source_citation", "sic_start", "sic_end", "jurisdiction_basis", "mapping_id")])
-    item = F.struct(
-        *mapping_rank(), "mapping_id",
-        F.when(F.col("verified"), K.TEMPORALLY_VERIFIED).otherwise(K.CURRENT_ASSIGNMENT_ONLY).alias("status"),
-        text_hash.alias("text_hash"))
-    reviewed, direct = F.col("is_reviewed"), F.col("relevance_level") == "direct"
-
-    def gathered(condition, name):
-        return F.array_sort(F.collect_list(F.when(condition, item))).alias(name)
-
-    # one list per subject, at most as long as the mapping file
-    found = matches.groupBy(*KEY).agg(
-        gathered(F.col("applied") & reviewed & direct, "direct"),
-        gathered(F.col("applied") & reviewed & ~direct, "related"),
-        gathered(F.col("snapshot") & reviewed & direct, "current_direct"),
-        F.count_if(F.col("applied") & ~reviewed).alias("pending_review"),
+    described = usable_mappings(mappings).select(
+        "mapping_id", F.struct(
+            *mapping_rank(), "mapping_id", "sic_start", "sic_end", "industry_pattern",
+            F.col("is_reviewed").alias("reviewed"), (F.col("relevance_level") == "direct").alias("is_direct"),
+            text_hash.alias("text_hash")).alias("m"))
+    reach = (
+        seat_mappings(stands.filter(F.col("applies") | F.col("is_snapshot")), mappings, DAY,
+                      {"applied": F.col("applies"), "verified": verified, "snapshot": F.col("is_snapshot")})
+        .join(described, "mapping_id")
+        .groupBy(*DAY).agg(F.collect_list(F.struct("m.*", "applied", "verified", "snapshot")).alias("reach"))
     )
-    joined = subjects.join(facts, DAY, "left").join(found, KEY, "left")
-    no_sic = sic_number("sic_code").isNull()
-    unseated = F.col("seats").isNull()
-    has_direct = F.coalesce(F.size("direct"), F.lit(0)) > 0
+    return facts.join(reach, DAY, "left")
+
+
+def with_committee_signal(trades: DataFrame, seats: DataFrame, mappings: DataFrame) -> DataFrame:
+    """Adds committee relevance to trades that carry sic_code and industry.
+
+    The seats and mappings of a (politician, day) are worked out once and meet the trades in one equi-join on both;
+    the industry is then tested within the row.
+    """
+    days = committee_days(trades, seats, mappings)
+    sic = sic_number("sic_code")
+    fits = lambda m: (
+        F.col("_sic").between(m["sic_start"], m["sic_end"])
+        & (m["industry_pattern"].isNull() | is_true(F.rlike(F.col("industry"), F.concat(F.lit("(?i)"), m["industry_pattern"])))))
+    joined = trades.withColumn("_sic", sic).join(days, DAY, "left")
+    joined = joined.withColumn("_fit", F.coalesce(
+        F.when(F.col("_sic").isNotNull(), F.filter("reach", fits)), F.array().cast(days.schema["reach"].dataType)))
+
+    def listed(test):
+        """Matches best first; the struct starts with the rank."""
+        def item(m):
+            standing = F.when(m["verified"], K.TEMPORALLY_VERIFIED).otherwise(K.CURRENT_ASSIGNMENT_ONLY)
+            return F.struct(*[m[c].alias(c) for c in ("r_scope", "r_level", "r_width", "r_id", "mapping_id")],
+                            standing.alias("status"), m["text_hash"].alias("text_hash"))
+        return F.array_sort(F.transform(F.filter("_fit", test), item))
+
+    joined = joined.withColumns({
+        "direct": listed(lambda m: m["applied"] & m["reviewed"] & m["is_direct"]),
+        "related": listed(lambda m: m["applied"] & m["reviewed"] & ~m["is_direct"]),
+        "_current": listed(lambda m: m["snapshot"] & m["reviewed"] & m["is_direct"]),
+        "pending_review": F.size(F.filter("_fit", lambda m: m["applied"] & ~m["reviewed"])),
+    })
     dropped = F.col("seats_applied") < F.col("seats")
-    rejected = dropped & (F.coalesce(F.size("current_direct"), F.lit(0)) > 0)
     reason = (
-        F.when(no_sic, "no_sic").when(unseated, "no_committee_assignments").when(has_direct, "direct_match")
-        .when(rejected, "seat_not_held_on_transaction_date")
+        F.when(F.col("_sic").isNull(), "no_sic").when(F.col("seats").isNull(), "no_committee_assignments")
+        .when(F.size("direct") > 0, "direct_match")
+        .when(dropped & (F.size("_current") > 0), "seat_not_held_on_transaction_date")
         .when(F.col("seats_applied") == 0, "no_seat_on_transaction_date")
         .when(F.col("any_unmapped"), "unmapped_committees")
         .otherwise("no_reviewed_direct_match")
     )
-    overall = F.when(F.col("all_verified"), K.TEMPORALLY_VERIFIED).otherwise(K.CURRENT_ASSIGNMENT_ONLY)
-    is_rejected = F.col("reason") == "seat_not_held_on_transaction_date"
-    status = (
+    joined = joined.withColumn("committee_relevance_reason", reason)
+    given = F.col("committee_relevance_reason")
+    rejected = given == "seat_not_held_on_transaction_date"
+
+    def best(is_verified):
+        return F.when(is_verified, K.TEMPORALLY_VERIFIED).otherwise(K.CURRENT_ASSIGNMENT_ONLY)
+
+    timing = (
         F.when(F.col("seats").isNull(), K.UNAVAILABLE)
-        .when(F.col("reason") == "direct_match",
-              F.when(F.exists("direct", lambda m: m["status"] == K.TEMPORALLY_VERIFIED), K.TEMPORALLY_VERIFIED)
-              .otherwise(K.CURRENT_ASSIGNMENT_ONLY))
-        .when(is_rejected, K.CONTRADICTED)
-        .when(F.col("reason") == "no_seat_on_transaction_date", K.TEMPORALLY_VERIFIED)
-        .otherwise(overall)
-    )
-    value = (
-        F.when(F.col("reason") == "direct_match", True)
-        .when(F.col("reason").isin("no_sic", "no_committee_assignments", "unmapped_committees"), F.lit(None).cast("boolean"))
-        .otherwise(False)
-    )
-    none = F.array().cast(found.schema["direct"].dataType)
-    return joined.withColumn("reason", reason).select(
-        *KEY, "sic_code", "industry",
-        value.alias("committee_relevance"),
-        F.col("reason").alias("committee_relevance_reason"),
-        status.alias("committee_temporal_status"),
-        is_rejected.alias("committee_contradicted"),
-        F.coalesce("direct", none).alias("direct"),
-        F.when(F.col("reason") == "no_seat_on_transaction_date", none)
-        .otherwise(F.coalesce("related", none)).alias("related"),
-        F.when(is_rejected, F.col("current_direct")).otherwise(none).alias("rejected"),
-        F.coalesce("pending_review", F.lit(0)).alias("pending_review"),
+        .when(given == "direct_match", best(F.exists("direct", lambda m: m["status"] == K.TEMPORALLY_VERIFIED)))
+        .when(rejected, K.CONTRADICTED)
+        .when(given == "no_seat_on_transaction_date", K.TEMPORALLY_VERIFIED)
+        .otherwise(best(F.col("all_verified")))
     )
+    unknown = given.isin("no_sic", "no_committee_assignments", "unmapped_committees")
+    return joined.withColumns({
+        "committee_relevance": F.when(~unknown, given == "direct_match"),
+        "committee_temporal_status": timing,
+        "committee_contradicted": rejected,
+        "rejected": F.when(rejected, F.col("_current")).otherwise(F.slice("_current", 1, 0)),
+    }).drop("_sic", "_fit", "_current", "reach", "seats", "seats_applied", "all_verified", "any_unmapped")
+
+
+def committee_signal(trades, seats, mappings, securities) -> DataFrame:
+    """Committee relevance for every distinct (politician, day, ticker) of the trades."""
+    subjects = trades.select(*DAY, "ticker").distinct()
+    return with_committee_signal(with_security(subjects, securities), seats, mappings)
 
 
 def flags(context: DataFrame, cfg: ContextConfig = ContextConfig()) -> DataFrame:
@@ -183,14 +198,10 @@ def analyze(tables, cfg: ContextConfig = ContextConfig(), today=None, **selector
     measured = excess_signal(
         with_delay_signal(picked, today, cfg.delay_days), tables.bars, tables.benchmark, today,
         cfg.excess_return, cfg.excess_horizon_days)
-    committee = committee_signal(picked, tables.seats, mappings, tables.securities)
+    related = with_committee_signal(with_security(measured, tables.securities), tables.seats, mappings)
     version = mappings.agg(F.max("mapping_version").alias("mapping_version"))
-    joined = (
-        measured.withColumn("ticker_key", F.coalesce("ticker", F.lit("")))
-        .join(committee, KEY, "left").drop("ticker_key")
-        .withColumn("mapping_version", version.scalar())
-        .withColumn("context_version", F.lit(cfg.version_label()))
-    )
+    joined = related.withColumns({
+        "mapping_version": version.scalar(), "context_version": F.lit(cfg.version_label())})
     carried = ["politician_id", "ticker", "transaction_date", "amount_min", "amount_max", "sic_code", "industry"]
     return flags(joined, cfg).select(
         F.col("id").alias("trade_id"), *carried, *STORED, result_digest().alias("result_digest"))

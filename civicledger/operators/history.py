@@ -90,73 +90,70 @@ def _no_sub():
     return F.coalesce("subcommittee_code", F.lit("")) == ""
 
 
-def committee_history_status(days: DataFrame, seats: DataFrame) -> DataFrame:
-    """verified, contradicted or unknown for every (politician, day, committee the politician ever sat on).
+def seat_days(days: DataFrame, seats: DataFrame) -> DataFrame:
+    """Every seat of a politician for each distinct day, with what the record says about its committee that day.
+
+    ``history_status`` is verified, contradicted or unknown for the committee; ``applies`` and ``seat_status`` tell
+    whether the seat counts and how well it is established. A committee the record contradicts is dropped together with
+    its subcommittees. Subcommittee seats have no dated history, so they are never better than current_assignment_only.
 
-    ``days`` holds politician_id and transaction_date. It is reduced to distinct days first, so a politician with very
-    many trades costs no more than the calendar has days times the few seats of one person.
+    Days are made distinct first: a politician with very many trades costs no more than the calendar has days times the
+    few seats of one person, and every window below holds the seats of one person on one day.
     """
     d = F.col("transaction_date")
-    member = seats.groupBy("politician_id").agg(
-        F.max(F.when(F.col("temporal_precision") == K.PRECISION_SNAPSHOT, F.col("congress_number"))).alias("_snapshot"),
-        F.collect_set(F.when(
-            (F.col("temporal_precision") == K.PRECISION_EXACT) & is_true("history_complete"), F.col("congress_number")
-        )).alias("_scanned"),
-    )
+    per_day = Window.partitionBy("politician_id", "transaction_date")
+    per_committee = Window.partitionBy("politician_id", "transaction_date", "committee_code")
+    is_exact = is_true(F.col("temporal_precision") == K.PRECISION_EXACT)
+    is_congress = is_true(F.col("temporal_precision") == K.PRECISION_CONGRESS)
+    is_snapshot = F.col("temporal_precision").isNull() | (F.col("temporal_precision") == K.PRECISION_SNAPSHOT)
+    sitting = is_true(F.col("congress_number") == F.col("_congress"))
     joined = (
         days.select("politician_id", "transaction_date").distinct()
         .withColumn("_congress", congress_of("transaction_date"))
-        .join(seats, "politician_id").join(member, "politician_id")
-    )
-    dated = (
-        F.col("temporal_precision").isin(K.PRECISION_EXACT, K.PRECISION_CONGRESS)
-        & (F.col("congress_number") == F.col("_congress")) & _no_sub()
-    )
-    exact = dated & (F.col("temporal_precision") == K.PRECISION_EXACT) & F.col("start_date").isNotNull()
-    by_congress = dated & (F.col("temporal_precision") == K.PRECISION_CONGRESS)
-    absent = (d < F.col("start_date")) | is_true(d > F.col("end_date"))
-    facts = joined.groupBy("politician_id", "transaction_date", "committee_code").agg(
-        F.bool_or(is_true(dated)).alias("any_dated"),
-        F.bool_or(is_true(exact) & covers(d)).alias("exact_covers"),
-        F.bool_or(is_true(exact)).alias("any_exact"),
-        F.bool_and(F.when(is_true(exact), absent & is_true("history_complete"))).alias("surely_absent"),
-        F.bool_or(is_true(by_congress)).alias("congress_covers"),
-        F.bool_or(F.array_contains("_scanned", F.col("_congress")) & (F.col("_snapshot") != F.col("_congress")))
-        .alias("other_congress_scanned"),
+        .join(seats, "politician_id")
+        .withColumns({
+            "is_snapshot": is_snapshot, "_covers": covers(d),
+            "_scan": is_exact & is_true("history_complete") & sitting,
+            "_exact": is_exact & sitting & _no_sub() & F.col("start_date").isNotNull(),
+            "_dated": (is_exact | is_congress) & sitting & _no_sub(),
+            "_by_congress": is_congress & sitting & _no_sub(),
+            "_absent": ((d < F.col("start_date")) | is_true(d > F.col("end_date"))) & is_true("history_complete"),
+        })
     )
+    snapshot_congress = F.max(F.when(is_true("is_snapshot"), F.col("congress_number"))).over(per_day)
+    joined = joined.withColumn(
+        "_other_scanned", F.max("_scan").over(per_day) & is_true(snapshot_congress != F.col("_congress")))
+
+    def any_seat(name):
+        return F.max(name).over(per_committee)
+
     status = (
-        F.when(~F.col("any_dated"), F.when(F.col("other_congress_scanned"), "contradicted").otherwise("unknown"))
-        .when(F.col("exact_covers"), "verified")
-        .when(F.col("any_exact") & F.col("surely_absent"), "contradicted")
-        .when(F.col("congress_covers"), "verified")
+        F.when(~any_seat("_dated"), F.when(F.col("_other_scanned"), "contradicted").otherwise("unknown"))
+        .when(F.max(F.col("_exact") & F.col("_covers")).over(per_committee), "verified")
+        .when(F.min(F.when(F.col("_exact"), F.col("_absent"))).over(per_committee), "contradicted")
+        .when(any_seat("_by_congress"), "verified")
         .otherwise("unknown")
     )
-    return facts.select("politician_id", "transaction_date", "committee_code", status.alias("history_status"))
-
-
-def seat_days(days: DataFrame, seats: DataFrame) -> DataFrame:
-    """Every seat of a politician for each distinct day, with ``applies`` and how well that is established.
-
-    A committee the record contradicts is dropped together with its subcommittees. Subcommittee seats have no dated
-    history, so they are never better than current_assignment_only.
-    """
-    status = committee_history_status(days, seats)
-    wanted = days.select("politician_id", "transaction_date").distinct()
-    joined = wanted.join(seats, "politician_id").join(
-        status, ["politician_id", "transaction_date", "committee_code"])
-    dated = is_true(F.col("temporal_precision").isin(K.PRECISION_EXACT, K.PRECISION_CONGRESS))
-    held = F.col("history_status") != "contradicted"
-    applies = held & (~dated | covers("transaction_date"))
+    dated = is_exact | is_congress
     standing = F.when(
         dated | (_no_sub() & (F.col("history_status") == "verified")), K.TEMPORALLY_VERIFIED
     ).otherwise(K.CURRENT_ASSIGNMENT_ONLY)
-    snapshot = F.col("temporal_precision").isNull() | (F.col("temporal_precision") == K.PRECISION_SNAPSHOT)
-    return joined.withColumns({
-        "applies": applies, "seat_status": F.when(applies, standing), "is_snapshot": snapshot})
+    return (
+        joined.withColumn("history_status", status)
+        .withColumn("applies", (F.col("history_status") != "contradicted") & (~dated | F.col("_covers")))
+        .withColumn("seat_status", F.when(F.col("applies"), standing))
+        .drop("_congress", "_covers", "_scan", "_exact", "_dated", "_by_congress", "_absent", "_other_scanned")
+    )
+
+
+def committee_history_status(days: DataFrame, seats: DataFrame) -> DataFrame:
+    """verified, contradicted or unknown for every (politician, day, committee the politician ever sat on)."""
+    return seat_days(days, seats).groupBy("politician_id", "transaction_date", "committee_code").agg(
+        F.first("history_status").alias("history_status"))
 
 
 def effective_seats(days: DataFrame, seats: DataFrame) -> DataFrame:
-    return seat_days(days, seats).filter("applies").drop("applies", "is_snapshot")
+    return seat_days(days, seats).filter("applies").drop("applies", "is_snapshot", "history_status")
 
 
 def sync_seat_history(intervals, politicians, seats, committees, congress, snapshot_date=None, snapshot_congress=None,

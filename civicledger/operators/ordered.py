@@ -35,50 +35,39 @@ def earlier_rank(cells: DataFrame, group, moment, value, weight) -> DataFrame:
     """For every (group, moment, value): the weight strictly earlier with a smaller, and with the same, value.
 
     ``cells`` has one row per (group, moment, value). The moments of a group are ranked, and "everything before rank r"
-    is read as one aligned block of ranks per set bit of r. A cell therefore enters at most log2(moments) blocks, and
-    a block is reduced to its distinct values before it is ordered. No pair of rows of a group is ever formed.
+    is read as one aligned block of ranks per set bit of r: where bit k of a cell's rank is set it asks the block just
+    before its own on level k, where it is clear it is held by its own block. Each cell so emits one row per bit, a
+    group of g moments is cut into g blocks on its lowest level, and no pair of rows of a group is ever formed.
     """
-    in_group = Window.partitionBy(group).orderBy(moment)
-    moments = (
-        cells.select(group, moment).distinct()
-        .withColumn("_rank", (F.row_number().over(in_group) - 1).cast("long"))
-        .withColumn("_bits", F.length(F.bin(F.max("_rank").over(Window.partitionBy(group)))) - 1)
-    )
-    ranked = cells.join(moments, [group, moment])
-
-    def levels(wanted_bit):
-        return F.filter(
-            F.sequence(F.lit(0), F.col("_bits")),
-            lambda k: F.call_function("shiftright", F.col("_rank"), k) % 2 == wanted_bit,
-        )
+    in_group = Window.partitionBy(group)
+    kept = [c for c in cells.columns if c not in (group, moment, value)]
+    rank = (F.dense_rank().over(in_group.orderBy(moment)) - 1).cast("long")
+    ranked = cells.withColumn("_rank", rank).withColumn("_bits", F.length(F.bin(F.max("_rank").over(in_group))))
 
-    def blocks(df, wanted_bit, shift):
-        return (
-            df.withColumn("_level", F.explode(levels(wanted_bit)))
-            .withColumn("_block", F.expr("shiftright(_rank, _level)") + shift)
-        )
+    def role(k):
+        block = F.call_function("shiftright", F.col("_rank"), k)
+        asks = (block % 2).cast("int")
+        return F.struct(k.alias("level"), (block - asks).alias("block"), (asks == 1).alias("asks"))
 
-    held = blocks(ranked, 0, 0).select(group, "_level", "_block", value, F.col(weight).alias("_w"))
-    asked = blocks(ranked, 1, -1)
-    asked_values = asked.select(group, "_level", "_block", value, F.lit(0).cast("long").alias("_w"))
-    smaller = (
-        Window.partitionBy(group, "_level", "_block").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    )
-    block_ranks = (
-        held.unionByName(asked_values)
-        .groupBy(group, "_level", "_block", value).agg(F.sum("_w").alias("_same"))
-        .withColumn("_less", F.coalesce(F.sum("_same").over(smaller), F.lit(0)))
-    )
-    found = (
-        asked.join(block_ranks, [group, "_level", "_block", value])
-        .groupBy(group, moment, value)
-        .agg(F.sum("_less").alias("less"), F.sum("_same").alias("same"))
+    # one further row asks nothing and carries the cell itself, so a group's first moment is not lost
+    itself = F.struct(F.lit(-1).alias("level"), F.lit(-1).cast("long").alias("block"), F.lit(True).alias("asks"))
+    roles = F.concat(F.transform(F.sequence(F.lit(0), F.col("_bits") - 1), role), F.array(itself))
+    rows = ranked.withColumn("_r", F.explode(roles)).select(
+        group, moment, value, "_r.*",
+        F.when(~F.col("_r.asks"), F.col(weight)).alias("_w"),
+        *[F.when(F.col("_r.level") == -1, F.col(c)).alias(c) for c in kept],
     )
+    block = [group, "level", "block"]
+    up_to = Window.partitionBy(*block).orderBy(value).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    equal = Window.partitionBy(*block, value)
+    counted = rows.withColumns({
+        "_upto": F.when(F.col("level") >= 0, F.sum("_w").over(up_to)), "_same": F.sum("_w").over(equal)})
     zero = F.lit(0).cast("long")
     return (
-        cells.join(found, [group, moment, value], "left")
-        .withColumn("less", F.coalesce("less", zero))
-        .withColumn("same", F.coalesce("same", zero))
+        counted.filter("asks").groupBy(group, moment, value)
+        .agg(F.coalesce(F.sum("_upto"), zero).alias("_upto"), F.coalesce(F.sum("_same"), zero).alias("same"),
+             *[F.max(c).alias(c) for c in kept])
+        .withColumn("less", F.col("_upto") - F.col("same")).drop("_upto")
     )
 
 

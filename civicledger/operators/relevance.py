@@ -34,18 +34,18 @@ def current_version(mappings: DataFrame) -> DataFrame:
 
 
 def seat_mappings(seats: DataFrame, mappings: DataFrame, on=("politician_id",), facts=None) -> DataFrame:
-    """The mappings each holder's seats bring into play, one row per holder and mapping.
+    """(holder, mapping_id) for the mappings each holder's seats bring into play.
 
     A mapping for a subcommittee needs a seat on that subcommittee. ``facts`` are conditions on a seat; each becomes a
     column telling whether any seat behind the mapping meets it.
     """
     facts = facts or {}
-    m = usable_mappings(mappings).drop("committee_name", "subcommittee_name", "chamber")
+    m = usable_mappings(mappings).select("mapping_id", "committee_code", "subcommittee_code")
     s = seats.select(
         *on, "committee_code", F.col("subcommittee_code").alias("_seat_sub"), *[c.alias(n) for n, c in facts.items()])
     sits_there = F.col("subcommittee_code").isNull() | (F.col("subcommittee_code") == F.col("_seat_sub"))
-    reach = s.join(m, "committee_code").filter(sits_there).drop("_seat_sub")
-    keys = [*on, *m.columns]
+    reach = s.join(m, "committee_code").filter(sits_there)
+    keys = [*on, "mapping_id"]
     return reach.groupBy(*keys).agg(*[F.bool_or(n).alias(n) for n in facts]) if facts else reach.select(*keys).distinct()
 
 
@@ -61,7 +61,8 @@ def subject_matches(subjects: DataFrame, reach: DataFrame, key, on=("politician_
 
 def seat_mapping_matches(subjects, seats, mappings, key, on=("politician_id",)) -> DataFrame:
     """One row per subject and mapping that applies to one of its seats."""
-    return subject_matches(subjects, seat_mappings(seats, mappings, on), key, on)
+    described = usable_mappings(mappings).drop("committee_name", "subcommittee_name", "chamber")
+    return subject_matches(subjects, seat_mappings(seats, mappings, on).join(described, "mapping_id"), key, on)
 
 
 def primary_match(matches: DataFrame, key) -> DataFrame:

@@ -554,7 +554,8 @@ CONTEXT_COLUMNS = [
 @query
 def committee_signal(t):
     out = C.committee_signal(t.trades, t.seats, _mappings(t), t.securities)
-    return out.select("politician_id", "transaction_date", "ticker_key", "committee_relevance", "committee_relevance_reason",
+    return out.select("politician_id", "transaction_date", F.coalesce("ticker", F.lit("")).alias("ticker_key"),
+                      "committee_relevance", "committee_relevance_reason",
                       "committee_temporal_status", F.size("direct").alias("direct"), F.size("related").alias("related"),
                       F.size("rejected").alias("rejected"), "pending_review")
 
