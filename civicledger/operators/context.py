@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions.rules import is_true, sic_number, spread_null
 from .history import seat_days
-from .relevance import current_version, mapping_rank, seat_mappings, usable_mappings
+from .relevance import current_version, mapping_rank, usable_mappings
 from .signals import excess_signal, secondary_count, size_signal, with_delay_signal
 
 
@@ -36,108 +36,121 @@ class ContextConfig:
 DAY = ["politician_id", "transaction_date"]
 
 
-def with_security(trades: DataFrame, securities: DataFrame) -> DataFrame:
-    """Trades with the industry of their security; unlisted trades are dealt over the partitions of the join."""
-    profile = securities.select(F.col("ticker").alias("_ticker"), "sic_code", "industry")
-    return trades.withColumn("_ticker", spread_null("ticker", F.struct(*DAY))).join(profile, "_ticker", "left").drop("_ticker")
+def seat_reach(seats: DataFrame, mappings: DataFrame) -> DataFrame:
+    """Seats with the ids of the mappings each brings into play, and whether any mapping row knows its committee.
+
+    Done on the seats themselves, before they meet any day: a seat's list is at most as long as the mapping file. A
+    mapping for a subcommittee needs a seat on that subcommittee.
+    """
+    usable = "relevance_level <> 'none' AND sic_start IS NOT NULL"
+    rows = mappings.groupBy("committee_code").agg(F.expr(
+        f"collect_list(struct(mapping_id, subcommittee_code AS sub)) FILTER (WHERE {usable})").alias("_rows"))
+    reach = F.expr(
+        "transform(filter(_rows, m -> m.sub IS NULL OR coalesce(m.sub = subcommittee_code, false)), m -> m.mapping_id)")
+    return seats.join(rows, "committee_code", "left").select(
+        *seats.columns, F.col("_rows").isNotNull().alias("mapped"),
+        F.coalesce(reach, F.array().cast("array<long>")).alias("reach"))
 
 
 def committee_days(days: DataFrame, seats: DataFrame, mappings: DataFrame) -> DataFrame:
-    """One row per politician and day: how the seats stand and the mappings they bring into play.
+    """One row per politician and day: how the seats stand, and the mappings behind applying and behind current seats.
 
-    Seats that applied that day and today's snapshot seats are followed in the same pass: the snapshot only matters
-    where the record shows that a seat was not held. The list of a day is at most as long as the mapping file.
+    Everything here is clustered by (politician, day), so after the days are distinct no further exchange is needed.
+    Today's snapshot seats are followed in the same pass: they only matter where the record shows a seat was not held.
     """
-    stands = seat_days(days, seats)
-    verified = is_true(F.col("seat_status") == K.TEMPORALLY_VERIFIED)
-    mapped = mappings.select("committee_code").distinct().withColumn("_mapped", F.lit(True))
-    facts = stands.join(mapped, "committee_code", "left").groupBy(*DAY).agg(
+    stands = seat_days(days, seat_reach(seats, mappings)).withColumn(
+        "verified", F.expr(f"applies AND seat_status = '{K.TEMPORALLY_VERIFIED}'"))
+
+    def ids(condition):
+        return F.expr(f"array_distinct(flatten(collect_list(reach) FILTER (WHERE {condition})))")
+
+    return stands.groupBy(*DAY).agg(
         F.count("*").alias("seats"),
         F.count_if("applies").alias("seats_applied"),
-        F.bool_and(F.when(F.col("applies"), verified)).alias("all_verified"),
-        F.bool_or(F.col("applies") & F.col("_mapped").isNull()).alias("any_unmapped"),
+        F.expr("bool_and(verified) FILTER (WHERE applies)").alias("all_verified"),
+        F.expr("bool_or(applies AND NOT mapped)").alias("any_unmapped"),
+        ids("applies").alias("applied_ids"), ids("verified").alias("verified_ids"), ids("is_snapshot").alias("snapshot_ids"),
     )
-    text_hash = F.xxhash64(*[c for c in mappings.columns if c in (
-        "rationale", "source_url", "source_citation", "sic_start", "sic_end", "jurisdiction_basis", "mapping_id")])
-    described = usable_mappings(mappings).select(
-        "mapping_id", F.struct(
-            *mapping_rank(), "mapping_id", "sic_start", "sic_end", "industry_pattern",
-            F.col("is_reviewed").alias("reviewed"), (F.col("relevance_level") == "direct").alias("is_direct"),
-            text_hash.alias("text_hash")).alias("m"))
-    reach = (
-        seat_mappings(stands.filter(F.col("applies") | F.col("is_snapshot")), mappings, DAY,
-                      {"applied": F.col("applies"), "verified": verified, "snapshot": F.col("is_snapshot")})
-        .join(described, "mapping_id")
-        .groupBy(*DAY).agg(F.collect_list(F.struct("m.*", "applied", "verified", "snapshot")).alias("reach"))
-    )
-    return facts.join(reach, DAY, "left")
 
 
-def with_committee_signal(trades: DataFrame, seats: DataFrame, mappings: DataFrame) -> DataFrame:
-    """Adds committee relevance to trades that carry sic_code and industry.
+def security_mappings(securities: DataFrame, mappings: DataFrame) -> DataFrame:
+    """Securities with ``fit``: the mappings whose range and pattern take the industry in, best first.
 
-    The seats and mappings of a (politician, day) are worked out once and meet the trades in one equi-join on both;
-    the industry is then tested within the row.
+    The mapping file is one value for all securities; ranges and patterns are tested once per security, not per trade.
     """
-    days = committee_days(trades, seats, mappings)
-    sic = sic_number("sic_code")
-    fits = lambda m: (
-        F.col("_sic").between(m["sic_start"], m["sic_end"])
-        & (m["industry_pattern"].isNull() | is_true(F.rlike(F.col("industry"), F.concat(F.lit("(?i)"), m["industry_pattern"])))))
-    joined = trades.withColumn("_sic", sic).join(days, DAY, "left")
-    joined = joined.withColumn("_fit", F.coalesce(
-        F.when(F.col("_sic").isNotNull(), F.filter("reach", fits)), F.array().cast(days.schema["reach"].dataType)))
-
-    def listed(test):
-        """Matches best first; the struct starts with the rank."""
-        def item(m):
-            standing = F.when(m["verified"], K.TEMPORALLY_VERIFIED).otherwise(K.CURRENT_ASSIGNMENT_ONLY)
-            return F.struct(*[m[c].alias(c) for c in ("r_scope", "r_level", "r_width", "r_id", "mapping_id")],
-                            standing.alias("status"), m["text_hash"].alias("text_hash"))
-        return F.array_sort(F.transform(F.filter("_fit", test), item))
+    text = F.xxhash64(*[c for c in mappings.columns if c in (
+        "rationale", "source_url", "source_citation", "sic_start", "sic_end", "jurisdiction_basis", "mapping_id")])
+    item = F.struct(
+        *mapping_rank(), "mapping_id", "sic_start", "sic_end", "industry_pattern", F.col("is_reviewed").alias("reviewed"),
+        F.expr("relevance_level = 'direct'").alias("is_direct"), text.alias("text_hash"))
+    book = usable_mappings(mappings).agg(F.array_sort(F.collect_list(item)))
+    fits = ("filter(_book, m -> _sic BETWEEN m.sic_start AND m.sic_end AND (m.industry_pattern IS NULL "
+            "OR coalesce(rlike(industry, concat('(?i)', m.industry_pattern)), false)))")
+    return securities.select("ticker", "sic_code", "industry", sic_number("sic_code").alias("_sic")).withColumn(
+        "_book", book.scalar()).select(
+        "ticker", "sic_code", "industry", F.col("_sic").isNotNull().alias("has_sic"),
+        F.expr(f"CASE WHEN _sic IS NOT NULL THEN {fits} END").alias("fit"))
+
+
+def with_committee_signal(trades: DataFrame, seats: DataFrame, mappings: DataFrame, securities: DataFrame) -> DataFrame:
+    """Adds committee relevance and the industry to trades.
+
+    Two equi-joins, on (politician, day) and on the ticker; the rest happens within a row. Unlisted trades are dealt
+    over the partitions of the ticker join.
+    """
+    profile = security_mappings(securities, mappings).withColumnRenamed("ticker", "_ticker")
+    joined = (
+        trades.join(committee_days(trades, seats, mappings), DAY, "left")
+        .withColumn("_ticker", spread_null("ticker", F.struct(*DAY))).join(profile, "_ticker", "left").drop("_ticker")
+    )
 
+    def listed(ids, test):
+        """Matches best first; the struct starts with the rank."""
+        return F.expr(
+            f"transform(filter(fit, m -> m.reviewed AND {test} AND array_contains({ids}, m.mapping_id)), m -> named_struct("
+            "'r_scope', m.r_scope, 'r_level', m.r_level, 'r_width', m.r_width, 'r_id', m.r_id, 'mapping_id', m.mapping_id, "
+            f"'status', if(array_contains(verified_ids, m.mapping_id), '{K.TEMPORALLY_VERIFIED}', '{K.CURRENT_ASSIGNMENT_ONLY}'), "
+            "'text_hash', m.text_hash))")
+
+    lists = {"direct": listed("applied_ids", "m.is_direct"), "related": listed("applied_ids", "NOT m.is_direct"),
+             "_current": listed("snapshot_ids", "m.is_direct")}
     joined = joined.withColumns({
-        "direct": listed(lambda m: m["applied"] & m["reviewed"] & m["is_direct"]),
-        "related": listed(lambda m: m["applied"] & m["reviewed"] & ~m["is_direct"]),
-        "_current": listed(lambda m: m["snapshot"] & m["reviewed"] & m["is_direct"]),
-        "pending_review": F.size(F.filter("_fit", lambda m: m["applied"] & ~m["reviewed"])),
+        **lists, "pending_review": F.expr(
+            "coalesce(size(filter(fit, m -> NOT m.reviewed AND array_contains(applied_ids, m.mapping_id))), 0)")})
+    joined = joined.withColumn("committee_relevance_reason", F.expr("""
+        CASE WHEN NOT coalesce(has_sic, false) THEN 'no_sic'
+             WHEN seats IS NULL THEN 'no_committee_assignments'
+             WHEN size(direct) > 0 THEN 'direct_match'
+             WHEN seats_applied < seats AND size(_current) > 0 THEN 'seat_not_held_on_transaction_date'
+             WHEN seats_applied = 0 THEN 'no_seat_on_transaction_date'
+             WHEN any_unmapped THEN 'unmapped_committees'
+             ELSE 'no_reviewed_direct_match' END"""))
+    joined = joined.withColumns({
+        "committee_relevance": F.expr("""
+            CASE WHEN committee_relevance_reason NOT IN ('no_sic', 'no_committee_assignments', 'unmapped_committees')
+                 THEN committee_relevance_reason = 'direct_match' END"""),
+        "committee_contradicted": F.expr("committee_relevance_reason = 'seat_not_held_on_transaction_date'"),
+        "committee_temporal_status": F.expr(f"""
+            CASE WHEN seats IS NULL THEN '{K.UNAVAILABLE}'
+                 WHEN committee_relevance_reason = 'seat_not_held_on_transaction_date' THEN '{K.CONTRADICTED}'
+                 WHEN CASE committee_relevance_reason
+                        WHEN 'direct_match' THEN exists(direct, m -> m.status = '{K.TEMPORALLY_VERIFIED}')
+                        WHEN 'no_seat_on_transaction_date' THEN true ELSE coalesce(all_verified, false) END
+                 THEN '{K.TEMPORALLY_VERIFIED}' ELSE '{K.CURRENT_ASSIGNMENT_ONLY}' END"""),
+        "rejected": F.expr(
+            "if(committee_relevance_reason = 'seat_not_held_on_transaction_date', _current, slice(_current, 1, 0))"),
     })
-    dropped = F.col("seats_applied") < F.col("seats")
-    reason = (
-        F.when(F.col("_sic").isNull(), "no_sic").when(F.col("seats").isNull(), "no_committee_assignments")
-        .when(F.size("direct") > 0, "direct_match")
-        .when(dropped & (F.size("_current") > 0), "seat_not_held_on_transaction_date")
-        .when(F.col("seats_applied") == 0, "no_seat_on_transaction_date")
-        .when(F.col("any_unmapped"), "unmapped_committees")
-        .otherwise("no_reviewed_direct_match")
-    )
-    joined = joined.withColumn("committee_relevance_reason", reason)
-    given = F.col("committee_relevance_reason")
-    rejected = given == "seat_not_held_on_transaction_date"
-
-    def best(is_verified):
-        return F.when(is_verified, K.TEMPORALLY_VERIFIED).otherwise(K.CURRENT_ASSIGNMENT_ONLY)
-
-    timing = (
-        F.when(F.col("seats").isNull(), K.UNAVAILABLE)
-        .when(given == "direct_match", best(F.exists("direct", lambda m: m["status"] == K.TEMPORALLY_VERIFIED)))
-        .when(rejected, K.CONTRADICTED)
-        .when(given == "no_seat_on_transaction_date", K.TEMPORALLY_VERIFIED)
-        .otherwise(best(F.col("all_verified")))
-    )
-    unknown = given.isin("no_sic", "no_committee_assignments", "unmapped_committees")
-    return joined.withColumns({
-        "committee_relevance": F.when(~unknown, given == "direct_match"),
-        "committee_temporal_status": timing,
-        "committee_contradicted": rejected,
-        "rejected": F.when(rejected, F.col("_current")).otherwise(F.slice("_current", 1, 0)),
-    }).drop("_sic", "_fit", "_current", "reach", "seats", "seats_applied", "all_verified", "any_unmapped")
+    empty = {n: F.expr(f"coalesce({n}, filter(_none, m -> false))") for n in ("direct", "related", "rejected")}
+    none = F.array().cast(joined.schema["direct"].dataType)
+    return joined.withColumn("_none", none).withColumns(empty).drop(
+        "_none", "_current", "fit", "has_sic", "seats", "seats_applied", "all_verified", "any_unmapped",
+        "applied_ids", "verified_ids", "snapshot_ids")
 
 
 def committee_signal(trades, seats, mappings, securities) -> DataFrame:
     """Committee relevance for every distinct (politician, day, ticker) of the trades."""
     subjects = trades.select(*DAY, "ticker").distinct()
-    return with_committee_signal(with_security(subjects, securities), seats, mappings)
+    return with_committee_signal(subjects, seats, mappings, securities)
 
 
 def flags(context: DataFrame, cfg: ContextConfig = ContextConfig()) -> DataFrame:
@@ -198,7 +211,7 @@ def analyze(tables, cfg: ContextConfig = ContextConfig(), today=None, **selector
     measured = excess_signal(
         with_delay_signal(picked, today, cfg.delay_days), tables.bars, tables.benchmark, today,
         cfg.excess_return, cfg.excess_horizon_days)
-    related = with_committee_signal(with_security(measured, tables.securities), tables.seats, mappings)
+    related = with_committee_signal(measured, tables.seats, mappings, tables.securities)
     version = mappings.agg(F.max("mapping_version").alias("mapping_version"))
     joined = related.withColumns({
         "mapping_version": version.scalar(), "context_version": F.lit(cfg.version_label())})

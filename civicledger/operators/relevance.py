@@ -33,20 +33,15 @@ def current_version(mappings: DataFrame) -> DataFrame:
     return mappings.join(newest, "mapping_version", "left_semi")
 
 
-def seat_mappings(seats: DataFrame, mappings: DataFrame, on=("politician_id",), facts=None) -> DataFrame:
+def seat_mappings(seats: DataFrame, mappings: DataFrame, on=("politician_id",)) -> DataFrame:
     """(holder, mapping_id) for the mappings each holder's seats bring into play.
 
-    A mapping for a subcommittee needs a seat on that subcommittee. ``facts`` are conditions on a seat; each becomes a
-    column telling whether any seat behind the mapping meets it.
+    A mapping for a subcommittee needs a seat on that subcommittee.
     """
-    facts = facts or {}
-    m = usable_mappings(mappings).select("mapping_id", "committee_code", "subcommittee_code")
-    s = seats.select(
-        *on, "committee_code", F.col("subcommittee_code").alias("_seat_sub"), *[c.alias(n) for n, c in facts.items()])
-    sits_there = F.col("subcommittee_code").isNull() | (F.col("subcommittee_code") == F.col("_seat_sub"))
-    reach = s.join(m, "committee_code").filter(sits_there)
-    keys = [*on, "mapping_id"]
-    return reach.groupBy(*keys).agg(*[F.bool_or(n).alias(n) for n in facts]) if facts else reach.select(*keys).distinct()
+    m = usable_mappings(mappings).select("mapping_id", "committee_code", F.col("subcommittee_code").alias("_sub"))
+    s = seats.select(*on, "committee_code", "subcommittee_code").distinct()
+    sits_there = F.col("_sub").isNull() | (F.col("_sub") == F.col("subcommittee_code"))
+    return s.join(m, "committee_code").filter(sits_there).select(*on, "mapping_id").distinct()
 
 
 def subject_matches(subjects: DataFrame, reach: DataFrame, key, on=("politician_id",)) -> DataFrame:
