@@ -105,7 +105,7 @@ def match_politicians(politicians: DataFrame, roster: DataFrame) -> DataFrame:
         _roster_parts(roster).withColumn("surname", F.element_at("_last", -1))
         .groupBy("chamber", "surname").agg(F.count("*").alias("_near"), F.min("bioguide_id").alias("_near_first"))
     )
-    people = _name_parts(politicians).withColumn("surname", F.try_element_at("_words", F.lit(-1)))
+    people = _name_parts(politicians.select("id", "name", "chamber", "state")).withColumn("surname", F.try_element_at("_words", F.lit(-1)))
     matched = F.col("candidates") == 1
     status = F.when(matched, "matched").when(F.col("candidates") > 1, "ambiguous").otherwise("unmatched")
     unmatched = F.col("status") == "unmatched"

@@ -165,14 +165,13 @@ def with_tables(select, **extra):
     known = {**TABLES, **extra}
     needed = []
 
-    def visit(text):
+    def visit(text, path):
+        words = set(re.findall(r"\w+", re.sub(r"'[^']*'", "", text)))
         for name in known:
-            if name not in needed and re.search(rf"\b{name}\b", text):
-                if known[name] is not text:
-                    visit(known[name])
-                if name not in needed:
-                    needed.append(name)
+            if name in words and name not in needed and name not in path:
+                visit(known[name], (*path, name))
+                needed.append(name)
 
-    visit(select)
+    visit(select, ())
     body = ",\n".join(f"{name} AS ({known[name]})" for name in needed)
     return f"WITH {body}\n{select}" if needed else select

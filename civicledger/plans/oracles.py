@@ -1,8 +1,8 @@
 """The registered queries as plain SQL for DuckDB."""
 
 from ..operators.context import ContextConfig
-from .oracle_tables import congress, key_of, with_tables
-from .tables import BENCHMARK, NOW, TODAY
+from .oracle_tables import _last, _letter, _official, _pick, congress, key_of, with_tables
+from .tables import BENCHMARK, FIRST_NAMES, NOW, TODAY
 
 _D = f"DATE '{TODAY}'"
 ORACLES = {}
@@ -610,3 +610,111 @@ _rule("screen_rule_strict", _VERIFIED, "pct2 >= 95", "days > 60", "performance_s
 _rule("screen_rule_related", "(committee_relevance IS TRUE OR has_related)", "pct2 >= 75", "days > 30", "performance_status = 'ok' AND abs(excess_return) * 100 + 1e-7 >= 10", 1)
 oracle("screen_page", f"""SELECT id, politician_name, {_VERIFIED} AS matches, ({_VERIFIED})::int + secondary_signal_count AS active_count FROM screen WHERE {_FILTERS['numbers']}
   ORDER BY politician_name NULLS LAST, id DESC LIMIT 200 OFFSET 20""", **SCREEN)
+
+# --- people and securities -------------------------------------------------------------------------------------------
+_SUFFIXES = "('jr', 'sr', 'ii', 'iii', 'iv', 'v')"
+_FITS = "(p.state IS NULL OR r.state IS NULL OR r.state = p.state)"
+PEOPLE = {
+    "words": f"""SELECT id, name, chamber, state, district, list_filter(w, lambda x, i: i = 1 OR i = len(w) OR length(x) > 1) AS w, list_filter(w, lambda x, i: i > 1 AND i < len(w) AND length(x) = 1)[1] AS initial
+      FROM (SELECT *, CASE WHEN len(t) > 2 AND t[-1] IN {_SUFFIXES} THEN t[:-2] ELSE t END AS w FROM (
+        SELECT *, list_filter(string_split_regex(replace(replace(lower(name), '.', ''), chr(39), ''), '[^a-z0-9]+'), lambda x: x <> '') AS t FROM politicians))""",
+    "official": """SELECT *, lower(first_name) AS f, replace(lower(last_name), chr(39), '') AS l, rtrim(lower(middle_name), '.') AS m FROM roster""",
+    "strict": f"""SELECT p.id, count(DISTINCT r.bioguide_id) AS n, min(r.bioguide_id) AS only FROM words p JOIN official r ON r.chamber = p.chamber AND {_FITS}
+        AND (array_to_string(p.w, ' ') = f || ' ' || l OR (length(m) > 1 AND array_to_string(p.w, ' ') = f || ' ' || m || ' ' || l))
+        AND (p.initial IS NULL OR m IS NULL OR p.initial = m[1]) GROUP BY p.id""",
+    "loose": f"""SELECT p.id, count(DISTINCT r.bioguide_id) AS n, min(r.bioguide_id) AS only FROM words p JOIN official r ON r.chamber = p.chamber AND {_FITS}
+        AND len(p.w) = 3 AND p.w[1] = f AND p.w[3] = l AND (m IS NULL OR (length(m) = 1 AND p.w[2][1] = m) OR p.w[2] = m)
+        WHERE p.id NOT IN (SELECT id FROM strict) GROUP BY p.id""",
+    "matched": """SELECT p.id, p.name, p.chamber, p.state, CASE WHEN coalesce(s.n, l.n) = 1 THEN 'matched' WHEN coalesce(s.n, l.n) > 1 THEN 'ambiguous' ELSE 'unmatched' END AS status,
+        CASE WHEN s.n = 1 THEN 'exact_name+chamber' WHEN l.n = 1 THEN 'name_with_extra_middle+chamber' END AS method,
+        CASE WHEN coalesce(s.n, l.n) = 1 THEN coalesce(s.only, l.only) END AS bioguide_id,
+        CASE WHEN coalesce(s.n, l.n) IS NULL THEN coalesce(c.near, 0) END AS same_surname, CASE WHEN coalesce(s.n, l.n) IS NULL THEN c.first END AS same_surname_first
+      FROM words p LEFT JOIN strict s USING (id) LEFT JOIN loose l USING (id)
+      LEFT JOIN (SELECT chamber, l, count(*) AS near, min(bioguide_id) AS first FROM official GROUP BY ALL) c ON c.chamber = p.chamber AND c.l = p.w[-1]""",
+    "links": f"""SELECT id, CASE WHEN id % 5 = 0 THEN 'Z999999' WHEN id % 7 = 0 THEN {_official('id + 1')} ELSE {_official('id')} END AS bioguide_id FROM politicians""",
+    "gated": f"""SELECT s.*, CASE WHEN coalesce(v.n, 0) <> 1 THEN 'not exactly one valid candidate' WHEN s.chosen IS NULL THEN 'nothing selected' WHEN r.chamber IS NULL THEN 'not in the official roster'
+          WHEN r.chamber <> s.chamber THEN 'other chamber' WHEN r.state <> s.state THEN 'other state' WHEN r.chamber = 'house' AND r.district <> s.district THEN 'other district'
+          WHEN r.l <> s.surname THEN 'not a candidate that was shown' WHEN s.chosen <> v.only THEN 'not the valid candidate'
+          WHEN o.owner <> s.id THEN 'belongs to another politician' WHEN s.confidence < 0.3 THEN 'confidence too low' END AS reason
+      FROM (SELECT id, chamber, state, district, w[-1] AS surname, (id % 11) / 10.0::double AS confidence,
+              CASE WHEN id % 7 = 0 THEN NULL WHEN id % 7 = 1 THEN 'Z000000' WHEN id % 7 = 2 THEN {_official('id + 1')} ELSE {_official('id')} END AS chosen FROM words) s
+      LEFT JOIN (SELECT p.id, count(*) AS n, min(r.bioguide_id) AS only FROM words p JOIN official r ON r.chamber = p.chamber AND r.l = p.w[-1] AND {_FITS}
+                   AND (r.chamber <> 'house' OR p.district IS NULL OR r.district IS NULL OR r.district = p.district) GROUP BY p.id) v USING (id)
+      LEFT JOIN official r ON r.bioguide_id = s.chosen LEFT JOIN (SELECT bioguide_id, max(id) AS owner FROM politicians WHERE bioguide_id IS NOT NULL GROUP BY 1) o ON o.bioguide_id = s.chosen""",
+}
+oracle("match_politicians", "SELECT id, status, method, bioguide_id, same_surname, same_surname_first FROM matched", **PEOPLE)
+oracle("due_politicians", f"""SELECT id, CASE WHEN enrichment_status = 'review' THEN 'override' WHEN enrichment_status = 'unmatched' AND district IS NULL THEN 'suggestion'
+  WHEN enrichment_status = 'matched' THEN CASE WHEN enriched_at > TIMESTAMP '{NOW}' - INTERVAL 30 DAY THEN 'current' ELSE 'due' END
+  WHEN enrichment_checked_at > TIMESTAMP '{NOW}' - INTERVAL 7 DAY THEN 'recent_attempt' ELSE 'due' END AS due_reason FROM politicians""")
+oracle("override_resolution", """SELECT id, bioguide_id, CASE WHEN note IS NULL THEN 'matched' ELSE 'conflict' END AS status, note FROM (
+    SELECT m.id, k.bioguide_id, CASE WHEN r.chamber IS NULL THEN 'not in the official roster' WHEN r.chamber <> m.chamber THEN 'other chamber' WHEN r.state <> m.state THEN 'other state' END AS note
+    FROM matched m JOIN links k USING (id) LEFT JOIN roster r ON r.bioguide_id = k.bioguide_id WHERE m.status = 'unmatched')""", **PEOPLE)
+oracle("ownership_conflicts", """SELECT id, bioguide_id, CASE WHEN note IS NULL THEN 'matched' ELSE 'conflict' END AS status, note FROM (
+    SELECT c.id, c.bioguide_id, CASE WHEN coalesce(owner, CASE WHEN winner < c.id THEN winner END) <> c.id THEN 'belongs to another politician' WHEN own <> c.bioguide_id THEN 'linked to another official' END AS note
+    FROM claims c LEFT JOIN (SELECT bioguide_id, min(id) AS winner FROM claims WHERE owner IS NULL AND (own IS NULL OR own = bioguide_id) GROUP BY 1) w USING (bioguide_id))""", **PEOPLE,
+    claims="""SELECT m.id, m.bioguide_id, p.bioguide_id AS own, o.owner FROM matched m JOIN politicians p USING (id)
+      LEFT JOIN (SELECT bioguide_id, max(id) AS owner FROM politicians WHERE bioguide_id IS NOT NULL GROUP BY 1) o ON o.bioguide_id = m.bioguide_id WHERE m.bioguide_id IS NOT NULL""")
+oracle("refresh_seats", f"""SELECT politician_id, committee_code, subcommittee_code, temporal_precision, start_date FROM seats
+    WHERE temporal_precision <> 'current_snapshot' OR politician_id NOT IN (SELECT id FROM matched WHERE status = 'matched')
+  UNION ALL SELECT m.id, c_mktsegment, NULL, 'current_snapshot', NULL FROM matched m JOIN customer ON {_official('c_custkey')} = m.bioguide_id WHERE m.status = 'matched'""", **PEOPLE)
+oracle("load_overrides", """
+  SELECT * FROM (SELECT 'not an official id' AS item, count(*) AS entries FROM checked WHERE link = '12345' UNION ALL SELECT 'reason needed', count(*) FROM checked WHERE id % 3 = 0
+    UNION ALL SELECT 'already matched automatically', count(*) FROM checked WHERE enrichment_status = 'matched' UNION ALL SELECT 'official id belongs to another politician', count(*) FROM checked WHERE taken
+    UNION ALL SELECT 'official id appears for several politicians', count(*) FROM checked WHERE shared) WHERE entries > 0
+  UNION ALL SELECT 'skipped', count(*) FROM politicians WHERE id % 29 = 0 UNION ALL SELECT 'accepted', 0""",
+    linked=f"SELECT *, CASE WHEN id % 5 = 0 THEN '12345' ELSE {_official('id')} END AS link FROM politicians WHERE id % 29 <> 0",
+    checked="""SELECT e.*, s.n > 1 AS shared, EXISTS (SELECT 1 FROM politicians x WHERE x.id <> e.id AND x.bioguide_id = e.link) AS taken
+      FROM linked e JOIN (SELECT link, count(DISTINCT id) AS n FROM linked GROUP BY 1) s USING (link)""")
+oracle("suggestion_gate", "SELECT id AS politician_id, CASE WHEN reason IS NULL THEN 'review' ELSE 'rejected' END AS outcome, reason FROM gated", **PEOPLE)
+oracle("review_queue", """SELECT p.id, p.enrichment_status, g.chosen AS suggestion_selected_bioguide_id, g.confidence AS suggestion_confidence,
+  CASE WHEN g.reason IS NULL THEN 'review' ELSE 'rejected' END AS suggestion_outcome, g.reason AS suggestion_reason FROM politicians p JOIN gated g USING (id)
+  WHERE p.enrichment_status <> 'matched'""", **PEOPLE)
+oracle("member_records", f"""SELECT {_official('c_custkey')} AS bioguide_id,
+  concat_ws(' ', {_pick(FIRST_NAMES, 'c_custkey')}, CASE WHEN c_custkey % 2 = 0 THEN 'Lee' END, {_last('c_custkey')}, CASE WHEN c_custkey % 4 = 1 THEN 'Jr.' END) AS full_name,
+  CASE WHEN c_custkey % 4 = 1 THEN 'Jr.' END AS suffix, 'house' AS chamber, (['D', 'R', 'Green'])[c_custkey % 3 + 1] AS party, (['OH', 'NY', 'TX', NULL])[c_nationkey % 4 + 1] AS state,
+  CASE WHEN c_custkey % 4 = 0 THEN 'At Large' ELSE (c_custkey % 4)::varchar END AS district, c_custkey % 5 <> 0 AS active, 1991 AS term_start_year,
+  'https://www.congress.gov/member/' || lower({_pick(FIRST_NAMES, 'c_custkey')}) || '-' || lower({_last('c_custkey')}) || '/' || {_official('c_custkey')} AS official_url
+  FROM customer WHERE c_custkey % 9 <> 8""")
+REGISTERS = {
+    "brands": "SELECT p_brand, substr(p_brand, 7)::int AS no, min(p_name) AS part_name FROM part GROUP BY 1",
+    "looked_up": """SELECT s.*, b.no, b.part_name, CASE WHEN no % 5 <> 0 THEN 'full' WHEN no % 10 <> 0 THEN 'plain' END AS list, no % 6 = 0 AS ambiguous FROM securities s JOIN brands b ON b.p_brand = s.ticker""",
+}
+_SIC = "lpad((no * 40)::varchar, 4, '0')"
+oracle("resolve_profiles", f"""
+  SELECT ticker, CASE WHEN hit THEN part_name || ' Corp' ELSE company_name END AS company_name, CASE WHEN hit THEN lpad((1000 + no)::varchar, 10, '0') END AS cik_code,
+    CASE WHEN hit THEN CASE WHEN coded THEN {_SIC} END ELSE sic_code END AS sic_code, CASE WHEN hit THEN CASE WHEN coded THEN 'Kind ' || no END ELSE industry END AS industry,
+    CASE WHEN hit THEN CASE WHEN coded THEN CASE WHEN no * 40 // 100 BETWEEN 1 AND 9 THEN 'Agriculture, Forestry, and Fishing' WHEN no * 40 // 100 BETWEEN 10 AND 14 THEN 'Mining' END END ELSE sector END AS sector,
+    CASE WHEN hit THEN CASE WHEN list = 'full' THEN 'NYSE' ELSE 'OTC' END END AS exchange,
+    CASE WHEN hit THEN CASE WHEN coded THEN 'ok' ELSE 'partial' END WHEN profile_status IN ('ok', 'partial') THEN profile_status ELSE 'unresolved' END AS profile_status,
+    CASE WHEN hit THEN CASE WHEN NOT coded THEN 'no industry code is published for this company' END WHEN profile_status IN ('ok', 'partial') THEN 'not found in the latest list; earlier profile kept'
+      WHEN list IS NOT NULL THEN 'listed under several registrants' ELSE 'not listed' END AS profile_note
+  FROM (SELECT *, list IS NOT NULL AND NOT ambiguous AS hit, no % 4 > 1 AS coded FROM looked_up)""", **REGISTERS)
+oracle("due_securities", f"""SELECT ticker, CASE WHEN profile_status = 'ok' AND profile_checked_at > TIMESTAMP '{NOW}' - INTERVAL 90 DAY THEN 'current'
+  WHEN profile_status = 'unresolved' AND profile_checked_at > TIMESTAMP '{NOW}' - INTERVAL 30 DAY THEN 'recent_attempt' ELSE 'due' END AS due_reason
+  FROM securities WHERE ticker IN (SELECT ticker FROM trades)""")
+HOUSE = {
+    "house": f"""SELECT c_custkey AS key, CASE WHEN c_custkey % 8 <> 7 THEN {_official('c_custkey')} END AS bioguide_id, {_pick(FIRST_NAMES, 'c_custkey')} AS f, {_last('c_custkey')} AS l,
+        'N' || {_letter('c_custkey % 25')} AS state, CASE WHEN c_custkey % 10 = 0 THEN DATE '1998-01-01' END AS sworn FROM customer""",
+    "resolutions": f"""SELECT 'Res. ' || o_orderkey AS label, o_orderkey::varchar AS url, o_orderdate::date AS date, CASE WHEN o_orderstatus = 'O' THEN 'removed' ELSE 'elected' END AS verb,
+        CASE WHEN o_orderkey % 11 = 0 THEN 'Committee on Ways' ELSE 'Committee on Priority ' || {_pick(['A', 'B', 'C', 'D', 'E'], 'o_custkey')} END AS header,
+        CASE WHEN o_orderkey % 11 <> 0 THEN {_pick(['A', 'B', 'C', 'D', 'E'], 'o_custkey')} END AS committee_code, {_pick(FIRST_NAMES, 'o_custkey')} AS f, {_last('o_custkey')} AS l,
+        CASE WHEN o_orderkey % 2 = 0 THEN 'N' || {_letter('o_custkey % 25')} END AS state FROM orders WHERE o_orderkey % 13 <> 0""",
+    "listed_names": """SELECT * EXCLUDE (f, l, state), 0 AS segment, l AS name, state, NULL AS odd, NULL AS first, l AS last FROM resolutions
+      UNION ALL SELECT * EXCLUDE (f, l, state), 1, f || ' ' || l, NULL, NULL, f, l FROM resolutions
+      UNION ALL SELECT * EXCLUDE (f, l, state), 3, NULL, NULL, 'the Speaker', NULL, NULL FROM resolutions""",
+    "placed": """SELECT n.label, n.segment, any_value(n.date) AS date, any_value(n.verb) AS verb, any_value(n.url) AS url, any_value(n.committee_code) AS committee_code, any_value(n.odd) AS odd,
+        count(h.key) AS c, min(h.bioguide_id) AS bioguide_id
+      FROM listed_names n LEFT JOIN house h ON n.committee_code IS NOT NULL AND h.l = n.last AND (n.first IS NULL OR h.f = n.first) AND (n.state IS NULL OR h.state = n.state)
+        AND (h.bioguide_id IS NULL OR h.sworn IS NULL OR n.date >= h.sworn) GROUP BY n.label, n.segment""",
+}
+oracle("committee_paragraphs", "SELECT label, date, verb, header, segment, name, state, odd FROM listed_names", **HOUSE)
+oracle("committee_events_found", "SELECT bioguide_id, committee_code, date, verb, url, segment FROM placed WHERE c = 1 AND bioguide_id IS NOT NULL", **HOUSE)
+oracle("committee_event_report", """SELECT CASE WHEN odd IS NOT NULL THEN 'odd_segment' WHEN committee_code IS NULL THEN 'unmapped_committee' WHEN c = 1 AND bioguide_id IS NOT NULL THEN 'event'
+  WHEN c > 1 THEN 'ambiguous' ELSE 'unresolved' END AS outcome, count(*) AS names FROM placed GROUP BY 1""", **HOUSE)
+oracle("latest_trade_per_politician", """SELECT politician_id, id, ticker, transaction_type FROM trades
+  QUALIFY row_number() OVER (PARTITION BY politician_id ORDER BY transaction_date DESC, id DESC) = 1""")
+oracle("explanation_audit", """SELECT trade_id, CASE split_part(trade_id, '-', 1)::bigint % 6 WHEN 1 THEN 'summary uses insider outside a denial' WHEN 2 THEN 'summary states $987,654,321, which was not supplied'
+    WHEN 3 THEN 'summary names a committee that is not in the evidence: affairs foreign' WHEN 4 THEN 'headline is empty'
+    WHEN 5 THEN CASE WHEN flagged_for_contextual_review THEN '' ELSE 'summary speaks of a flag, but the trade is not flagged' END ELSE '' END AS problems FROM ctx""", **CONTEXT)
+oracle("stream_ingest", """SELECT 'trades' AS table_name, count(*) AS rows FROM numbered UNION ALL SELECT 'rejects', (SELECT count(*) FROM feed) - (SELECT count(*) FROM usable)
+  UNION ALL SELECT 'politicians', count(DISTINCT canonical_key) FROM identified UNION ALL SELECT 'securities', count(DISTINCT ticker) FROM usable""", **FEED)

@@ -1,19 +1,23 @@
 """Registered queries: each binds operators to the tables of a data folder and returns a DataFrame."""
 
+import uuid
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from ..functions import rules as R
 from ..functions import text as X
 from ..operators import asof, audit as A, context as C, dashboards as D, history as H, ingest as I, performance as P
 from ..operators import prices as B, relevance as V, resolve as E, screen as S, signals as G
-from ..operators.ordered import newest_per
+from ..operators.ordered import latest_by, newest_per
 from ..sources.bars import normalize_bars
 from ..sources.disclosures import normalize_disclosures
 from ..sources.resolutions import committee_events, listed_names, parse_resolutions
-from ..sources.reviewed import load_overrides, sync_mappings
+from ..sources.reviewed import load_overrides as load_overrides_file, sync_mappings
 from ..sources.roster import normalize_members
-from ..session import stored
-from .tables import BENCHMARK, CONGRESS, NOW, TODAY, Tables, official_id
+from ..session import stored, work_dir
+from ..streaming.ingest import TradeStore, ingest_stream
+from .tables import BENCHMARK, CONGRESS, FIRST_NAMES, NOW, TODAY, Tables, feed_records, last_name, letter, official_id, pick
 
 QUERIES = {}
 
@@ -707,3 +711,227 @@ def screen_rule_market(t):
 def screen_page(t):
     rows, _ = S.screen(_screen_tables(t), S.PRESETS["committee_focus"], filters_of("numbers"), "politician_name", "asc", 200, 20)
     return rows.select("id", "politician_name", "matches", "active_count")
+
+
+# --- people and securities -------------------------------------------------------------------------------------------
+
+def _matches(t):
+    return E.match_politicians(t.politicians, t.roster)
+
+
+@query
+def match_politicians(t):
+    return _matches(t).drop("name", "chamber", "state")
+
+
+@query
+def due_politicians(t):
+    overrides = t.politicians.filter("enrichment_status = 'review'").select(F.col("id").alias("politician_id"))
+    suggested = t.politicians.filter("district IS NOT NULL").select(F.col("id").alias("politician_id"))
+    return E.due_politicians(t.politicians, NOW, overrides, suggested).select("id", "due_reason")
+
+
+def _links(t):
+    """A reviewed link for every politician; some name an official nobody knows, some one of the other chamber."""
+    key = F.col("id")
+    wanted = F.when(key % 5 == 0, "Z999999").when(key % 7 == 0, official_id(key + 1)).otherwise(official_id(key))
+    return t.politicians.select(key.alias("politician_id"), wanted.alias("bioguide_id"))
+
+
+@query
+def override_resolution(t):
+    unmatched = _matches(t).filter("status = 'unmatched'").select("id", "name", "chamber", "state")
+    return E.resolve_overrides(unmatched, _links(t), t.roster)
+
+
+@query
+def ownership_conflicts(t):
+    return E.ownership_conflicts(_matches(t).select("id", "bioguide_id"), t.politicians)
+
+
+@query
+def refresh_seats(t):
+    """Clerk seats of the matched politicians replaced by today's roster seats."""
+    matched = _matches(t).filter("status = 'matched'").select("id", "bioguide_id")
+    today = t.source("customer").select(
+        official_id(F.col("c_custkey")).alias("bioguide_id"), F.col("c_mktsegment").alias("committee_code"),
+        F.lit("current_snapshot").alias("temporal_precision"))
+    out = E.refresh_seats(matched, today, t.seats, "house.clerk")
+    return out.select("politician_id", "committee_code", "subcommittee_code", "temporal_precision", "start_date")
+
+
+@query
+def load_overrides(t):
+    """Reviewed links checked as a file: how often each rule is broken. A single problem keeps the whole file out."""
+    key = F.col("id")
+    entries = t.politicians.select(
+        F.when(key % 29 == 0, "house:nobody").otherwise(F.concat("canonical_key", F.lit("#"), key.cast("string"))).alias("canonical_key"),
+        F.lit(None).cast("long").alias("politician_id"),
+        F.when(key % 5 == 0, "12345").otherwise(F.lower(official_id(key))).alias("bioguide_id"),
+        F.when(key % 3 == 0, "").otherwise("roster page").alias("reason"), F.lit("official site").alias("source"),
+        F.lit("2001-05-01").alias("reviewed_at"))
+    people = t.politicians.withColumn("canonical_key", F.concat("canonical_key", F.lit("#"), key.cast("string")))
+    rows, skipped, violations = load_overrides_file(entries, people)
+    counted = violations.groupBy(F.col("problem").alias("item")).agg(F.count("*").alias("entries"))
+    return counted.unionByName(skipped.agg(F.count("*").alias("entries")).select(F.lit("skipped").alias("item"), "entries")).unionByName(
+        rows.agg(F.count("*").alias("entries")).select(F.lit("accepted").alias("item"), "entries"))
+
+
+def _suggestions(t):
+    key = F.col("id")
+    chosen = (
+        F.when(key % 7 == 0, F.lit(None)).when(key % 7 == 1, "Z000000").when(key % 7 == 2, official_id(key + 1)).otherwise(official_id(key)))
+    return t.politicians.select(
+        key.alias("suggestion_id"), key.alias("politician_id"), chosen.alias("selected_bioguide_id"),
+        ((key % 11) / 10).alias("confidence"), F.array().cast("array<string>").alias("alternates"))
+
+
+@query
+def suggestion_gate(t):
+    return E.gate_suggestions(_suggestions(t), t.politicians, t.roster, 0.3).select("politician_id", "outcome", "reason")
+
+
+@query
+def review_queue(t):
+    judged = E.gate_suggestions(_suggestions(t), t.politicians, t.roster, 0.3)
+    return E.review_queue(t.politicians, judged).drop("name", "chamber")
+
+
+@query
+def member_records(t):
+    """Roster entries read from raw member records, one per customer."""
+    key, nation = F.col("c_custkey"), F.col("c_nationkey")
+    raw = t.source("customer").select(
+        F.concat(F.lit(" "), official_id(key)).alias("bioguideId"),
+        F.concat(last_name(key), F.lit(", "), pick(FIRST_NAMES, key), F.when(key % 2 == 0, " Lee").otherwise(""),
+                 F.when(key % 4 == 1, ", Jr.").otherwise("")).alias("name"),
+        *[F.lit(None).cast("string").alias(c) for c in ("firstName", "middleName", "lastName")],
+        pick(["Democratic", "Republican", "Green"], key).alias("partyName"),
+        F.lit(None).cast("array<struct<partyName:string,startYear:int>>").alias("partyHistory"),
+        pick(["Ohio", "new york", "TX", "Atlantis"], nation.cast("long")).alias("state"), (key % 4).cast("string").alias("district"),
+        F.concat(
+            F.when(key % 3 == 0, '{"item": ').otherwise(""), F.lit('[{"chamber": "Senate", "startYear": 1980, "endYear": 1986}, {"chamber": "'),
+            F.when(key % 9 == 8, "Council").otherwise("House of Representatives"), F.lit('", "startYear": 1991'),
+            F.when(key % 5 == 0, ', "endYear": 1999').otherwise(""), F.lit("}]"), F.when(key % 3 == 0, "}").otherwise("")).alias("terms"))
+    return normalize_members(raw).select(
+        "bioguide_id", "full_name", "suffix", "chamber", "party", "state", "district", "active", "term_start_year", "official_url")
+
+
+def _registers(t):
+    """(full list, plain list, company records) for the traded brands, with gaps, doubles and companies without a code."""
+    brands = t.source("part").groupBy("p_brand").agg(F.min("p_name").alias("name")).withColumn("no", F.substring("p_brand", 7, 10).cast("int"))
+    number = F.col("no") + 1000
+    ciks = F.when(F.col("no") % 6 == 0, F.array(number, number + 500)).otherwise(F.array(number))
+    full = brands.withColumn("cik", F.explode(F.when(F.col("no") % 5 != 0, ciks))).select(
+        F.col("cik").cast("string").alias("cik"), "name", F.upper("p_brand").alias("ticker"), F.lit("NYSE").alias("exchange"), F.col("cik").alias("position"))
+    plain = brands.withColumn("cik", F.explode(F.when(F.col("no") % 10 != 0, ciks))).select(F.lower("p_brand").alias("ticker"), F.col("cik").cast("string").alias("cik"))
+    records = brands.select(
+        number.cast("string").alias("cik"), F.concat(F.lit(" "), "name", F.lit(" Corp ")).alias("name"),
+        F.when(F.col("no") % 4 == 0, "0").when(F.col("no") % 4 == 1, "").otherwise((F.col("no") * 40).cast("string")).alias("sic"),
+        F.concat(F.lit("Kind "), "no").alias("sic_description"), F.array(F.lit(""), F.lit("OTC")).alias("exchanges"))
+    return full, plain, records
+
+
+@query
+def resolve_profiles(t):
+    out = E.resolve_profiles(t.securities, *_registers(t), NOW)
+    return out.select("ticker", "company_name", "cik_code", "sic_code", "industry", "sector", "exchange", "profile_status", "profile_note")
+
+
+@query
+def due_securities(t):
+    return E.due_securities(t.securities, t.trades, NOW).select("ticker", "due_reason")
+
+
+def _documents(t):
+    """One adopted resolution per order: two members, by surname and by full name, on the committee of its priority."""
+    key, order = F.col("o_custkey"), F.col("o_orderkey")
+    verb = F.when(F.col("o_orderstatus") == "O", "removed from").otherwise("elected to")
+    state = F.when(order % 2 == 0, F.concat(F.lit(" of N"), letter(key % 25))).otherwise("")
+    head = F.when(order % 11 == 0, "Committee on Ways").otherwise(F.concat(F.lit("<italic>Committee on</italic> Priority "), pick(["A", "B", "C", "D", "E"], key)))
+    adopted = F.when(order % 13 != 0, F.concat(
+        F.lit("In the House of Representatives, U. S., "), F.date_format("o_orderdate", "MMMM d, yyyy"), F.lit("."))).otherwise("Introduced")
+    xml = F.concat(
+        F.lit("<resolution><form><action><action-desc>"), adopted, F.lit("</action-desc></action></form><resolution-body><section><text>That the following named Members be "),
+        verb, F.lit(" the following standing committees of the House:</text><paragraph><enum>(1)</enum><header>"), head,
+        F.lit(":</header><text>Mr. "), last_name(key), state, F.lit(" (Chair), Ms. "), pick(FIRST_NAMES, key), F.lit(" "), last_name(key),
+        F.lit(", to rank immediately after, the Speaker.</text></paragraph></section></resolution-body></resolution>"))
+    return t.source("orders").select(F.concat(F.lit("Res. "), order.cast("string")).alias("label"), order.cast("string").alias("url"), xml.alias("xml"))
+
+
+def _house(t):
+    """Members as the clerk lists them; every eighth is known only as departed."""
+    key = F.col("c_custkey")
+    return t.source("customer").select(
+        F.when(key % 8 != 7, official_id(key)).alias("bioguide_id"), pick(FIRST_NAMES, key).alias("first_name"), last_name(key).alias("last_name"),
+        F.concat_ws(" ", pick(FIRST_NAMES, key), last_name(key)).alias("official_name"), F.concat(F.lit("N"), letter(key % 25)).alias("state_name"),
+        F.when(key % 10 == 0, F.lit("1998-01-01").cast("date")).alias("sworn"), F.lit(0).alias("prior_congress"))
+
+
+def _priorities(t):
+    code = pick(["A", "B", "C", "D", "E"], F.col("o_custkey"))
+    return t.source("orders").select(code.alias("committee_code")).distinct().withColumn(
+        "committee_name", F.concat(F.lit("Committee on the Priority "), "committee_code"))
+
+
+@query
+def committee_paragraphs(t):
+    return listed_names(parse_resolutions(_documents(t))).select("label", "date", "verb", "header", "segment", "name", "state", "odd")
+
+
+@query
+def committee_events_found(t):
+    events, _ = committee_events(_documents(t), _house(t), _priorities(t))
+    return events.select("bioguide_id", "committee_code", "date", "verb", "url", F.col("seq.segment").alias("segment"))
+
+
+@query
+def committee_event_report(t):
+    _, report = committee_events(_documents(t), _house(t), _priorities(t))
+    return report.groupBy("outcome").agg(F.count("*").alias("names"))
+
+
+@query
+def latest_trade_per_politician(t):
+    return latest_by(t.trades, ["politician_id"], ["transaction_date", "id"], ["id", "ticker", "transaction_type"])
+
+
+# --- explanations ----------------------------------------------------------------------------------------------------
+
+def _texts(context):
+    """An explanation per trade; five of six kinds break one rule each."""
+    kind = F.get(F.split("trade_id", "-"), F.lit(0)).cast("long") % 6
+    summary = (
+        F.when(kind == 1, "The records show an insider at work.").when(kind == 2, "The value was $987,654,321 in total.")
+        .when(kind == 3, "The Foreign Affairs Committee oversees this.").when(kind == 5, "This trade was flagged by the engine.")
+        .otherwise("It does not establish insider knowledge. The trade is not flagged here."))
+    signals = F.array(*[
+        F.struct(F.lit(s).alias("type"), F.lit("See the stored value.").alias("explanation")) for s in (
+            "committee_relevance", "trade_size_anomaly", "disclosure_delay_signal", "excess_return_signal")])
+    return context.select(
+        "trade_id", F.when(kind == 4, "").otherwise("A disclosed trade").alias("headline"), summary.alias("summary"),
+        F.lit("Public data only.").alias("limitations"), signals.alias("signals"))
+
+
+@query
+def explanation_audit(t):
+    context = stored(_context(t), "trade_context")
+    facts = A.explanation_facts(context, C.context_evidence(context, t.mappings), t.trades)
+    out = A.explanation_audit(_texts(context), facts, t.mappings)
+    return out.select("trade_id", F.array_join("problems", "; ").alias("problems"))
+
+
+# --- streaming -------------------------------------------------------------------------------------------------------
+
+@query
+def stream_ingest(t):
+    """The feed as a file stream, stored by a catch-up run that is then run once more."""
+    root = f"{work_dir(t.spark)}/civicledger/ingest-{uuid.uuid4().hex}"
+    events = t.spark.readStream.schema(t.source("events").schema).option("pathGlobFilter", "events.parquet").parquet(t.folder)
+    store = TradeStore(t.spark, f"{root}/tables")
+    for _ in range(2):
+        ingest_stream(feed_records(events), store, f"{root}/checkpoint", now=NOW).awaitTermination()
+    tables = [("trades", store.read("trades")), ("rejects", store.read("rejects")), ("politicians", store.latest("politicians")),
+              ("securities", store.latest("securities"))]
+    counts = [df.agg(F.lit(name).alias("table_name"), F.count("*").alias("rows")) for name, df in tables]
+    return reduce(lambda a, b: a.unionByName(b), counts)
