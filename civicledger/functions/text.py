@@ -37,17 +37,15 @@ def parse_amount(c) -> tuple[Column, Column]:
     )
 
 
-def _bare(token):
-    return F.regexp_replace(F.lower(token), r"\.+$", "")
-
-
 def normalize_name(c) -> Column:
-    words = F.filter(
-        F.split(_text(F.regexp_replace(_col(c), ",", " ")), r"\s+"),
-        lambda t: (t != "") & ~_bare(t).isin(K.HONORIFICS),
-    )
-    stutter = (F.size(words) >= 3) & (_bare(F.get(words, F.lit(0))) == _bare(F.get(words, F.lit(1))))
-    return F.array_join(F.when(stutter, F.slice(words, 2, F.size(words))).otherwise(words), " ")
+    """A tidy member name: honorifics go, and a first name given twice is given once when a surname still follows.
+
+    Written as replacements on the text, each naming its input once, so nesting it in other expressions stays cheap.
+    """
+    titles = r"(?i)(?<!\S)(?:" + "|".join(K.HONORIFICS) + r")\.*(?!\S)"
+    plain = F.regexp_replace(F.regexp_replace(F.coalesce(_col(c), F.lit("")), ",", " "), titles, " ")
+    spaced = F.trim(F.regexp_replace(plain, r"\s+", " "))
+    return F.regexp_replace(spaced, r"(?iu)^(\S*?)\.* (?=\1\.* \S)", "")
 
 
 def normalize_chamber(c) -> Column:
@@ -101,21 +99,22 @@ _SINGLE, _SEVERAL = _fold_tables()
 
 
 def fold_accents(c) -> Column:
-    folded = F.translate(_col(c), "".join(_SINGLE), "".join(_SINGLE.values()))
-    needs_more = folded.rlike(r"[^\x00-\x7F]")
-    spelled = reduce(lambda col, kv: F.replace(col, F.lit(kv[0]), F.lit(kv[1])), _SEVERAL.items(), folded)
-    return F.when(needs_more, F.regexp_replace(spelled, r"[^\x00-\x7F]", "")).otherwise(folded)
+    """Accented Latin letters as plain ones; whatever has no plain form is dropped."""
+    pairs = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(v).alias("v")) for k, v in _SEVERAL.items()])
+    single = F.translate(_col(c), "".join(_SINGLE), "".join(_SINGLE.values()))
+    return F.regexp_replace(
+        F.aggregate(pairs, single, lambda text, p: F.replace(text, p["k"], p["v"])), r"[^\x00-\x7F]", "")
 
 
-def name_tokens(c) -> Column:
-    """Lower-case ASCII words of a name; apostrophes and full stops vanish, anything else separates."""
+def name_words(c) -> Column:
+    """Lower-case ASCII words of a name, one space apart; apostrophes and full stops vanish, anything else separates."""
     plain = F.regexp_replace(F.lower(fold_accents(F.regexp_replace(_col(c), "[’]", ""))), r"['`.]", "")
-    return F.filter(F.split(plain, r"[^a-z0-9]+"), lambda t: t != "")
+    return F.trim(F.regexp_replace(plain, r"[^a-z0-9]+", " "))
 
 
-def drop_suffix(tokens: Column) -> Column:
-    has_suffix = (F.size(tokens) > 2) & F.element_at(tokens, -1).isin(K.NAME_SUFFIXES)
-    return F.when(has_suffix, F.slice(tokens, 1, F.size(tokens) - 1)).otherwise(tokens)
+def without_suffix(words) -> Column:
+    """Words of a name without a generational suffix, as long as two words remain."""
+    return F.regexp_replace(words, r"^(\S+(?: \S+)+) (?:" + "|".join(K.NAME_SUFFIXES) + ")$", "$1")
 
 
 def legacy_value(c) -> Column:

@@ -4,42 +4,38 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rules import is_true, sic_division
-from ..functions.text import drop_suffix, empty_to_null, name_tokens, normalize_name
-
-
-def _joined(tokens):
-    return F.array_join(tokens, " ")
+from ..functions.text import empty_to_null, name_words, normalize_name, without_suffix
 
 
 def _name_parts(politicians: DataFrame) -> DataFrame:
     """Adds the words of a politician's name without middle initials, and the first initial left out."""
-    tokens = drop_suffix(name_tokens(normalize_name("name")))
-    last = F.size("_t") - 1
-    inner = lambda t, i: (i > 0) & (i < last) & (F.length(t) == 1)
-    return politicians.withColumn("_t", tokens).withColumns({
-        "_words": F.filter("_t", lambda t, i: ~inner(t, i)),
-        "_initial": F.get(F.filter("_t", inner), F.lit(0)),
+    return politicians.withColumn("_t", without_suffix(name_words(normalize_name("name")))).withColumns({
+        "_words": F.regexp_replace("_t", r"(?<=\S )\S (?=\S)", ""),
+        "_initial": empty_to_null(F.regexp_extract("_t", r" (\S) ", 1)),
     }).drop("_t")
 
 
+def _surname(words):
+    return F.regexp_extract(words, r"(\S+)$", 1)
+
+
 def _roster_parts(roster: DataFrame) -> DataFrame:
-    middle = name_tokens(F.coalesce("middle_name", F.lit("")))
     return roster.withColumns({
-        "_first": name_tokens("first_name"), "_last": name_tokens("last_name"), "_middle": middle,
-        "_m_initial": F.substring(F.get(middle, F.lit(0)), 1, 1),
-    })
+        "_first": name_words("first_name"), "_last": name_words("last_name"),
+        "_middle": name_words(F.coalesce("middle_name", F.lit(""))),
+    }).withColumn("_m_initial", empty_to_null(F.substring("_middle", 1, 1)))
 
 
 def _spellings(roster: DataFrame) -> DataFrame:
     """The word sequences an official entry may be matched under; one row per entry and spelling."""
-    long_middle = F.filter("_middle", lambda t: F.length(t) > 1)
+    long_middle = F.trim(F.regexp_replace(F.concat(F.lit(" "), "_middle", F.lit(" ")), r"(?<= )\S (?=\S|$)", ""))
     spellings = F.array(
-        _joined(F.concat("_first", long_middle, "_last")), _joined(F.concat("_first", "_last")))
+        F.concat_ws(" ", "_first", empty_to_null(F.col("_long")), "_last"), F.concat_ws(" ", "_first", "_last"))
     if "aliases" in roster.columns:
         aliases = F.transform(
-            F.coalesce("aliases", F.array().cast("array<string>")), lambda a: _joined(drop_suffix(name_tokens(a))))
+            F.coalesce("aliases", F.array().cast("array<string>")), lambda a: without_suffix(name_words(a)))
         spellings = F.concat(spellings, aliases)
-    return roster.select(
+    return roster.withColumn("_long", long_middle).select(
         "bioguide_id", "chamber", F.col("state").alias("r_state"), "_m_initial",
         F.explode(F.array_distinct(spellings)).alias("spelling"))
 
@@ -58,7 +54,7 @@ def _state_fits():
 def name_candidates(politicians: DataFrame, roster: DataFrame) -> DataFrame:
     """(id, rule, candidates, bioguide_id): how many officials fit each politician's name, strict rule before loose."""
     people, officials = _name_parts(politicians), _roster_parts(roster)
-    asked = people.select("id", "chamber", "state", _joined("_words").alias("spelling"), "_initial")
+    asked = people.select("id", "chamber", "state", F.col("_words").alias("spelling"), "_initial")
     strict = (
         asked.join(_grouped(_spellings(officials), "spelling", "_m_initial"), ["chamber", "spelling"])
         .filter(_state_fits() & ~is_true(F.col("_initial") != F.col("_m_initial")))
@@ -66,23 +62,21 @@ def name_candidates(politicians: DataFrame, roster: DataFrame) -> DataFrame:
     strict = _candidates(strict, "exact_name")
 
     # people without a strict match: a longer name around the same first and last words
-    rest = people.join(strict.select("id"), "id", "left_anti")
-    n = F.size("_words")
+    rest = people.join(strict.select("id"), "id", "left_anti").select(
+        "id", "chamber", "state", F.split("_words", " ").alias("_w"))
     cuts = F.expr(
-        "flatten(transform(sequence(1, size(_words) - 2), a -> transform(sequence(1, size(_words) - a - 1), b -> struct(a, b))))")
-    split = (
-        rest.filter(n > 2).withColumn("_cut", F.explode(cuts))
-        .select("id", "chamber", "state",
-                _joined(F.slice("_words", 1, F.col("_cut.a"))).alias("first"),
-                _joined(F.slice("_words", n - F.col("_cut.b") + 1, F.col("_cut.b"))).alias("last"),
-                F.slice("_words", F.col("_cut.a") + 1, n - F.col("_cut.a") - F.col("_cut.b")).alias("extra"))
-    )
+        "flatten(transform(sequence(1, size(_w) - 2), a -> transform(sequence(1, size(_w) - a - 1), b -> struct(a, b))))")
+    split = rest.filter(F.size("_w") > 2).withColumn("_cut", F.explode(cuts)).select(
+        "id", "chamber", "state",
+        F.expr("array_join(slice(_w, 1, _cut.a), ' ')").alias("first"),
+        F.expr("array_join(slice(_w, size(_w) - _cut.b + 1, _cut.b), ' ')").alias("last"),
+        F.expr("array_join(slice(_w, _cut.a + 1, size(_w) - _cut.a - _cut.b), ' ')").alias("extra"))
     plain = _grouped(officials.select(
-        "bioguide_id", "chamber", F.col("state").alias("r_state"), _joined("_first").alias("first"),
-        _joined("_last").alias("last"), "_middle"), "first", "last", "_middle")
-    official_first = F.get("_middle", F.lit(0))
-    abbreviated = (F.length(official_first) == 1) & F.startswith(F.get("extra", F.lit(0)), official_first)
-    fits = (F.size("_middle") == 0) | is_true(abbreviated) | (F.col("extra") == F.col("_middle"))
+        "bioguide_id", "chamber", F.col("state").alias("r_state"), F.col("_first").alias("first"),
+        F.col("_last").alias("last"), "_middle"), "first", "last", "_middle")
+    # an official middle name that starts with a single letter abbreviates any middle name with that letter
+    abbreviated = F.col("_middle").rlike(r"^\S( |$)") & F.startswith("extra", F.substring("_middle", 1, 1))
+    fits = (F.col("_middle") == "") | abbreviated | (F.col("extra") == F.col("_middle"))
     loose = split.join(plain, ["chamber", "first", "last"]).filter(_state_fits() & fits)
     return strict.unionByName(_candidates(loose, "name_with_extra_middle"))
 
@@ -102,10 +96,10 @@ def match_politicians(politicians: DataFrame, roster: DataFrame) -> DataFrame:
     """matched, ambiguous or unmatched for every politician, with the rule; unmatched ones get same-surname officials."""
     found = name_candidates(politicians, roster)
     surnames = (
-        _roster_parts(roster).withColumn("surname", F.element_at("_last", -1))
+        _roster_parts(roster).withColumn("surname", _surname("_last"))
         .groupBy("chamber", "surname").agg(F.count("*").alias("_near"), F.min("bioguide_id").alias("_near_first"))
     )
-    people = _name_parts(politicians.select("id", "name", "chamber", "state")).withColumn("surname", F.try_element_at("_words", F.lit(-1)))
+    people = _name_parts(politicians.select("id", "name", "chamber", "state")).withColumn("surname", _surname("_words"))
     matched = F.col("candidates") == 1
     status = F.when(matched, "matched").when(F.col("candidates") > 1, "ambiguous").otherwise("unmatched")
     unmatched = F.col("status") == "unmatched"
@@ -234,14 +228,14 @@ def gate_suggestions(suggestions, politicians, roster, min_confidence=0.9, auto_
     The candidates of a suggestion are the officials of the politician's chamber with the same surname. They are reduced
     to counts per (chamber, surname, state, district); no list of candidates is ever built.
     """
-    surname = F.try_element_at(name_tokens("last_name"), F.lit(-1))
+    surname = _surname(name_words("last_name"))
     officials = roster.select(
         "bioguide_id", F.col("chamber").alias("r_chamber"), F.col("state").alias("r_state"),
         F.col("district").alias("r_district"), surname.alias("r_surname"))
     groups = officials.groupBy("r_chamber", "r_surname", "r_state", "r_district").agg(
         F.count("*").alias("_n"), F.min("bioguide_id").alias("_first"))
     people = _name_parts(politicians).select(
-        "id", "chamber", "state", "district", F.try_element_at("_words", F.lit(-1)).alias("surname"))
+        "id", "chamber", "state", "district", _surname("_words").alias("surname"))
     asked = suggestions.join(people.withColumnRenamed("id", "politician_id"), "politician_id")
 
     def differs(mine, official):
