@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def numbered(df: DataFrame, keys, tie_break, out="number", ways=64) -> DataFrame:
+def numbered(df: DataFrame, keys, tie_break, out="number", ways=4096) -> DataFrame:
     """Number the rows of each group 0, 1, 2, … without one task seeing a whole group.
 
     Rows are dealt over ``ways`` bins by a hash of ``tie_break``; a bin's first number is what the earlier bins hold.
-    The numbering is dense and repeatable, its order within a group is not that of ``tie_break``.
+    The numbering is dense and repeatable, its order within a group is not that of ``tie_break``. Small groups pay
+    nothing for many bins: only bins that do not come first in their group take part in the join.
     """
     dealt = df.withColumn("_bin", F.pmod(F.xxhash64(*tie_break), F.lit(ways)).cast("int"))
     before = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
@@ -20,7 +21,6 @@ def numbered(df: DataFrame, keys, tie_break, out="number", ways=64) -> DataFrame
         dealt.groupBy(*keys, "_bin").agg(F.count("*").alias("_n"))
         .withColumn("_first", F.coalesce(F.sum("_n").over(before), F.lit(0)))
     )
-    # groups that fit one bin need no offset, so the join carries only the bins after the first
     first = first.filter("_first > 0").drop("_n")
     within = Window.partitionBy(*keys, "_bin").orderBy(*tie_break)
     local = dealt.withColumn(out, F.row_number().over(within) - 1)

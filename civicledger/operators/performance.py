@@ -34,15 +34,17 @@ def leg_days(bars: DataFrame, benchmark: DataFrame, horizon_days=None) -> DataFr
             "*", F.last("date").over(reach).alias("end_date"), F.last("price").over(reach).alias("end_price"),
             (F.col("latest_date") >= F.date_add("date", horizon_days)).alias("elapsed"))
 
+    # what the benchmark stood at on a day: one row per calendar day of one series, so broadcasting it is bounded
     bench = price_series(benchmark).select(F.lit("b").alias("bench"), "date", "price")
     starts = forward_days(bench, on="bench").select(
         "day", F.col("date").alias("b_date"), F.col("price").alias("b_price"))
-    # the benchmark's end is looked up per bar, before a bar is repeated for the days it answers
-    priced = with_first_day(priced).withColumn("bench", F.lit("b"))
-    priced = asof_backward(priced, bench, "end_date", on="bench")
-    priced = priced.withColumnsRenamed({"asof_date": "b_end_date", "asof_price": "b_end_price"}).drop("bench")
+    end_days = priced.select("end_date").distinct().withColumn("bench", F.lit("b"))
+    ends = asof_backward(end_days, bench, "end_date", on="bench").select(
+        "end_date", F.col("asof_date").alias("b_end_date"), F.col("asof_price").alias("b_end_price"))
 
-    legs = repeat_days(priced).join(starts, "day", "left")
+    # the end is looked up per bar, before a bar is repeated for the days it answers
+    priced = with_first_day(priced).join(F.broadcast(ends), "end_date", "left")
+    legs = repeat_days(priced).join(F.broadcast(starts), "day", "left")
     ok = F.col("elapsed")
     return_ = F.when(ok, ret("price", "end_price"))
     bench_return = F.when(ok & (F.col("b_date") <= F.col("b_end_date")), ret("b_price", "b_end_price"))

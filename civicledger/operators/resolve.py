@@ -40,26 +40,46 @@ def _spellings(roster: DataFrame) -> DataFrame:
         F.explode(F.array_distinct(spellings)).alias("spelling"))
 
 
-def _grouped(rows: DataFrame, *keys) -> DataFrame:
-    """Roster entries that behave alike in every test become one row, so a very common name stays a short list."""
-    return rows.groupBy("chamber", "r_state", *keys).agg(
-        F.count_distinct("bioguide_id").alias("_n"), F.min("bioguide_id").alias("_id"), F.max("bioguide_id").alias("_max"))
+ANY = "*"
 
 
-def _state_fits():
-    known = F.coalesce("state", F.lit("")) != ""
-    return ~(known & is_true(F.col("r_state") != F.upper("state")))
+def _offered(officials: DataFrame, keys, wild) -> DataFrame:
+    """Officials counted per key and per value of the ``wild`` columns, once with the value and once with any.
+
+    A blank value on either side of a wild column fits everything. With the totals at hand a person asks for at most
+    two values of each, so a very common name costs a person a handful of rows however many officials bear it.
+    """
+    out = officials
+    for c in wild:
+        out = out.withColumn(c, F.explode(F.array(F.coalesce(c, F.lit("")), F.lit(ANY))))
+    return out.groupBy(*keys, *wild).agg(
+        F.count_distinct("bioguide_id").alias("_n"), F.min("bioguide_id").alias("_id"))
+
+
+def _asked(people: DataFrame, wild) -> DataFrame:
+    out = people
+    for c in wild:
+        given = F.coalesce(c, F.lit(""))
+        out = out.withColumn(c, F.explode(F.when(given != "", F.array(given, F.lit(""))).otherwise(F.array(F.lit(ANY)))))
+    return out
+
+
+def _candidates(people, officials, keys, wild, rule) -> DataFrame:
+    """(id, rule, candidates, bioguide_id) for people whose keys meet any official."""
+    found = _asked(people, wild).join(_offered(officials, keys, wild), [*keys, *wild]).groupBy("id").agg(
+        F.sum("_n").alias("candidates"), F.min("_id").alias("_id"))
+    return found.select("id", F.lit(rule).alias("rule"), "candidates",
+                        F.when(F.col("candidates") == 1, F.col("_id")).alias("bioguide_id"))
 
 
 def name_candidates(politicians: DataFrame, roster: DataFrame) -> DataFrame:
     """(id, rule, candidates, bioguide_id): how many officials fit each politician's name, strict rule before loose."""
-    people, officials = _name_parts(politicians), _roster_parts(roster)
-    asked = people.select("id", "chamber", "state", F.col("_words").alias("spelling"), "_initial")
-    strict = (
-        asked.join(_grouped(_spellings(officials), "spelling", "_m_initial"), ["chamber", "spelling"])
-        .filter(_state_fits() & ~is_true(F.col("_initial") != F.col("_m_initial")))
-    )
-    strict = _candidates(strict, "exact_name")
+    people = _name_parts(politicians.withColumn("state", F.upper("state")))
+    officials = _roster_parts(roster)
+    strict = _candidates(
+        people.select("id", "chamber", "state", F.col("_words").alias("spelling"), F.col("_initial").alias("initial")),
+        _spellings(officials).withColumnsRenamed({"r_state": "state", "_m_initial": "initial"}),
+        ["chamber", "spelling"], ["state", "initial"], "exact_name")
 
     # people without a strict match: a longer name around the same first and last words
     rest = people.join(strict.select("id"), "id", "left_anti").select(
@@ -71,25 +91,15 @@ def name_candidates(politicians: DataFrame, roster: DataFrame) -> DataFrame:
         F.expr("array_join(slice(_w, 1, _cut.a), ' ')").alias("first"),
         F.expr("array_join(slice(_w, size(_w) - _cut.b + 1, _cut.b), ' ')").alias("last"),
         F.expr("array_join(slice(_w, _cut.a + 1, size(_w) - _cut.a - _cut.b), ' ')").alias("extra"))
-    plain = _grouped(officials.select(
-        "bioguide_id", "chamber", F.col("state").alias("r_state"), F.col("_first").alias("first"),
-        F.col("_last").alias("last"), "_middle"), "first", "last", "_middle")
-    # an official middle name that starts with a single letter abbreviates any middle name with that letter
-    abbreviated = F.col("_middle").rlike(r"^\S( |$)") & F.startswith("extra", F.substring("_middle", 1, 1))
-    fits = (F.col("_middle") == "") | abbreviated | (F.col("extra") == F.col("_middle"))
-    loose = split.join(plain, ["chamber", "first", "last"]).filter(_state_fits() & fits)
-    return strict.unionByName(_candidates(loose, "name_with_extra_middle"))
-
-
-def _candidates(matches, rule):
-    # groups of one person's matches overlap when an entry has several spellings, so equal ids are counted once
-    found = matches.groupBy("id").agg(
-        F.max("_n").alias("_most"), F.min("_id").alias("bioguide_id"), F.max("_max").alias("_last"),
-        F.sum("_n").alias("_sum"))
-    single = (F.col("_most") == 1) & (F.col("bioguide_id") == F.col("_last"))
-    return found.select(
-        "id", F.lit(rule).alias("rule"), F.when(single, F.lit(1).cast("long")).otherwise(F.greatest(F.col("_sum"), F.lit(2))).alias("candidates"),
-        F.when(single, F.col("bioguide_id")).alias("bioguide_id"))
+    # the official may have no middle name, abbreviate it to a letter, or have exactly the same one
+    wants = split.withColumn("middle", F.explode(F.array(
+        F.lit(""), F.concat(F.lit("letter "), F.substring("extra", 1, 1)), F.concat(F.lit("name "), "extra")))).drop("extra")
+    has = officials.select(
+        "bioguide_id", "chamber", "state", F.col("_first").alias("first"), F.col("_last").alias("last"),
+        F.when(F.col("_middle") == "", "").when(F.col("_middle").rlike(r"^\S( |$)"), F.concat(F.lit("letter "), "_m_initial"))
+        .otherwise(F.concat(F.lit("name "), "_middle")).alias("middle"))
+    loose = _candidates(wants, has, ["chamber", "first", "last", "middle"], ["state"], "name_with_extra_middle")
+    return strict.unionByName(loose)
 
 
 def match_politicians(politicians: DataFrame, roster: DataFrame) -> DataFrame:
@@ -228,14 +238,10 @@ def gate_suggestions(suggestions, politicians, roster, min_confidence=0.9, auto_
     The candidates of a suggestion are the officials of the politician's chamber with the same surname. They are reduced
     to counts per (chamber, surname, state, district); no list of candidates is ever built.
     """
-    surname = _surname(name_words("last_name"))
     officials = roster.select(
         "bioguide_id", F.col("chamber").alias("r_chamber"), F.col("state").alias("r_state"),
-        F.col("district").alias("r_district"), surname.alias("r_surname"))
-    groups = officials.groupBy("r_chamber", "r_surname", "r_state", "r_district").agg(
-        F.count("*").alias("_n"), F.min("bioguide_id").alias("_first"))
-    people = _name_parts(politicians).select(
-        "id", "chamber", "state", "district", _surname("_words").alias("surname"))
+        F.col("district").alias("r_district"), _surname(name_words("last_name")).alias("r_surname"))
+    people = _name_parts(politicians).select("id", "chamber", "state", "district", _surname("_words").alias("surname"))
     asked = suggestions.join(people.withColumnRenamed("id", "politician_id"), "politician_id")
 
     def differs(mine, official):
@@ -243,11 +249,11 @@ def gate_suggestions(suggestions, politicians, roster, min_confidence=0.9, auto_
 
     off_state = differs("state", "r_state")
     off_district = differs("district", "r_district") & (F.col("r_chamber") == "house")
-    by_group = (
-        people.join(groups, (F.col("chamber") == F.col("r_chamber")) & (F.col("surname") == F.col("r_surname")))
-        .filter(~off_state & ~off_district)
-        .groupBy(F.col("id").alias("politician_id")).agg(F.sum("_n").alias("valid"), F.min("_first").alias("only_valid"))
-    )
+    offered = officials.select(
+        "bioguide_id", F.col("r_chamber").alias("chamber"), F.col("r_surname").alias("surname"), F.col("r_state").alias("state"),
+        F.when(F.col("r_chamber") == "house", F.col("r_district")).alias("district"))
+    by_group = _candidates(people, offered, ["chamber", "surname"], ["state", "district"], "surname").select(
+        F.col("id").alias("politician_id"), F.col("candidates").alias("valid"), F.col("bioguide_id").alias("only_valid"))
     chosen = officials.withColumnRenamed("bioguide_id", "selected_bioguide_id")
     owners = politicians.filter("bioguide_id IS NOT NULL").groupBy(
         F.col("bioguide_id").alias("selected_bioguide_id")).agg(F.max("id").alias("owner"))
