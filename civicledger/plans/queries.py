@@ -671,12 +671,7 @@ def filters_of(name):
 @query
 def screen_counts(t):
     """Totals of every filter set under the canonical rule."""
-    tables = _screen_tables(t)
-    out = None
-    for name in FILTER_SETS:
-        counts = S.screen_counts(S.screened(tables, S.PRESETS["balanced"], filters_of(name))).withColumn("filters", F.lit(name))
-        out = counts if out is None else out.unionByName(counts)
-    return out
+    return S.screen_counts_each(_screen_tables(t), S.PRESETS["balanced"], {name: filters_of(name) for name in FILTER_SETS})
 
 
 def _rule_rows(t, rule, filters=()):

@@ -4,10 +4,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from ..functions.rules import congress_of, is_true
+from ..functions.rules import congress_of, is_true, spread_null
 
-# a heading and the text that follows it inside one numbered or appointment paragraph
-PARAGRAPH = r"(?s)<header\b[^>]*>(.*?)</header>(?:(?!<header\b|</paragraph>|</committee-appointment-paragraph>).)*?<text\b[^>]*>(.*?)</text>"
+# from a heading to the end of the next text; what closes a paragraph in between belongs to neither
+BLOCK = r"(?s)<header\b.*?</text>"
+LAST_HEADER = r"(?s)^.*(?=<header\b)"
+PARAGRAPH_END = r"</(?:committee-appointment-)?paragraph>"
 
 
 def _plain(c):
@@ -30,18 +32,22 @@ def parse_resolutions(documents: DataFrame) -> DataFrame:
     """(label, url, date, verb, header, text): one row per committee paragraph of an adopted election or removal."""
     body = F.regexp_extract("xml", r"(?s)<resolution-body\b[^>]*>(.*)</resolution-body>", 1)
     adopted = F.regexp_extract(F.regexp_replace(F.regexp_replace("xml", r"<[^>]*>", " "), r"\s+", " "), K.ADOPTED_PATTERN, 1)
-    clauses = F.transform(F.regexp_extract_all("body", F.lit(r"(?s)<text\b[^>]*>(.*?)</text>"), F.lit(1)), _plain)
-    opening = F.lower(F.substring(F.array_join(F.filter(clauses, lambda t: F.lower(t).contains("committee")), " "), 1, 400))
-    verb = F.when(opening.contains("elected"), "elected").when(opening.contains("removed"), "removed")
-    parsed = (
-        documents.select("label", "url", F.try_to_date(adopted, "MMMM d, yyyy").alias("date"), body.alias("body"))
-        .filter("date IS NOT NULL").withColumn("verb", verb).filter("verb IS NOT NULL")
-    )
-    pairs = F.arrays_zip(
-        F.regexp_extract_all("body", F.lit(PARAGRAPH), F.lit(1)).alias("h"),
-        F.regexp_extract_all("body", F.lit(PARAGRAPH), F.lit(2)).alias("t"))
-    return parsed.select("label", "url", "date", "verb", F.posexplode(pairs).alias("paragraph", "p")).select(
-        "label", "url", "date", "verb", "paragraph", F.btrim(_plain("p.h"), F.lit(" :")).alias("header"), _plain("p.t").alias("text"))
+    clauses = F.regexp_extract_all(body, F.lit(r"(?s)<text\b[^>]*>(.*?)</text>"), F.lit(1))
+    spoken = F.filter(clauses, lambda t: F.lower(t).contains("committee"))
+    opening = F.lower(F.substring(_plain(F.array_join(spoken, " ")), 1, 400))
+    # the generator keeps the optimizer from repeating the work on the document in every condition on its outcome
+    parts = F.struct(adopted.alias("adopted"), body.alias("body"), opening.alias("opening"))
+    parsed = documents.select("label", "url", F.explode(F.array(parts)).alias("d")).select(
+        "label", "url", F.try_to_date("d.adopted", "MMMM d, yyyy").alias("date"),
+        F.when(F.col("d.opening").contains("elected"), "elected").when(F.col("d.opening").contains("removed"), "removed").alias("verb"),
+        "d.body").filter("date IS NOT NULL AND verb IS NOT NULL")
+    blocks = F.filter(
+        F.transform(F.regexp_extract_all("body", F.lit(BLOCK), F.lit(0)), lambda p: F.regexp_replace(p, LAST_HEADER, "")),
+        lambda p: ~p.rlike(PARAGRAPH_END))
+    return parsed.select("label", "url", "date", "verb", F.posexplode(blocks).alias("paragraph", "p")).select(
+        "label", "url", "date", "verb", "paragraph",
+        F.btrim(_plain(F.regexp_extract("p", r"(?s)<header\b[^>]*>(.*?)</header>", 1)), F.lit(" :")).alias("header"),
+        _plain(F.regexp_extract("p", r"(?s)<text\b[^>]*>(.*)</text>", 1)).alias("text"))
 
 
 def listed_names(paragraphs: DataFrame) -> DataFrame:
@@ -84,17 +90,21 @@ def committee_events(documents, members, committees, current_congress=None):
         served = F.when(sitting == current_congress, ~is_true(F.col("date") < F.col("sworn"))).when(
             sitting < current_congress, F.coalesce("prior_congress", F.lit(0)) >= sitting).otherwise(True)
     line = ["label", "url", "date", "verb", "committee_code", "paragraph", "segment"]
-    placed = lines.filter("committee_code IS NOT NULL AND name IS NOT NULL")
-    hits = placed.join(people, "_key").filter(fits & (F.col("bioguide_id").isNull() | served))
-    counted = hits.groupBy(*line).agg(
-        F.count("*").alias("candidates"), F.min("bioguide_id").alias("bioguide_id"),
-        F.collect_set("bioguide_id").alias("_maybe"))
+    # names that cannot be placed have no key; they are dealt over the partitions and meet nobody
+    placeable = F.col("committee_code").isNotNull() & F.col("name").isNotNull()
+    keyed = lines.withColumn("_key", spread_null(F.when(placeable, F.col("_key")), F.struct("label", "segment")))
+    official = people.withColumn("_member", F.lit(True))
+    candidate = F.col("_member") & fits & (F.col("bioguide_id").isNull() | served)
+    counted = keyed.join(official, "_key", "left").withColumn("_fits", is_true(candidate)).groupBy(*line).agg(
+        *[F.first(c).alias(c) for c in ("header", "name", "state", "odd")],
+        F.count_if("_fits").alias("candidates"), F.min(F.when(F.col("_fits"), F.col("bioguide_id"))).alias("bioguide_id"),
+        F.collect_set(F.when(F.col("_fits"), F.col("bioguide_id"))).alias("_maybe"))
     outcome = (
         F.when(F.col("odd").isNotNull(), "odd_segment").when(F.col("committee_code").isNull(), "unmapped_committee")
         .when((F.col("candidates") == 1) & F.col("bioguide_id").isNotNull(), "event")
         .when(F.col("candidates") > 1, "ambiguous").otherwise("unresolved")
     )
-    report = lines.join(counted, line, "left").withColumn("outcome", outcome).select(
+    report = counted.withColumn("outcome", outcome).select(
         *line, "header", "name", "state", "odd", "outcome",
         F.when(F.col("outcome") == "event", F.col("bioguide_id")).alias("bioguide_id"),
         F.when(F.col("outcome") == "ambiguous", F.col("_maybe")).alias("maybe"))
