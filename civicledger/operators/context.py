@@ -235,33 +235,24 @@ def context_evidence(context: DataFrame, mappings: DataFrame, cfg: ContextConfig
     return _mapping_evidence(context, mappings, key).unionByName(_metric_evidence(context, cfg, key), allowMissingColumns=True)
 
 
-KINDS = {
-    "direct": ("reviewed_direct_mapping", "Direct"),
-    "related": ("reviewed_related_mapping", "Related (supporting context only)"),
-    "rejected": ("rejected_current_assignment",
-                 "Rejected: a current seat would match, but official House records show it was not held on the transaction date"),
-}
-
-
 def _mapping_evidence(context, mappings, key):
     def tag(name, kind, label):
         return F.transform(F.col(name), lambda m: F.struct(
             F.lit(kind).alias("evidence_type"), F.lit(label).alias("label"), m["mapping_id"].alias("mapping_id"),
             (F.lit(K.CONTRADICTED) if name == "rejected" else m["status"]).alias("temporal_status")))
 
-    tagged = [tag(name, *texts) for name, texts in KINDS.items()]
+    tagged = [tag(name, *texts) for name, texts in K.EVIDENCE_KINDS.items()]
     rows = context.select(*key, "sic_code", "industry", F.explode(F.concat(*tagged)).alias("m")).select(
         *key, "sic_code", "industry", "m.*")
     described = rows.join(mappings.drop("mapping_version"), "mapping_id")
     where = F.concat_ws(" / ", "committee_name", "subcommittee_name")
     sic_range = F.format_string("%04d-%04d", "sic_start", "sic_end")
     timing = F.when(F.col("temporal_status") == K.CONTRADICTED, "").otherwise(
-        F.concat(F.lit(" Seat timing: "), F.replace("temporal_status", F.lit("_"), F.lit(" ")), F.lit(".")))
+        F.format_string(K.SEAT_TIMING_TEXT, F.replace("temporal_status", F.lit("_"), F.lit(" "))))
     return described.select(
         *key, F.lit("committee_relevance").alias("signal_type"), "evidence_type",
         F.concat(F.lit("mapping:"), F.col("mapping_id").cast("string")).alias("evidence_key"),
-        F.concat(F.col("label"), F.lit(": "), where, F.lit(", SIC "), sic_range, F.lit(". "), F.col("rationale"), timing)
-        .alias("description"),
+        F.concat(F.format_string(K.MAPPING_TEXT, "label", where, sic_range, "rationale"), timing).alias("description"),
         "committee_code", "subcommittee_code", "mapping_id", "source_url",
         _sorted_json(
             committee_name=F.col("committee_name"), subcommittee_name=F.col("subcommittee_name"),
@@ -276,25 +267,17 @@ def _mapping_evidence(context, mappings, key):
 
 def _metric_evidence(context, cfg, key):
     value = F.col("trade_size_value")
-    sample = F.coalesce("trade_size_sample_size", F.lit(0)).cast("string")
+    sample = F.coalesce("trade_size_sample_size", F.lit(0))
     upper = F.when(F.col("amount_max").isNull(), "open-ended").otherwise(_money("amount_max"))
-    ranked = F.concat(
-        F.lit(" "), F.format_string("%.0f", F.bround("trade_size_percentile")), F.lit("th percentile among "), sample,
-        F.lit(" earlier trades by this politician (median "), _money("trade_size_median"), F.lit(")."))
-    short = F.concat(
-        F.lit(" Not enough history for a percentile: "), sample,
-        F.lit(f" earlier trades with a usable range, {cfg.min_history} needed."))
+    basis = F.replace("trade_size_basis", F.lit("_"), F.lit(" "))
+    ranked = F.format_string(K.SIZE_RANK_TEXT, F.bround("trade_size_percentile"), sample, _money("trade_size_median"))
+    short = F.format_string(K.SIZE_SHORT_TEXT.format(min_history=cfg.min_history), sample)
     size_text = F.concat(
-        F.lit("Representative value "), _money(value), F.lit(" ("), F.replace("trade_size_basis", F.lit("_"), F.lit(" ")),
-        F.lit(") from the disclosed range "), _money("amount_min"), F.lit("-"), upper, F.lit("."),
+        F.format_string(K.SIZE_TEXT, _money(value), basis, _money("amount_min"), upper),
         F.when(F.col("trade_size_percentile").isNotNull(), ranked).otherwise(short))
-    delay_text = F.concat(
-        F.lit("Disclosed "), F.col("disclosure_delay_days").cast("string"),
-        F.lit(f" days after the transaction (the signal marks a delay of more than {cfg.delay_days} days; "
-              "filing circumstances are not known)."))
+    delay_text = F.format_string(K.DELAY_TEXT.format(delay_days=cfg.delay_days), "disclosure_delay_days")
     excess_text = F.format_string(
-        f"{cfg.benchmark} excess return %+.1f percentage points over {cfg.excess_horizon_days} days from %s "
-        f"(security %+.1f%%, benchmark %+.1f%%; threshold {cfg.excess_return * 100:.0f} points, absolute).",
+        K.EXCESS_TEXT.format(benchmark=cfg.benchmark, horizon=cfg.excess_horizon_days, points=f"{cfg.excess_return * 100:.0f}"),
         F.col("excess_return") * 100, F.col("performance_anchor_date").cast("string"),
         F.col("security_return") * 100, F.col("benchmark_return") * 100)
 

@@ -72,7 +72,7 @@ def normalize_members(raw: DataFrame) -> DataFrame:
 
 def member_url(bioguide_id, first, last):
     slug = F.btrim(F.regexp_replace(F.lower(F.concat_ws(" ", first, last)), "[^a-z0-9]+", "-"), F.lit("-"))
-    return F.concat(F.lit("https://www.congress.gov/member/"), slug, F.lit("/"), F.col(bioguide_id))
+    return F.format_string(K.MEMBER_URL, slug, F.col(bioguide_id))
 
 
 def read_clerk_roster(spark: SparkSession, path) -> DataFrame:
