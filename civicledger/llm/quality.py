@@ -3,8 +3,8 @@
 Each text gets its counts (words, symbols, repeated lines, repeated 3-word windows) and from them a few ratios, the rules' values.
 For each rule and stratum (language), labelled documents decide how strict a cutoff may be: of a fixed list of cutoffs, from the most
 lenient on, a cutoff is accepted as long as an exact binomial test rejects "more than RISK / rules of the good documents fall to it";
-the first that doesn't pass ends the list. Of the accepted cutoffs the one is taken that catches most, WORTH bad documents counting
-as much as one good document. Testing in a fixed order needs no correction within the list; the level is divided by the
+the first that doesn't pass ends the list. Of the accepted cutoffs the one is taken that catches most of what the rules before left,
+WORTH bad documents counting as much as one good document. Testing in a fixed order needs no correction within the list; the level is divided by the
 number of rules and strata. With probability 1 - LEVEL all cutoffs together then reject at most RISK of any stratum's good documents.
 Where labels are too few to prove anything, no document is rejected by the rule.
 
@@ -106,38 +106,44 @@ def binomial_tail(x, n, p):
     return min(1.0, math.exp(top) * math.fsum(math.exp(v - top) for v in logs))
 
 
-def proven(good, bad, risk, level):
-    """The best of the cutoffs that are proven harmless: good[b] and bad[b] count labelled documents of bin b. None if none is of use."""
-    n, best, gain = int(sum(good)), None, 0
-    fallen_good = fallen_bad = 0
+def proven(good, new_good, new_bad, risk, level):
+    """The best of the cutoffs that are proven harmless, None if none is of use.
+
+    good[b] counts the labelled good documents of bin b, new_good and new_bad those that no rule before rejects.
+    """
+    n, best, most = int(sum(good)), None, 0
+    fallen = gain = 0
     for cut in range(BINS, 0, -1):
-        fallen_good, fallen_bad = fallen_good + int(good[cut]), fallen_bad + int(bad[cut])
+        fallen, gain = fallen + int(good[cut]), gain + int(new_bad[cut]) - WORTH * int(new_good[cut])
         # the test is passed by few falls only: beyond the mean it can't be, and the sum stays short
-        if not n or fallen_good > risk * n or binomial_tail(fallen_good, n, risk) > level:
+        if not n or fallen > risk * n or binomial_tail(fallen, n, risk) > level:
             break
-        if fallen_bad - WORTH * fallen_good > gain:
-            best, gain = cut, fallen_bad - WORTH * fallen_good
+        if gain > most:
+            best, most = cut, gain
     return best
 
 
 def cutoffs(rows, labels, id_column="doc_id", good="quality", risk=RISK, level=LEVEL):
-    """(stratum, a cutoff column for each rule) from labelled rows. Counts per stratum, rule and bin are all that is gathered."""
+    """(stratum, a cutoff column for each rule) from labelled rows. Counts per stratum and bin are all that a rule gathers."""
     rules = rule_bins()
     said = labels.where(F.col(good).isNotNull() & F.col(id_column).isNotNull()).groupBy(id_column).agg(F.max(F.col(good).cast("int")).alias("is_good"))
     binned = rows.where((F.col("n_words") >= 50) & (100 * F.col("n_repeat_words") <= 50 * F.col("n_words"))).join(said, id_column)
-    pairs = F.explode(F.array(*[F.struct(F.lit(k).alias("rule"), v.alias("bin")) for k, v in rules.items()])).alias("x")
-    counts = (binned.select("stratum", "is_good", pairs).groupBy("stratum", F.col("x.rule").alias("rule"), F.col("x.bin").alias("bin"))
-              .agg(F.sum(F.when(F.col("is_good") > 0, 1).otherwise(0)).alias("good"), F.sum(F.when(F.col("is_good") > 0, 0).otherwise(1)).alias("bad")))
-    counts = stored(counts, "label-counts")
-    tests = len(rules) * max(1, counts.select("stratum").distinct().count())
-    each_risk, each_level = risk / len(rules), level / tests
+    binned = stored(binned.select("stratum", (F.col("is_good") > 0).alias("is_good"), *[v.alias(k) for k, v in rules.items()]), "labelled-bins")
+    chosen = binned.select("stratum").distinct()
+    each_risk, each_level = risk / len(rules), level / (len(rules) * max(1, chosen.count()))
 
     def choose(key, part):
-        by_bin = {c: np.bincount(part["bin"], weights=part[c], minlength=BINS + 1) for c in ("good", "bad")}
-        return pd.DataFrame({"stratum": [key[0]], "rule": [key[1]], "cutoff": pd.array([proven(by_bin["good"], by_bin["bad"], each_risk, each_level)], dtype="Int32")})
-
-    chosen = counts.groupBy("stratum", "rule").applyInPandas(choose, "stratum string, rule string, cutoff int")
-    return chosen.groupBy("stratum").agg(*[F.max(F.when(F.col("rule") == k, F.col("cutoff"))).alias(f"cut_{k}") for k in rules])
+        by_bin = [np.bincount(part["bin"], weights=part[c], minlength=BINS + 1) for c in ("good", "new_good", "new_bad")]
+        return pd.DataFrame({"stratum": [key[0]], "cutoff": pd.array([proven(*by_bin, each_risk, each_level)], dtype="Int32")})
+
+    free, one = F.lit(True), F.lit(1).cast("bigint")
+    for rule in rules:
+        counts = (binned.join(chosen, "stratum").groupBy("stratum", F.col(rule).alias("bin"))
+                  .agg(*[F.coalesce(F.sum(F.when(c, one)), F.lit(0)).alias(n) for n, c in (("good", F.col("is_good")), ("new_good", F.col("is_good") & free), ("new_bad", ~F.col("is_good") & free))]))
+        cut = counts.groupBy("stratum").applyInPandas(choose, "stratum string, cutoff int").withColumnRenamed("cutoff", f"cut_{rule}")
+        chosen = stored(chosen.join(cut, "stratum", "left"), f"cutoffs-{rule}")
+        free = free & F.coalesce(F.col(rule) < F.col(f"cut_{rule}"), F.lit(True))
+    return chosen
 
 
 def judge(docs, labels, id_column="doc_id", text="text", stratum="lang", good="quality", risk=RISK, level=LEVEL):

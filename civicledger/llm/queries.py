@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, packing, quality, token_counts, token_output
+from . import decontaminate, jaccard_join, packing, quality, token_counts, token_output
 
 
 def table(spark, folder, name):
@@ -15,6 +15,10 @@ def vocabulary(name):
     return public_tokenizers.path(name)
 
 
+def op1_jaccard_join(spark, folder):
+    return jaccard_join.join(table(spark, folder, "documents"))[0].select("doc_id", "n_shingles", "component_id")
+
+
 def op3_token_output(spark, folder):
     files, book = token_output.write_token_files(table(spark, folder, "documents"), vocabulary("byte_bpe_50k.json"))
     return token_output.read_token_files(files, book).select("doc_id", "start", "n_tokens", "ids_crc32")
@@ -36,5 +40,5 @@ def op9_quality_rules(spark, folder):
     return quality.judge(table(spark, folder, "documents"), table(spark, folder, "labels")).drop("stratum").withColumn("rejected_by", F.array_join("rejected_by", ","))
 
 
-QUERIES = {f.__name__: f for f in (op3_token_output, op4_decontamination, op5_packing, op6_token_counts, op9_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_jaccard_join, op3_token_output, op4_decontamination, op5_packing, op6_token_counts, op9_quality_rules)}
 ORACLES = {}
