@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard_join, packing, quality, token_counts, token_output
+from . import decontaminate, html_extract, jaccard_join, lm_score, packing, quality, token_counts, token_output
 
 
 def table(spark, folder, name):
@@ -36,9 +36,17 @@ def op6_token_counts(spark, folder):
     return token_counts.token_counts(table(spark, folder, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op7_lm_score(spark, folder):
+    return lm_score.scores(table(spark, folder, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
 def op9_quality_rules(spark, folder):
     return quality.judge(table(spark, folder, "documents"), table(spark, folder, "labels")).drop("stratum").withColumn("rejected_by", F.array_join("rejected_by", ","))
 
 
-QUERIES = {f.__name__: f for f in (op1_jaccard_join, op3_token_output, op4_decontamination, op5_packing, op6_token_counts, op9_quality_rules)}
+def op10_html_extraction(spark, folder):
+    return html_extract.extract(table(spark, folder, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op1_jaccard_join, op3_token_output, op4_decontamination, op5_packing, op6_token_counts, op7_lm_score, op9_quality_rules, op10_html_extraction)}
 ORACLES = {}
