@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_extract, jaccard_join, lm_score, packing, quality, token_counts, token_output
+from . import decontaminate, html_extract, jaccard_join, lm_score, packing, quality, suffix_dedup, token_counts, token_output
 
 
 def table(spark, folder, name):
@@ -40,6 +40,10 @@ def op7_lm_score(spark, folder):
     return lm_score.scores(table(spark, folder, "documents"), vocabulary("piece_bpe_32k.model"))
 
 
+def op8_suffix_dedup(spark, folder):
+    return suffix_dedup.repeats(table(spark, folder, "documents"))
+
+
 def op9_quality_rules(spark, folder):
     return quality.judge(table(spark, folder, "documents"), table(spark, folder, "labels")).drop("stratum").withColumn("rejected_by", F.array_join("rejected_by", ","))
 
@@ -48,5 +52,5 @@ def op10_html_extraction(spark, folder):
     return html_extract.extract(table(spark, folder, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_jaccard_join, op3_token_output, op4_decontamination, op5_packing, op6_token_counts, op7_lm_score, op9_quality_rules, op10_html_extraction)}
+QUERIES = {f.__name__: f for f in (op1_jaccard_join, op3_token_output, op4_decontamination, op5_packing, op6_token_counts, op7_lm_score, op8_suffix_dedup, op9_quality_rules, op10_html_extraction)}
 ORACLES = {}
