@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_extract, jaccard_join, lm_score, packing, quality, suffix_dedup, token_counts, token_output
+from . import decontaminate, html_extract, jaccard_join, line_dedup, lm_score, packing, quality, suffix_dedup, token_counts, token_output
 
 
 def table(spark, folder, name):
@@ -19,6 +19,10 @@ def op1_jaccard_join(spark, folder):
     return jaccard_join.join(table(spark, folder, "documents"))[0].select("doc_id", "n_shingles", "component_id")
 
 
+def op2_line_dedup(spark, folder):
+    return line_dedup.dedup(table(spark, folder, "documents"), counted=True).select("doc_id", "n_lines", "n_dropped", "text")
+
+
 def op3_token_output(spark, folder):
     files, book = token_output.write_token_files(table(spark, folder, "documents"), vocabulary("byte_bpe_50k.json"))
     return token_output.read_token_files(files, book).select("doc_id", "start", "n_tokens", "ids_crc32")
@@ -52,5 +56,5 @@ def op10_html_extraction(spark, folder):
     return html_extract.extract(table(spark, folder, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_jaccard_join, op3_token_output, op4_decontamination, op5_packing, op6_token_counts, op7_lm_score, op8_suffix_dedup, op9_quality_rules, op10_html_extraction)}
+QUERIES = {f.__name__: f for f in (op1_jaccard_join, op2_line_dedup, op3_token_output, op4_decontamination, op5_packing, op6_token_counts, op7_lm_score, op8_suffix_dedup, op9_quality_rules, op10_html_extraction)}
 ORACLES = {}
