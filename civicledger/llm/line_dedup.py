@@ -1,14 +1,14 @@
 """Fuzzy line deduplication by DataFrame functions alone.
 
 Lines are normalised (lower case, runs of white space one blank, trimmed). A line's SimHash has 63 bits: bit b is set if more than half of its
-words' hashes have it. The counts of three bits share one long, so one pass of partial sums over the words makes them. Lines whose
+distinct words' hashes have it (a separator that stands after every word must not decide alone). The counts of three bits share one long, so one pass of partial sums over the words makes them. Lines whose
 SimHashes differ in at most TOLERANCE = 3 bits agree in two of five blocks; each pair of blocks makes a bucket. A line is compared
 with its bucket's hub, the least line in it, and, once links have made components, with the lines of the bucket that are in another
 component: no link inside the tolerance is lost, and a bucket of many variants is not expanded into all its pairs. A link needs edit
 similarity: at most (100 - percent) % of the longer line's characters edited. Of each connected group, equal lines included, the first
 occurrence by document id, text and line number is kept.
 
-Lines without a visible character are never dropped. A line of more than 2,097,151 words is deduplicated with equal lines only. Null texts
+Lines without a visible character are never dropped. A line of more than 2,097,151 distinct words is deduplicated with equal lines only. Null texts
 stay null. Rows with the same id and text count as one; a null id sorts first. Empty tables give no rows. Further columns of docs are kept
 as they are; their names don't matter.
 """
@@ -42,7 +42,7 @@ def lines_of(docs, id_column, text):
 def simhashes(lines):
     """Every line with its SimHash and length; the SimHash is null beyond MOST_WORDS words."""
     keys = ["id", "fp", "line", "k1", "k2", "length"]
-    words = lines.select(*keys[:-1], F.length("norm").alias("length"), F.explode(F.split("norm", " ")).alias("word")).withColumn("h", F.xxhash64("word"))
+    words = lines.select(*keys[:-1], F.length("norm").alias("length"), F.explode(F.array_distinct(F.split("norm", " "))).alias("word")).withColumn("h", F.xxhash64("word"))
     mask = 1 | 1 << LANE | 1 << 2 * LANE
     sums = words.groupBy(*keys).agg(F.count("*").alias("words"), *[F.sum(F.shiftrightunsigned("h", i).bitwiseAND(F.lit(mask))).alias(f"s{i}") for i in range(LANE)])
     bits = None
