@@ -1,22 +1,45 @@
-"""The corpus pipeline: each stage works on what the one before it kept; the last one packs the rest."""
+"""The corpus pipeline: each stage works on what the one before it kept; the last one packs the rest.
+
+Documents are told apart by their id: rows that share an id stay or go together. A row without an id stays where a stage decides by id.
+"""
 
 from pyspark.sql import functions as F
 
-from civicledger.llm import decontaminate, packing, quality
+from civicledger.llm import decontaminate, jaccard_join, line_dedup, packing, quality
 from civicledger.llm.queries import table, vocabulary
 from civicledger.session import stored
 
+#: ids that may be sent to all tasks; beyond it documents are joined to them by a shuffle
+SENT_IDS = 1_000_000
+
+
+def _without(docs, ids):
+    """docs but for the rows with one of the ids."""
+    ids = stored(ids.select(F.col("doc_id").alias("gone")).where("gone is not null").distinct(), "ids-to-go")
+    ids = F.broadcast(ids) if ids.count() <= SENT_IDS else ids
+    return docs.join(ids, docs["doc_id"] == ids["gone"], "left_anti").select(*docs.columns)
+
 
 def quality_rules(spark, docs, sf_dir):
-    """Documents that the rules reject go. Rows that share an id are judged one by one and go if one of them is rejected."""
-    bad = quality.judge(docs, table(spark, sf_dir, "labels")).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+    """Documents that the rules reject go."""
+    return _without(docs, quality.judge(docs, table(spark, sf_dir, "labels")).where(~F.col("kept")))
+
+
+def lines_once(spark, docs, sf_dir):
+    """Repeated lines go; so do documents of which no visible line is left. n_chars follows the text."""
+    out = line_dedup.dedup(docs, counted=True).where("n_lines = 0 or n_dropped < n_lines")
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+
+
+def one_of_each_group(spark, docs, sf_dir):
+    """Of documents whose shingles link them, the one with the least id stays."""
+    rows, _ = jaccard_join.join(docs)
+    return _without(docs, rows.where("component_id < doc_id"))
 
 
 def decontamination(spark, docs, sf_dir):
     """Documents that hold a benchmark passage go."""
-    bad = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")).where("n_hit > 0").select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+    return _without(docs, decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")).where("n_hit > 0"))
 
 
 def packed(spark, docs, sf_dir):
@@ -24,7 +47,7 @@ def packed(spark, docs, sf_dir):
     return packing.digests(packing.pack(docs, vocabulary("word_bpe_49k.json")))
 
 
-STAGES = [("quality_rules", quality_rules), ("decontamination", decontamination), ("packing", packed)]
+STAGES = [("quality_rules", quality_rules), ("line_dedup", lines_once), ("ngram_jaccard_join", one_of_each_group), ("decontamination", decontamination), ("packing", packed)]
 #: SQL has neither the tokenizers nor the similarity operators
 ORACLE_SQL = None
 
