@@ -25,7 +25,7 @@ def components(links):
     while True:
         # done when every node points at a root: no node has two targets, no target points on
         state = edges.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("a", "b"), F.lit(1 << 30)))).first()
-        if state == before:
+        if state == before or not state[0]:
             break
         edges, before = stored(_stars(edges), "links"), state
     roots = edges.select(F.col("b").alias("node")).distinct()
