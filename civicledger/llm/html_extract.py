@@ -7,7 +7,8 @@ is never template, however often it recurs. Elements that say what they are (nav
 or role such as menu, sidebar, advert, cookie notice, comments) go in any case. If a page has a landmark with text, its text is the result, else
 the rest of the body.
 
-Per host at most (subtrees of a page / SHARE) subtrees can be template, so a host's list is small; it is joined to the pages by host.
+Per host at most (subtrees of a page / SHARE) subtrees can be template, so a host's list is small. The lists are sent to the tasks if their
+counted size allows; else the pages meet them by host and a part of the host.
 
 A null or empty page gives an empty text. Bytes that end inside a tag end the page there. A null url is a host of its own. Pages are judged
 row by row, also when ids or urls repeat; a page repeated often makes its own subtrees template outside landmarks. Extra columns are
@@ -27,6 +28,9 @@ from civicledger.session import stored
 MIN_PAGES = 5
 SHARE = 0.25
 SLICE = 256
+#: hashes that may be sent to all tasks; beyond it pages meet their host's list by a join dealt over SALTS parts of each host
+SENT_HASHES = 1_000_000
+SALTS = 64
 
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = set("script style textarea title noscript template iframe noembed noframes xmp".split())
@@ -220,7 +224,15 @@ def site_templates(pages, page="html", url="url", min_pages=MIN_PAGES, share=SHA
 def extract(pages, id_column="page_id", url="url", page="html", min_pages=MIN_PAGES, share=SHARE):
     """One row per row of pages: its id, url, text, n_chars."""
     templates = site_templates(pages, page, url, min_pages, share)
-    rows = pages.select(id_column, url, page, host_of(F.col(url)).alias("host")).join(templates, "host", "left").select(id_column, url, page, "template")
+    templates = stored(templates, "site-templates")
+    rows = pages.select(F.col(id_column), F.col(url), F.col(page), host_of(F.col(url)).alias("site host"))
+    if (templates.agg(F.sum(F.size("template"))).first()[0] or 0) <= SENT_HASHES:
+        rows = rows.join(F.broadcast(templates), F.col("site host") == F.col("host"), "left")
+    else:  # a host may have very many pages
+        parts = templates.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        rows = rows.withColumn("page part", F.pmod(F.xxhash64(id_column, url), F.lit(SALTS)).cast("int"))
+        rows = rows.join(parts, (F.col("site host") == F.col("host")) & (F.col("page part") == F.col("part")), "left")
+    rows = rows.select(id_column, url, page, "template")
     kinds = ", ".join(f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in (id_column, url))
 
     def texts(batches):

@@ -164,7 +164,9 @@ def test_very_deep_and_long_pages():
     assert len(html_extract.main_text(html_extract.parse("<p>word " * 50000))) == 5 * 50000 - 1
 
 
-def test_site_templates_go(spark):
+@pytest.mark.parametrize("sent", [1_000_000, -1])
+def test_site_templates_go(spark, monkeypatch, sent):
+    monkeypatch.setattr(html_extract, "SENT_HASHES", sent)
     slogan = "<div><p>Our slogan on every page</p></div>"
     pages = [(k, f"https://www.a.example:80/{k}", f"<body>{slogan}<div><p>own text {k}</p></div><div><span>made by us</span></div>") for k in range(20)]
     pages += [(100 + k, f"http://b.example/{k}", f"<body>{slogan}<p>other {k}</p>") for k in range(3)]  # too few pages to tell
