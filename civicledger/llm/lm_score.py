@@ -8,7 +8,7 @@ the corpus. A log-space forward recursion over a word's characters sums all spel
 is mostly that in one of a few classes of documents (languages); the probability of the text is the marginal over the classes.
 
 What is gathered from the corpus is a table of word counts, which grows with it and stays distributed. Each word's probability is
-worked out once. The HOT most frequent words, a fixed number, are sent to the tasks; all others are looked up by a join on the word.
+worked out once. The most frequent words, HOT at most, are sent to the tasks; all others are looked up by a join on the word.
 
 Words are lower-cased (A-Z) and end at white space; every text has one end token more. Null and empty texts are one end token. A row trains
 if crc32 of its id as text, modulo FOLDS, is not HELD_OUT; a row without an id counts as held out. A null class is a class of its own;
@@ -266,8 +266,19 @@ def scores(docs, path, id_column="doc_id", text="text", column="lang"):
 
 
 def _hot(scored, k):
-    """The values of the HOT most frequent words, and of END, for the tasks: (table, places by hash)."""
-    rows = scored.where("c > 0").orderBy(F.desc("c"), "word").limit(HOT).toPandas()
+    """The values of the most frequent words, HOT at most, and of END, for the tasks: (table, places by hash).
+
+    The least count that is sent comes from a histogram of sixteenths of powers of two, so no more rows than that leave a task.
+    """
+    step = F.floor(F.log2("c") * 16).cast("int")
+    sizes = sorted(((r["step"], r["count"]) for r in scored.where("c > 0").groupBy(step.alias("step")).count().collect()), reverse=True)
+    least, total = None, 0
+    for at, n in sizes:
+        total += n
+        if total > HOT:
+            break
+        least = at
+    rows = scored.where((F.col("c") > 0) & (step >= F.lit(least if least is not None else 1 << 20))).toPandas()
     end = scored.where(F.col("word") == END).toPandas()
     table = np.concatenate([f[["c", "base", *(f"l{g}" for g in range(k))]].to_numpy(dtype=np.float64).reshape(-1, 2 + k) for f in (rows, end)])
     table[:, 0] = table[:, 0] > 0
