@@ -14,7 +14,8 @@ def _col(c):
 
 
 def _text(c):
-    return F.trim(F.coalesce(_col(c), F.lit("")))
+    """Text without white space of any kind at its ends; NULL as the empty text."""
+    return F.regexp_replace(F.coalesce(_col(c), F.lit("")), r"^\s+|\s+\z", "")
 
 
 def empty_to_null(c) -> Column:
@@ -86,11 +87,11 @@ def parse_date(c) -> Column:
 def _fold_tables():
     """Accent folding derived from the Unicode database: one-to-one letters, and the few that become several."""
     single, several = {}, {}
-    for code in [*range(0x00A0, 0x0250), *range(0x1E00, 0x1F00), *range(0xFB00, 0xFB07)]:
+    for code in [*range(0x00A0, 0xD800), *range(0xE000, 0x10000)]:
         plain = unicodedata.normalize("NFKD", chr(code)).encode("ascii", "ignore").decode()
         if len(plain) == 1:
             single[chr(code)] = plain
-        elif plain:
+        elif plain.strip():
             several[chr(code)] = plain
     return single, several
 
@@ -99,11 +100,14 @@ _SINGLE, _SEVERAL = _fold_tables()
 
 
 def fold_accents(c) -> Column:
-    """Accented Latin letters as plain ones; whatever has no plain form is dropped."""
-    pairs = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(v).alias("v")) for k, v in _SEVERAL.items()])
+    """Letters with a plain form as that form, full-width ones included; whatever has none is dropped.
+
+    Signs that become several letters are rare, so they are looked for only in texts that still hold something foreign.
+    """
+    table = F.create_map(*[F.lit(x) for pair in _SEVERAL.items() for x in pair])
     single = F.translate(_col(c), "".join(_SINGLE), "".join(_SINGLE.values()))
-    return F.regexp_replace(
-        F.aggregate(pairs, single, lambda text, p: F.replace(text, p["k"], p["v"])), r"[^\x00-\x7F]", "")
+    letters = F.transform(F.split(single, ""), lambda x: F.coalesce(F.try_element_at(table, x), x))
+    return F.when(single.rlike(r"[^\x00-\x7F]"), F.regexp_replace(F.array_join(letters, ""), r"[^\x00-\x7F]", "")).otherwise(single)
 
 
 def name_words(c) -> Column:

@@ -79,7 +79,8 @@ def security_mappings(securities: DataFrame, mappings: DataFrame) -> DataFrame:
     The mapping file is one value for all securities; ranges and patterns are tested once per security, not per trade.
     """
     text = F.xxhash64(*[c for c in mappings.columns if c in (
-        "rationale", "source_url", "source_citation", "sic_start", "sic_end", "jurisdiction_basis", "mapping_id")])
+        "rationale", "source_url", "source_citation", "sic_start", "sic_end", "jurisdiction_basis", "mapping_id",
+        "committee_code", "committee_name", "subcommittee_code", "subcommittee_name", "relevance_level", "review_status")])
     item = F.struct(
         *mapping_rank(), "mapping_id", "sic_start", "sic_end", "industry_pattern", F.col("is_reviewed").alias("reviewed"),
         F.expr("relevance_level = 'direct'").alias("is_direct"), text.alias("text_hash"))
@@ -179,8 +180,8 @@ STORED = [
 
 
 def result_digest():
-    """A hash of everything stored for a trade, so an unchanged result is recognised on the next run."""
-    return F.sha2(F.to_json(F.struct(*STORED), {"ignoreNullFields": "false"}), 256)
+    """A hash of everything stored for a trade and everything its evidence quotes, so an unchanged result is recognised."""
+    return F.sha2(F.to_json(F.struct(*STORED, "sic_code", "industry", "amount_min", "amount_max"), {"ignoreNullFields": "false"}), 256)
 
 
 def select_trades(trades, politicians, ids=None, ticker=None, politician=None, limit=None) -> DataFrame:
@@ -353,6 +354,16 @@ def context_summary(context: DataFrame) -> DataFrame:
 VERSION_KEY = ["trade_id", "context_version", "mapping_version"]
 
 
+def current_context(rows: DataFrame, mappings: DataFrame | None = None, version=K.ENGINE_VERSION) -> DataFrame:
+    """Stored context or evidence of the engine's own version and the newest mapping version; readers use no other rows.
+
+    Without the mappings the newest mapping version is that of the rows themselves.
+    """
+    own = rows.filter(F.col("context_version") == version)
+    newest = (own if mappings is None else mappings).agg(F.max("mapping_version"))
+    return own.filter(F.col("mapping_version") == newest.scalar())
+
+
 def merge_context(new: DataFrame, stored: DataFrame, force=False) -> DataFrame:
     """All rows after a run with ``action``: inserted, updated, unchanged, or kept (not part of this run)."""
     old = stored.select(*VERSION_KEY, F.col("result_digest").alias("_old"))

@@ -154,14 +154,18 @@ def with_group_size(trades: DataFrame) -> DataFrame:
     return keyed.join(sizes, GROUP_KEY).withColumn("group_key", label).drop("ticker_key")
 
 
-def politician_breakdown(trades: DataFrame, politician=None, n=500) -> tuple[DataFrame, DataFrame]:
-    """(buys and sells per month, top ten tickers) over each politician's newest trades, or those of one politician."""
+def politician_breakdown(trades: DataFrame, politician=None, newest=None) -> tuple[DataFrame, DataFrame]:
+    """(buys and sells per month, top ten tickers) over all trades of each politician, or of one.
+
+    ``newest`` narrows it to that many of a politician's newest trades.
+    """
     wanted = trades if politician is None else trades.filter(F.col("politician_id") == politician)
-    newest = newest_per(wanted, "politician_id", [F.col("transaction_date").desc(), F.col("id").desc()], n)
+    if newest:
+        wanted = newest_per(wanted, "politician_id", [F.col("transaction_date").desc(), F.col("id").desc()], newest)
     counts = [_buys().alias("buys"), _sells().alias("sells")]
-    monthly = newest.groupBy(
+    monthly = wanted.groupBy(
         "politician_id", F.date_format("transaction_date", "yyyy-MM").alias("month")).agg(*counts)
-    tickers = newest.groupBy("politician_id", F.coalesce("ticker", F.lit("—")).alias("ticker")).agg(*counts)
+    tickers = wanted.groupBy("politician_id", F.coalesce("ticker", F.lit("—")).alias("ticker")).agg(*counts)
     return monthly, newest_per(tickers, "politician_id", [(F.col("buys") + F.col("sells")).desc(), F.col("ticker")], 10)
 
 

@@ -105,7 +105,7 @@ def seat_days(days: DataFrame, seats: DataFrame) -> DataFrame:
     per_committee = Window.partitionBy("politician_id", "transaction_date", "committee_code")
     is_exact = is_true(F.col("temporal_precision") == K.PRECISION_EXACT)
     is_congress = is_true(F.col("temporal_precision") == K.PRECISION_CONGRESS)
-    is_snapshot = F.col("temporal_precision").isNull() | (F.col("temporal_precision") == K.PRECISION_SNAPSHOT)
+    is_snapshot = is_true(F.col("temporal_precision") == K.PRECISION_SNAPSHOT)
     sitting = is_true(F.col("congress_number") == F.col("_congress"))
     joined = (
         days.select("politician_id", "transaction_date").distinct()
@@ -170,7 +170,7 @@ def sync_seat_history(intervals, politicians, seats, committees, congress, snaps
         "source": F.lit(K.HISTORY_SOURCE), "congress_number": F.lit(congress)})
     kept = seats.join(replaced, ["politician_id", "source", "congress_number"], "left_anti").select(*seats.columns)
     if snapshot_date is not None:
-        is_snapshot = F.col("temporal_precision") == K.PRECISION_SNAPSHOT
+        is_snapshot = is_true((F.col("temporal_precision") == K.PRECISION_SNAPSHOT) & (F.col("source") == K.ROSTER_SOURCE))
         kept = kept.withColumns({
             "congress_number": F.when(is_snapshot, F.lit(snapshot_congress)).otherwise(F.col("congress_number")),
             "verified_through": F.when(is_snapshot, F.lit(str(snapshot_date)).cast("date"))

@@ -136,13 +136,14 @@ def security_averages(perf: DataFrame) -> DataFrame:
     )
 
 
-def security_performance(trades, bars, benchmark, today, ticker=None, limit=200):
-    """The newest trades of every security, or of one, with their performance."""
+def security_performance(trades, bars, benchmark, today, ticker=None, limit=None):
+    """The trades of every security, or of one, with their performance; ``limit`` narrows it to the newest of each."""
     wanted = trades.filter("ticker IS NOT NULL")
     if ticker is not None:
         wanted, bars = (df.filter(F.col("ticker") == ticker.upper()) for df in (wanted, bars))
-    newest = newest_per(wanted, "ticker", [F.col("transaction_date").desc(), F.col("id").desc()], limit)
-    return trade_performance(newest, bars, benchmark, today)
+    if limit:
+        wanted = newest_per(wanted, "ticker", [F.col("transaction_date").desc(), F.col("id").desc()], limit)
+    return trade_performance(wanted, bars, benchmark, today)
 
 
 def rebased_series(bars, benchmark, perf, start=None):

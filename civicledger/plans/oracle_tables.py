@@ -173,5 +173,6 @@ def with_tables(select, **extra):
                 needed.append(name)
 
     visit(select, ())
-    body = ",\n".join(f"{name} AS ({known[name]})" for name in needed)
+    # tables that many others read are worked out once
+    body = ",\n".join(f"{name} AS {'MATERIALIZED ' if name in ('ctx', 'found', 'evidence', 'explained', 'screen') else ''}({known[name]})" for name in needed)
     return f"WITH {body}\n{select}" if needed else select

@@ -240,7 +240,7 @@ oracle("ingest_freshness", """SELECT max(ts) AS last_success_at, round((epoch(TI
   (epoch(TIMESTAMP '2024-01-31 12:00:00') - floor(epoch(max(ts)))) / 3600 > 12 AS stale FROM events""")
 oracle("group_sizes", """SELECT id, politician_id || '|' || coalesce(ticker, '') || '|' || transaction_date || '|' || transaction_type AS group_key,
   count(*) OVER (PARTITION BY politician_id, coalesce(ticker, ''), transaction_date, transaction_type) AS group_size FROM trades""")
-_NEWEST = {"newest": "SELECT * FROM trades QUALIFY row_number() OVER (PARTITION BY politician_id ORDER BY transaction_date DESC, id DESC) <= 500"}
+_NEWEST = {"newest": "SELECT * FROM trades"}
 oracle("politician_breakdown_months", f"""SELECT politician_id, strftime(transaction_date, '%Y-%m') AS month, count(*) FILTER ({_BUY}) AS buys,
   count(*) FILTER ({_SELL}) AS sells FROM newest GROUP BY ALL""", **_NEWEST)
 oracle("politician_breakdown_tickers", f"""SELECT politician_id, coalesce(ticker, '—') AS ticker, count(*) FILTER ({_BUY}) AS buys, count(*) FILTER ({_SELL}) AS sells
@@ -404,7 +404,8 @@ oracle("relevance_report", """
 oracle("mapping_review_stats", """SELECT mapping_id, row_key, securities_matched, industry_groups, trades_matched, trades_primary, politicians_matched, example_tickers
   FROM rowstats""", **RELEVANCE)
 oracle("security_descriptions", "SELECT mapping_id, sic_code, coalesce(industry, '') AS industry, count(*) AS securities FROM hits GROUP BY ALL", **RELEVANCE)
-oracle("mapping_overlaps", "SELECT * FROM range_overlaps", **RELEVANCE)
+oracle("mapping_overlaps", """SELECT r.mapping_id, r.overlaps_with, count(DISTINCT s.politician_id) AS members FROM range_overlaps r JOIN cm m USING (mapping_id)
+  JOIN seats s ON s.committee_code = m.committee_code GROUP BY ALL""", **RELEVANCE)
 oracle("scrutiny_flags", "SELECT mapping_id, array_to_string(flags, ',') AS flags, official_titles FROM flagged_rows", **RELEVANCE)
 oracle("review_summary", """SELECT count(*) AS mappings, count(*) FILTER (relevance_level = 'direct') AS direct, count(*) FILTER (relevance_level = 'related') AS related,
   count(*) FILTER (relevance_level = 'none') AS none, count(*) FILTER (subcommittee_code IS NULL) AS committee_level, count(*) FILTER (subcommittee_code IS NOT NULL) AS subcommittee_level,
@@ -424,8 +425,8 @@ oracle("recommendation_gaps", """
     FROM (SELECT row_key, CASE mapping_id % 3 WHEN 0 THEN 'APPROVE DIRECT' WHEN 1 THEN 'KEEP RELATED' ELSE 'CHANGE' END AS action,
             CASE WHEN mapping_id <> 8 THEN 'read' END AS reason FROM flagged_rows WHERE trades_matched > 0) r
     FULL JOIN (SELECT * FROM flagged_rows WHERE priority) p ON p.row_key = r.row_key) WHERE problem IS NOT NULL""", **RELEVANCE)
-oracle("mapping_sync", """SELECT m.mapping_id, m.mapping_version, m.sic_start, m.sic_end, c.trades FROM mappings m LEFT JOIN (
-    SELECT committee_code, count(*) AS trades FROM trades JOIN (SELECT DISTINCT politician_id, committee_code FROM seats) USING (politician_id) GROUP BY 1) c USING (committee_code)""")
+oracle("mapping_sync", """SELECT mapping_id, mapping_version, sic_start, sic_end FROM mappings
+  WHERE mapping_version NOT IN (SELECT mapping_version FROM cm) OR committee_code IN (SELECT committee_code FROM seats)""", **RELEVANCE)
 
 # --- seats over time -------------------------------------------------------------------------------------------------
 _COVERS = f"""coalesce(CASE s.temporal_precision WHEN 'congress' THEN s.congress_number = {congress('d.transaction_date')}
@@ -560,11 +561,11 @@ oracle("context_summary", " UNION ALL ".join([
 oracle("context_evidence", """SELECT signal_type, evidence_type, evidence_key, count(*) AS rows, sum(days)::bigint AS days, min(trade_id) AS first_trade, max(trade_id) AS last_trade
   FROM evidence GROUP BY ALL""", **CONTEXT)
 oracle("context_evidence_text", """
-  SELECT trade_id, evidence_key, evidence_type, CASE signal_type WHEN 'disclosure_delay_signal' THEN 'Disclosed ' || days || ' days after the transaction (the signal marks a delay of more than 45 days; filing circumstances are not known).'
-    ELSE CASE evidence_type WHEN 'reviewed_direct_mapping' THEN 'Direct' WHEN 'reviewed_related_mapping' THEN 'Related (supporting context only)'
-        ELSE 'Rejected: a current seat would match, but official House records show it was not held on the transaction date' END
-      || ': ' || m.committee_name || coalesce(' / ' || m.subcommittee_name, '') || ', SIC ' || lpad(m.sic_start::varchar, 4, '0') || '-' || lpad(m.sic_end::varchar, 4, '0') || '. Jurisdiction row ' || mapping_id || '.'
-      || CASE WHEN evidence_type = 'rejected_current_assignment' THEN '' ELSE ' Seat timing: ' || timing || '.' END END AS description
+  SELECT trade_id, evidence_key, evidence_type, CASE signal_type WHEN 'disclosure_delay_signal' THEN 'Filed on day ' || days || ' after the trade; from day 45 on a filing counts as late, whatever the reason'
+    ELSE CASE evidence_type WHEN 'reviewed_direct_mapping' THEN 'Within the committee''s remit' WHEN 'reviewed_related_mapping' THEN 'Close to the committee''s remit, no signal by itself'
+        ELSE 'Not counted, as the dated record has no such seat on the day of the trade' END
+      || ' - ' || m.committee_name || coalesce(' / ' || m.subcommittee_name, '') || ' covers codes ' || lpad(m.sic_start::varchar, 4, '0') || '-' || lpad(m.sic_end::varchar, 4, '0') || ' (Jurisdiction row ' || mapping_id || '.)'
+      || CASE WHEN evidence_type = 'rejected_current_assignment' THEN '' ELSE '; seat: ' || timing END END AS description
   FROM evidence LEFT JOIN cm m USING (mapping_id) WHERE signal_type IN ('committee_relevance', 'disclosure_delay_signal')""", **CONTEXT)
 oracle("context_merge", """SELECT CASE WHEN transaction_date > DATE '2000-06-30' THEN 'inserted' WHEN trade_size_anomaly THEN 'updated' ELSE 'unchanged' END AS action, count(*) AS rows
   FROM ctx GROUP BY 1""", **CONTEXT)
@@ -709,7 +710,7 @@ HOUSE = {
 }
 oracle("committee_paragraphs", "SELECT label, date, verb, header, segment, name, state, odd FROM listed_names", **HOUSE)
 oracle("committee_events_found", "SELECT bioguide_id, committee_code, date, verb, url, segment FROM placed WHERE c = 1 AND bioguide_id IS NOT NULL", **HOUSE)
-oracle("committee_event_report", """SELECT CASE WHEN odd IS NOT NULL THEN 'odd_segment' WHEN committee_code IS NULL THEN 'unmapped_committee' WHEN c = 1 AND bioguide_id IS NOT NULL THEN 'event'
+oracle("committee_event_report", """SELECT CASE WHEN committee_code IS NULL THEN 'unmapped_committee' WHEN odd IS NOT NULL THEN 'odd_segment' WHEN c = 1 AND bioguide_id IS NOT NULL THEN 'event'
   WHEN c > 1 THEN 'ambiguous' ELSE 'unresolved' END AS outcome, count(*) AS names FROM placed GROUP BY 1""", **HOUSE)
 oracle("latest_trade_per_politician", """SELECT politician_id, id, ticker, transaction_type FROM trades
   QUALIFY row_number() OVER (PARTITION BY politician_id ORDER BY transaction_date DESC, id DESC) = 1""")
@@ -717,4 +718,5 @@ oracle("explanation_audit", """SELECT trade_id, CASE split_part(trade_id, '-', 1
     WHEN 3 THEN 'summary names a committee that is not in the evidence: affairs foreign' WHEN 4 THEN 'headline is empty'
     WHEN 5 THEN CASE WHEN flagged_for_contextual_review THEN '' ELSE 'summary speaks of a flag, but the trade is not flagged' END ELSE '' END AS problems FROM ctx""", **CONTEXT)
 oracle("stream_ingest", """SELECT 'trades' AS table_name, count(*) AS rows FROM numbered UNION ALL SELECT 'rejects', (SELECT count(*) FROM feed) - (SELECT count(*) FROM usable)
-  UNION ALL SELECT 'politicians', count(DISTINCT canonical_key) FROM identified UNION ALL SELECT 'securities', count(DISTINCT ticker) FROM usable""", **FEED)
+  UNION ALL SELECT 'politicians', count(DISTINCT canonical_key) FROM identified UNION ALL SELECT 'securities', count(DISTINCT ticker) FROM usable
+  UNION ALL SELECT 'inserted', count(*) FROM numbered UNION ALL SELECT 'skipped', 0""", **FEED)

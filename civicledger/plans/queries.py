@@ -16,7 +16,7 @@ from ..sources.resolutions import committee_events, listed_names, parse_resoluti
 from ..sources.reviewed import load_overrides as load_overrides_file, sync_mappings
 from ..sources.roster import normalize_members
 from ..session import stored, work_dir
-from ..streaming.ingest import TradeStore, ingest_stream
+from ..streaming.ingest import TradeStore, catch_up
 from .tables import BENCHMARK, CONGRESS, FIRST_NAMES, NOW, TODAY, Tables, feed_records, last_name, letter, official_id, pick
 
 QUERIES = {}
@@ -71,7 +71,7 @@ def fixed_horizon_excess(t):
 
 @query
 def security_performance(t):
-    p = P.security_performance(t.trades, t.bars, t.benchmark, TODAY)
+    p = P.security_performance(t.trades, t.bars, t.benchmark, TODAY, limit=200)
     return p.select("id", "ticker", "status", F.col("transaction.return").alias("return"), F.col("transaction.excess_return").alias("excess_return"))
 
 
@@ -458,7 +458,10 @@ def security_descriptions(t):
 
 @query
 def mapping_overlaps(t):
-    return V.mapping_overlaps(_mappings(t))
+    """Overlapping ranges of committees with members, and how many members the mapping's committee has."""
+    members = t.seats.groupBy("committee_code").agg(F.count_distinct("politician_id").alias("members"))
+    of_mapping = _mappings(t).select("mapping_id", "committee_code").join(members, "committee_code").select("mapping_id", "members")
+    return V.mapping_overlaps(_mappings(t)).join(of_mapping, "mapping_id")
 
 
 @query
@@ -496,10 +499,10 @@ def mapping_sync(t):
     """Loading the current mapping file over the stored versions, from its untyped form."""
     raw = _mappings(t).withColumns({c: F.lpad(F.col(c).cast("string"), 4, "0") for c in ("sic_start", "sic_end")}).withColumn(
         "reviewed_at", F.col("reviewed_at").cast("string"))
+    # a file is written for the committees that have seats
+    raw = raw.join(t.seats.select("committee_code").distinct(), "committee_code", "left_semi")
     rows, violations = sync_mappings(raw, t.mappings)
-    matched = t.trades.join(t.seats.select("politician_id", "committee_code").distinct(), "politician_id").groupBy("committee_code").agg(
-        F.count("*").alias("trades"))
-    return rows.join(matched, "committee_code", "left").select("mapping_id", "mapping_version", "sic_start", "sic_end", "trades").unionByName(
+    return rows.select("mapping_id", "mapping_version", "sic_start", "sic_end").unionByName(
         violations.select("mapping_id", F.col("problem").alias("mapping_version")), allowMissingColumns=True)
 
 
@@ -569,6 +572,17 @@ def context_flags(t):
     return _context(t).select(*CONTEXT_COLUMNS)
 
 
+_CONTEXTS = {}
+
+
+def _stored_context(t):
+    """The default context of a data folder, worked out once in a session; all readers share the stored table."""
+    key = (t.spark.sparkContext.applicationId, t.folder)
+    if key not in _CONTEXTS:
+        _CONTEXTS[key] = stored(_context(t), "trade_context")
+    return _CONTEXTS[key]
+
+
 @query
 def context_flags_custom(t):
     """A what-if run: longer delay, shorter history, one secondary signal, no temporal gate."""
@@ -578,13 +592,13 @@ def context_flags_custom(t):
 
 @query
 def context_summary(t):
-    return C.context_summary(stored(_context(t), "trade_context"))
+    return C.context_summary(_stored_context(t))
 
 
 @query
 def context_evidence(t):
     """Evidence rows by kind, with the numbers behind the metric rows."""
-    e = C.context_evidence(stored(_context(t), "trade_context"), t.mappings)
+    e = C.context_evidence(_stored_context(t), t.mappings)
     days = F.get_json_object("metadata", "$.days").cast("long")
     return e.groupBy("signal_type", "evidence_type", "evidence_key").agg(
         F.count("*").alias("rows"), F.sum(days).alias("days"), F.min("trade_id").alias("first_trade"), F.max("trade_id").alias("last_trade"))
@@ -592,7 +606,7 @@ def context_evidence(t):
 
 @query
 def context_evidence_text(t):
-    e = C.context_evidence(stored(_context(t), "trade_context"), t.mappings)
+    e = C.context_evidence(_stored_context(t), t.mappings)
     return e.filter("signal_type IN ('committee_relevance', 'disclosure_delay_signal')").select(
         "trade_id", "evidence_key", "evidence_type", "description")
 
@@ -600,15 +614,15 @@ def context_evidence_text(t):
 @query
 def context_merge(t):
     """A default run written over the rows an earlier, stricter reading left: which rows change."""
-    new = stored(_context(t), "trade_context")
+    new = _stored_context(t)
     earlier = new.filter("transaction_date <= DATE '2000-06-30'").withColumn("result_digest", F.when(
         F.col("trade_size_anomaly"), F.lit("older")).otherwise(F.col("result_digest")))
     return C.merge_context(new, earlier).groupBy("action").agg(F.count("*").alias("rows"))
 
 
 def _screen_tables(t):
-    """A screen reads the stored context; it never analyses anything itself."""
-    context = stored(_context(t), "trade_context")
+    """A screen reads the stored context and its evidence."""
+    context = _stored_context(t)
     return S.ScreenTables(t.trades, context, C.context_evidence(context, t.mappings), t.politicians, t.securities, t.mappings,
                           _explanations(context))
 
@@ -626,7 +640,7 @@ def _explanations(context):
 
 @query
 def fresh_explanations(t):
-    context = stored(_context(t), "trade_context")
+    context = _stored_context(t)
     return D.fresh_explanations(_explanations(context), context).select("trade_id", "explanation_id", "headline")
 
 
@@ -910,7 +924,7 @@ def _texts(context):
 
 @query
 def explanation_audit(t):
-    context = stored(_context(t), "trade_context")
+    context = _stored_context(t)
     facts = A.explanation_facts(context, C.context_evidence(context, t.mappings), t.trades)
     out = A.explanation_audit(_texts(context), facts, t.mappings)
     return out.select("trade_id", F.array_join("problems", "; ").alias("problems"))
@@ -925,8 +939,9 @@ def stream_ingest(t):
     events = t.spark.readStream.schema(t.source("events").schema).option("pathGlobFilter", "events.parquet").parquet(t.folder)
     store = TradeStore(t.spark, f"{root}/tables")
     for _ in range(2):
-        ingest_stream(feed_records(events), store, f"{root}/checkpoint", now=NOW).awaitTermination()
+        state = catch_up(feed_records(events), store, f"{root}/checkpoint", now=NOW)
     tables = [("trades", store.read("trades")), ("rejects", store.read("rejects")), ("politicians", store.latest("politicians")),
               ("securities", store.latest("securities"))]
     counts = [df.agg(F.lit(name).alias("table_name"), F.count("*").alias("rows")) for name, df in tables]
+    counts += [state.select(F.lit(name).alias("table_name"), F.col(name).alias("rows")) for name in ("inserted", "skipped")]
     return reduce(lambda a, b: a.unionByName(b), counts)

@@ -1,5 +1,7 @@
 """Session settings the jobs are written for, and where they may put intermediate tables."""
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -37,6 +39,7 @@ def work_dir(spark):
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
     folder = tempfile.mkdtemp(prefix="civicledger-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)  # what a local session stored ends with it
     spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 

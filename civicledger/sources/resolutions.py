@@ -14,8 +14,11 @@ PARAGRAPH_END = r"</(?:committee-appointment-)?paragraph>"
 
 def _plain(c):
     text = F.regexp_replace(c, r"<[^>]*>", "")
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&#x2019;", "’"), ("&#8217;", "’"), ("&amp;", "&")):
+    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&#x2019;", "’"), ("&#8217;", "’")):
         text = F.replace(text, F.lit(entity), F.lit(char))
+    # any other reference by number is rare: such a text is read as XML once more
+    by_number = F.from_xml(F.concat(F.lit("<r><t>"), F.replace(F.replace(text, F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")), F.lit("</t></r>")), "t string")["t"]
+    text = F.replace(F.when(text.rlike("&#"), F.coalesce(by_number, text)).otherwise(text), F.lit("&amp;"), F.lit("&"))
     return F.trim(F.regexp_replace(text, r"\s+", " "))
 
 
@@ -28,19 +31,33 @@ def _committee_words(c):
     return _letters(named)
 
 
-def parse_resolutions(documents: DataFrame) -> DataFrame:
-    """(label, url, date, verb, header, text): one row per committee paragraph of an adopted election or removal."""
+def _documents(documents: DataFrame) -> DataFrame:
+    """(label, url, date, verb, body, whole): what a document says as a whole, and whether its XML is complete."""
     body = F.regexp_extract("xml", r"(?s)<resolution-body\b[^>]*>(.*)</resolution-body>", 1)
     adopted = F.regexp_extract(F.regexp_replace(F.regexp_replace("xml", r"<[^>]*>", " "), r"\s+", " "), K.ADOPTED_PATTERN, 1)
     clauses = F.regexp_extract_all(body, F.lit(r"(?s)<text\b[^>]*>(.*?)</text>"), F.lit(1))
     spoken = F.filter(clauses, lambda t: F.lower(t).contains("committee"))
-    opening = F.lower(F.substring(_plain(F.array_join(spoken, " ")), 1, 400))
+    said = F.lower(_plain(F.array_join(spoken, " ")))
+    elects, removes = F.instr(said, "elected"), F.instr(said, "removed")
+    # the verb that comes first, wherever in the clauses it stands
+    verb = F.when((elects > 0) & ((removes == 0) | (elects < removes)), "elected").when(removes > 0, "removed")
+    whole = F.from_xml(F.col("xml"), "broken string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "broken"})["broken"].isNull()
     # the generator keeps the optimizer from repeating the work on the document in every condition on its outcome
-    parts = F.struct(adopted.alias("adopted"), body.alias("body"), opening.alias("opening"))
-    parsed = documents.select("label", "url", F.explode(F.array(parts)).alias("d")).select(
+    parts = F.struct(adopted.alias("adopted"), body.alias("body"), verb.alias("verb"), whole.alias("whole"))
+    return documents.select("label", "url", F.explode(F.array(parts)).alias("d")).select(
         "label", "url", F.try_to_date("d.adopted", "MMMM d, yyyy").alias("date"),
-        F.when(F.col("d.opening").contains("elected"), "elected").when(F.col("d.opening").contains("removed"), "removed").alias("verb"),
-        "d.body").filter("date IS NOT NULL AND verb IS NOT NULL")
+        "d.verb", "d.body", "d.whole")
+
+
+def unread_documents(documents: DataFrame) -> DataFrame:
+    """(label, url, reason) of the documents that give no paragraph."""
+    reason = F.when(~F.col("whole"), "broken XML").when(F.col("date").isNull(), "no date of adoption").when(F.col("verb").isNull(), "neither elects nor removes")
+    return _documents(documents).select("label", "url", reason.alias("reason")).filter("reason IS NOT NULL")
+
+
+def parse_resolutions(documents: DataFrame) -> DataFrame:
+    """(label, url, date, verb, header, text): one row per committee paragraph of an adopted election or removal."""
+    parsed = _documents(documents).filter("whole AND date IS NOT NULL AND verb IS NOT NULL")
     blocks = F.filter(
         F.transform(F.regexp_extract_all("body", F.lit(BLOCK), F.lit(0)), lambda p: F.regexp_replace(p, LAST_HEADER, "")),
         lambda p: ~p.rlike(PARAGRAPH_END))
@@ -100,7 +117,7 @@ def committee_events(documents, members, committees, current_congress=None):
         F.count_if("_fits").alias("candidates"), F.min(F.when(F.col("_fits"), F.col("bioguide_id"))).alias("bioguide_id"),
         F.collect_set(F.when(F.col("_fits"), F.col("bioguide_id"))).alias("_maybe"))
     outcome = (
-        F.when(F.col("odd").isNotNull(), "odd_segment").when(F.col("committee_code").isNull(), "unmapped_committee")
+        F.when(F.col("committee_code").isNull(), "unmapped_committee").when(F.col("odd").isNotNull(), "odd_segment")
         .when((F.col("candidates") == 1) & F.col("bioguide_id").isNotNull(), "event")
         .when(F.col("candidates") > 1, "ambiguous").otherwise("unresolved")
     )

@@ -8,20 +8,33 @@ from ..functions.rules import is_true, sic_number
 from ..functions.text import empty_to_null
 
 
+#: brackets nested deeper than this make a pattern unusable
+PATTERN_DEPTH = 12
+
+
 def _blank(name):
     return F.trim(F.coalesce(F.col(name).cast("string"), F.lit(""))) == ""
 
 
+def unusable_pattern(c):
+    """Whether a pattern won't compile. rlike would fail the job on one, so its parts are looked at instead of trying it."""
+    # escapes and classes stand for one character, flags for none, the heads of special groups for a bracket
+    plain = F.regexp_replace(c, r"\\.|\[\^?\]?(?:\\.|[^\]\\])*\]", "x")
+    plain = F.regexp_replace(F.regexp_replace(plain, r"\(\?[a-zA-Z-]+\)", ""), r"\(\?(?:[a-zA-Z-]*:|<?[=!]|>|<[a-zA-Z]\w*>)", "(")
+    repeats = F.regexp_extract_all(plain, F.lit(r"\{\d+,\d+\}"), F.lit(0))
+    falling = F.exists(repeats, lambda r: F.regexp_extract(r, r"\d+", 0).try_cast("long") > F.regexp_extract(r, r",(\d+)", 1).try_cast("long"))
+    misplaced = plain.rlike(r"\[|\\$|(?:^|[(|])[*+?]|(?:^|[(|])\{|\{(?!\d+(?:,\d*)?\})|[*+?}][+?]?[*]|[*+?}][+?][+?]")
+    for _ in range(PATTERN_DEPTH):
+        plain = F.regexp_replace(plain, r"\([^()]*\)", "x")
+    return misplaced | falling | plain.rlike("[()]")
+
+
 def mapping_violations(rows: DataFrame) -> DataFrame:
     """(mapping_id, problem): every rule a mapping row breaks, and -1 for the file as a whole."""
     start, end = sic_number("sic_start"), sic_number("sic_end")
     is_none = F.col("relevance_level") == "none"
     reviewed = F.col("review_status") == "reviewed"
-    # a pattern has to compile: an unusable one makes rlike fail, so its brackets are counted instead of trying it
-    plain = F.regexp_replace(F.col("industry_pattern"), r"\\.|\[(?:\\.|[^\]\\])*\]", "")
-    opened = F.length(F.regexp_replace(plain, r"[^(]", ""))
-    closed = F.length(F.regexp_replace(plain, r"[^)]", ""))
-    bad_pattern = (opened != closed) | plain.rlike(r"\[|(^|[(|])[*+?]|\\$")
+    bad_pattern = unusable_pattern(F.col("industry_pattern"))
     tests = [
         *[(f"missing {c}", _blank(c)) for c in K.MAPPING_REQUIRED],
         ("unknown relevance_level", ~F.col("relevance_level").isin(K.LEVELS)),

@@ -70,7 +70,7 @@ def main(argv):
     if argv[:1] == ["--sf"]:
         sf, argv = argv[1], argv[2:]
     os.environ.setdefault("PYSPARK_SUBMIT_ARGS", "--driver-memory 12g pyspark-shell")
-    spark = build_session("compare", "local[8]", 8)
+    spark = build_session("compare", os.environ.get("COMPARE_MASTER", "local[8]"), 8)
     spark.sparkContext.setLogLevel("ERROR")
     folder, con, bad = f"{DATA}/{sf}", duck(f"{DATA}/{sf}"), 0
     for name in argv or QUERIES:

@@ -88,8 +88,8 @@ def test_context_end_to_end(world):
     assert not rows["s11"].flagged_for_contextual_review and rows["s11"].trade_size_anomaly is False
     evidence = C.context_evidence(context, world.mappings).filter("trade_id = 'big'").collect()
     assert sorted(e.evidence_key for e in evidence) == ["mapping:1", "mapping:2", "metric", "metric", "metric"]
-    assert any("Disclosed 59 days" in e.description for e in evidence)
-    assert any(e.description.startswith("Representative value $375,000 (range midpoint) from the disclosed range $250,001-$500,000.") for e in evidence)
+    assert any("Filed on day 59" in e.description for e in evidence)
+    assert any(e.description.startswith("Sized at $375,000 (range midpoint) within the range $250,001 to $500,000") for e in evidence)
 
     merged = C.merge_context(context, context)
     assert [tuple(r) for r in merged.groupBy("action").count().collect()] == [("unchanged", 14)]
