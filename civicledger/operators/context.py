@@ -366,6 +366,7 @@ def current_context(rows: DataFrame, mappings: DataFrame | None = None, version=
 
 def merge_context(new: DataFrame, stored: DataFrame, force=False) -> DataFrame:
     """All rows after a run with ``action``: inserted, updated, unchanged, or kept (not part of this run)."""
+    stored = stored.drop("action")
     old = stored.select(*VERSION_KEY, F.col("result_digest").alias("_old"))
     changed = F.lit(force) | (F.col("_old") != F.col("result_digest"))
     action = F.when(F.col("_old").isNull(), "inserted").when(changed, "updated").otherwise("unchanged")

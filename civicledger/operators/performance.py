@@ -34,8 +34,8 @@ def leg_days(bars: DataFrame, benchmark: DataFrame, horizon_days=None) -> DataFr
             "*", F.last("date").over(reach).alias("end_date"), F.last("price").over(reach).alias("end_price"),
             (F.col("latest_date") >= F.date_add("date", horizon_days)).alias("elapsed"))
 
-    # what the benchmark stood at on a day: one row per calendar day of one series, so broadcasting it is bounded
-    bench = price_series(benchmark).select(F.lit("b").alias("bench"), "date", "price")
+    # what the benchmark stood at on a day: reduced to one row per calendar day, so broadcasting it is bounded
+    bench = price_series(benchmark).groupBy("date").agg(F.min_by("price", "ticker").alias("price")).select(F.lit("b").alias("bench"), "date", "price")
     starts = forward_days(bench, on="bench").select(
         "day", F.col("date").alias("b_date"), F.col("price").alias("b_price"))
     end_days = priced.select("end_date").distinct().withColumn("bench", F.lit("b"))

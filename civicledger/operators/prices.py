@@ -48,14 +48,18 @@ def price_fetch_plan(starts, securities, today, now, retry_days=7, overlap_days=
 def batch_plan(plan: DataFrame, size=40) -> DataFrame:
     """Fetches sorted by (lo, hi, ticker) and cut into batches of ``size``; each batch covers its widest range.
 
-    The position of a fetch is the number of fetches on earlier ranges plus its place in its own range. Counting per
-    range first keeps the ordered step to one row per distinct (lo, hi), and ranges are calendar days.
+    The position of a fetch is the number of fetches that start on earlier days, plus that of fetches from the same day with
+    an earlier end, plus its place in its own range. The only step over all rows at once has one row per calendar day.
     """
     fetch = plan.filter("action = 'fetch'")
-    earlier = Window.orderBy("lo", "hi").rowsBetween(Window.unboundedPreceding, -1)
+    before = (Window.unboundedPreceding, -1)
+    ranges = fetch.groupBy("lo", "hi").agg(F.count("*").alias("_n"))
+    days = ranges.groupBy("lo").agg(F.sum("_n").alias("_day")).withColumn(
+        "_earlier", F.coalesce(F.sum("_day").over(Window.orderBy("lo").rowsBetween(*before)), F.lit(0)))
+    same_day = Window.partitionBy("lo").orderBy("hi").rowsBetween(*before)
     offsets = (
-        fetch.groupBy("lo", "hi").agg(F.count("*").alias("_n"))
-        .withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
+        ranges.withColumn("_same", F.coalesce(F.sum("_n").over(same_day), F.lit(0))).join(days, "lo")
+        .select("lo", "hi", (F.col("_earlier") + F.col("_same")).alias("_before"))
     )
     inside = Window.partitionBy("lo", "hi").orderBy("ticker")
     placed = (

@@ -567,8 +567,8 @@ oracle("context_evidence_text", """
       || ' - ' || m.committee_name || coalesce(' / ' || m.subcommittee_name, '') || ' covers codes ' || lpad(m.sic_start::varchar, 4, '0') || '-' || lpad(m.sic_end::varchar, 4, '0') || ' (Jurisdiction row ' || mapping_id || '.)'
       || CASE WHEN evidence_type = 'rejected_current_assignment' THEN '' ELSE '; seat: ' || timing END END AS description
   FROM evidence LEFT JOIN cm m USING (mapping_id) WHERE signal_type IN ('committee_relevance', 'disclosure_delay_signal')""", **CONTEXT)
-oracle("context_merge", """SELECT CASE WHEN transaction_date > DATE '2000-06-30' THEN 'inserted' WHEN trade_size_anomaly THEN 'updated' ELSE 'unchanged' END AS action, count(*) AS rows
-  FROM ctx GROUP BY 1""", **CONTEXT)
+oracle("context_merge", """SELECT CASE WHEN transaction_date > DATE '2000-06-30' THEN 'inserted' WHEN trade_size_anomaly THEN 'updated' ELSE 'unchanged' END AS action, count(*) AS rows, sum(coalesce(proofs, 0))::bigint AS evidence
+  FROM ctx LEFT JOIN (SELECT trade_id, count(*) AS proofs FROM evidence GROUP BY 1) USING (trade_id) GROUP BY 1""", **CONTEXT)
 oracle("fresh_explanations", "SELECT trade_id, explanation_id, 'Trade ' || trade_id AS headline FROM explained WHERE fresh", **CONTEXT)
 oracle("trade_list_page", """SELECT id, politician_name, disclosure_date FROM trades WHERE chamber = 'house' AND transaction_type = 'buy' AND transaction_date >= DATE '1998-01-01'
   ORDER BY disclosure_date DESC NULLS LAST, id DESC LIMIT 500 OFFSET 100""")

@@ -9,6 +9,7 @@ from ..functions import rules as R
 from ..functions import text as X
 from ..operators import asof, audit as A, context as C, dashboards as D, history as H, ingest as I, performance as P
 from ..operators import prices as B, relevance as V, resolve as E, screen as S, signals as G
+from ..operators.context_store import ContextStore
 from ..operators.ordered import latest_by, newest_per
 from ..sources.bars import normalize_bars
 from ..sources.disclosures import normalize_disclosures
@@ -617,7 +618,9 @@ def context_merge(t):
     new = _stored_context(t)
     earlier = new.filter("transaction_date <= DATE '2000-06-30'").withColumn("result_digest", F.when(
         F.col("trade_size_anomaly"), F.lit("older")).otherwise(F.col("result_digest")))
-    return C.merge_context(new, earlier).groupBy("action").agg(F.count("*").alias("rows"))
+    store = ContextStore(t.spark, f"{work_dir(t.spark)}/civicledger/contexts-{uuid.uuid4().hex}")
+    store.save(earlier, C.context_evidence(earlier, t.mappings))
+    return store.save(new, C.context_evidence(new, t.mappings))
 
 
 def _screen_tables(t):

@@ -117,3 +117,22 @@ def test_a_run_without_news_is_stamped(spark, tmp_path):
     second = catch_up(events(), store, tmp_path / "checkpoint", now="2024-01-02").first()
     assert (first["last_success_at"], second["last_success_at"]) == (dt.datetime(2024, 1, 1), dt.datetime(2024, 1, 2))
     assert first["inserted"] == second["inserted"] == store.read("trades").count() and state(store).count() == 1
+
+
+def test_contexts_are_replaced_by_version(spark, tmp_path):
+    from civicledger import constants as K
+    from civicledger.operators.context_store import ContextStore
+
+    store = ContextStore(spark, tmp_path / "contexts")
+    rows = lambda *r: spark.createDataFrame(r, "trade_id string, result_digest string, context_version string, mapping_version string")
+    proof = lambda *r: spark.createDataFrame(r, "trade_id string, context_version string, mapping_version string, description string")
+    v = (K.ENGINE_VERSION, "2")
+    first = store.save(rows(("a", "1", *v), ("b", "1", *v)), proof(("a", *v, "x"), ("b", *v, "y")))
+    assert [tuple(r) for r in first.collect()] == [("inserted", 2, 2)]
+    second = store.save(rows(("a", "1", *v), ("b", "2", *v), ("c", "1", *v)), proof(("a", *v, "not written"), ("b", *v, "new"), ("b", *v, "newer")))
+    assert {r["action"]: (r["rows"], r["evidence"]) for r in second.collect()} == {"unchanged": (1, 1), "updated": (1, 2), "inserted": (1, 0)}
+    store.save(rows(("a", "9", K.ENGINE_VERSION, "1")), proof())
+    newest = spark.createDataFrame([("1",), ("2",)], "mapping_version string")
+    assert sorted((r["trade_id"], r["result_digest"]) for r in store.load("context", newest).collect()) == [("a", "1"), ("b", "2"), ("c", "1")]
+    assert sorted(r["description"] for r in store.load("evidence", newest).collect()) == ["new", "newer", "x"]
+    assert store.load("context", spark.createDataFrame([("3",)], "mapping_version string")) is None
