@@ -198,14 +198,15 @@ def repeats(docs, id_column="doc_id", text="text"):
     places = each.join(held, "h").select("fp", "h", "place").distinct().groupBy("fp").agg(F.collect_list(F.struct("h", "place")).alias("found"))
     places = stored(places, "places")
     around = stored(contexts(docs, places, text), "contexts")
-    matches = neighbours(around, ["after", "before"]).union(neighbours(around, ["before", "after"])).distinct()
-    matches = stored(matches, "matches")
+    matches = neighbours(around, ["after", "before"]).union(neighbours(around, ["before", "after"]))
+    # a suffix's matches all hold its start, so together they are one span
+    matches = stored(matches.groupBy("h", "fp", "place").agg(F.min("a").alias("a"), F.max("b").alias("b")), "matches")
 
     # equal texts: how many rows, the least id
     texts = base.groupBy("fp", "n").agg(F.count("*").alias("copies"), F.min(id_column).alias("least_id"))
     within = base.where(F.size("own") > 0).select("fp", F.explode("own").alias("x")).select("fp", "x.a", "x.b", F.lit(True).alias("first")).distinct()
     first_of = matches.join(texts.select("fp", "least_id"), "fp").groupBy("h").agg(F.min(F.struct("least_id", "fp", "place")).alias("f"))
-    matches = matches.join(first_of, "h").withColumn("first", (F.col("f.fp") == F.col("fp")) & (F.col("f.place") == F.col("place")))
+    matches = matches.join(stored(first_of, "first-places"), "h").withColumn("first", (F.col("f.fp") == F.col("fp")) & (F.col("f.place") == F.col("place")))
     before = F.max("b").over(Window.partitionBy("fp").orderBy("a", "b").rowsBetween(Window.unboundedPreceding, -1))
     islands = matches.select("fp", "a", "b", "first").union(within).withColumn("new", F.when(F.col("a") <= before, 0).otherwise(1))
     islands = islands.withColumn("island", F.sum("new").over(Window.partitionBy("fp").orderBy("a", "b").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
