@@ -55,14 +55,16 @@ def simhashes(lines):
 
 
 def buckets(distinct):
-    """(bucket, k1, sim, length) of the lines of buckets with more than one line."""
+    """(bucket, k1, sim, length) of the lines of buckets that may hold two lines inside the tolerance."""
     starts = [sum(BLOCKS[:i]) for i in range(len(BLOCKS))]
     blocks = [F.shiftrightunsigned("sim", s).bitwiseAND(F.lit((1 << n) - 1)) for s, n in zip(starts, BLOCKS)]
     # the pair's number above the bits of both blocks
     pairs = [F.shiftleft(F.lit(k).cast("bigint"), 32).bitwiseOR(F.shiftleft(blocks[a], 16)).bitwiseOR(blocks[b]) for k, (a, b) in enumerate(combinations(range(len(BLOCKS)), 2))]
     rows = distinct.select("k1", "sim", "length", F.explode(F.array(*pairs)).alias("bucket"))
-    full = rows.groupBy("bucket").agg(F.min("k1").alias("hub"), F.max("k1").alias("last")).where("hub <> last").select("bucket")
-    return rows.join(full, "bucket")
+    # most buckets of two lines hold two that have nothing in common; their least and greatest SimHash tell
+    full = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min("sim").alias("u"), F.max("sim").alias("v"))
+    full = stored(full.where((F.col("n") > 1) & ((F.col("n") > 2) | (F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= TOLERANCE))).select("bucket"), "full-buckets")
+    return rows.join(F.broadcast(full) if full.count() <= SENT else full, "bucket")
 
 
 def _near(percent):
@@ -79,37 +81,38 @@ def verified(pairs, texts, percent):
     return both.where(F.expr("levenshtein(p, q, allowed) >= 0")).select("a", "b")
 
 
-def _texts(lines, pairs):
-    """(k1, norm) of the lines that occur in the pairs."""
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("k1")).distinct()
-    if nodes.count() <= SENT:
-        nodes = F.broadcast(nodes)
-    return lines.select("k1", "norm").join(nodes, "k1", "left_semi").groupBy("k1").agg(F.first("norm").alias("norm"))
+def _texts(docs, occurrences, pairs, id_column, text):
+    """(k1, norm) of the lines that occur in the pairs, read from one document that holds each."""
+    nodes = stored(pairs.select(F.explode(F.array("a", "b")).alias("k1")).distinct(), "lines-to-read")
+    few = nodes.count() <= SENT
+    small = F.broadcast if few else (lambda side: side)
+    holders = occurrences.join(small(nodes), "k1").groupBy("k1").agg(F.max("fp").alias("fp")).select("fp").distinct()
+    held = docs.withColumn(FP, F.xxhash64(text)).join(small(holders), F.col(FP) == F.col("fp"), "left_semi")
+    return lines_of(held, id_column, text).select("k1", "norm").join(small(nodes), "k1", "left_semi").groupBy("k1").agg(F.first("norm").alias("norm"))
 
 
-def linked(lines, occurrences, percent):
+def linked(docs, occurrences, percent, id_column, text):
     """(k1, component) of the lines that are linked to another one."""
     distinct = occurrences.where("sim is not null").groupBy("k1").agg(F.min("k2").alias("k2"), F.max("k2").alias("other"), F.max("sim").alias("sim"), F.max("length").alias("length"))
     rows = stored(buckets(distinct.where("k2 = other").select("k1", "sim", "length")), "line-buckets")
     hubs = rows.join(rows.groupBy("bucket").agg(F.min("k1").alias("k1")), ["bucket", "k1"])
     pairs = rows.alias("x").join(hubs.alias("y"), F.col("x.bucket") == F.col("y.bucket")).where((F.col("x.k1") != F.col("y.k1")) & _near(percent))
     pairs = stored(pairs.select(F.col("y.k1").alias("a"), F.col("x.k1").alias("b")).distinct(), "hub-pairs")
-    links = stored(verified(pairs, _texts(lines, pairs), percent), "hub-links")
+    links = stored(verified(pairs, _texts(docs, occurrences, pairs, id_column, text), percent), "hub-links")
     # what is left: lines of one bucket in different components; a bucket whose lines are all together is passed over
     own = rows.join(components(links).withColumnRenamed("node", "k1"), "k1", "left").withColumn("component", F.coalesce("component", "k1"))
     mixed = own.groupBy("bucket").agg(F.min("component").alias("u"), F.max("component").alias("v"), F.count("*").alias("n")).where("u <> v and n > 2").select("bucket")
     own = own.join(mixed, "bucket")
     pairs = own.alias("x").join(own.alias("y"), F.col("x.bucket") == F.col("y.bucket")).where((F.col("x.component") < F.col("y.component")) & _near(percent))
     pairs = stored(pairs.select(F.col("x.k1").alias("a"), F.col("y.k1").alias("b")).distinct().join(links, ["a", "b"], "left_anti"), "cross-pairs")
-    links = links.union(stored(verified(pairs, _texts(lines, pairs), percent), "cross-links"))
+    links = links.union(stored(verified(pairs, _texts(docs, occurrences, pairs, id_column, text), percent), "cross-links"))
     return components(links).withColumnRenamed("node", "k1")
 
 
 def repeated_lines(docs, percent=80, id_column="doc_id", text="text"):
     """(id, fp, lines): for each document with lines to drop their numbers; fp is the hash of its text."""
-    lines = lines_of(docs, id_column, text)
-    occurrences = stored(simhashes(lines), "line-hashes")
-    groups = linked(lines, occurrences, percent)
+    occurrences = stored(simhashes(lines_of(docs, id_column, text)), "line-hashes")
+    groups = linked(docs, occurrences, percent, id_column, text)
     # lines that stand once and are linked to none need no decision
     counts = occurrences.groupBy("k1", "k2").agg(F.count("*").alias("n")).join(groups, "k1", "left").where("n > 1 or component is not null")
     group = F.struct(F.coalesce("component", "k1").alias("c"), F.when(F.col("component").isNull(), F.col("k2")).alias("k"))
