@@ -188,8 +188,9 @@ def range_window(bars: DataFrame, months) -> DataFrame:
 
 
 def order_seats(seats: DataFrame) -> DataFrame:
-    return seats.orderBy(
-        "committee_name", F.col("subcommittee_name").isNotNull(), F.coalesce("subcommittee_name", F.lit("")))
+    """A person's seats with their ``position``: committees by name, each before its subcommittees. A person has few seats."""
+    order = ["committee_name", F.col("subcommittee_name").isNotNull(), F.coalesce("subcommittee_name", F.lit("")), "temporal_precision"]
+    return seats.withColumn("position", F.row_number().over(Window.partitionBy("politician_id").orderBy(*order))).orderBy("politician_id", "position")
 
 
 def committee_groups(seats: DataFrame) -> DataFrame:

@@ -298,7 +298,9 @@ def priority_order() -> list[Column]:
 
 
 def priority_rows(flagged: DataFrame) -> DataFrame:
-    return flagged.filter(_is_priority()).orderBy(*priority_order())
+    """The rows to look at first with their ``position``; no more than the mapping file has."""
+    position = F.row_number().over(Window.orderBy(*priority_order()))
+    return flagged.filter(_is_priority()).withColumn("position", position).orderBy("position")
 
 
 def top_mappings(flagged: DataFrame, n=20) -> DataFrame:

@@ -253,7 +253,8 @@ oracle("range_window", """SELECT ticker, date, close FROM bars JOIN (SELECT tick
 oracle("committee_groups", """SELECT politician_id, committee_code, max(role) FILTER (subcommittee_code IS NULL) AS role,
   count(DISTINCT (subcommittee_code, role)) FILTER (subcommittee_code IS NOT NULL) AS subcommittees FROM seats GROUP BY ALL""")
 oracle("ordered_seats", """SELECT politician_id, upper(committee_code[1]) || lower(committee_code[2:]) AS committee_name,
-  upper(subcommittee_code[1]) || lower(subcommittee_code[2:]) AS subcommittee_name, temporal_precision FROM seats""")
+  upper(subcommittee_code[1]) || lower(subcommittee_code[2:]) AS subcommittee_name, temporal_precision,
+  row_number() OVER (PARTITION BY politician_id ORDER BY committee_name, subcommittee_name IS NOT NULL, coalesce(subcommittee_name, ''), temporal_precision)::int AS position FROM seats""")
 oracle("traded_tickers", "SELECT DISTINCT ticker FROM trades WHERE ticker IS NOT NULL")
 
 SIZES = {
@@ -415,7 +416,8 @@ oracle("review_summary", """SELECT count(*) AS mappings, count(*) FILTER (releva
   count(*) FILTER (priority) AS rows_with_a_priority_concern, count(*) FILTER (relevance_level <> 'none' AND securities_matched = 0) AS rows_matching_no_current_security,
   count(*) FILTER (relevance_level <> 'none' AND trades_matched = 0) AS rows_matching_no_current_trade
   FROM (SELECT *, jurisdiction_basis IN ('rule_x_text', 'committee_published_text') AS explicit FROM flagged_rows)""", **RELEVANCE)
-oracle("priority_rows", "SELECT row_key, relevance_level, trades_matched FROM flagged_rows WHERE priority", **RELEVANCE)
+oracle("priority_rows", """SELECT row_key, relevance_level, trades_matched, row_number() OVER (ORDER BY CASE relevance_level WHEN 'direct' THEN 0 WHEN 'related' THEN 1 ELSE 2 END,
+  trades_matched DESC, list_contains(flags, 'broad_range')::int + list_contains(flags, 'mixed_industries')::int DESC, row_key)::int AS position FROM flagged_rows WHERE priority""", **RELEVANCE)
 oracle("top_mappings", "SELECT row_key, trades_matched, trades_primary FROM flagged_rows WHERE relevance_level <> 'none' ORDER BY trades_matched DESC, row_key LIMIT 20", **RELEVANCE)
 oracle("recommendation_gaps", """
   SELECT * FROM (SELECT coalesce(r.row_key, p.row_key) AS row_key, action, CASE WHEN r.row_key IS NULL THEN 'missing recommendation' WHEN reason IS NULL THEN 'reason needed'

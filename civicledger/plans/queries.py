@@ -285,7 +285,7 @@ def committee_groups(t):
 
 @query
 def ordered_seats(t):
-    return D.order_seats(t.seats).select("politician_id", "committee_name", "subcommittee_name", "temporal_precision")
+    return D.order_seats(t.seats).select("politician_id", "committee_name", "subcommittee_name", "temporal_precision", "position")
 
 
 @query
@@ -477,7 +477,7 @@ def review_summary(t):
 
 @query
 def priority_rows(t):
-    return V.priority_rows(_stats(t)).select("row_key", "relevance_level", "trades_matched")
+    return V.priority_rows(_stats(t)).select("row_key", "relevance_level", "trades_matched", "position")
 
 
 @query

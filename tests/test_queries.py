@@ -1,4 +1,4 @@
-"""Registered queries against their SQL. CIVIC_ALL=1 runs every query, otherwise one or two per family."""
+"""Registered queries against their SQL. CIVIC_ALL=1 runs every query, otherwise some of each family."""
 
 import os
 
@@ -11,7 +11,9 @@ from civicledger.plans.queries import QUERIES
 
 FOLDER = f"{DATA}/sf0.001"
 SOME = ["flagship_performance_by_security", "fixed_horizon_excess", "dedupe_occurrences", "overview_totals", "size_percentile_prior",
-        "price_batch_outcome", "relevance_report", "seat_intervals", "context_flags", "match_politicians", "committee_events_found"]
+        "price_batch_outcome", "relevance_report", "seat_intervals", "context_flags", "match_politicians", "committee_events_found", "committee_event_report",
+        "context_evidence_text", "context_merge", "screen_counts", "screen_rule_balanced", "screen_rule_strict", "screen_rule_related", "screen_rule_market", "explanation_audit",
+        "mapping_overlaps", "mapping_sync", "priority_rows", "ordered_seats", "politician_breakdown_months", "sync_seat_history", "price_batches", "stream_ingest"]
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
 
 
