@@ -87,7 +87,7 @@ def _texts(docs, occurrences, pairs, id_column, text):
     few = nodes.count() <= SENT
     small = F.broadcast if few else (lambda side: side)
     holders = occurrences.join(small(nodes), "k1").groupBy("k1").agg(F.max("fp").alias("fp")).select("fp").distinct()
-    held = docs.withColumn(FP, F.xxhash64(text)).join(small(holders), F.col(FP) == F.col("fp"), "left_semi")
+    held = docs.select(F.col(id_column), F.col(text), F.xxhash64(text).alias(FP)).join(small(holders.withColumnRenamed("fp", "holder")), F.col(FP) == F.col("holder"), "left_semi")
     return lines_of(held, id_column, text).select("k1", "norm").join(small(nodes), "k1", "left_semi").groupBy("k1").agg(F.first("norm").alias("norm"))
 
 
