@@ -18,15 +18,17 @@ def _stars(edges):
     return small.select(F.col("b").alias("a"), F.col("m").alias("b")).union(down.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
 
 
+def _settled(edges):
+    """Whether every node either points at one root only, or is a root that nothing else points on from."""
+    one, none = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
+    ends = edges.select(F.col("a").alias("node"), one.alias("points"), none.alias("root")).union(edges.select("b", none, one))
+    return ends.groupBy("node").agg(F.sum("points").alias("points"), F.max("root").alias("root")).where("points > 1 or points = 1 and root = 1").limit(1).count() == 0
+
+
 def components(links):
     """(node, component) of every node that occurs in links (a, b); the component is its least node. Nodes are numbers."""
-    edges = links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    edges, before = stored(edges, "links"), None
-    while True:
-        # done when every node points at a root: no node has two targets, no target points on
-        state = edges.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("a", "b"), F.lit(1 << 30)))).first()
-        if state == before or not state[0]:
-            break
-        edges, before = stored(_stars(edges), "links"), state
+    edges = stored(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
+    while not _settled(edges):
+        edges = stored(_stars(edges), "links")
     roots = edges.select(F.col("b").alias("node")).distinct()
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots.select("node", F.col("node").alias("component")))
