@@ -1,7 +1,8 @@
 """Fuzzy line deduplication by DataFrame functions alone.
 
 Lines are normalised (lower case, runs of white space one blank, trimmed). A line's SimHash has 63 bits: bit b is set if more than half of its
-distinct words' hashes have it (a separator that stands after every word must not decide alone). The counts of three bits share one long, so one pass of partial sums over the words makes them. Lines whose
+distinct words' hashes have it (a separator that stands after every word must not decide alone). Words of less than LONG characters, which
+unlike lines of a language share, count only in lines without ENOUGH longer ones. The counts of three bits share one long, so one pass of partial sums over the words makes them. Lines whose
 SimHashes differ in at most TOLERANCE = 3 bits agree in two of five blocks; each pair of blocks makes a bucket. A line is compared
 with its bucket's hub, the least line in it, and, once links have made components, with the lines of the bucket that are in another
 component: no link inside the tolerance is lost, and a bucket of many variants is not expanded into all its pairs. A link needs edit
@@ -26,6 +27,8 @@ TOLERANCE = 3
 #: three counts of 21 bits in a long
 LANE = 21
 MOST_WORDS = (1 << LANE) - 1
+#: words of fewer characters are left out where ENOUGH others remain
+LONG, ENOUGH = 4, 4
 #: lines, and bytes of line numbers, that may be sent to all tasks; beyond it they are joined by a shuffle
 SENT = 1_000_000
 SENT_BYTES = 32 << 20
@@ -42,7 +45,9 @@ def lines_of(docs, id_column, text):
 def simhashes(lines):
     """Every line with its SimHash and length; the SimHash is null beyond MOST_WORDS words."""
     keys = ["id", "fp", "line", "k1", "k2", "length"]
-    words = lines.select(*keys[:-1], F.length("norm").alias("length"), F.explode(F.array_distinct(F.split("norm", " "))).alias("word")).withColumn("h", F.xxhash64("word"))
+    every = F.array_distinct(F.split("norm", " "))
+    words = lines.select(*keys[:-1], F.length("norm").alias("length"), every.alias("every"), F.filter(every, lambda w: F.length(w) >= LONG).alias("long"))
+    words = words.select(*keys, F.explode(F.when(F.size("long") >= ENOUGH, F.col("long")).otherwise(F.col("every"))).alias("word")).withColumn("h", F.xxhash64("word"))
     mask = 1 | 1 << LANE | 1 << 2 * LANE
     sums = words.groupBy(*keys).agg(F.count("*").alias("words"), *[F.sum(F.shiftrightunsigned("h", i).bitwiseAND(F.lit(mask))).alias(f"s{i}") for i in range(LANE)])
     bits = None

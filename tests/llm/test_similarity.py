@@ -88,6 +88,8 @@ def normal(line):
 
 def simhash(norm):
     words, out = set(norm.split(" ")), 0
+    longer = {w for w in words if len(w) >= 4}
+    words = longer if len(longer) >= 4 else words
     hashes = [xxhash.xxh64_intdigest(w.encode(), seed=42) for w in words]
     for b in range(63):
         out |= (2 * sum(h >> b & 1 for h in hashes) > len(words)) << b
