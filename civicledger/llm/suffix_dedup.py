@@ -1,28 +1,23 @@
-"""Repeated passages by sparse suffix arrays.
+"""Repeated passages by the windows round sparse suffixes.
 
 Of all suffixes (in words) those are kept that start at a minimiser: the place with the least hash of GRAM words among WINDOW neighbouring
-places. Every passage of LENGTH words or more has one among its first WINDOW places, the same one wherever the passage stands, and at
-least LENGTH - WINDOW + 1 words follow it inside the passage. Suffixes that share those words with another suffix are given their
-context (hashes of the words after and before), sorted by it over range partitions, and compared with their neighbours: once sorted by what
-follows, once by what precedes. The match extends right and left; LENGTH words or more in all make a repeat. Longer passages have further
-minimisers, whose matches overlap, so context stays short. The last row of a partition is compared with the first of the next one.
+places. Every passage of LENGTH words has one among its first WINDOW places, the same one wherever the passage stands, and at
+least LENGTH - WINDOW + 1 words follow it inside the passage. Where another text has a suffix that begins with the same words, the passages
+of LENGTH words of which the suffix's start is the minimiser are looked at one by one: each is a hash, counted over all texts. A
+passage that two texts hold is a repeat, and overlapping or touching repeats of a text are one. So every passage of LENGTH words that stands in
+two texts is found, whatever the texts have before and after it; only 64-bit hashes are compared, not the words themselves.
 
-Equal texts collapse before: each is one repeat as a whole. The texts that hold a passage sort side by side, so a passage in very many
-texts costs DEPTH comparisons a text, and range partitions cut between its rows.
+Equal texts collapse before: each is one repeat as a whole. A passage in very many texts is one hash with one count, whose partial results
+are made where the texts are read.
 
-What a text repeats in itself is found while it is read, from the hashes of all its passages of LENGTH words; so between texts one of
-several suffixes with the same context in a text is enough.
+What a text repeats in itself is found while it is read, from the hashes of all its passages of LENGTH words.
 
 Words are lower-cased (A-Z) and end at white space. Null texts and those of fewer than LENGTH words have no passage. Rows with a null id
 are reported under it. Repeated rows are equal texts; of equal ids none is the first for certain. Extra columns are ignored.
 """
 
-from collections import deque
-
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from civicledger.session import stored
@@ -31,11 +26,8 @@ from .textarrays import LOWER, NOT_BLANK, mix, per_text_windows, powers, slices,
 
 LENGTH, GRAM, WINDOW = 50, 8, 26
 SHARED = LENGTH - WINDOW + 1
-#: words of context after and before a suffix's start: enough for the next minimiser to take over
-AFTER, BEFORE = SHARED + WINDOW + 5, WINDOW
-#: rows before a row in the order that it is compared with
-DEPTH = 4
-SENT_TEXTS = 1_000_000
+#: texts, and hashes of repeated passages, that may be sent to all tasks; beyond it they are joined by a shuffle
+SENT_TEXTS = SENT_PASSAGES = 1_000_000
 
 
 def words_of(column):
@@ -45,18 +37,23 @@ def words_of(column):
     return span_hashes(data, starts, ends), first
 
 
+def minimiser_of(grams, at):
+    """The minimiser of the passage that starts at each of the places."""
+    return at + np.argmin(np.lib.stride_tricks.sliding_window_view(grams, WINDOW)[at], axis=1)
+
+
 def minimisers(words, first):
     """Places of the kept suffixes, with SHARED words inside the text behind each."""
-    n = len(words)
-    if n < LENGTH:
-        return np.zeros(0, np.int64)
-    owner = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    grams = window_hashes(words, GRAM)
-    view = np.lib.stride_tricks.sliding_window_view(grams, WINDOW)
-    last = np.arange(len(view)) + WINDOW + GRAM - 2
-    whole = owner[: len(view)] == owner[last]
-    at = np.unique(np.flatnonzero(whole) + np.argmin(view[whole], axis=1))
-    return at[at + SHARED <= first[owner[at] + 1]]
+    at, _ = per_text_windows(first, LENGTH)
+    return np.unique(minimiser_of(window_hashes(words, GRAM), at)) if len(at) else at
+
+
+def passage_hashes(words, at):
+    """Hash of the LENGTH words from each of the places on."""
+    up, down = powers(len(words))
+    total = np.zeros(len(words) + 1, np.uint64)
+    np.cumsum(words * up[: len(words)], out=total[1:])
+    return mix((total[at + LENGTH] - total[at]) * down[at])
 
 
 def own_repeats(words, first):
@@ -102,91 +99,50 @@ def suffixes(docs, id_column="doc_id", text="text"):
     return docs.select(id_column, text, F.xxhash64(text).alias("fp")).mapInArrow(find, f"`{id_column}` {kind}, fp bigint, n bigint, h array<bigint>, place array<int>, own array<struct<a:int,b:int>>")
 
 
-def contexts(docs, places, text="text"):
-    """(h, fp, place, after, before): word hashes in the order of reading away from the suffix's start, four bytes each."""
+def passages(docs, places, id_column="doc_id", text="text"):
+    """(fp, least_id, w, start): for each text the hashes and first words of its passages whose minimiser is one of its places."""
+    kind = docs.schema[id_column].dataType.simpleString()
 
     def cut(batches):
         for part in slices(batches, text):
-            words, first = words_of(part.column(1))
-            short = (words >> np.uint64(32)).astype(">u4")
-            rows = []
-            for k, (fp, found) in enumerate(zip(part.column(0).to_pylist(), part.column(2).to_pylist())):
-                own = short[first[k] : first[k + 1]]
-                around = {}
-                for x in found:
-                    p = x["place"]
-                    around.setdefault((x["h"], own[p : p + AFTER].tobytes(), own[max(0, p - BEFORE) : p][::-1].tobytes()), p)
-                rows += [(h, fp, p, after, before) for (h, after, before), p in around.items()]
-            columns = list(zip(*rows)) or [()] * 5
-            yield pa.record_batch([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int32()), pa.array(columns[3], pa.binary()), pa.array(columns[4], pa.binary())],
-                                  names=["h", "fp", "place", "after", "before"])
-
-    texts = docs.select(F.xxhash64(text).alias("fp"), text)
+            words, first = words_of(part.column(2))
+            at, owner = per_text_windows(first, LENGTH)
+            held = np.zeros(len(words) + 1, dtype=bool)
+            found = part.column(3)
+            held[found.flatten().to_numpy() + np.repeat(first[:-1], found.value_lengths().to_numpy())] = True
+            if len(at):
+                on = held[minimiser_of(window_hashes(words, GRAM), at)]
+                at, owner = at[on], owner[on]
+            bounds = pa.array(np.searchsorted(owner, np.arange(len(first))), pa.int32())
+            w = passage_hashes(words, at).view(np.int64)
+            yield pa.record_batch([*part.columns[:2], pa.ListArray.from_arrays(bounds, pa.array(w)), pa.ListArray.from_arrays(bounds, pa.array((at - first[owner]).astype(np.int32)))],
+                                  names=["fp", "least_id", "w", "start"])
+
+    texts = docs.select(F.xxhash64(text).alias("fp"), F.col(id_column).alias("own id"), text)
     needed = places.select("fp").distinct()
     if needed.count() <= SENT_TEXTS:
         texts = texts.join(F.broadcast(needed), "fp", "left_semi")
     # one of the equal texts is enough
-    texts = texts.groupBy("fp").agg(F.first(text).alias(text)).join(places, "fp").select("fp", text, "found")
-    return texts.mapInArrow(cut, "h bigint, fp bigint, place int, after binary, before binary")
-
-
-def common(a, b):
-    """Number of leading words that the two contexts share."""
-    n = min(len(a), len(b)) // 4
-    if a[: 4 * n] == b[: 4 * n]:
-        return n
-    x, y = np.frombuffer(a, np.uint32, n), np.frombuffer(b, np.uint32, n)
-    return int(np.argmax(x != y))
-
-
-def match(x, y):
-    """(words before, words after) that two suffixes (h, fp, place, after, before) share, if they make a repeat."""
-    if x[0] != y[0] or x[1] == y[1]:
-        return None
-    after, before = common(x[3], y[3]), common(x[4], y[4])
-    return (before, after) if after + before >= LENGTH else None
-
-
-def neighbours(rows, by):
-    """Matches of neighbouring rows (kind 0), and every partition's first and last row (kind 1 and 2).
-
-    match rows: kind, part, h, fp, place, a and b (the repeat's words in the text), after, before.
-    """
-    order = ["h", *by, "fp", "place"]
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-    def compare(batches):
-        context = TaskContext.get()
-        part, last, recent = context.partitionId() if context else 0, None, deque(maxlen=DEPTH)
-        names = ["kind", "part", "h", "fp", "place", "a", "b", "after", "before"]
-        types = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
-        edge = lambda kind, r: (kind, part, r[0], r[1], r[2], 0, 0, r[3], r[4])
-        pack = lambda out: pa.record_batch([pa.array(c, t) for c, t in zip(list(zip(*out)) or [()] * 9, types)], names=names)
+    texts = texts.groupBy("fp").agg(F.min("own id").alias("least_id"), F.first(text).alias(text)).join(places, "fp").select("fp", "least_id", text, "found")
+    return texts.mapInArrow(cut, f"fp bigint, least_id {kind}, w array<bigint>, start array<int>")
+
+
+def islands(rows):
+    """(fp, spans) from rows (fp, at: spans that may overlap or touch): a span is first if all that it is made of are."""
+
+    def merge(batches):
         for batch in batches:
             out = []
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if last is None:
-                    out.append(edge(1, row))
-                for other in recent:
-                    if found := match(other, row):
-                        out += [(0, part, *r[:3], r[2] - found[0], r[2] + found[1], None, None) for r in (other, row)]
-                recent.append(row)
-                last = row
-            yield pack(out)
-        if last is not None:
-            yield pack([edge(2, last)])
-
-    rows = rows.select("h", "fp", "place", "after", "before").repartitionByRange(n, *order).sortWithinPartitions(*order)
-    found = stored(rows.mapInArrow(compare, "kind int, part int, h bigint, fp bigint, place int, a int, b int, after binary, before binary"), "neighbours-" + by[0])
-    ends = {1: {}, 2: {}}
-    for r in found.where("kind > 0").select("kind", "part", "h", "fp", "place", "after", "before").collect():  # two rows a partition
-        ends[r["kind"]][r["part"]] = (r["h"], r["fp"], r["place"], bytes(r["after"]), bytes(r["before"]))
-    parts, more = sorted(ends[1]), []
-    for x, y in zip(parts, parts[1:]):
-        if got := match(ends[2][x], ends[1][y]):
-            more += [(*r[:3], r[2] - got[0], r[2] + got[1]) for r in (ends[2][x], ends[1][y])]
-    matches = found.where("kind = 0").select("h", "fp", "place", "a", "b")
-    return matches.union(rows.sparkSession.createDataFrame(more, "h long, fp long, place int, a int, b int")) if more else matches
+            for at in batch.column(1):
+                a, b, first = (at.values.field(k).to_numpy(zero_copy_only=False) for k in range(3))
+                order = np.argsort(a, kind="stable")
+                a, b, first = a[order], np.maximum.accumulate(b[order]), first[order]
+                new = np.flatnonzero(np.concatenate([[True], a[1:] > b[:-1]]))
+                ends = b[np.concatenate([new[1:], [len(a)]]) - 1]
+                out.append([{"a": x, "b": y, "first": z} for x, y, z in zip(a[new].tolist(), ends.tolist(), np.logical_and.reduceat(first, new).tolist())])
+            yield pa.record_batch([batch.column(0), pa.array(out, pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32()), ("first", pa.bool_())])))], names=["fp", "spans"])
+
+    return rows.mapInArrow(merge, "fp bigint, spans array<struct<a:int,b:int,first:boolean>>")
 
 
 def repeats(docs, id_column="doc_id", text="text"):
@@ -195,23 +151,21 @@ def repeats(docs, id_column="doc_id", text="text"):
     base = stored(suffixes(docs, id_column, text), "suffixes")
     each = base.select(id_column, "fp", F.explode(F.arrays_zip("h", "place")).alias("x")).select(id_column, "fp", "x.h", "x.place")
     held = each.groupBy("h").agg(F.min("fp").alias("least"), F.max("fp").alias("most")).where("least <> most").select("h")
-    places = each.join(held, "h").select("fp", "h", "place").distinct().groupBy("fp").agg(F.collect_list(F.struct("h", "place")).alias("found"))
+    places = each.join(held, "h").select("fp", "place").distinct().groupBy("fp").agg(F.collect_list("place").alias("found"))
     places = stored(places, "places")
-    around = stored(contexts(docs, places, text), "contexts")
-    matches = neighbours(around, ["after", "before"]).union(neighbours(around, ["before", "after"]))
-    # a suffix's matches all hold its start, so together they are one span
-    matches = stored(matches.groupBy("h", "fp", "place").agg(F.min("a").alias("a"), F.max("b").alias("b")), "matches")
+    found = stored(passages(docs, places, id_column, text), "passages")
+    # a passage in two texts: its first text is the one with the least id
+    text_of = F.struct("least_id", "fp")
+    shared = found.select("fp", "least_id", F.explode("w").alias("w")).groupBy("w").agg(F.min(text_of).alias("f"), F.max(text_of).alias("other")).where("f.fp <> other.fp")
+    shared = stored(shared.select("w", F.col("f.fp").alias("first_fp")), "shared-passages")
+    small = F.broadcast if shared.count() <= SENT_PASSAGES else (lambda side: side)
+    matches = found.select("fp", F.explode(F.arrays_zip("w", "start")).alias("x")).select("fp", "x.w", F.col("x.start").alias("a")).join(small(shared), "w")
+    matches = matches.select("fp", "a", (F.col("a") + LENGTH).alias("b"), (F.col("first_fp") == F.col("fp")).alias("first"))
 
     # equal texts: how many rows, the least id
     texts = base.groupBy("fp", "n").agg(F.count("*").alias("copies"), F.min(id_column).alias("least_id"))
     within = base.where(F.size("own") > 0).select("fp", F.explode("own").alias("x")).select("fp", "x.a", "x.b", F.lit(True).alias("first")).distinct()
-    first_of = matches.join(texts.select("fp", "least_id"), "fp").groupBy("h").agg(F.min(F.struct("least_id", "fp", "place")).alias("f"))
-    matches = matches.join(stored(first_of, "first-places"), "h").withColumn("first", (F.col("f.fp") == F.col("fp")) & (F.col("f.place") == F.col("place")))
-    before = F.max("b").over(Window.partitionBy("fp").orderBy("a", "b").rowsBetween(Window.unboundedPreceding, -1))
-    islands = matches.select("fp", "a", "b", "first").union(within).withColumn("new", F.when(F.col("a") <= before, 0).otherwise(1))
-    islands = islands.withColumn("island", F.sum("new").over(Window.partitionBy("fp").orderBy("a", "b").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    spans = islands.groupBy("fp", "island").agg(F.min("a").alias("a"), F.max("b").alias("b"), F.min("first").alias("first"))
-    spans = spans.groupBy("fp").agg(F.collect_list(F.struct("a", "b", "first")).alias("spans"))  # no more than a text has words
+    spans = islands(matches.union(within).groupBy("fp").agg(F.collect_list(F.struct("a", "b", "first")).alias("at")))  # no more than a text has words
     told = texts.join(spans, "fp", "left").where(F.col("spans").isNotNull() | (F.col("copies") > 1) & (F.col("n") >= LENGTH))
     rows = base.select(id_column, "fp", "n").join(told.select("fp", "copies", "least_id", "spans"), "fp")
     whole = (F.col("copies") > 1) & (F.col("n") >= LENGTH)

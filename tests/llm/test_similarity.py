@@ -173,3 +173,16 @@ def test_first_of_equal_texts(documents):
     text = prose(40, 80)
     rows = suffix_dedup.repeats(documents([(5, text), (4, text), (9, prose(41, 80))])).collect()
     assert {(r["doc_id"], r["whole_text"], r["first"]) for r in rows} == {(4, True, True), (5, True, False)}
+
+
+def test_repeats_round_a_frequent_core(documents):
+    """48 words that all texts share; the 50th comes from before, from after, or from both sides."""
+    rng, core = random.Random(50), prose(51, 48)
+    side = lambda: f"side{rng.randrange(12)}"
+    pairs = [(5000 + k, f"{prose(1000 + k, 5)} {side()} {core} {side()} {prose(2000 + k, 5)}") for k in range(600)]
+    want, got, first = suffix_dedup.brute_force(pairs), defaultdict(set), defaultdict(bool)
+    for r in suffix_dedup.repeats(documents(pairs)).collect():
+        got[r["doc_id"]].update(range(r["start_word"], r["end_word"]))
+        first[r["doc_id"]] |= r["first"]
+    assert {k: got[k] for k in want} == want
+    assert first[5000]
