@@ -2,8 +2,9 @@
 
 A page is cut into tags and texts once; every element gets the hash of its subtree (tag, class, id, role and text of everything in it).
 Spark counts, per host, on how many pages each subtree stands; a subtree on at least MIN_PAGES pages and SHARE of the host's pages is
-template and goes. Inside the landmark that marks the content (article, main) its running text - paragraphs, headings, lists, quotes, tables -
-is never template, however often it recurs. Elements that say what they are (nav, header, footer, aside, form, scripts, or a class, id
+template and goes. Pages of a host with the same content (their text before anything is known of templates) count as one page there, so copies
+of a page don't make its text template. Inside the landmark that marks the content (article, main) its running text - paragraphs, headings,
+lists, quotes, tables - is never template, however often it recurs, and neither is a wrapper that holds most of it. Elements that say what they are (nav, header, footer, aside, form, scripts, or a class, id
 or role such as menu, sidebar, advert, cookie notice, comments) go in any case. If a page has a landmark with text, its text is the result, else
 the rest of the body.
 
@@ -11,8 +12,7 @@ Per host at most (subtrees of a page / SHARE) subtrees can be template, so a hos
 counted size allows; else the pages meet them by host and a part of the host.
 
 A null or empty page gives an empty text. Bytes that end inside a tag end the page there. A null url is a host of its own. Pages are judged
-row by row, also when ids or urls repeat; a page repeated often makes its own subtrees template outside landmarks. Extra columns are
-ignored.
+row by row, also when ids or urls repeat. Extra columns are ignored.
 """
 
 import html
@@ -136,16 +136,43 @@ def subtree_hashes(root):
     return out
 
 
+def content_wrappers(root):
+    """The ids of the elements in landmarks that hold more than half of their landmark's running text, or of all its text if none of it runs."""
+    sizes, order, todo = {}, [], [(root, None, False)]
+    while todo:
+        e, landmark, runs = todo.pop()
+        if e.tag in _LANDMARK:
+            landmark, runs = e, False
+        elif landmark and e.tag in _PROSE:
+            runs = runs or e.tag not in _INLINE
+        order.append((e, landmark))
+        own = sum(len("".join(c.split())) for c in e.children if isinstance(c, str)) if landmark else 0
+        sizes[id(e)] = [own if runs else 0, own]
+        todo.extend((c, landmark, runs) for c in e.children if isinstance(c, Element) and not c.drop)
+    for e, _ in reversed(order):  # children before their parents
+        for c in e.children:
+            if isinstance(c, Element) and not c.drop:
+                for k in (0, 1):
+                    sizes[id(e)][k] += sizes[id(c)][k]
+    out = set()
+    for e, landmark in order:
+        if landmark and e is not landmark:
+            k = 0 if sizes[id(landmark)][0] else 1
+            if 2 * sizes[id(e)][k] > sizes[id(landmark)][k]:
+                out.add(id(e))
+    return out
+
+
 def candidates(root):
     """Hashes of the subtrees that may be template, each once."""
-    hashes, found = subtree_hashes(root), set()
+    hashes, wrappers, found = subtree_hashes(root), content_wrappers(root), set()
     todo = [(root, False)]
     while todo:
         e, inside = todo.pop()
         for c in e.children:
             if isinstance(c, Element) and not c.drop:
                 within = inside or c.tag in _LANDMARK
-                if c.tag != "body" and c.tag not in _LANDMARK and not (inside and c.tag in _PROSE) and _has_text(c):
+                if c.tag != "body" and c.tag not in _LANDMARK and not (inside and c.tag in _PROSE) and id(c) not in wrappers and _has_text(c):
                     found.add(hashes[id(c)])
                 todo.append((c, within))
     return found
@@ -164,7 +191,7 @@ def _has_text(e):
 
 def main_text(root, template=frozenset()):
     """The blocks' texts, joined by one blank each."""
-    hashes = subtree_hashes(root) if template else None
+    hashes, wrappers = (subtree_hashes(root), content_wrappers(root)) if template else (None, ())
 
     def blocks(start, only):
         """Texts of blocks below start; only: those in landmarks."""
@@ -180,7 +207,7 @@ def main_text(root, template=frozenset()):
                 out.append("".join(own))
                 own.clear()
                 continue
-            if e.drop or hashes and hashes[id(e)] in template and e is not start and not (e.tag in _LANDMARK or inside and e.tag in _PROSE or e.tag == "body"):
+            if e.drop or hashes and hashes[id(e)] in template and e is not start and not (e.tag in _LANDMARK or inside and e.tag in _PROSE or id(e) in wrappers or e.tag == "body"):
                 own.append(" ") if e.tag in _INLINE else todo.append((e, inside, True))
                 continue
             inside = inside or e.tag in _LANDMARK
@@ -210,12 +237,14 @@ def site_templates(pages, page="html", url="url", min_pages=MIN_PAGES, share=SHA
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)
-                found = [sorted(candidates(parse(p or ""))) for p in part.column(1).to_pylist()]
+                roots = [parse(p or "") for p in part.column(1).to_pylist()]
+                content = [xxhash.xxh3_64_intdigest(main_text(r)) - (1 << 63) for r in roots]
                 # a page counts itself by the subtree 0
-                yield pa.record_batch([part.column(0), pa.array([[0, *f] for f in found], pa.list_(pa.int64()))], names=["host", "subtrees"])
+                yield pa.record_batch([part.column(0), pa.array(content, pa.int64()), pa.array([[0, *sorted(candidates(r))] for r in roots], pa.list_(pa.int64()))], names=["host", "content", "subtrees"])
 
-    counts = (pages.select(host_of(F.col(url)).alias("host"), page).mapInArrow(subtrees, "host string, subtrees array<bigint>")
-              .select("host", F.explode("subtrees").alias("subtree")).groupBy("host", "subtree").agg(F.count("*").alias("n")).where((F.col("subtree") == 0) | (F.col("n") >= min_pages)))
+    found = pages.select(host_of(F.col(url)).alias("host"), page).mapInArrow(subtrees, "host string, content bigint, subtrees array<bigint>")
+    counts = (found.select("host", "content", F.explode("subtrees").alias("subtree")).distinct()
+              .groupBy("host", "subtree").agg(F.count("*").alias("n")).where((F.col("subtree") == 0) | (F.col("n") >= min_pages)))
     counts = stored(counts, "subtree-counts")
     of_host = counts.where("subtree = 0").select("host", F.col("n").alias("host_pages"))
     return counts.where("subtree <> 0").join(of_host, "host").where(F.col("n") >= share * F.col("host_pages")).groupBy("host").agg(F.collect_list("subtree").alias("template"))

@@ -178,3 +178,16 @@ def test_site_templates_go(spark, monkeypatch, sent):
     want += [(200 + k, f"said on every page own {k}") for k in range(20)] + [(300, ""), (301, ""), (302, "x"), (0, "again")]
     assert got == Counter((k, t, len(t)) for k, t in want)
     assert html_extract.extract(df.limit(0)).count() == 0
+
+
+def test_copies_of_a_page_do_not_make_it_template(spark):
+    box = "<div><span>Our offers</span></div>"
+    copy = f"<body>{box}<article><div class=body><p>told once</p><p>in two parts</p></div></article>"
+    pages = [(k, f"http://a.example/{k}", copy) for k in range(8)] + [(10 + k, f"http://a.example/{k}", f"<body>{box}<article><p>own {k}</p></article>") for k in range(8)]
+    pages += [(20 + k, f"http://b.example/{k}", f"<body><div><p>no landmark</p></div><div>{'x' if k < 6 else k}</div>") for k in range(9)]  # six copies
+    # the same body below a line that differs
+    pages += [(30 + k, f"http://c.example/{k}", f"<main><span>view {k}</span><div><p>body of the text</p></div><div>Follow us</div></main>") for k in range(8)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    want = {k: "told once in two parts" for k in range(8)} | {10 + k: f"own {k}" for k in range(8)} | {20 + k: f"no landmark {'x' if k < 6 else k}" for k in range(9)}
+    want |= {30 + k: f"view {k} body of the text" for k in range(8)}
+    assert {r["page_id"]: r["text"] for r in html_extract.extract(df).collect()} == want
