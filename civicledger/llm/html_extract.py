@@ -2,13 +2,13 @@
 
 A page is cut into tags and texts once; every element gets the hash of its subtree (tag, class, id, role and text of everything in it).
 Spark counts, per host, on how many pages each subtree stands; a subtree on at least MIN_PAGES pages and SHARE of the host's pages is
-template and goes. Pages of a host with the same content (their text before anything is known of templates) count as one page there, so copies
+template and goes; so does a box (any element but running text and inline ones) on MANY_PAGES pages, however large the host. Pages of a host with the same content (their text before anything is known of templates) count as one page there, so copies
 of a page don't make its text template. Inside the landmark that marks the content (article, main) its running text - paragraphs, headings,
 lists, quotes, tables - is never template, however often it recurs, and neither is a wrapper that holds most of it. Elements that say what they are (nav, header, footer, aside, form, scripts, or a class, id
 or role such as menu, sidebar, advert, cookie notice, comments) go in any case. If a page has a landmark with text, its text is the result, else
 the rest of the body.
 
-Per host at most (subtrees of a page / SHARE) subtrees can be template, so a host's list is small. The lists are sent to the tasks if their
+Per host at most (subtrees of a page / SHARE) subtrees can be template, and boxes of a page for each MANY_PAGES pages, so a host's list is small. The lists are sent to the tasks if their
 counted size allows; else the pages meet them by host and a part of the host.
 
 A null or empty page gives an empty text. Bytes that end inside a tag end the page there. A null url is a host of its own. Pages are judged
@@ -27,6 +27,8 @@ from civicledger.session import stored
 
 MIN_PAGES = 5
 SHARE = 0.25
+#: pages that make a box template on a host of any size
+MANY_PAGES = 1000
 SLICE = 256
 #: hashes that may be sent to all tasks; beyond it pages meet their host's list by a join dealt over SALTS parts of each host
 SENT_HASHES = 1_000_000
@@ -119,7 +121,10 @@ def _close(stack, tags, bounds):
 
 
 def subtree_hashes(root):
-    """{id of an element: hash of its subtree}, dropped ones not looked into; texts count without their white space's shape."""
+    """{id of an element: hash of its subtree}, dropped ones not looked into; texts count without their white space's shape.
+
+    The least bit tells boxes from running text and inline elements.
+    """
     out, todo = {}, [(root, False)]
     while todo:
         e, ready = todo.pop()
@@ -132,7 +137,7 @@ def subtree_hashes(root):
             parts = [e.tag, e.names]
             for c in e.children:
                 parts.append(" ".join(c.split()) if isinstance(c, str) else str(out[id(c)]))
-            out[id(e)] = xxhash.xxh3_64_intdigest("\x1f".join(parts)) - (1 << 63)
+            out[id(e)] = (xxhash.xxh3_64_intdigest("\x1f".join(parts)) - (1 << 63)) & ~1 | (e.tag not in _PROSE)
     return out
 
 
@@ -230,7 +235,7 @@ def host_of(url):
     return F.regexp_replace(F.lower(F.coalesce(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1), F.lit(""))), r"^www\.", "")
 
 
-def site_templates(pages, page="html", url="url", min_pages=MIN_PAGES, share=SHARE):
+def site_templates(pages, page="html", url="url", min_pages=MIN_PAGES, share=SHARE, many_pages=MANY_PAGES):
     """(host, template): the hashes of each host's recurring subtrees."""
 
     def subtrees(batches):
@@ -247,12 +252,13 @@ def site_templates(pages, page="html", url="url", min_pages=MIN_PAGES, share=SHA
               .groupBy("host", "subtree").agg(F.count("*").alias("n")).where((F.col("subtree") == 0) | (F.col("n") >= min_pages)))
     counts = stored(counts, "subtree-counts")
     of_host = counts.where("subtree = 0").select("host", F.col("n").alias("host_pages"))
-    return counts.where("subtree <> 0").join(of_host, "host").where(F.col("n") >= share * F.col("host_pages")).groupBy("host").agg(F.collect_list("subtree").alias("template"))
+    many = (F.col("n") >= many_pages) & (F.col("subtree").bitwiseAND(F.lit(1)) == 1)
+    return counts.where("subtree <> 0").join(of_host, "host").where((F.col("n") >= share * F.col("host_pages")) | many).groupBy("host").agg(F.collect_list("subtree").alias("template"))
 
 
-def extract(pages, id_column="page_id", url="url", page="html", min_pages=MIN_PAGES, share=SHARE):
+def extract(pages, id_column="page_id", url="url", page="html", min_pages=MIN_PAGES, share=SHARE, many_pages=MANY_PAGES):
     """One row per row of pages: its id, url, text, n_chars."""
-    templates = site_templates(pages, page, url, min_pages, share)
+    templates = site_templates(pages, page, url, min_pages, share, many_pages)
     templates = stored(templates, "site-templates")
     rows = pages.select(F.col(id_column), F.col(url), F.col(page), host_of(F.col(url)).alias("site host"))
     if (templates.agg(F.sum(F.size("template"))).first()[0] or 0) <= SENT_HASHES:

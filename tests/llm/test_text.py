@@ -180,6 +180,12 @@ def test_site_templates_go(spark, monkeypatch, sent):
     assert html_extract.extract(df.limit(0)).count() == 0
 
 
+def test_box_on_many_pages_of_a_large_host(spark):
+    pages = [(k, f"http://a.example/{k}", f"<body>{'<div><span>Our offers</span></div><p>yes</p>' if k < 12 else ''}<p>own {k}</p></body>") for k in range(60)]
+    rows = html_extract.extract(spark.createDataFrame(pages, "page_id long, url string, html string"), many_pages=12).collect()
+    assert {r["page_id"]: r["text"] for r in rows} == {k: ("yes " if k < 12 else "") + f"own {k}" for k in range(60)}
+
+
 def test_copies_of_a_page_do_not_make_it_template(spark):
     box = "<div><span>Our offers</span></div>"
     copy = f"<body>{box}<article><div class=body><p>told once</p><p>in two parts</p></div></article>"
