@@ -9,7 +9,8 @@ The benchmark is taken in blocks of at most BLOCK_BYTES of text; each block is s
 the rows as they stream by, so a larger benchmark costs passes, not memory. Nothing is shuffled.
 
 A null or wordless text has no words and is clean; items without words match nothing; rows repeated in either table count one by one
-(an item's id once). Extra columns are ignored.
+(an item's id once). Items without an id are searched like the others; together they are one item, null, at the end of a document's
+items. Extra columns are ignored.
 """
 
 import hashlib
@@ -109,16 +110,16 @@ def occurrences(p, data, starts, ends, first, hashes):
 
 def _blocks(benchmark, item_id, text):
     """The items in blocks of bounded size, in order of their ids, each brought to the driver alone."""
-    sized = benchmark.select(F.col(item_id).cast("string").alias("i"), F.col(text).alias("t")).where("t is not null and i is not null")
+    sized = benchmark.select(F.col(item_id).cast("string").alias("i"), F.col(text).alias("t")).where("t is not null")
     total = sized.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     n = max(1, -(-int(total) // BLOCK_BYTES))
     for k in range(n):
-        own = sized if n == 1 else sized.where(F.pmod(F.xxhash64("i"), F.lit(n)) == k)
+        own = sized if n == 1 else sized.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k)
         yield [(r["i"], r["t"]) for r in own.collect()]
 
 
 def contaminated(docs, benchmark, window=WINDOW, id_column="doc_id", text="text", item_id="item_id", item_text="text"):
-    """One row per row of docs: its id, n_words, n_hit (words inside an occurrence), items (sorted ids of items found), spans of hit words.
+    """One row per row of docs: its id, n_words, n_hit (words inside an occurrence), items (sorted ids of items found, null last), spans of hit words.
 
     spans are pairs of word numbers, the end not included.
     """
@@ -151,7 +152,7 @@ def contaminated(docs, benchmark, window=WINDOW, id_column="doc_id", text="text"
                 owner = np.searchsorted(first, a, "right") - 1
                 spans = pa.ListArray.from_arrays(pa.array(np.searchsorted(owner, np.arange(len(first))), pa.int32()),
                                                  pa.StructArray.from_arrays([pa.array(a - first[owner]), pa.array(b - first[owner])], names=["a", "b"]))
-                yield pa.record_batch([*part.columns[:2], spans, pa.array([sorted(x) for x in found], pa.list_(pa.string())), pa.array(np.diff(first))],
+                yield pa.record_batch([*part.columns[:2], spans, pa.array([sorted(x, key=lambda i: (i is None, i)) for x in found], pa.list_(pa.string())), pa.array(np.diff(first))],
                                       names=[id_column, text, "spans", "items", "n_words"])
 
         out = out.mapInArrow(scan, f"`{id_column}` {kind}, `{text}` string, spans array<struct<a:bigint,b:bigint>>, items array<string>, n_words bigint")

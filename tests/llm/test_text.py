@@ -1,5 +1,6 @@
 """Decontamination, language-model scores, quality rules and main text against their definitions."""
 
+import hashlib
 import math
 import random
 import re
@@ -37,6 +38,18 @@ def test_decontamination(spark, documents, odd, monkeypatch):
     assert clean.count() == 0
 
 
+def test_items_without_an_id_are_found(spark, documents, monkeypatch):
+    docs = documents([(1, f"{prose(970, 20)} {prose(60, 12)} {prose(971, 20)}"), (2, f"{prose(61, 12)} {prose(60, 12)} {prose(62, 12)}"), (3, prose(972, 40))])
+    benchmark = spark.createDataFrame([(None, prose(60, 12)), (7, prose(61, 12)), (None, prose(62, 12)), (None, None)], "item_id long, text string")
+    for size in (decontaminate.BLOCK_BYTES, 50):
+        monkeypatch.setattr(decontaminate, "BLOCK_BYTES", size)
+        found = {r["doc_id"]: r for r in decontaminate.contaminated(docs, benchmark).collect()}
+        assert {k: (r["n_hit"], r["items"]) for k, r in found.items()} == {1: (12, [None]), 2: (36, ["7", None]), 3: (0, [])}
+    rows = {r["doc_id"]: (r["n_items"], r["items_sha256"], r["contaminated"]) for r in decontaminate.digests(decontaminate.contaminated(docs, benchmark)).collect()}
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    assert rows == {1: (1, sha(""), True), 2: (2, sha("7"), True), 3: (0, sha(""), False)}  # as its SQL has it
+
+
 def lattice_sum(word, pieces, weights):
     """All spellings one by one."""
     total = 0.0
