@@ -72,16 +72,17 @@ def text_counts(column):
     return words, np.diff(chars[first]), np.diff(symbols[offsets]), lines - distinct, repeated, lines
 
 
-def features(docs, id_column="doc_id", text="text", stratum="lang"):
-    """One row per row of docs: its id, stratum, COUNTS and n_lines (lines with a word)."""
-    rows = docs.select(id_column, F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias("stratum"), text)
+def features(docs, id_column="doc_id", text="text", stratum="lang", carried=()):
+    """One row per row of docs: its id, stratum, the carried columns, COUNTS and n_lines (lines with a word)."""
+    rows = docs.select(id_column, F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias("stratum"), text, *carried)
     kind = docs.schema[id_column].dataType.simpleString()
+    kinds = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in carried)
 
     def count(batches):
         for part in slices(batches, text):
-            yield pa.record_batch([*part.columns[:2], *(pa.array(c.astype(np.int64)) for c in text_counts(part.column(2)))], names=[id_column, "stratum", *COUNTS, "n_lines"])
+            yield pa.record_batch([*part.columns[:2], *part.columns[3:], *(pa.array(c.astype(np.int64)) for c in text_counts(part.column(2)))], names=[id_column, "stratum", *carried, *COUNTS, "n_lines"])
 
-    return rows.mapInArrow(count, f"`{id_column}` {kind}, stratum string, " + ", ".join(f"{c} bigint" for c in [*COUNTS, "n_lines"]))
+    return rows.mapInArrow(count, f"`{id_column}` {kind}, stratum string, {kinds}" + ", ".join(f"{c} bigint" for c in [*COUNTS, "n_lines"]))
 
 
 def rule_bins():
@@ -146,11 +147,11 @@ def cutoffs(rows, labels, id_column="doc_id", good="quality", risk=RISK, level=L
     return chosen
 
 
-def judge(docs, labels, id_column="doc_id", text="text", stratum="lang", good="quality", risk=RISK, level=LEVEL):
-    """One row per row of docs: its id, stratum, COUNTS, base_failed, rules that rejected it, kept."""
-    rows = stored(features(docs, id_column, text, stratum), "quality-features")
+def judge(docs, labels, id_column="doc_id", text="text", stratum="lang", good="quality", risk=RISK, level=LEVEL, carried=()):
+    """One row per row of docs: its id, stratum, the carried columns of docs, COUNTS, base_failed, rules that rejected it, kept."""
+    rows = stored(features(docs, id_column, text, stratum, carried), "quality-features")
     cuts = cutoffs(rows, labels, id_column, good, risk, level)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     named = [F.when(v >= F.col(f"cut_{k}"), F.lit(k)) for k, v in rule_bins().items()]
     out = rows.join(cuts, "stratum", "left").withColumn("base_failed", failed).withColumn("rejected_by", F.array_compact(F.array(*named)))
-    return out.select(id_column, "stratum", *COUNTS, "base_failed", "rejected_by", (~F.col("base_failed") & (F.size("rejected_by") == 0)).alias("kept"))
+    return out.select(id_column, "stratum", *carried, *COUNTS, "base_failed", "rejected_by", (~F.col("base_failed") & (F.size("rejected_by") == 0)).alias("kept"))

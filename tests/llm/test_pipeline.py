@@ -49,6 +49,25 @@ def test_stages(spark, tmp_path):
     assert {r["doc_id"] for r in packed.collect()} == ids | {106, None}
 
 
+def test_rows_without_ids_and_with_shared_ones(spark, tmp_path):
+    """Each row is decided on its own; the texts tell the rows apart."""
+    clean = [prose(8000 + k, 80, words=900) for k in range(4)]
+    near = [" ".join(f"w{k}x{i}" for i in range(100)) for k in range(3)]  # one long line each; a change makes another line
+    passage = prose(7777, 12)
+    leak = lambda k: f"{prose(8100 + k, 60)} {passage} {prose(8200 + k, 60)}"
+    docs = [(1, clean[0]), (1, "too short"), (2, clean[1]), (2, leak(1)), (None, clean[2]), (None, "junk"), (None, leak(2)), (5, clean[3])]
+    folder, now = write(spark, tmp_path / "a", docs, [(1, passage)]), None
+    now = table(spark, folder, "documents")
+    now = corpus_pipeline.quality_rules(spark, now, folder)
+    assert sorted(r["text"] for r in now.collect()) == sorted([*clean, leak(1), leak(2)])
+    now = corpus_pipeline.decontamination(spark, now, folder)
+    assert sorted(r["text"] for r in now.collect()) == sorted(clean)
+    copies = [(None, near[0]), (9, near[0]), (9, near[1]), (9, near[1] + " more"), (None, near[2]), (None, near[2]), (10, near[0] + " more"), (None, None), (None, "")]
+    kept = corpus_pipeline.one_of_each_group(spark, table(spark, write(spark, tmp_path / "b", copies, []), "documents"), folder).collect()
+    got = sorted(((r["doc_id"] or 0, (r["text"] or "").removesuffix(" more")) for r in kept))
+    assert got == sorted([(9, near[0]), (9, near[1]), (0, near[2]), (0, ""), (0, "")])
+
+
 def test_empty_tables(spark, tmp_path):
     assert corpus_pipeline.run(spark, write(spark, tmp_path, [], [])).count() == 0
 
