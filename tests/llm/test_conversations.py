@@ -7,6 +7,7 @@ import random
 import zlib
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from compare import DATA, duck
 from llm_data import prose
@@ -207,7 +208,10 @@ def test_byte_bpe_equals_the_library(documents, odd, monkeypatch):
     rng = random.Random(5)
     more = ["aa" * 4001, "日本語テキスト" * 300, "x" * 20_000, "".join(chr(rng.choice([*range(32, 700), *range(0x4E00, 0x4F00), 0x1F600, 9, 10, 13, 0xA0, 0])) for _ in range(6000)), prose(9, 3000)]
     texts = dict(odd + [(100 + k, t) for k, t in enumerate(more)] + [(None, "no id")])
-    tokens = byte_bpe.encode(documents(list(texts.items())), path, pattern)
+    docs = documents(list(texts.items()))
+    tokens = byte_bpe.encode(docs, path, pattern)
+    other = byte_bpe.encode(docs, path, f"(?:{pattern})")  # the same matches, without the way over chunks
+    assert sorted(map(str, other.collect())) == sorted(map(str, tokens.collect()))
     rows = byte_bpe.decode(tokens, path).collect()
     assert len(rows) == len(texts)
     for r in rows:
@@ -221,10 +225,21 @@ def test_byte_bpe_equals_the_library(documents, odd, monkeypatch):
 
 def test_long_texts_and_a_full_memory_give_the_same_ids(monkeypatch):
     path, pattern, tik = library()
-    monkeypatch.setattr(byte_bpe, "LONG_TEXT", 10)
-    monkeypatch.setattr(byte_bpe, "KEEP", 4)
-    text = prose(11, 2000)
-    assert byte_bpe.Encoder(byte_bpe.load_ranks(path), pattern).ids(text).tolist() == tik.encode_ordinary(text)
+    monkeypatch.setattr(byte_bpe, "LONG_TEXT", 300)
+    monkeypatch.setattr(byte_bpe, "PART", 50)
+    texts = [prose(k, n) for k, n in ((11, 2000), (12, 20), (13, 30), (14, 0), (15, 500))]
+    got = byte_bpe.Encoder(byte_bpe.load_ranks(path), pattern, keep=40).ids(texts)
+    assert [np.frombuffer(ids, "<i4").tolist() for ids in got] == [tik.encode_ordinary(t) for t in texts]
+
+
+def test_trees_side_by_side_equal_single_trees():
+    path, _, _ = library()
+    ranks, rng = byte_bpe.load_ranks(path), random.Random(3)
+    pairs = byte_bpe.Pairs(ranks)
+    for size in range(1, 7):
+        pieces = [bytes(rng.choice(b"aetrs nioABC\xc3\xa9\x00\xff") for _ in range(rng.randint((1 << size - 1) + 1, 1 << size))) for _ in range(300)]
+        for piece, ids in zip(pieces, byte_bpe.merge_many(pieces, pairs)):
+            assert np.frombuffer(ids, "<i4").tolist() == byte_bpe.merge(piece, ranks)
 
 
 def test_whole_table_against_the_library(spark):
