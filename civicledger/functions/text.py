@@ -87,7 +87,7 @@ def parse_date(c) -> Column:
 def _fold_tables():
     """Accent folding derived from the Unicode database: one-to-one letters, and the few that become several."""
     single, several = {}, {}
-    for code in [*range(0x00A0, 0xD800), *range(0xE000, 0x10000)]:
+    for code in [*range(0x00A0, 0xD800), *range(0xE000, 0x20000)]:
         plain = unicodedata.normalize("NFKD", chr(code)).encode("ascii", "ignore").decode()
         if len(plain) == 1:
             single[chr(code)] = plain

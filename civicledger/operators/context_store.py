@@ -1,43 +1,58 @@
-"""Where contexts and their evidence are kept: one place per engine and mapping version, replaced as a whole by a run."""
+"""Where contexts and their evidence are kept: a log of changes per engine and mapping version."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from ..streaming.ingest import TradeStore
+from ..streaming.ledger import Ledger, Table
 from .context import VERSION_KEY, merge_context
 
+TABLES = {"context": Table(keys=tuple(VERSION_KEY)), "evidence": Table(keys=tuple(VERSION_KEY))}
 
-class ContextStore(TradeStore):
-    """Every run over a version writes a new snapshot of that version only; readers take the newest finished one."""
 
-    def _place(self, table, version, mapping):
-        return f"{table}/{version}/mappings-{mapping}"
+class ContextStore:
+    """A run writes the rows it inserts or changes, with their evidence, and nothing else; other versions are not touched.
+
+    Readers merge the changes of one version. An equal second run writes no row and leaves no folder, and so does an empty one.
+    """
+
+    def __init__(self, spark: SparkSession, root):
+        self.spark, self.root = spark, str(root).rstrip("/")
+
+    def ledger(self, version, mapping) -> Ledger:
+        return Ledger(self.spark, f"{self.root}/{version}/mappings-{mapping}", TABLES)
 
     def load(self, table, mappings: DataFrame, version=K.ENGINE_VERSION) -> DataFrame | None:
         """The stored rows ("context" or "evidence") of the newest mapping version; None where that was never analysed."""
         newest = mappings.agg(F.max("mapping_version")).first()[0]
-        return self.latest(self._place(table, version, newest))
+        return self.ledger(version, newest).read(table)
 
     def save(self, new: DataFrame, evidence: DataFrame, force=False) -> DataFrame:
         """Store a run's rows of one version; (action, rows, evidence) tells what became of all rows of that version.
 
         Evidence of new and changed rows is replaced, that of all others stays as it is.
         """
-        (key,) = new.select("context_version", "mapping_version").distinct().limit(2).collect()
-        places = [self._place(table, *key) for table in ("context", "evidence")]
-        runs = self.batches(places[0])
-        run = runs[-1] + 1 if runs else 0
-        # a run without a finished context left its evidence behind: the earlier run's counts
-        old, old_evidence = (self._load(p, runs[-1:]) for p in places)
-        old = new.limit(0) if old is None else old
-        merged = merge_context(new, old, force)
-        changed = merged.filter("action IN ('inserted', 'updated')").select(*VERSION_KEY)
-        kept = evidence.join(changed, VERSION_KEY, "left_semi")
-        if old_evidence is not None:
-            kept = kept.unionByName(old_evidence.join(changed, VERSION_KEY, "left_anti"), allowMissingColumns=True)
-        proofs = self.write(kept, places[1], run)
-        rows = self.write(merged, places[0], run)
+        versions = new.select("context_version", "mapping_version").distinct().limit(2).collect()
+        if not versions:
+            return self.spark.createDataFrame([], "action string, rows long, evidence long")
+        (version,) = versions
+        ledger = self.ledger(*version)
+        change = ledger.begin()
+        old = change.base.read("context")
+        merged = change.staged(merge_context(new, new.limit(0) if old is None else old, force))
+        changed = merged.filter("action IN ('inserted', 'updated')").drop("action")
+        some = not changed.isEmpty()
+        if some:
+            change.add("context", changed)
+            proofs = evidence.join(changed.select(*VERSION_KEY), VERSION_KEY, "left_semi")
+            change.add("evidence", proofs, gone=changed.select(*VERSION_KEY).join(proofs, VERSION_KEY, "left_anti"))
+        proofs = change.preview().read("evidence")
         counts = proofs.groupBy("trade_id").agg(F.count("*").alias("n"))
-        out = rows.select("trade_id", "action").join(counts, "trade_id", "left")
-        return out.groupBy("action").agg(F.count("*").alias("rows"), F.coalesce(F.sum("n"), F.lit(0)).alias("evidence"))
+        out = merged.select("trade_id", "action").join(counts, "trade_id", "left").groupBy("action").agg(
+            F.count("*").alias("rows"), F.coalesce(F.sum("n"), F.lit(0)).alias("evidence")).collect()  # a row per action
+        if some:
+            change.commit()
+            ledger.compact()
+        else:
+            change.discard()
+        return self.spark.createDataFrame(out, "action string, rows long, evidence long")

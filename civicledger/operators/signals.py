@@ -6,9 +6,16 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions.rules import date_problem, delay_signal, is_true, trade_size
 from ..functions.text import round_exact
+from ..session import stored
+from .order_stats import earlier_medians, earlier_ranks, with_moments
 from .ordered import earlier_rank
 from .performance import trade_performance
 
+#: cells up to which a politician's history is worked out by windows in one task; beyond it, by digits in many
+USUAL_CELLS = 4096
+#: sizes are whole or half dollars
+PER_DOLLAR = 2
+HISTORY = ["politician_id", "transaction_date", "value", "weight", "prior_n", "prior_median", "less", "same"]
 NO_VALUE = -1.0  # stands for "no usable range" in the size key; disclosed amounts are never negative
 
 
@@ -26,16 +33,28 @@ def size_history(trades: DataFrame, today) -> DataFrame:
         .withColumn("weight", F.when(F.col("value") != NO_VALUE, F.col("_n")).otherwise(F.lit(0)).cast("long"))
         .drop("_n")
     )
-    earlier = (
-        Window.partitionBy("politician_id").orderBy(F.unix_date("transaction_date"))
-        .rangeBetween(Window.unboundedPreceding, -1)
-    )
-    counted = cells.withColumns({
-        "prior_n": F.coalesce(F.sum("weight").over(earlier), F.lit(0)),
-        "prior_median": F.percentile(
-            F.when(F.col("weight") > 0, F.col("value")), F.lit(0.5), F.col("weight")).over(earlier),
-    })
-    return earlier_rank(counted, "politician_id", "transaction_date", "value", "weight")
+    cells = stored(with_moments(cells, "politician_id", "transaction_date", "weight").withColumnRenamed("prior", "prior_n"), "size-cells")
+    largest, highest = cells.agg(F.max("_cells"), F.max("value")).first()
+    usual = _usual_history(cells.filter(F.col("_cells") <= USUAL_CELLS))
+    return usual if (largest or 0) <= USUAL_CELLS else usual.unionByName(_large_history(cells.filter(F.col("_cells") > USUAL_CELLS), highest))
+
+
+def _usual_history(cells: DataFrame) -> DataFrame:
+    earlier = Window.partitionBy("politician_id").orderBy(F.unix_date("transaction_date")).rangeBetween(Window.unboundedPreceding, -1)
+    median = F.percentile(F.when(F.col("weight") > 0, F.col("value")), F.lit(0.5), F.col("weight")).over(earlier)
+    ranked = earlier_rank(cells.withColumn("prior_median", median), "politician_id", "transaction_date", "value", "weight")
+    return ranked.select(*HISTORY)
+
+
+def _large_history(cells: DataFrame, highest) -> DataFrame:
+    """The same by digits of the size, for politicians whose days × sizes are too many for one task."""
+    keyed = cells.withColumns({"_key": (F.greatest("value", F.lit(0.0)) * PER_DOLLAR).cast("long"), "prior": F.col("prior_n")})
+    sized = keyed.filter(F.col("value") != NO_VALUE)
+    top = int(highest * PER_DOLLAR) if highest and highest > 0 else 0
+    ranks = earlier_ranks(sized, "politician_id", "transaction_date", "_key", "weight", top)
+    unsized = keyed.filter(F.col("value") == NO_VALUE).withColumns({"less": F.lit(0).cast("long"), "same": F.lit(0).cast("long")})
+    medians = earlier_medians(keyed, "politician_id", "transaction_date", "_key", "weight", top).withColumn("prior_median", F.col("median") / PER_DOLLAR)
+    return ranks.unionByName(unsized).join(medians, ["politician_id", "transaction_date"], "left").select(*HISTORY)
 
 
 def size_signal(trades: DataFrame, today, size_percentile=90.0, min_history=10) -> DataFrame:

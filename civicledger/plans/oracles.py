@@ -184,7 +184,7 @@ oracle("merge_variants", f"""
 
 
 def _fingerprint(name, cols):
-    text = "concat_ws('|', " + ", ".join(f"coalesce({c}::varchar, '<null>')" for c in sorted(cols)) + ")"
+    text = "to_json({" + ", ".join(f"'c{i}': {c}::varchar" for i, c in enumerate(sorted(cols))) + "})"
     return f"""SELECT '{name}' AS table_name, count(*) AS rows, sum(('0x' || substr(h, 1, 13))::bigint::hugeint)::varchar AS hash_a,
       sum(('0x' || substr(h, 14, 13))::bigint::hugeint)::varchar AS hash_b FROM (SELECT md5({text}) AS h FROM {name})"""
 
@@ -563,7 +563,7 @@ oracle("context_summary", " UNION ALL ".join([
 oracle("context_evidence", """SELECT signal_type, evidence_type, evidence_key, count(*) AS rows, sum(days)::bigint AS days, min(trade_id) AS first_trade, max(trade_id) AS last_trade
   FROM evidence GROUP BY ALL""", **CONTEXT)
 oracle("context_evidence_text", """
-  SELECT trade_id, evidence_key, evidence_type, CASE signal_type WHEN 'disclosure_delay_signal' THEN 'Filed on day ' || days || ' after the trade; from day 45 on a filing counts as late, whatever the reason'
+  SELECT trade_id, evidence_key, evidence_type, CASE signal_type WHEN 'disclosure_delay_signal' THEN 'Filed on day ' || days || ' after the trade; after day 45 a filing counts as late, whatever the reason'
     ELSE CASE evidence_type WHEN 'reviewed_direct_mapping' THEN 'Within the committee''s remit' WHEN 'reviewed_related_mapping' THEN 'Close to the committee''s remit, no signal by itself'
         ELSE 'Not counted, as the dated record has no such seat on the day of the trade' END
       || ' - ' || m.committee_name || coalesce(' / ' || m.subcommittee_name, '') || ' covers codes ' || lpad(m.sic_start::varchar, 4, '0') || '-' || lpad(m.sic_end::varchar, 4, '0') || ' (Jurisdiction row ' || mapping_id || '.)'
@@ -722,3 +722,20 @@ oracle("explanation_audit", """SELECT trade_id, CASE split_part(trade_id, '-', 1
 oracle("stream_ingest", """SELECT 'trades' AS table_name, count(*) AS rows FROM numbered UNION ALL SELECT 'rejects', (SELECT count(*) FROM feed) - (SELECT count(*) FROM usable)
   UNION ALL SELECT 'politicians', count(DISTINCT canonical_key) FROM identified UNION ALL SELECT 'securities', count(DISTINCT ticker) FROM usable
   UNION ALL SELECT 'inserted', count(*) FROM numbered UNION ALL SELECT 'skipped', 0""", **FEED)
+_PLACE = "{0} + (({0} + 9) // 10) - 1 - seq // 2 - (seq // 2 + 9) // 10 - seq % 2"
+oracle("stream_pages", "SELECT fingerprint, occurrence FROM numbered", **FEED)
+# a run numbers identical lines from nought, so of a line it brings as many as it has more of than are stored
+oracle("paged_ingest", """SELECT 1 AS run, 0 AS start_page, (SELECT lim FROM sizes) AS pages, count(*) AS fetched, count(*) FILTER (identity IS NULL) AS rejected, count(identity) AS inserted, 'page limit: the next run goes on' AS stopped FROM one
+  UNION ALL SELECT 2, any_value(start_page), any_value(pages1) - any_value(start_page), count(*), count(*) FILTER (identity IS NULL), (SELECT sum(greatest(had - before, 0))::bigint FROM held), 'end of the feed' FROM two
+  UNION ALL SELECT 3, 0, any_value(last_page) + 1, count(*), count(*) FILTER (identity IS NULL), (SELECT sum(new)::bigint FROM fresh WHERE page <= last_page), CASE WHEN any_value(last_page) < any_value(pages2) - 1 THEN 'caught up: a page had nothing new' ELSE 'end of the feed' END
+    FROM placed, stop WHERE page2 <= last_page""", **FEED,
+    sizes="""SELECT n, m, least(greatest(1, pages1 // 2), pages1) AS lim, pages1, (n + (n + 9) // 10 + 499) // 500 AS pages2 FROM (SELECT n, m, (m + (m + 9) // 10 + 499) // 500 AS pages1 FROM (SELECT count(*) AS n, count(*) * 4 // 5 AS m FROM events))""",
+    placed=f"""SELECT f.seq, i.identity, CASE WHEN f.seq // 2 < m THEN ({_PLACE.format("m")}) // 500 END AS page1, ({_PLACE.format("n")}) // 500 AS page2, lim, pages1, pages2
+      FROM (SELECT seq, n, m, lim, pages1, pages2 FROM feed, sizes) f LEFT JOIN identified i ON i.seq = f.seq""",
+    one="SELECT * FROM placed WHERE page1 < lim",
+    two="SELECT * FROM placed, (SELECT greatest(0, count(identity) // 500 - 1) AS start_page FROM one) WHERE page1 >= start_page",
+    held="""SELECT identity, coalesce(a.c, 0) AS before, coalesce(b.c, 0) AS had FROM (SELECT identity, count(*) AS c FROM one WHERE identity IS NOT NULL GROUP BY 1) a
+      FULL JOIN (SELECT identity, count(*) AS c FROM two WHERE identity IS NOT NULL GROUP BY 1) b USING (identity)""",
+    fresh="""SELECT page2 AS page, sum(greatest(0, upto - greatest(upto - c, coalesce(stored, 0)))) AS new FROM (SELECT page2, identity, c, sum(c) OVER (PARTITION BY identity ORDER BY page2) AS upto
+      FROM (SELECT page2, identity, count(*) AS c FROM placed WHERE identity IS NOT NULL GROUP BY ALL)) LEFT JOIN (SELECT identity, greatest(before, had) AS stored FROM held) USING (identity) GROUP BY 1""",
+    stop="SELECT coalesce((SELECT min(page2) FROM (SELECT DISTINCT page2 FROM placed) WHERE page2 NOT IN (SELECT page FROM fresh WHERE new > 0)), max(page2)) AS last_page FROM placed")

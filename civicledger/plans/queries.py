@@ -17,7 +17,8 @@ from ..sources.resolutions import committee_events, listed_names, parse_resoluti
 from ..sources.reviewed import load_overrides as load_overrides_file, sync_mappings
 from ..sources.roster import normalize_members
 from ..session import stored, work_dir
-from ..streaming.ingest import TradeStore, catch_up
+from ..streaming.ingest import TradeStore, catch_up, page_stream
+from ..streaming.pages import PageFiles, run_pages
 from .tables import BENCHMARK, CONGRESS, FIRST_NAMES, NOW, TODAY, Tables, feed_records, last_name, letter, official_id, pick
 
 QUERIES = {}
@@ -655,7 +656,7 @@ def trade_list_page(t):
 
 @query
 def trade_list_flagged(t):
-    return S.filter_trades(t.trades, _context(t), flagged=True).select("id", "ticker", "transaction_date")
+    return S.filter_trades(t.trades, _stored_context(t), flagged=True).select("id", "ticker", "transaction_date")
 
 
 @query
@@ -948,3 +949,43 @@ def stream_ingest(t):
     counts = [df.agg(F.lit(name).alias("table_name"), F.count("*").alias("rows")) for name, df in tables]
     counts += [state.select(F.lit(name).alias("table_name"), F.col(name).alias("rows")) for name in ("inserted", "skipped")]
     return reduce(lambda a, b: a.unionByName(b), counts)
+
+
+PAGE = 500
+
+
+def _published(t, events, count, page_size, chunk):
+    """The records of the first `count` events as a paged feed, newest first. Every tenth event has a second, identical record."""
+    ceiling = F.ceil(F.col("_event") / 10)
+    records = feed_records(events).withColumn("_event", F.floor(F.col("seq") / 2))
+    total = count + -(-count // 10)
+    place = (total - 1 - F.col("_event") - ceiling - F.col("seq") % 2).cast("long")
+    pages = PageFiles(t.spark, f"{work_dir(t.spark)}/civicledger/feed-{uuid.uuid4().hex}", chunk)
+    return pages.publish(records.withColumn("_place", place).drop("seq", "_event"), "_place", page_size or -(-total // 12))
+
+
+@query
+def paged_ingest(t):
+    """Three runs over a paged feed: one that meets its page limit, one that reads the rest, one after the feed has grown."""
+    events = t.source("events")
+    count = events.count()
+    early = count * 4 // 5
+    before = _published(t, events.filter(F.col("event_id") < early), early, PAGE, 4)
+    after = _published(t, events, count, PAGE, 4)
+    store = TradeStore(t.spark, f"{work_dir(t.spark)}/civicledger/ingest-{uuid.uuid4().hex}")
+    limit = max(1, -(-(early + -(-early // 10)) // PAGE) // 2)
+    run_pages(store, before, PAGE, limit, now=NOW)
+    run_pages(store, before, PAGE, 10**6, now=NOW)
+    run_pages(store, after, PAGE, 10**6, now=NOW)
+    return store.read("runs").drop("last_success_at", "source")
+
+
+@query
+def stream_pages(t):
+    """A feed in twelve files, which cut groups of identical records, stored in batches of four files."""
+    events = t.source("events")
+    pages = _published(t, events, events.count(), None, 1)
+    root = f"{work_dir(t.spark)}/civicledger/ingest-{uuid.uuid4().hex}"
+    store = TradeStore(t.spark, f"{root}/tables")
+    catch_up(page_stream(t.spark, f"{pages.path}/chunk=*", files_per_batch=4), store, f"{root}/checkpoint", now=NOW)
+    return store.read("trades").select("fingerprint", "occurrence")

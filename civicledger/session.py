@@ -31,6 +31,10 @@ def build_session(app="civicledger", master=None, shuffle_partitions=None):
     return builder.getOrCreate()
 
 
+#: folders of local sessions that name none, by application
+_OWN_FOLDERS = {}
+
+
 def work_dir(spark):
     """The cluster's shared folder for intermediate tables; a local session without one gets its own."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
@@ -38,10 +42,11 @@ def work_dir(spark):
         return shared.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    folder = tempfile.mkdtemp(prefix="civicledger-")
-    atexit.register(shutil.rmtree, folder, ignore_errors=True)  # what a local session stored ends with it
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    application = spark.sparkContext.applicationId
+    if application not in _OWN_FOLDERS:
+        _OWN_FOLDERS[application] = tempfile.mkdtemp(prefix="civicledger-")
+        atexit.register(shutil.rmtree, _OWN_FOLDERS[application], ignore_errors=True)  # what a local session stored ends with it
+    return _OWN_FOLDERS[application]
 
 
 def stored(df, name):
