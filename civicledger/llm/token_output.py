@@ -5,10 +5,12 @@ little-endian bytes as it needs; two bits per rank, four ranks to a control byte
 a document are columns of one row, and a codebook beside the rows gives the id of each rank. Reading looks the lengths of four ranks
 up in a table by their control byte and gathers the data bytes.
 
-Texts are encoded once: their ids go, compressed, to shards of the id's range, are stored in order, counted, and rewritten as ranks.
+Texts are encoded once: their ids go, compressed, to shards of the id's range, are stored in order, and rewritten as ranks. Every
+encoding task adds one row with its counts of all ids, so the codebook is made without a pass over the ids.
 
-Null and empty texts hold only the end id. A null document id sorts first, into shard 0; rows with the same id stay together in the
-order of their ids' bytes. An empty table gives no rows. Extra columns are ignored.
+Null and empty texts hold only the end id. Rows without a document id come first, in shards of their own (NULL_SHARDS, dealt by the
+text); rows with the same id stand together, and an id of very many rows fills several shards. Among equal ids the order is that of
+the shard, then of the compressed ids. An empty table gives no rows. Extra columns are ignored.
 """
 
 import zlib
@@ -22,7 +24,7 @@ from pyspark.sql import functions as F
 from civicledger.session import stored
 
 from . import chunks
-from .textarrays import slices, text_arrays
+from .textarrays import SLICE_BYTES, slices, text_arrays
 
 #: bytes that each of the four ranks of a control byte takes
 LENGTHS = (((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3) + 1).astype(np.int64)
@@ -53,34 +55,64 @@ def decode_ranks(control, data, n):
     return out
 
 
+NULL_SHARDS = 8
+
+
 def _cuts(docs, key, n):
-    """n - 1 quantiles of all ids at most: a document's shard is the number of cuts below its (numeric) id."""
+    """n - 1 quantiles of all ids, one that many rows have several times."""
     if n == 1:
         return np.zeros(0, np.int64)
     cuts = docs.agg(F.percentile_approx(F.col(key), [k / n for k in range(1, n)], 10000).alias("c")).first()["c"]
-    return np.unique(np.array(cuts or [], dtype=np.int64))
+    return np.array(cuts or [], dtype=np.int64)
+
+
+def shards_of(keys, cuts, spread):
+    """A shard for each id: those without one first, then by the cuts; an id that is a cut more than once is dealt by `spread`."""
+    filled = keys.fill_null(0).to_numpy(zero_copy_only=False)
+    low, high = np.searchsorted(cuts, filled, "left"), np.searchsorted(cuts, filled, "right")
+    # equal cuts leave shards between them that hold this id only, so any of those keeps the order
+    inner = np.maximum(high - low, 1)
+    own = low + spread % inner
+    return np.where(keys.is_null().to_numpy(zero_copy_only=False), spread % NULL_SHARDS, NULL_SHARDS + own).astype(np.int32)
 
 
 def tokenized(docs, path, end_id, id_column="doc_id", text="text", shards=None):
-    """Stored rows (shard, id, n_tokens, ids compressed) in order of the shard and the id within each shard's file."""
+    """Stored rows (shard, id, n_tokens, ids compressed, counts, position) in order of the shard and the id within each shard's file.
+
+    position rises in each shard's file. A row with counts (compressed, by id) stands for a task and for no document.
+    """
     spark = docs.sparkSession
     n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
     kind = docs.schema[id_column].dataType.simpleString()
     cuts = _cuts(docs, id_column, n)
+    names = ["shard", id_column, "n_tokens", "ids", "counts"]
 
     def ids_of(batches):
-        pack = zstandard.ZstdCompressor(level=3)
+        pack, total, key = zstandard.ZstdCompressor(level=3), np.zeros(1, np.int64), None
         for part in slices(batches, text):
             data, offsets = text_arrays(part.column(1))
             ids, counts = chunks.text_ids(path, data, offsets)
+            total = _added(total, np.bincount(ids))
+            total = _added(total, np.bincount([end_id], [len(counts)]).astype(np.int64))
             ends = np.concatenate([[0], np.cumsum(counts)])
             rows = [pack.compress(_narrow(np.append(ids[a:b], np.uint32(end_id)))) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
             key = part.column(0)
-            shard = np.where(key.is_null(), 0, np.searchsorted(cuts, key.fill_null(0).to_numpy(zero_copy_only=False))).astype(np.int32)
-            yield pa.record_batch([pa.array(shard), key, pa.array(counts + 1), pa.array(rows, pa.binary())], names=["shard", id_column, "n_tokens", "ids"])
+            spread = np.array([zlib.crc32(r) for r in rows], np.int64)
+            shard = shards_of(key, cuts, spread)
+            yield pa.record_batch([pa.array(shard), key, pa.array(counts + 1), pa.array(rows, pa.binary()), pa.nulls(len(rows), pa.binary())], names=names)
+        if key is not None:
+            yield pa.record_batch([pa.array(shard[:1]), pa.nulls(1, key.type), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([pack.compress(total.tobytes())], pa.binary())], names=names)
+
+    out = docs.select(id_column, text).mapInArrow(ids_of, f"shard int, `{id_column}` {kind}, n_tokens bigint, ids binary, counts binary")
+    placed = out.repartitionById(len(cuts) + 1 + NULL_SHARDS, "shard").sortWithinPartitions("shard", F.col(id_column).asc_nulls_first(), "ids")
+    return stored(placed.withColumn("position", F.monotonically_increasing_id()), "token-ids")
+
 
-    out = docs.select(id_column, text).mapInArrow(ids_of, f"shard int, `{id_column}` {kind}, n_tokens bigint, ids binary")
-    return stored(out.repartitionById(n, "shard").sortWithinPartitions("shard", F.col(id_column).asc_nulls_first(), "ids"), "token-ids")
+def _added(total, more):
+    if len(more) > len(total):
+        total = np.concatenate([total, np.zeros(len(more) - len(total), np.int64)])
+    total[: len(more)] += more
+    return total
 
 
 def _narrow(ids):
@@ -94,26 +126,22 @@ def _wide(raw):
 
 
 def codebook(tokens):
-    """(rank, id) by falling count, then id: one row per id that occurs, so no more than the vocabulary has."""
+    """(id, n) of every id that occurs, added up from the counts of the tasks: no more rows than the vocabulary has."""
 
-    def count(batches):
-        total = np.zeros(1, np.int64)
+    def listed(batches):
         for batch in batches:
             for raw in batch.column(0):
-                got = np.bincount(_wide(raw.as_py()))
-                if len(got) > len(total):
-                    total = np.concatenate([total, np.zeros(len(got) - len(total), np.int64)])
-                total[: len(got)] += got
-        used = np.flatnonzero(total)
-        yield pa.record_batch([pa.array(used.astype(np.int64)), pa.array(total[used])], names=["id", "n"])
+                got = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw.as_py()), np.int64)
+                used = np.flatnonzero(got)
+                yield pa.record_batch([pa.array(used.astype(np.int64)), pa.array(got[used])], names=["id", "n"])
 
-    return tokens.select("ids").mapInArrow(count, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
+    return tokens.where("counts is not null").select("counts").mapInArrow(listed, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def write_token_files(docs, path, end_id=0, id_column="doc_id", text="text", shards=None):
     """Writes the files; returns (files, codebook), two tables read back from the shared folder.
 
-    files: shard, id, before (ids of the shard before this document), n_tokens, control, data. codebook: id, n, rank.
+    files: shard, the id column, n_tokens, position (rises in the file of a shard), control, data. codebook: id, n, rank.
     """
     tokens = tokenized(docs, path, end_id, id_column, text, shards)
     spark, kind = docs.sparkSession, docs.schema[id_column].dataType.simpleString()
@@ -125,21 +153,33 @@ def write_token_files(docs, path, end_id=0, id_column="doc_id", text="text", sha
 
     def rank(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                streams = [encode_ranks(rank_of.value[_wide(raw.as_py())]) for raw in part.column(3)]
-                yield pa.record_batch([*part.columns[:3], pa.array([c for c, _ in streams], pa.binary()), pa.array([d for _, d in streams], pa.binary())],
-                                      names=["shard", id_column, "n_tokens", "control", "data"])
+            for part in slices_of_bytes(batch, 4):
+                streams = [encode_ranks(rank_of.value[_wide(raw.as_py())]) for raw in part.column(4)]
+                yield pa.record_batch([*part.columns[:4], pa.array([c for c, _ in streams], pa.binary()), pa.array([d for _, d in streams], pa.binary())],
+                                      names=["shard", id_column, "n_tokens", "position", "control", "data"])
 
-    files = tokens.select("shard", id_column, "n_tokens", "ids").mapInArrow(rank, f"shard int, `{id_column}` {kind}, n_tokens bigint, control binary, data binary")
+    rows = tokens.where("counts is null").select("shard", id_column, "n_tokens", "position", "ids")
+    files = rows.mapInArrow(rank, f"shard int, `{id_column}` {kind}, n_tokens bigint, position bigint, control binary, data binary")
     table = spark.createDataFrame([(i, -n, k) for k, (n, i) in enumerate(book)], "id long, n long, rank long")
     return stored(files, "token-files"), stored(table.coalesce(1), "token-codebook")
 
 
+def slices_of_bytes(batch, column, limit=SLICE_BYTES):
+    """A batch in slices of about `limit` bytes of a binary column, a row each at least."""
+    sizes = batch.column(column).cast(pa.large_binary())
+    offsets = np.frombuffer(sizes.buffers()[1], np.int64)[sizes.offset : sizes.offset + len(sizes) + 1] if len(sizes) else np.zeros(1, np.int64)
+    at = 0
+    while at < batch.num_rows:
+        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, "right")) - 1)
+        yield batch.slice(at, min(to, batch.num_rows) - at)
+        at = to
+
+
 def read_token_files(files, book, id_column="doc_id"):
-    """One row per document from the files: its id, start (ids of all documents before it), n_tokens, ids_crc32, ids.
+    """One row per document from the files: its id, start (ids of all documents before it), n_tokens, ids_crc32, shard.
 
-    `start` is a running sum in each shard plus the totals of the shards before; only the totals, one row a shard, meet in one task.
+    `start` follows the documents' positions in the files: a running sum in each shard plus the totals of the shards before; only the
+    totals, one row a shard, meet in one task.
     """
     spark, kind = files.sparkSession, files.schema[id_column].dataType.simpleString()
     ids = np.zeros(book.count() or 1, np.uint32)
@@ -149,15 +189,13 @@ def read_token_files(files, book, id_column="doc_id"):
 
     def decode(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                got = [ids.value[decode_ranks(c.as_py(), d.as_py(), n)].astype("<u4").tobytes() for c, d, n in zip(part.column(3), part.column(4), part.column(2).to_pylist())]
-                yield pa.record_batch([*part.columns[:3], pa.array([zlib.crc32(g) for g in got], pa.int64()), pa.array([zlib.crc32(d.as_py()) for d in part.column(4)], pa.int64())],
-                                      names=["shard", id_column, "n_tokens", "ids_crc32", "data_crc32"])
+            for part in slices_of_bytes(batch, 5):
+                got = [ids.value[decode_ranks(c.as_py(), d.as_py(), n)].astype("<u4").tobytes() for c, d, n in zip(part.column(4), part.column(5), part.column(2).to_pylist())]
+                yield pa.record_batch([*part.columns[:4], pa.array([zlib.crc32(g) for g in got], pa.int64())], names=["shard", id_column, "n_tokens", "position", "ids_crc32"])
 
-    read = files.select("shard", id_column, "n_tokens", "control", "data").mapInArrow(decode, f"shard int, `{id_column}` {kind}, n_tokens bigint, ids_crc32 bigint, data_crc32 bigint")
+    read = files.select("shard", id_column, "n_tokens", "position", "control", "data").mapInArrow(decode, f"shard int, `{id_column}` {kind}, n_tokens bigint, position bigint, ids_crc32 bigint")
     totals = files.groupBy("shard").agg(F.sum("n_tokens").alias("shard_tokens"))
     before = totals.select("shard", (F.sum("shard_tokens").over(Window.orderBy("shard")) - F.col("shard_tokens")).alias("shard_start"))
-    own = Window.partitionBy("shard").orderBy(F.col(id_column).asc_nulls_first(), "ids_crc32", "data_crc32").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    own = Window.partitionBy("shard").orderBy("position").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return (read.withColumn("upto", F.sum("n_tokens").over(own)).join(before, "shard")
             .select(id_column, (F.col("shard_start") + F.col("upto") - F.col("n_tokens")).alias("start"), "n_tokens", "ids_crc32", "shard"))

@@ -49,6 +49,21 @@ def test_token_files_without_ids_or_rows(documents):
     assert token_output.read_token_files(*token_output.write_token_files(documents([]), BYTES)).count() == 0
 
 
+def test_hot_ids_are_dealt_over_shards_in_order(documents):
+    texts = [(None if k % 5 == 0 else 7 if k % 3 == 0 else k, prose(k, 20)) for k in range(300)]
+    files, book = token_output.write_token_files(documents(texts), BYTES, shards=12)
+    rows = sorted(token_output.read_token_files(files, book).collect(), key=lambda r: r["start"])
+    order = [(r["doc_id"] is not None, r["doc_id"] or 0) for r in rows]
+    assert order == sorted(order) and len(rows) == 300
+    assert [r["start"] for r in rows] == np.cumsum([0, *[r["n_tokens"] for r in rows]])[:-1].tolist()
+    assert len({r["shard"] for r in rows if r["doc_id"] is None}) > 3 and len({r["shard"] for r in rows if r["doc_id"] == 7}) > 1
+    assert sorted((r["doc_id"] or -1, r["ids_crc32"]) for r in rows) == sorted((k or -1, crc([*ids_of(BYTES, t), 0])) for k, t in texts)
+    counts = np.zeros(60_000, np.int64)
+    for _, t in texts:
+        np.add.at(counts, [*ids_of(BYTES, t), 0], 1)
+    assert {r["id"]: r["n"] for r in book.collect()} == {int(i): int(counts[i]) for i in np.flatnonzero(counts)}
+
+
 def test_packing(documents, odd):
     texts = dict(odd + [(100 + k, prose(k, 40 + 9 * k)) for k in range(120)])
     rows = packing.digests(packing.pack(documents(list(texts.items())).repartition(3), WORDS)).collect()
