@@ -5,8 +5,9 @@ Spark counts, per host, on how many pages each subtree stands; a subtree on at l
 template and goes; so does a box (any element but running text and inline ones) on MANY_PAGES pages, however large the host. Pages of a host with the same content (their text before anything is known of templates) count as one page there, so copies
 of a page don't make its text template. Inside the landmark that marks the content (article, main) its running text - paragraphs, headings,
 lists, quotes, tables - is never template, however often it recurs, and neither is a wrapper that holds most of it. Elements that say what they are (nav, header, footer, aside, form, scripts, or a class, id
-or role such as menu, sidebar, advert, cookie notice, comments) go in any case. If a page has a landmark with text, its text is the result, else
-the rest of the body.
+or role such as menu, sidebar, advert, cookie notice, comments) go in any case, as they may be another one on every page. A name never takes a landmark or what the landmark
+stands in, unless it names comments or lists of other articles; nor running text inside a landmark; and a name that sorts the page (category-legal, tag-social) is none. If a
+page has a landmark with text, its text is the result, with the heading (h1) before it if it has none of its own, else the rest of the body.
 
 Per host at most (subtrees of a page / SHARE) subtrees can be template, and boxes of a page for each MANY_PAGES pages, so a host's list is small. The lists are sent to the tasks if their
 counted size allows; else the pages meet them by host and a part of the host.
@@ -25,11 +26,12 @@ from pyspark.sql import functions as F
 
 from civicledger.session import stored
 
+from .textarrays import slices
+
 MIN_PAGES = 5
 SHARE = 0.25
 #: pages that make a box template on a host of any size
 MANY_PAGES = 1000
-SLICE = 256
 #: hashes that may be sent to all tasks; beyond it pages meet their host's list by a join dealt over SALTS parts of each host
 SENT_HASHES = 1_000_000
 SALTS = 64
@@ -50,15 +52,19 @@ _NAMED = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner\w*|nav\w*|menu\w*|breadcrumbs?|sidebar\w*|side|widget\w*|footer|foot|header|masthead|toolbar|"
     r"cookies?|consent|notices?|notifications?|alerts?|popup|modal|newsletter|subscribe|subscription|signup|login|share|sharing|social|related|recommend\w*|comments?|comment-list|"
     r"respond|disqus|replies|pagination|pager|search|skip|copyright|legal|disclaimer|complementary|contentinfo|navigation|dialog|alertdialog|form)(?:$|[\s_-])", re.I)
+#: names of classes that sort a page or its kind and say nothing of a part's purpose
+_SORTED = re.compile(r"(?:^|\s)(?:category|categories|cat|tags?|topic|type|post_type|format|status|section|lang)[-_]\S*", re.I)
+#: names of parts that hold landmarks of their own which are not the page's content
+_OTHERS = re.compile(r"(?:^|[\s_-])(?:comments?|comment-list|respond|disqus|replies|related|recommend\w*|sidebar\w*|widget\w*|promo\w*|sponsor\w*|ads?|advert\w*)(?:$|[\s_-])", re.I)
 _TOKEN = re.compile(r"""<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|</?[a-zA-Z][^>]*$|[^<]+|<""", re.S)
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 
 
 class Element:
-    __slots__ = ("tag", "names", "children", "drop")
+    __slots__ = ("tag", "names", "children", "drop", "by_name", "inside")
 
-    def __init__(self, tag, names="", drop=False):
-        self.tag, self.names, self.children, self.drop = tag, names, [], drop
+    def __init__(self, tag, names="", drop=False, by_name=False, inside=False):
+        self.tag, self.names, self.children, self.drop, self.by_name, self.inside = tag, names, [], drop, by_name, inside
 
 
 def parse(page):
@@ -94,13 +100,23 @@ def parse(page):
                 if stack[k].tag in ("nav", "head", "header", "footer", "aside", "form"):
                     del stack[k:]
                     break
-        names, drop = "", tag in _DROP
+        names, drop, by_name = "", tag in _DROP, False
         if m[3]:
             found = {a.lower(): b or c or d for a, b, c, d in _ATTRIBUTE.findall(m[3])}
             names = " ".join(found.get(k, "") for k in ("class", "id", "role"))
-            named = _NAMED.search(names) is not None and tag not in ("body", "html", "main")
-            drop = drop or named or "hidden" in found or found.get("aria-hidden", "").lower() == "true"
-        element = Element(tag, names, drop)
+            purpose = _SORTED.sub(" ", names)
+            if tag in _LANDMARK:
+                by_name = tag != "main" and _OTHERS.search(purpose) is not None
+            elif tag not in ("body", "html"):
+                by_name = _NAMED.search(purpose) is not None and not (tag in _PROSE and stack[-1].inside)
+            drop = drop or "hidden" in found or found.get("aria-hidden", "").lower() == "true"
+        if tag in _LANDMARK and not by_name:  # what holds the content is not taken by its name
+            for outer in reversed(stack):
+                if outer.tag in _LANDMARK and not outer.by_name:
+                    break  # what holds that one was looked at then
+                if outer.by_name and not _OTHERS.search(_SORTED.sub(" ", outer.names)):
+                    outer.drop = outer.by_name = False
+        element = Element(tag, names, drop or by_name, by_name and not drop, stack[-1].inside or tag in _LANDMARK)
         stack[-1].children.append(element)
         if tag in _RAW:
             end = re.compile(rf"</{tag}\b[^>]*(?:>|$)", re.I).search(page, at)
@@ -227,7 +243,27 @@ def main_text(root, template=frozenset()):
         out.append("".join(own))
         return " ".join(t for t in (" ".join(b.split()) for b in out) if t)
 
-    return blocks(root, True) or blocks(root, False)
+    content = blocks(root, True)
+    if not content:
+        return blocks(root, False)
+    heading = _heading_before(root, lambda e: hashes is not None and hashes.get(id(e)) in template)
+    return " ".join(t for t in (blocks(heading, False) if heading else "", content) if t)
+
+
+def _heading_before(root, is_template):
+    """The last h1 before the first landmark, unless a landmark has one itself."""
+    last, seen, todo = None, False, [(root, False)]
+    while todo:
+        e, inside = todo.pop()
+        if e.tag == "h1":
+            if inside:
+                return None
+            if not seen:
+                last = e
+        inside = inside or e.tag in _LANDMARK
+        seen = seen or inside
+        todo.extend((c, inside) for c in reversed(e.children) if isinstance(c, Element) and not c.drop and (inside or not is_template(c)))
+    return last
 
 
 def host_of(url):
@@ -239,13 +275,13 @@ def site_templates(pages, page="html", url="url", min_pages=MIN_PAGES, share=SHA
     """(host, template): the hashes of each host's recurring subtrees."""
 
     def subtrees(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                part = batch.slice(at, SLICE)
-                roots = [parse(p or "") for p in part.column(1).to_pylist()]
-                content = [xxhash.xxh3_64_intdigest(main_text(r)) - (1 << 63) for r in roots]
-                # a page counts itself by the subtree 0
-                yield pa.record_batch([part.column(0), pa.array(content, pa.int64()), pa.array([[0, *sorted(candidates(r))] for r in roots], pa.list_(pa.int64()))], names=["host", "content", "subtrees"])
+        for part in slices(batches, page):
+            content, subtrees = [], []
+            for p in part.column(1).to_pylist():  # one tree at a time
+                root = parse(p or "")
+                content.append(xxhash.xxh3_64_intdigest(main_text(root)) - (1 << 63))
+                subtrees.append([0, *sorted(candidates(root))])  # a page counts itself by the subtree 0
+            yield pa.record_batch([part.column(0), pa.array(content, pa.int64()), pa.array(subtrees, pa.list_(pa.int64()))], names=["host", "content", "subtrees"])
 
     found = pages.select(host_of(F.col(url)).alias("host"), page).mapInArrow(subtrees, "host string, content bigint, subtrees array<bigint>")
     counts = (found.select("host", "content", F.explode("subtrees").alias("subtree")).distinct()
@@ -271,10 +307,8 @@ def extract(pages, id_column="page_id", url="url", page="html", min_pages=MIN_PA
     kinds = ", ".join(f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in (id_column, url))
 
     def texts(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                part = batch.slice(at, SLICE)
-                out = [main_text(parse(p or ""), frozenset(t or ())) for p, t in zip(part.column(2).to_pylist(), part.column(3).to_pylist())]
-                yield pa.record_batch([*part.columns[:2], pa.array(out, pa.string()), pa.array(np.array([len(t) for t in out], dtype=np.int64))], names=[id_column, url, "text", "n_chars"])
+        for part in slices(batches, page):
+            out = [main_text(parse(p or ""), frozenset(t or ())) for p, t in zip(part.column(2).to_pylist(), part.column(3).to_pylist())]
+            yield pa.record_batch([*part.columns[:2], pa.array(out, pa.string()), pa.array(np.array([len(t) for t in out], dtype=np.int64))], names=[id_column, url, "text", "n_chars"])
 
     return rows.mapInArrow(texts, f"{kinds}, text string, n_chars bigint")

@@ -172,6 +172,38 @@ def test_main_text(page, text):
     assert html_extract.main_text(html_extract.parse(page)) == text
 
 
+@pytest.mark.parametrize("page, text", [
+    ('<article class="post category-legal"><p>Body text</p></article>', "Body text"), ('<article class="tag-social"><p>x y</p></article>', "x y"), ('<div class="banner"><main><p>m</p></main></div>', "m"),
+    ('<article><p class="side">running</p> <span class="social">in</span></article>', "running in"), ("<h1>Title</h1><main><p>Body</p></main>", "Title Body"),
+    ("<div><h1>Site</h1></div><h1>Title</h1><article><p>Body</p></article>", "Title Body"), ("<h1>Site</h1><main><h1>Own</h1><p>Body</p></main>", "Own Body"), ("<header><h1>Site</h1></header><main><p>Body</p></main>", "Body"),
+    ('<div class="comments"><article class="comment"><p>c</p></article></div><article><p>a</p></article>', "a"), ('<article><p>a</p><section class="comments"><article><p>c</p></article></section></article>', "a"),
+    ('<article class="comment"><p>c</p></article><p>rest</p>', "rest"),
+])
+def test_names_never_take_the_content(page, text):
+    assert html_extract.main_text(html_extract.parse(page)) == text
+
+
+def test_untagged_templates_against_plain_counting(spark):
+    """Pages of plain divs: what stands on five pages and a quarter of the site goes, what a plain count of boxes per site says."""
+    import random
+
+    rng = random.Random(8)
+    boxes = [f"<div><span>box {k}</span></div>" for k in range(30)]
+    shown, pages = {}, []
+    for site in range(4):
+        some = rng.sample(boxes, 12)
+        for k in range(rng.choice([6, 20, 40])):
+            mine = [b for i, b in enumerate(some) if rng.random() < (i + 1) / 13]
+            shown[len(pages)] = site, mine
+            pages.append((len(pages), f"http://s{site}.example/{k}", f"<body><p>own {len(pages)}</p>" + "".join(mine)))
+    count = Counter((site, b) for site, mine in shown.values() for b in mine)
+    size = Counter(site for site, _ in shown.values())
+    gone = {key for key, n in count.items() if n >= html_extract.MIN_PAGES and n >= html_extract.SHARE * size[key[0]]}
+    want = {k: " ".join([f"own {k}", *(re.sub("<.*?>", "", b) for b in mine if (site, b) not in gone)]) for k, (site, mine) in shown.items()}
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got == want and gone and any(len(t.split()) > 2 for t in got.values())
+
+
 def test_very_deep_and_long_pages():
     assert html_extract.main_text(html_extract.parse("<div>" * 20000 + "x")) == "x"
     assert len(html_extract.main_text(html_extract.parse("<p>word " * 50000))) == 5 * 50000 - 1
