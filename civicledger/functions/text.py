@@ -18,6 +18,11 @@ def _text(c):
     return F.regexp_replace(F.coalesce(_col(c), F.lit("")), r"^\s+|\s+\z", "")
 
 
+def once(c, use) -> Column:
+    """``use(c)`` where ``c`` is worked out a single time, however often ``use`` names it."""
+    return F.get(F.transform(F.array(c), use), F.lit(0))
+
+
 def empty_to_null(c) -> Column:
     c = _col(c)
     return F.when(c != "", c)

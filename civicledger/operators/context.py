@@ -340,8 +340,9 @@ def context_summary(context: DataFrame) -> DataFrame:
         level_item("subcommittee_level", "any", True), level_item("subcommittee_level_verified", "verified", True),
         entry("subcommittee_only", F.when(sub_only, "trades")),
     )
-    counted = context.select(F.explode(entries).alias("e")).filter("e.item IS NOT NULL").groupBy("e.measure", "e.item").agg(
-        F.count("*").alias("trades"))
+    # contexts are counted per combination of all items first; only those few rows become long
+    together = context.groupBy(entries.alias("entries")).agg(F.count("*").alias("n"))
+    counted = together.select("n", F.explode("entries").alias("e")).filter("e.item IS NOT NULL").groupBy("e.measure", "e.item").agg(F.sum("n").alias("trades"))
     flagged = context.filter("flagged_for_contextual_review").agg(
         F.count_distinct("politician_id").alias("p"), F.count_distinct("ticker").alias("t"))
     distinct = flagged.select(F.explode(F.array(

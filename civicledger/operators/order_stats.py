@@ -73,8 +73,8 @@ def earlier_medians(cells: DataFrame, group, moment, key, weight, highest) -> Da
     With an even number of keys the median is the mean of the two in the middle. `cells` has `prior`.
     """
     asked = cells.filter("prior > 0").select(group, moment, "prior").distinct()
-    middle = F.array_distinct(F.array(F.floor((F.col("prior") - 1) / 2), F.floor(F.col("prior") / 2)))
-    asked = asked.select(group, moment, F.explode(middle).cast("long").alias("_k")).withColumns({"_rest": F.col("_k"), "_prefix": F.lit(0).cast("long")})
+    middle = F.array_distinct(F.transform(F.array(F.col("prior") - 1, F.col("prior")), lambda n: F.floor(n / 2).cast("long")))
+    asked = asked.select(group, moment, F.explode(middle).alias("_k")).withColumns({"_rest": F.col("_k"), "_prefix": F.lit(0).cast("long")})
     held = cells.filter(F.col(weight) > 0).select(group, moment, key, weight)
     for shift in _levels(highest):
         rows = held.select(group, moment, weight, _shifted(F.col(key), F.lit(shift + BITS)).alias("_prefix"), _digit(F.col(key), F.lit(shift)).alias("_digit"))

@@ -33,31 +33,46 @@ def current_version(mappings: DataFrame) -> DataFrame:
     return mappings.join(newest, "mapping_version", "left_semi")
 
 
-def seat_mappings(seats: DataFrame, mappings: DataFrame, on=("politician_id",)) -> DataFrame:
-    """(holder, mapping_id) for the mappings each holder's seats bring into play.
+def code_segments(mappings: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(cuts, covered): the codes at which any range starts or ends, numbered, and (mapping_id, segment) for the stretches between
+    two cuts that a mapping's range is made of.
 
-    A mapping for a subcommittee needs a seat on that subcommittee.
+    Codes have four digits, so there are at most 10,000 cuts, and the one window over all of them is bounded.
     """
-    m = usable_mappings(mappings).select("mapping_id", "committee_code", F.col("subcommittee_code").alias("_sub"))
-    s = seats.select(*on, "committee_code", "subcommittee_code").distinct()
-    sits_there = F.col("_sub").isNull() | (F.col("_sub") == F.col("subcommittee_code"))
-    return s.join(m, "committee_code").filter(sits_there).select(*on, "mapping_id").distinct()
+    ranges = usable_mappings(mappings).select("mapping_id", "sic_start", F.expr("sic_end + 1").alias("_past"))
+    cuts = ranges.select(F.explode(F.array("sic_start", "_past")).alias("_cut")).distinct()
+    cuts = cuts.withColumn("segment", F.row_number().over(Window.orderBy("_cut")))
+    first, past = cuts.select(F.col("_cut").alias("sic_start"), F.col("segment").alias("_first")), cuts.select(F.col("_cut").alias("_past"), F.col("segment").alias("_end"))
+    spans = ranges.filter("_past > sic_start").join(first, "sic_start").join(past, "_past")
+    return cuts, spans.select("mapping_id", F.explode(F.sequence("_first", F.col("_end") - 1)).alias("segment"))
 
 
-def subject_matches(subjects: DataFrame, reach: DataFrame, key, on=("politician_id",)) -> DataFrame:
-    """Subjects joined to the mappings in reach of their holder whose range and pattern take the industry in."""
-    on = list(on)
-    evaluable = subjects.withColumn("_sic", sic_number("sic_code")).filter("_sic IS NOT NULL")
-    pattern = F.col("industry_pattern")
-    fits = pattern.isNull() | is_true(F.rlike("industry", F.concat(F.lit("(?i)"), pattern)))
-    joined = evaluable.select(*key, *[c for c in on if c not in key], "_sic", "industry").join(reach, on)
-    return joined.filter(F.col("_sic").between(F.col("sic_start"), F.col("sic_end")) & fits).drop("_sic", "industry")
+def with_segment(subjects: DataFrame, cuts: DataFrame) -> DataFrame:
+    """Subjects with a usable code, and the segment the code lies in; codes below the first cut are in none."""
+    coded = subjects.withColumn("_sic", sic_number("sic_code")).filter("_sic IS NOT NULL")
+    codes = coded.select("_sic").distinct().withColumn("_cut", F.col("_sic")).join(cuts, "_cut", "full_outer")
+    upto = F.max("segment").over(Window.orderBy("_cut").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    placed = codes.withColumn("segment", upto).filter("_sic IS NOT NULL AND segment IS NOT NULL").select("_sic", "segment")
+    return coded.join(placed, "_sic").drop("_sic")
 
 
 def seat_mapping_matches(subjects, seats, mappings, key, on=("politician_id",)) -> DataFrame:
-    """One row per subject and mapping that applies to one of its seats."""
+    """One row per subject and mapping that applies to one of its seats.
+
+    Equal keys only: a mapping stands under its committee, the subcommittee it asks for (or none) and each segment of its range; a
+    subject meets it with the seats of its holder and the segment of its code. No row is made for a mapping whose range is another one.
+    """
+    on, none = list(on), F.lit("")
     described = usable_mappings(mappings).drop("committee_name", "subcommittee_name", "chamber")
-    return subject_matches(subjects, seat_mappings(seats, mappings, on).join(described, "mapping_id"), key, on)
+    cuts, covered = code_segments(mappings)
+    offers = described.join(covered, "mapping_id").withColumn("_seat", F.coalesce("subcommittee_code", none))
+    # a seat on a subcommittee is a seat on its committee, too
+    holds = seats.select(*on, "committee_code", F.explode(F.array(none, F.coalesce("subcommittee_code", none))).alias("_seat")).distinct()
+    subject = with_segment(subjects, cuts).select(*key, *[c for c in on if c not in key], "industry", "segment")
+    pattern = F.col("industry_pattern")
+    fits = pattern.isNull() | is_true(F.rlike("industry", F.concat(F.lit("(?i)"), pattern)))
+    met = subject.join(holds, on).join(offers, ["committee_code", "_seat", "segment"])
+    return met.filter(fits).drop("industry", "segment", "_seat")
 
 
 def primary_match(matches: DataFrame, key) -> DataFrame:
@@ -129,29 +144,47 @@ def trade_subjects(trades: DataFrame, securities: DataFrame) -> tuple[DataFrame,
     return described, subjects
 
 
-def relevance_report(trades, securities, seats, mappings) -> DataFrame:
-    """Trade counts in long form: by status, reason, level of the best match, review category, and committee."""
-    _, subjects = trade_subjects(trades, securities)
+def relevance_report(trades, securities, seats, mappings, politicians=None) -> DataFrame:
+    """Trade counts in long form: by status, reason, level of the best match, review category, committee, and the totals.
+
+    Subjects are added up once per combination of all items; the long form is made of those few rows.
+    """
+    described, subjects = trade_subjects(trades, securities)
     rel = industry_relevance(subjects, seats, mappings, ["subject"])
-    entries = F.array(
-        F.struct(F.lit("status").alias("measure"), F.col("status").alias("item")),
-        F.struct(F.lit("review_category").alias("measure"), F.col("review_category").alias("item")),
-        F.struct(F.lit("unknown_reason").alias("measure"), F.when(F.col("status") == "unknown", F.col("reason")).alias("item")),
-        F.struct(F.lit("best_level").alias("measure"), F.col("relevance_level").alias("item")),
-        F.struct(F.lit("primary_committee").alias("measure"),
-                 F.concat_ws("/", "committee_code", "subcommittee_code").alias("item")),
-        F.struct(F.lit("sic_group").alias("measure"),
-                 F.when(F.col("status") == "relevant", sic_group(sic_number("sic_code"))).alias("item")),
-    )
-    counted = rel.select("trades", F.explode(entries).alias("e")).filter("e.item IS NOT NULL AND e.item <> ''").groupBy(
-        "e.measure", "e.item").agg(F.sum("trades").alias("trades"))
-    left_open = rel.filter("reason = 'unmapped_committees'").select("politician_id", "trades")
+    items = {
+        "status": F.col("status"),
+        "review_category": F.col("review_category"),
+        "unknown_reason": F.when(F.col("status") == "unknown", F.col("reason")),
+        "best_level": F.col("relevance_level"),
+        "primary_committee": F.nullif(F.concat_ws("/", "committee_code", "subcommittee_code"), F.lit("")),
+        "sic_group": F.when(F.col("status") == "relevant", sic_group(sic_number("sic_code"))),
+    }
+    together = rel.groupBy(*[item.alias(f"_{name}") for name, item in items.items()]).agg(F.sum("trades").alias("trades"))
+    entries = F.array(*[F.struct(F.lit(name).alias("measure"), F.col(f"_{name}").alias("item")) for name in items],
+                      F.struct(F.lit("total").alias("measure"), F.lit("trades").alias("item")),
+                      F.struct(F.lit("total").alias("measure"), F.when(F.col("_status") != "unknown", "evaluable").alias("item")))
+    counted = together.select("trades", F.explode(entries).alias("e")).filter("e.item IS NOT NULL").groupBy("e.measure", "e.item").agg(F.sum("trades").alias("trades"))
+    left_open = rel.filter("reason = 'unmapped_committees'").groupBy("politician_id").agg(F.sum("trades").alias("trades"))
+    name = F.min(F.coalesce("committee_name", "committee_code")).alias("item")
     unmapped = (
-        left_open.join(unmapped_seats(seats, mappings).select("politician_id", "committee_code").distinct(), "politician_id")
-        .groupBy(F.lit("unmapped_committee").alias("measure"), F.col("committee_code").alias("item"))
-        .agg(F.sum("trades").alias("trades"))
+        left_open.join(unmapped_seats(seats, mappings).groupBy("politician_id", "committee_code").agg(name), "politician_id")
+        .groupBy(F.lit("unmapped_committee").alias("measure"), "item").agg(F.sum("trades").alias("trades"))
     )
-    return counted.unionByName(unmapped)
+    return counted.unionByName(unmapped).unionByName(_totals(described, seats, politicians))
+
+
+def _totals(described, seats, politicians):
+    """Traded securities, those with a code, people, people with seats: (measure, item, trades), the last one the count."""
+    traded = described.filter("ticker IS NOT NULL").select("ticker", "sic_code").distinct()
+    counts = [traded.agg(F.count_distinct("ticker").alias("securities"), F.count_distinct(F.when(F.col("sic_code").isNotNull(), F.col("ticker"))).alias("securities_with_code")),
+              seats.agg(F.count_distinct("politician_id").alias("politicians_with_seats"))]
+    if politicians is not None:
+        counts.append(politicians.agg(F.count("*").alias("politicians")))
+    out = None
+    for df in counts:
+        rows = df.select(F.explode(F.array(*[F.struct(F.lit("total").alias("measure"), F.lit(c).alias("item"), F.col(c).alias("trades")) for c in df.columns])).alias("e")).select("e.*")
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 def row_key() -> Column:
@@ -220,18 +253,11 @@ def mapping_overlaps(mappings: DataFrame) -> DataFrame:
     live = usable_mappings(mappings)
     label = F.format_string(
         "%s %04d-%04d (%s)", F.concat_ws("/", "committee_code", "subcommittee_code"), "sic_start", "sic_end", "relevance_level")
-    # ranges meet on the thousands they touch (at most ten each); the exact test follows
-    cut = live.withColumn("_cell", F.explode(F.sequence(F.floor(F.col("sic_start") / 1000), F.floor(F.col("sic_end") / 1000))))
-    mine = cut.select("mapping_id", "committee_code", "sic_start", "sic_end", "_cell")
-    other = cut.select(
-        F.col("committee_code").alias("o_code"), F.col("sic_start").alias("o_start"), F.col("sic_end").alias("o_end"),
-        label.alias("overlaps_with"), "_cell")
-    return (
-        mine.join(other, "_cell")
-        .filter((F.col("o_code") != F.col("committee_code")) & (F.col("o_start") <= F.col("sic_end"))
-                & (F.col("sic_start") <= F.col("o_end")))
-        .select("mapping_id", "overlaps_with").distinct()
-    )
+    # two ranges share a code exactly where they share a stretch between two cuts
+    _, covered = code_segments(mappings)
+    mine = live.select("mapping_id", "committee_code").join(covered, "mapping_id")
+    other = live.select("mapping_id", F.col("committee_code").alias("o_code"), label.alias("overlaps_with")).join(covered, "mapping_id").drop("mapping_id")
+    return mine.join(other, "segment").filter("o_code <> committee_code").select("mapping_id", "overlaps_with").distinct()
 
 
 def with_titles(stats: DataFrame, sic_titles: DataFrame) -> DataFrame:

@@ -1,8 +1,9 @@
 """The registered queries as plain SQL for DuckDB."""
 
+from .. import constants as K
 from ..operators.context import ContextConfig
 from .oracle_tables import _last, _letter, _official, _pick, congress, key_of, with_tables
-from .tables import BENCHMARK, FIRST_NAMES, NOW, TODAY
+from .tables import BENCHMARK, COMMITTEES, FIRST_EXPLANATION, FIRST_NAMES, HEADLINE, LAST_SIGNAL, LIMITATIONS, NOW, SUMMARY, TODAY
 
 _D = f"DATE '{TODAY}'"
 ORACLES = {}
@@ -323,7 +324,7 @@ PRICES = {
 oracle("price_starts", "SELECT * FROM starts", **PRICES)
 oracle("price_invalid_trades", f"""SELECT id, ticker, CASE WHEN transaction_date > {_D} THEN 'transaction date is in the future' ELSE 'transaction date is after disclosure date' END AS problem
   FROM trades WHERE ticker IS NOT NULL AND (transaction_date > {_D} OR transaction_date > disclosure_date)""")
-oracle("price_no_valid_dates", "SELECT ticker FROM early WHERE start IS NULL", early=_starts("DATE '1995-01-10'"))
+oracle("price_no_valid_dates", "SELECT ticker FROM early WHERE start IS NULL", early=_starts("DATE '1995-01-02'"))
 oracle("price_fetch_plan", "SELECT ticker, action, lo, hi, start, had_coverage FROM plan", **PRICES)
 oracle("price_batches", "SELECT ticker, lo, hi, batch, batch_lo, batch_hi, batch_size FROM batches", **PRICES)
 oracle("restatement_check", """SELECT ticker, coalesce(bool_or(abs(n.adj_close / o.adj_close - 1) > 1e-4), false) AS restated, count(*) AS overlapping_bars
@@ -338,6 +339,19 @@ oracle("price_coverage", f"""SELECT s.ticker, CASE outcome WHEN 'written' THEN '
     CASE WHEN outcome IN ('written', 'unavailable') THEN TIMESTAMP '{NOW}' ELSE price_checked_at END AS price_checked_at
   FROM securities s LEFT JOIN outcomes USING (ticker)""", **PRICES)
 
+# the same fetch a week later: some tickers trade for three days, nothing comes for every second batch of three
+LISTED = {
+    **PRICES,
+    "starts": f"SELECT ticker, CASE WHEN try_cast(substr(ticker, 7) AS int) % 10 = 1 THEN {_D} - 3 ELSE start END AS start FROM ({PRICES['starts']})",
+    "plan": PRICES["plan"].replace("s.price_status = 'unavailable' AND", "false AND"),
+    "batches": PRICES["batches"].replace("// 4", "// 3"),
+    "new_bars": PRICES["new_bars"] + " AND ticker NOT IN (SELECT ticker FROM batches WHERE batch % 2 = 1)",
+}
+oracle("price_table_outcome", "SELECT ticker, outcome, bars_fetched, lo, hi FROM outcomes", **LISTED)
+oracle("price_table_content", """SELECT ticker, strftime(date, '%Y-%m') AS month, count(*) AS bars, sum(round(close * 100)::bigint)::bigint AS cents, sum(round(adj_close * 10000)::bigint)::bigint AS adjusted FROM (
+    SELECT ticker, date, close, adj_close FROM old_bars o WHERE NOT EXISTS (SELECT 1 FROM outcomes w WHERE w.ticker = o.ticker AND outcome = 'written' AND o.date BETWEEN lo AND hi)
+    UNION ALL SELECT ticker, date, close, adj_close FROM wanted WHERE ticker IN (SELECT ticker FROM outcomes WHERE outcome = 'written')) GROUP BY ALL""", **LISTED)
+
 # --- relevance -------------------------------------------------------------------------------------------------------
 _RANK = "(subcommittee_code IS NULL)::int, (relevance_level <> 'direct')::int, sic_end - sic_start, mapping_id"
 RELEVANCE = {
@@ -399,14 +413,20 @@ oracle("relevance_report", """
       WHEN sic_code::int BETWEEN 6000 AND 6499 THEN 'finance' WHEN sic_code::int BETWEEN 2833 AND 2836 OR sic_code::int BETWEEN 3841 AND 3845 THEN 'healthcare'
       WHEN sic_code::int BETWEEN 1200 AND 1399 OR sic_code::int = 2911 OR sic_code::int BETWEEN 4911 AND 4939 THEN 'energy'
       WHEN sic_code::int BETWEEN 4011 AND 4599 OR sic_code::int = 3743 THEN 'transportation' END AS item, sum(trades)::bigint FROM graded WHERE status = 'relevant' GROUP BY 2 HAVING item IS NOT NULL
-  UNION ALL SELECT 'unmapped_committee', s.committee_code, sum(g.trades)::bigint FROM graded g
-    JOIN (SELECT DISTINCT politician_id, committee_code FROM seats WHERE committee_code NOT IN (SELECT committee_code FROM cm)) s USING (politician_id)
+  UNION ALL SELECT 'total', item, n FROM (SELECT 'trades' AS item, sum(trades)::bigint AS n FROM graded UNION ALL SELECT 'evaluable', sum(trades)::bigint FROM graded WHERE status <> 'unknown'
+    UNION ALL SELECT 'securities', count(*) FROM securities WHERE ticker IN (SELECT ticker FROM trades) UNION ALL SELECT 'securities_with_code', count(*) FROM securities WHERE sic_code IS NOT NULL AND ticker IN (SELECT ticker FROM trades)
+    UNION ALL SELECT 'politicians', count(*) FROM politicians UNION ALL SELECT 'politicians_with_seats', count(DISTINCT politician_id) FROM seats)
+  UNION ALL SELECT 'unmapped_committee', s.committee_name, sum(g.trades)::bigint FROM graded g
+    JOIN (SELECT DISTINCT politician_id, committee_code, upper(committee_code[1]) || lower(committee_code[2:]) AS committee_name FROM seats WHERE committee_code NOT IN (SELECT committee_code FROM cm)) s USING (politician_id)
     WHERE g.reason = 'unmapped_committees' GROUP BY 2""", **RELEVANCE)
 oracle("mapping_review_stats", """SELECT mapping_id, row_key, securities_matched, industry_groups, trades_matched, trades_primary, politicians_matched, example_tickers
   FROM rowstats""", **RELEVANCE)
 oracle("security_descriptions", "SELECT mapping_id, sic_code, coalesce(industry, '') AS industry, count(*) AS securities FROM hits GROUP BY ALL", **RELEVANCE)
-oracle("mapping_overlaps", """SELECT r.mapping_id, r.overlaps_with, count(DISTINCT s.politician_id) AS members FROM range_overlaps r JOIN cm m USING (mapping_id)
-  JOIN seats s ON s.committee_code = m.committee_code GROUP BY ALL""", **RELEVANCE)
+oracle("mapping_overlaps", f"""SELECT DISTINCT m.mapping_id, o.committee_code || coalesce('/' || o.sub, '') || ' ' || lpad(o.first::varchar, 4, '0') || '-' || lpad(o.last::varchar, 4, '0') || ' (' || o.level || ')' AS overlaps_with, members
+  FROM drafts m JOIN drafts o ON o.committee_code <> m.committee_code AND o.first <= m.last AND m.first <= o.last
+    JOIN (SELECT committee_code, count(DISTINCT politician_id) AS members FROM seats GROUP BY 1) s ON s.committee_code = m.committee_code""",
+    drafts=f"""SELECT p_partkey AS mapping_id, {_pick(COMMITTEES, 'p_partkey')} AS committee_code, CASE WHEN p_partkey % 4 = 0 THEN 'S' || (p_partkey % 3) END AS sub, 1000 + (p_partkey * 37 + p_size * 131) % 797 * 10 AS first,
+      1000 + (p_partkey * 37 + p_size * 131) % 797 * 10 + p_size % 12 AS last, CASE WHEN p_partkey % 2 = 0 THEN 'direct' ELSE 'related' END AS level FROM part WHERE p_partkey % 5 <> 0""")
 oracle("scrutiny_flags", "SELECT mapping_id, array_to_string(flags, ',') AS flags, official_titles FROM flagged_rows", **RELEVANCE)
 oracle("review_summary", """SELECT count(*) AS mappings, count(*) FILTER (relevance_level = 'direct') AS direct, count(*) FILTER (relevance_level = 'related') AS related,
   count(*) FILTER (relevance_level = 'none') AS none, count(*) FILTER (subcommittee_code IS NULL) AS committee_level, count(*) FILTER (subcommittee_code IS NOT NULL) AS subcommittee_level,
@@ -611,6 +631,10 @@ _rule("screen_rule_balanced", _VERIFIED, "trade_size_anomaly", "disclosure_delay
 _rule("screen_rule_market", _VERIFIED, "trade_size_anomaly", "disclosure_delay_signal", "excess_return_signal", 2, False)
 _rule("screen_rule_strict", _VERIFIED, "pct2 >= 95", "days > 60", "performance_status = 'ok' AND abs(excess_return) * 100 + 1e-7 >= 25", 3)
 _rule("screen_rule_related", "(committee_relevance IS TRUE OR has_related)", "pct2 >= 75", "days > 30", "performance_status = 'ok' AND abs(excess_return) * 100 + 1e-7 >= 10", 1)
+oracle("rule_sweep", f"""SELECT CASE WHEN required THEN 'committee' ELSE 'market' END || '-' || enabled || '-' || need AS rule, CASE WHEN refused THEN 'refused' WHEN required AND enabled = 3 AND need = 2 THEN 'default'
+    WHEN NOT required THEN 'market_only' WHEN need = 0 THEN 'committee_only' ELSE 'custom' END AS kind, count(*) FILTER (NOT refused AND (NOT required OR verified)
+      AND coalesce(trade_size_anomaly, false)::int + (enabled > 1 AND coalesce(disclosure_delay_signal, false))::int + (enabled > 2 AND coalesce(excess_return_signal, false))::int >= need) AS matches
+  FROM (SELECT *, need > enabled OR (NOT required AND need = 0) AS refused FROM (VALUES (true), (false)) a(required), range(1, 4) b(enabled), range(0, 4) c(need)), (SELECT *, {_VERIFIED} AS verified FROM ctx) GROUP BY ALL""", **CONTEXT)
 oracle("screen_page", f"""SELECT id, politician_name, {_VERIFIED} AS matches, ({_VERIFIED})::int + secondary_signal_count AS active_count FROM screen WHERE {_FILTERS['numbers']}
   ORDER BY politician_name NULLS LAST, id DESC LIMIT 200 OFFSET 20""", **SCREEN)
 
@@ -716,18 +740,57 @@ oracle("committee_event_report", """SELECT CASE WHEN committee_code IS NULL THEN
   WHEN c > 1 THEN 'ambiguous' ELSE 'unresolved' END AS outcome, count(*) AS names FROM placed GROUP BY 1""", **HOUSE)
 oracle("latest_trade_per_politician", """SELECT politician_id, id, ticker, transaction_type FROM trades
   QUALIFY row_number() OVER (PARTITION BY politician_id ORDER BY transaction_date DESC, id DESC) = 1""")
-oracle("explanation_audit", """SELECT trade_id, CASE split_part(trade_id, '-', 1)::bigint % 6 WHEN 1 THEN 'summary uses insider outside a denial' WHEN 2 THEN 'summary states $987,654,321, which was not supplied'
-    WHEN 3 THEN 'summary names a committee that is not in the evidence: affairs foreign' WHEN 4 THEN 'headline is empty'
-    WHEN 5 THEN CASE WHEN flagged_for_contextual_review THEN '' ELSE 'summary speaks of a flag, but the trade is not flagged' END ELSE '' END AS problems FROM ctx""", **CONTEXT)
+_NO_NAMES = "[" + ", ".join(f"'{w}'" for w in K.NAME_STOP_WORDS) + "]"
+_WORDS_OF = "list_filter(regexp_extract_all(lower({0}), '[a-z]+'), lambda w: NOT list_contains(" + _NO_NAMES + ", w))"
+_PLAIN = "' ' || trim(regexp_replace(lower({0}), '[^\\p{{L}}\\p{{N}}_]+', ' ', 'g')) || ' '"
+_CORE = "trim(regexp_replace(lower(trim({0})), '^(committee|subcommittee) on (the )?', ''))"
+_UNIT = "CASE lower({0}) " + " ".join(f"WHEN '{name}' THEN {value:.0f}::double" for name, value in K.UNIT_SCALES.items()) + " ELSE 1::double END"
+_SQL = lambda pattern: pattern.replace("'", "''")
+AUDIT = {
+    **CONTEXT,
+    "told": f"""SELECT trade_id, flagged, [{{'w': 'headline', 'text': {HEADLINE}}}, {{'w': 'summary', 'text': {SUMMARY}}}, {{'w': 'limitations', 'text': {LIMITATIONS}}}] AS texts,
+        [{{'type': 'committee_relevance', 'text': {FIRST_EXPLANATION}}}, {{'type': 'trade_size_anomaly', 'text': 'See the stored value.'}}, {{'type': 'disclosure_delay_signal', 'text': 'See the stored value.'}},
+         {{'type': {LAST_SIGNAL}, 'text': 'See the stored value.'}}] AS signals
+      FROM (SELECT c.trade_id, split_part(c.trade_id, '-', 1)::bigint AS n, c.days, c.transaction_date, t.ticker, t.amount_min, c.flagged_for_contextual_review AS flagged FROM ctx c JOIN trades t ON t.id = c.trade_id)""",
+    "pieces": """SELECT trade_id, flagged, x.w AS w, x.text AS text FROM (SELECT trade_id, flagged, unnest(texts) AS x FROM told)
+      UNION ALL SELECT trade_id, flagged, 'signals[' || i || ']', signals[i + 1].text FROM (SELECT trade_id, flagged, signals, unnest(range(0, len(signals))) AS i FROM told)""",
+    "held": "SELECT DISTINCT e.trade_id, m.committee_name, m.subcommittee_name, m.mapping_id, m.sic_start, m.sic_end FROM evidence e JOIN cm m USING (mapping_id) WHERE signal_type = 'committee_relevance'",
+    "supplied": """SELECT c.trade_id, list_filter(list_concat([abs(t.amount_min), abs(t.amount_max), (t.amount_min + t.amount_max) / 2::double, abs(c.pct2), c.n, abs(c.days), CASE WHEN x.tx_excess_return IS NOT NULL THEN 90 END,
+          90, 45, 20, 1, 2, 3, 4, c.secondary_signal_count, try_cast(s.sic_code AS double), round(abs(x.tx_return) * 100, 2), round(abs(x.tx_benchmark_return) * 100, 2), round(abs(x.tx_excess_return) * 100, 2),
+          round(abs(x.adjusted) * 100, 2), year(t.transaction_date), month(t.transaction_date), day(t.transaction_date), year(t.disclosure_date), month(t.disclosure_date), day(t.disclosure_date)]::double[],
+          coalesce(q.quoted, []::double[])), lambda v: v IS NOT NULL) AS numbers
+      FROM ctx c JOIN trades t ON t.id = c.trade_id JOIN excesses x ON x.id = c.trade_id LEFT JOIN securities s ON s.ticker = t.ticker
+        LEFT JOIN (SELECT trade_id, flatten(list([sic_start, sic_end, mapping_id]::double[])) AS quoted FROM held GROUP BY 1) q ON q.trade_id = c.trade_id""",
+    "clauses": "SELECT trade_id, flagged, w, unnest(string_split_regex(regexp_replace(text, '([.!?;])\\s+', '\\1' || chr(10), 'g'), '\\n+')) AS c FROM pieces",
+    "stated_numbers": """SELECT trade_id, w, replace(regexp_extract(m, '(\\d[\\d,]*(?:\\.\\d+)?)', 1), ',', '') AS raw, regexp_extract(m, '(?i)(million|billion|thousand|bn|m|k)$', 1) AS unit, trim(regexp_replace(m, '^[^\\w.$]', '')) AS shown
+      FROM (SELECT trade_id, w, unnest(regexp_extract_all(text, '(?i)(?:^|[^\\w.])\\$?\\d[\\d,]*(?:\\.\\d+)?(?:\\s*(?:million|billion|thousand|bn|m|k)\\b)?')) AS m FROM pieces)""",
+    "figures": f"""SELECT trade_id, w, shown, raw::double * {_UNIT.format('unit')} AS v, 0.5::double * pow(10::double, -len(regexp_extract(raw, '\\.(\\d+)$', 1))) * {_UNIT.format('unit')} + 1e-9::double AS tolerance FROM stated_numbers""",
+    "spoken": f"""SELECT trade_id, w, list_sort(list_distinct({_WORDS_OF.format('m')})) AS names FROM (SELECT trade_id, w,
+        unnest(regexp_extract_all(text, '(?:[A-Z][A-Za-z]* )*(?:Committee|Subcommittee)(?: on(?: (?:[A-Z][A-Za-z]*|(?:and|of|for|the|on)\\b))+)?')) AS m FROM pieces)""",
+    "phrases": f"SELECT DISTINCT {_CORE.format('committee_name')} AS phrase FROM current_mappings WHERE {_CORE.format('committee_name')} LIKE '% %'",
+    "found_problems": f"""SELECT trade_id, w || ' uses ' || regexp_extract(c, '{_SQL(K.FORBIDDEN_PATTERN)}') || ' outside a denial' AS p FROM clauses WHERE regexp_matches(c, '{_SQL(K.FORBIDDEN_PATTERN)}') AND NOT regexp_matches(c, '{_SQL(K.NEGATION_PATTERN)}')
+      UNION SELECT trade_id, w || ' speaks of a flag, but the trade is not flagged' FROM clauses WHERE NOT flagged AND regexp_matches(c, '{_SQL(K.FLAG_WORD_PATTERN)}') AND NOT regexp_matches(c, '{_SQL(K.NOT_FLAGGED_PATTERN)}')
+      UNION SELECT f.trade_id, w || ' states ' || shown || ', which was not supplied' FROM figures f JOIN supplied s ON s.trade_id = f.trade_id WHERE len(list_filter(numbers, lambda a: abs(v - a) <= tolerance)) = 0
+      UNION SELECT s.trade_id, w || ' names a committee that is not in the evidence: ' || array_to_string(names, ' ') FROM spoken s WHERE len(names) > 0
+        AND NOT EXISTS (SELECT 1 FROM held h WHERE h.trade_id = s.trade_id AND list_has_all({_WORDS_OF.format("concat_ws(' ', h.committee_name, h.subcommittee_name)")}, s.names))
+      UNION SELECT p.trade_id, w || ' mentions ' || phrase || ', which is not in the evidence' FROM pieces p JOIN phrases f ON contains({_PLAIN.format('p.text')}, ' ' || phrase || ' ')
+        WHERE NOT EXISTS (SELECT 1 FROM held h WHERE h.trade_id = p.trade_id AND ({_CORE.format('h.committee_name')} = phrase OR {_CORE.format('h.subcommittee_name')} = phrase))
+      UNION SELECT trade_id, x.w || CASE WHEN x.text = '' THEN ' is empty' ELSE ' is longer than ' || x.cap || ' characters' END FROM (SELECT trade_id, unnest(list_transform(texts, lambda x, i: {{'w': x.w, 'text': x.text, 'cap': [{K.MAX_HEADLINE}, {K.MAX_SUMMARY}, {K.MAX_LIMITATIONS}][i]}})) AS x FROM told)
+        WHERE x.text = '' OR len(x.text) > x.cap
+      UNION SELECT trade_id, 'a signal is explained twice' FROM told WHERE len(list_distinct(list_transform(signals, lambda s: s.type))) < len(signals)
+      UNION SELECT trade_id, 'signals[' || i || '] ' || CASE WHEN NOT list_contains({list(K.SIGNALS)}, s.type) THEN 'is not a signal of this trade' ELSE 'has no explanation' END
+        FROM (SELECT trade_id, i, signals[i + 1] AS s FROM (SELECT trade_id, signals, unnest(range(0, len(signals))) AS i FROM told)) WHERE NOT list_contains({list(K.SIGNALS)}, s.type) OR s.text = ''""",
+}
+oracle("explanation_audit", """SELECT c.trade_id, coalesce(string_agg(p, '; ' ORDER BY p), '') AS problems FROM ctx c LEFT JOIN found_problems f ON f.trade_id = c.trade_id GROUP BY 1""", **AUDIT)
 oracle("stream_ingest", """SELECT 'trades' AS table_name, count(*) AS rows FROM numbered UNION ALL SELECT 'rejects', (SELECT count(*) FROM feed) - (SELECT count(*) FROM usable)
   UNION ALL SELECT 'politicians', count(DISTINCT canonical_key) FROM identified UNION ALL SELECT 'securities', count(DISTINCT ticker) FROM usable
   UNION ALL SELECT 'inserted', count(*) FROM numbered UNION ALL SELECT 'skipped', 0""", **FEED)
-_PLACE = "{0} + (({0} + 9) // 10) - 1 - seq // 2 - (seq // 2 + 9) // 10 - seq % 2"
+_PLACE = "{0} + (({0} + 9) // 10) - 1 - f.seq // 2 - (f.seq // 2 + 9) // 10 - f.seq % 2"
 oracle("stream_pages", "SELECT fingerprint, occurrence FROM numbered", **FEED)
 # a run numbers identical lines from nought, so of a line it brings as many as it has more of than are stored
 oracle("paged_ingest", """SELECT 1 AS run, 0 AS start_page, (SELECT lim FROM sizes) AS pages, count(*) AS fetched, count(*) FILTER (identity IS NULL) AS rejected, count(identity) AS inserted, 'page limit: the next run goes on' AS stopped FROM one
   UNION ALL SELECT 2, any_value(start_page), any_value(pages1) - any_value(start_page), count(*), count(*) FILTER (identity IS NULL), (SELECT sum(greatest(had - before, 0))::bigint FROM held), 'end of the feed' FROM two
-  UNION ALL SELECT 3, 0, any_value(last_page) + 1, count(*), count(*) FILTER (identity IS NULL), (SELECT sum(new)::bigint FROM fresh WHERE page <= last_page), CASE WHEN any_value(last_page) < any_value(pages2) - 1 THEN 'caught up: a page had nothing new' ELSE 'end of the feed' END
+  UNION ALL SELECT 3, 0, any_value(last_page) + 1, count(*), count(*) FILTER (identity IS NULL), (SELECT sum(new)::bigint FROM fresh WHERE page <= (SELECT last_page FROM stop)), CASE WHEN any_value(last_page) < any_value(pages2) - 1 THEN 'caught up: a page had nothing new' ELSE 'end of the feed' END
     FROM placed, stop WHERE page2 <= last_page""", **FEED,
     sizes="""SELECT n, m, least(greatest(1, pages1 // 2), pages1) AS lim, pages1, (n + (n + 9) // 10 + 499) // 500 AS pages2 FROM (SELECT n, m, (m + (m + 9) // 10 + 499) // 500 AS pages1 FROM (SELECT count(*) AS n, count(*) * 4 // 5 AS m FROM events))""",
     placed=f"""SELECT f.seq, i.identity, CASE WHEN f.seq // 2 < m THEN ({_PLACE.format("m")}) // 500 END AS page1, ({_PLACE.format("n")}) // 500 AS page2, lim, pages1, pages2

@@ -11,6 +11,7 @@ from ..operators import asof, audit as A, context as C, dashboards as D, history
 from ..operators import prices as B, relevance as V, resolve as E, screen as S, signals as G
 from ..operators.context_store import ContextStore
 from ..operators.ordered import latest_by, newest_per
+from ..operators.price_table import PriceTable
 from ..sources.bars import normalize_bars
 from ..sources.disclosures import normalize_disclosures
 from ..sources.resolutions import committee_events, listed_names, parse_resolutions
@@ -19,7 +20,8 @@ from ..sources.roster import normalize_members
 from ..session import stored, work_dir
 from ..streaming.ingest import TradeStore, catch_up, page_stream
 from ..streaming.pages import PageFiles, run_pages
-from .tables import BENCHMARK, CONGRESS, FIRST_NAMES, NOW, TODAY, Tables, feed_records, last_name, letter, official_id, pick
+from .tables import (BENCHMARK, CONGRESS, FIRST_EXPLANATION, FIRST_NAMES, HEADLINE, LAST_SIGNAL, LIMITATIONS, NOW, SUMMARY, TODAY, Tables, feed_records, last_name, letter,
+                     official_id, pick)
 
 QUERIES = {}
 
@@ -348,10 +350,14 @@ def price_invalid_trades(t):
     return B.price_starts(t.trades, TODAY, BENCHMARK)[1]
 
 
+#: the first day of trading: some tickers have nothing valid yet
+FIRST_DAYS = "1995-01-02"
+
+
 @query
 def price_no_valid_dates(t):
     """Tickers whose every trade is invalid when the clock stands before most of them."""
-    return B.price_starts(t.trades, "1995-01-10", BENCHMARK)[2]
+    return B.price_starts(t.trades, FIRST_DAYS, BENCHMARK)[2]
 
 
 @query
@@ -405,6 +411,43 @@ def price_coverage(t):
     return _applied(t)[1].select("ticker", "price_status", "price_from", "price_to", "price_checked_at")
 
 
+def _new_listings(t):
+    """A week's fetch: tails for what is covered, and first fetches, among them of tickers that trade for three days only."""
+    starts, _, _ = B.price_starts(t.trades, TODAY, BENCHMARK)
+    no = F.substring("ticker", 7, 10).try_cast("int")
+    fresh = F.date_sub(F.lit(TODAY).cast("date"), 3)
+    starts = starts.withColumn("start", F.when(no % 10 == 1, fresh).otherwise(F.col("start")))
+    return B.batch_plan(B.price_fetch_plan(starts, t.securities.withColumn("price_checked_at", F.lit(None).cast("timestamp_ntz")), TODAY, NOW), 3)
+
+
+def _silent_provider(t, plan):
+    """A provider that says nothing of every second batch and of every seventh ticker."""
+    silent = plan.filter("batch % 2 = 1").select("ticker")
+    return _incoming_bars(t).join(silent, "ticker", "left_anti")
+
+
+def _price_table(t):
+    table = PriceTable(t.spark, f"{work_dir(t.spark)}/civicledger/prices-{uuid.uuid4().hex}", buckets=2)  # some dozens of tickers
+    table.create(_stored_bars(t))
+    plan = stored(_new_listings(t), "price-plan")
+    securities, outcome = table.apply(_silent_provider(t, plan), plan, t.securities, NOW)
+    return table, securities, outcome
+
+
+@query
+def price_table_outcome(t):
+    """Every outcome a fetch can have, of failed batches and tickers too recent to judge too."""
+    return _price_table(t)[2].select("ticker", "outcome", "bars_fetched", "lo", "hi")
+
+
+@query
+def price_table_content(t):
+    """The stored table after the fetch, month by month."""
+    bars = _price_table(t)[0].read()
+    return bars.groupBy("ticker", F.date_format("date", "yyyy-MM").alias("month")).agg(
+        F.count("*").alias("bars"), F.sum(F.round(F.col("close") * 100).cast("long")).alias("cents"), F.sum(F.round(F.col("adj_close") * 10000).cast("long")).alias("adjusted"))
+
+
 # --- relevance -------------------------------------------------------------------------------------------------------
 
 def _subjects(t):
@@ -437,7 +480,7 @@ def primary_match(t):
 
 @query
 def relevance_report(t):
-    return V.relevance_report(t.trades, t.securities, t.seats, _mappings(t))
+    return V.relevance_report(t.trades, t.securities, t.seats, _mappings(t), t.politicians)
 
 
 def _stats(t):
@@ -460,10 +503,10 @@ def security_descriptions(t):
 
 @query
 def mapping_overlaps(t):
-    """Overlapping ranges of committees with members, and how many members the mapping's committee has."""
+    """Overlapping ranges of different committees in the draft, and how many members the committee of each has."""
     members = t.seats.groupBy("committee_code").agg(F.count_distinct("politician_id").alias("members"))
-    of_mapping = _mappings(t).select("mapping_id", "committee_code").join(members, "committee_code").select("mapping_id", "members")
-    return V.mapping_overlaps(_mappings(t)).join(of_mapping, "mapping_id")
+    of_mapping = t.part_ranges.select("mapping_id", "committee_code").join(members, "committee_code").select("mapping_id", "members")
+    return V.mapping_overlaps(t.part_ranges).join(of_mapping, "mapping_id")
 
 
 @query
@@ -578,13 +621,24 @@ _CONTEXTS = {}
 
 
 def _stored_context(t):
-    """The default context of a data folder, worked out once in a session; all readers share the stored table."""
+    """The default context of a data folder, worked out once in a session; all readers share the stored table.
+
+    Tables of a folder are taken not to change within a session.
+    """
     key = (t.spark.sparkContext.applicationId, t.folder)
     if key not in _CONTEXTS:
         _CONTEXTS[key] = stored(_context(t), "trade_context")
     return _CONTEXTS[key]
 
 
+def _stored_evidence(t):
+    """The evidence of the stored context, kept with it."""
+    key = (t.spark.sparkContext.applicationId, t.folder, "evidence")
+    if key not in _CONTEXTS:
+        _CONTEXTS[key] = stored(C.context_evidence(_stored_context(t), t.mappings), "trade_evidence")
+    return _CONTEXTS[key]
+
+
 @query
 def context_flags_custom(t):
     """A what-if run: longer delay, shorter history, one secondary signal, no temporal gate."""
@@ -600,7 +654,7 @@ def context_summary(t):
 @query
 def context_evidence(t):
     """Evidence rows by kind, with the numbers behind the metric rows."""
-    e = C.context_evidence(_stored_context(t), t.mappings)
+    e = _stored_evidence(t)
     days = F.get_json_object("metadata", "$.days").cast("long")
     return e.groupBy("signal_type", "evidence_type", "evidence_key").agg(
         F.count("*").alias("rows"), F.sum(days).alias("days"), F.min("trade_id").alias("first_trade"), F.max("trade_id").alias("last_trade"))
@@ -608,7 +662,7 @@ def context_evidence(t):
 
 @query
 def context_evidence_text(t):
-    e = C.context_evidence(_stored_context(t), t.mappings)
+    e = _stored_evidence(t)
     return e.filter("signal_type IN ('committee_relevance', 'disclosure_delay_signal')").select(
         "trade_id", "evidence_key", "evidence_type", "description")
 
@@ -621,13 +675,13 @@ def context_merge(t):
         F.col("trade_size_anomaly"), F.lit("older")).otherwise(F.col("result_digest")))
     store = ContextStore(t.spark, f"{work_dir(t.spark)}/civicledger/contexts-{uuid.uuid4().hex}")
     store.save(earlier, C.context_evidence(earlier, t.mappings))
-    return store.save(new, C.context_evidence(new, t.mappings))
+    return store.save(new, _stored_evidence(t))
 
 
 def _screen_tables(t):
     """A screen reads the stored context and its evidence."""
     context = _stored_context(t)
-    return S.ScreenTables(t.trades, context, C.context_evidence(context, t.mappings), t.politicians, t.securities, t.mappings,
+    return S.ScreenTables(t.trades, context, _stored_evidence(t), t.politicians, t.securities, t.mappings,
                           _explanations(context))
 
 
@@ -720,6 +774,15 @@ def screen_rule_market(t):
     return _rule_rows(t, S.PRESETS["market_focus"])
 
 
+@query
+def rule_sweep(t):
+    """Matches under all rules that differ in what is required, enabled and needed; incoherent ones are refused."""
+    settings = {f"{'committee' if required else 'market'}-{enabled}-{need}": {
+        "committee_relevance_required": required, "enable_disclosure_delay_signal": enabled > 1, "enable_excess_return_signal": enabled > 2, "minimum_secondary_signals": need}
+        for required in (True, False) for enabled in (1, 2, 3) for need in (0, 1, 2, 3)}
+    return S.rule_counts(_screen_tables(t), settings)
+
+
 @query
 def screen_page(t):
     rows, _ = S.screen(_screen_tables(t), S.PRESETS["committee_focus"], filters_of("numbers"), "politician_name", "asc", 200, 20)
@@ -911,26 +974,21 @@ def latest_trade_per_politician(t):
 
 # --- explanations ----------------------------------------------------------------------------------------------------
 
-def _texts(context):
-    """An explanation per trade; five of six kinds break one rule each."""
-    kind = F.get(F.split("trade_id", "-"), F.lit(0)).cast("long") % 6
-    summary = (
-        F.when(kind == 1, "The records show an insider at work.").when(kind == 2, "The value was $987,654,321 in total.")
-        .when(kind == 3, "The Foreign Affairs Committee oversees this.").when(kind == 5, "This trade was flagged by the engine.")
-        .otherwise("It does not establish insider knowledge. The trade is not flagged here."))
-    signals = F.array(*[
-        F.struct(F.lit(s).alias("type"), F.lit("See the stored value.").alias("explanation")) for s in (
-            "committee_relevance", "trade_size_anomaly", "disclosure_delay_signal", "excess_return_signal")])
-    return context.select(
-        "trade_id", F.when(kind == 4, "").otherwise("A disclosed trade").alias("headline"), summary.alias("summary"),
-        F.lit("Public data only.").alias("limitations"), signals.alias("signals"))
+def _texts(t, context):
+    """An explanation per trade, right or wrong in one of many ways."""
+    facts = context.select("trade_id", F.get(F.split("trade_id", "-"), F.lit(0)).cast("long").alias("n"), F.col("disclosure_delay_days").alias("days"), "transaction_date").join(
+        t.trades.select(F.col("id").alias("trade_id"), "ticker", "amount_min"), "trade_id")
+    see, first = F.lit("See the stored value."), F.expr(FIRST_EXPLANATION)
+    signals = F.array(*[F.struct(kind.alias("type"), text.alias("explanation")) for kind, text in (
+        (F.lit("committee_relevance"), first), (F.lit("trade_size_anomaly"), see), (F.lit("disclosure_delay_signal"), see), (F.expr(LAST_SIGNAL), see))])
+    return facts.select("trade_id", F.expr(HEADLINE).alias("headline"), F.expr(SUMMARY).alias("summary"), F.expr(LIMITATIONS).alias("limitations"), signals.alias("signals"))
 
 
 @query
 def explanation_audit(t):
     context = _stored_context(t)
-    facts = A.explanation_facts(context, C.context_evidence(context, t.mappings), t.trades)
-    out = A.explanation_audit(_texts(context), facts, t.mappings)
+    facts = A.explanation_facts(context, _stored_evidence(t), t.trades)
+    out = A.explanation_audit(_texts(t, context), facts, t.mappings)
     return out.select("trade_id", F.array_join("problems", "; ").alias("problems"))
 
 

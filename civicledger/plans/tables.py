@@ -43,6 +43,27 @@ MAPPING_SCHEMA = (
     "relevance_level string, review_status string, jurisdiction_basis string, mapping_version string, review_note string"
 )
 
+# explanations of trades, as SQL that any engine reads; n is the order's number, days the delay of the filing
+SUMMARIES = [
+    "'It does not establish insider knowledge. The trade is not flagged here.'",
+    "'The records show an insider at work.'",
+    "'The value was $987,654,321 in total.'",
+    "'The Foreign Affairs Committee oversees this.'",
+    "'Nothing stands out; no breach is known.'",
+    "'This trade was flagged by the engine.'",
+    "'It was filed ' || cast(days as string) || ' days later, and 45 are usual.'",
+    "'It was filed ' || cast(days + 1 as string) || ' days later.'",
+    "'The range begins at $' || cast(amount_min as string) || ' or ' || cast(cast(floor(amount_min / 1000) as bigint) as string) || 'k.'",
+    "'Members of the Committee on Machinery and Works know the field.'",
+    "'It falls under building and works! Somebody benefited from it; nobody was flagged.'",
+    "'It was an improper trade in ' || cast(year(transaction_date) as string) || '. The Subcommittee on Machinery Standards never met.'",
+]
+SUMMARY = "coalesce(CASE n % 12 " + " ".join(f"WHEN {k} THEN {text}" for k, text in enumerate(SUMMARIES)) + " END, 'Nothing is known.')"
+HEADLINE = "CASE WHEN n % 7 = 4 THEN '' ELSE 'A disclosed trade of ' || coalesce(ticker, 'an unlisted asset') END"
+LIMITATIONS = "CASE WHEN n % 11 = 3 THEN repeat('Public data only. ', 40) ELSE 'Public data only.' END"
+LAST_SIGNAL = "CASE n % 13 WHEN 4 THEN 'a_hunch' WHEN 5 THEN 'committee_relevance' ELSE 'excess_return_signal' END"
+FIRST_EXPLANATION = "CASE WHEN n % 13 = 6 THEN '' ELSE 'See the stored value.' END"
+
 
 def pick(values, index):
     return F.element_at(F.array(*[F.lit(v) for v in values]), (index % len(values) + 1).cast("int"))
@@ -211,6 +232,16 @@ class Tables:
             "reviewed_by": F.lit(None).cast("string"),
         })
 
+    @cached_property
+    def part_ranges(self) -> DataFrame:
+        """A draft of mappings, one range of codes per part: as many as the table of parts has."""
+        key = F.col("p_partkey")
+        start = (F.lit(1000) + (key * 37 + F.col("p_size") * 131) % 797 * 10).cast("int")
+        return self.source("part").select(
+            key.alias("mapping_id"), pick(COMMITTEES, key).alias("committee_code"), F.when(key % 4 == 0, F.concat(F.lit("S"), (key % 3).cast("string"))).alias("subcommittee_code"),
+            start.alias("sic_start"), (start + F.col("p_size") % 12).cast("int").alias("sic_end"), F.when(key % 5 == 0, "none").when(key % 2 == 0, "direct").otherwise("related").alias("relevance_level"),
+            F.lit("reviewed").alias("review_status"), F.lit("2001-01-01 00:00:00").cast("timestamp_ntz").alias("reviewed_at"))
+
     @cached_property
     def seats(self) -> DataFrame:
         key, segment, nation = F.col("c_custkey"), F.col("c_mktsegment"), F.col("c_nationkey")

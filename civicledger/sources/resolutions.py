@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions.rules import congress_of, is_true, spread_null
+from ..functions.text import once
 
 # from a heading to the end of the next text; what closes a paragraph in between belongs to neither
 BLOCK = r"(?s)<header\b.*?</text>"
@@ -16,10 +17,14 @@ def _plain(c):
     text = F.regexp_replace(c, r"<[^>]*>", "")
     for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&#x2019;", "’"), ("&#8217;", "’")):
         text = F.replace(text, F.lit(entity), F.lit(char))
-    # any other reference by number is rare: such a text is read as XML once more
-    by_number = F.from_xml(F.concat(F.lit("<r><t>"), F.replace(F.replace(text, F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")), F.lit("</t></r>")), "t string")["t"]
-    text = F.replace(F.when(text.rlike("&#"), F.coalesce(by_number, text)).otherwise(text), F.lit("&amp;"), F.lit("&"))
-    return F.trim(F.regexp_replace(text, r"\s+", " "))
+    return F.trim(F.regexp_replace(once(text, _numbered), r"\s+", " "))
+
+
+def _numbered(text):
+    """References by number are rare: only a text that has one is read as XML once more."""
+    shielded = F.replace(F.replace(text, F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    decoded = F.from_xml(F.concat(F.lit("<r><t>"), shielded, F.lit("</t></r>")), "t string")["t"]
+    return F.replace(F.when(text.contains("&#"), F.coalesce(decoded, text)).otherwise(text), F.lit("&amp;"), F.lit("&"))
 
 
 def _letters(c):
@@ -37,10 +42,9 @@ def _documents(documents: DataFrame) -> DataFrame:
     adopted = F.regexp_extract(F.regexp_replace(F.regexp_replace("xml", r"<[^>]*>", " "), r"\s+", " "), K.ADOPTED_PATTERN, 1)
     clauses = F.regexp_extract_all(body, F.lit(r"(?s)<text\b[^>]*>(.*?)</text>"), F.lit(1))
     spoken = F.filter(clauses, lambda t: F.lower(t).contains("committee"))
-    said = F.lower(_plain(F.array_join(spoken, " ")))
-    elects, removes = F.instr(said, "elected"), F.instr(said, "removed")
     # the verb that comes first, wherever in the clauses it stands
-    verb = F.when((elects > 0) & ((removes == 0) | (elects < removes)), "elected").when(removes > 0, "removed")
+    found = F.regexp_extract(F.lower(_plain(F.array_join(spoken, " "))), "elected|removed", 0)
+    verb = F.nullif(found, F.lit(""))
     whole = F.from_xml(F.col("xml"), "broken string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "broken"})["broken"].isNull()
     # the generator keeps the optimizer from repeating the work on the document in every condition on its outcome
     parts = F.struct(adopted.alias("adopted"), body.alias("body"), verb.alias("verb"), whole.alias("whole"))

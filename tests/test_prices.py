@@ -77,3 +77,46 @@ def test_drift_tolerance(table):
     old = table(BAR, ("A", "2026-01-01", 100.0), ("B", "2026-01-01", 100.0), ("C", "2026-01-01", 0.0))
     new = table(BAR, ("A", "2026-01-01", 100.009), ("B", "2026-01-01", 100.02), ("C", "2026-01-01", 5.0))
     assert {r.ticker: r.restated for r in B.detect_restatement(old, new).collect()} == {"A": False, "B": True, "C": False}
+
+
+def snapshot(root):
+    return {str(p.relative_to(root).parent): p.name for p in root.rglob("*.parquet")}
+
+
+def test_a_tail_fetch_rewrites_its_own_folders_only(spark, table, tmp_path):
+    from civicledger.operators.price_table import PriceTable
+
+    days = [D("2025-01-01") + dt.timedelta(k) for k in range(0, 376, 5)]
+    history = [(t, str(day), 1.0) for t in ("A", "B", "C", "D") for day in days]
+    prices = PriceTable(spark, tmp_path, buckets=4)
+    prices.create(table(BAR, *history))
+    before = snapshot(tmp_path / "bars")
+    plan = table("ticker string, lo date, hi date, had_coverage boolean, batch long",
+                 ("A", "2026-01-01", TODAY, True, 0), ("B", "2026-01-01", TODAY, True, 0), ("D", "2025-06-01", "2025-06-30", True, 1))
+    known = securities(table, *[(t, "ok", None, "2025-01-01", "2026-01-10") for t in "ABCD"])
+    answer = table(BAR, *[("A", f"2026-01-{k:02d}", 1.0) for k in range(1, 16)], ("B", "2026-01-09", 1.0), ("D", "2025-06-20", 1.0), ("D", "2025-07-20", 9.0))
+    secs, outcome = prices.apply(answer, plan, known, NOW)
+    assert {r.ticker: r.outcome for r in outcome.collect()} == {"A": "written", "B": "written", "D": "written"}
+    assert {r.ticker: str(r.price_to) for r in secs.collect()}["A"] == TODAY
+    after = snapshot(tmp_path / "bars")
+    changed = {k for k in before.keys() | after.keys() if before.get(k) != after.get(k)}
+    assert {k.split("month=")[1] for k in changed} == {"2026-01", "2025-06"} and 2 <= len(changed) <= 3
+    got = prices.read().groupBy("ticker").count().collect()
+    june = sum(day.month == 6 for day in days)
+    january = sum(str(day) >= "2026-01-01" for day in days)
+    assert {r["ticker"]: r["count"] for r in got} == {"A": len(days) - january + 15, "B": len(days) - january + 1, "C": len(days), "D": len(days) - june + 1}
+
+
+def test_folders_without_bars_go_and_rebuilds_replace_everything(spark, table, tmp_path):
+    from civicledger.operators.price_table import PriceTable
+
+    prices = PriceTable(spark, tmp_path, buckets=1)
+    prices.create(table(BAR, ("A", "2025-11-03", 1.0), ("A", "2025-12-03", 1.0), ("A", "2026-01-05", 1.0)))
+    known = securities(table, ("A", "ok", None, "2025-11-01", "2026-01-10"))
+    plan = "ticker string, lo date, hi date, had_coverage boolean, batch long"
+    prices.apply(table(BAR, ("A", "2020-01-01", 1.0)), table(plan, ("A", "2025-12-01", "2025-12-31", True, 0)), known, NOW)
+    assert sorted(p.name for p in (tmp_path / "bars" / "bucket=0").iterdir()) == ["month=2025-11", "month=2026-01"]
+    _, found = prices.apply(table(BAR, ("A", "2026-01-05", 2.0)), table(plan, ("A", "2026-01-01", TODAY, True, 0)), known, NOW)
+    assert found.first().outcome == "restated" and prices.read().count() == 2
+    prices.apply(table(BAR, ("A", "2026-01-05", 2.0)), table(plan, ("A", "2026-01-01", TODAY, True, 0)), known, NOW, whole=True)
+    assert [(str(r.date), r.adj_close) for r in prices.read().collect()] == [("2026-01-05", 2.0)]

@@ -136,3 +136,49 @@ def test_contexts_are_replaced_by_version(spark, tmp_path):
     assert sorted((r["trade_id"], r["result_digest"]) for r in store.load("context", newest).collect()) == [("a", "1"), ("b", "2"), ("c", "1")]
     assert sorted(r["description"] for r in store.load("evidence", newest).collect()) == ["new", "newer", "x"]
     assert store.load("context", spark.createDataFrame([("3",)], "mapping_version string")) is None
+
+
+@pytest.mark.parametrize("usual", [0, 30, 10**6])
+def test_size_history_by_digits_equals_plain_counting(spark, monkeypatch, usual):
+    import random
+    import statistics
+
+    from civicledger.operators import signals as G
+
+    monkeypatch.setattr(G, "USUAL_CELLS", usual)
+    rng = random.Random(7)
+    rows = []
+    for person, n in ((1, 400), (2, 12), (3, 1), (4, 40)):
+        for k in range(n):
+            low = rng.choice([None, 0, 1, 1001, rng.randrange(10**7)])
+            rows.append((f"{person}-{k}", person, dt.date(2000, 1, 1) + dt.timedelta(rng.randrange(60)), None, low, None if low is None else rng.choice([low, low + 1, low + 14000])))
+    rows.append(("5-0", 5, dt.date(2000, 1, 9), None, None, None))
+    trades = spark.createDataFrame(rows, "id string, politician_id long, transaction_date date, disclosure_date date, amount_min long, amount_max long")
+    sizes = {r[0]: r[1] for r in trades.select("id", G.trade_size("amount_min", "amount_max")[0]).collect()}
+    got = {(r["politician_id"], r["transaction_date"], r["value"]): r for r in G.size_history(trades, "2001-01-01").collect()}
+    want = {}
+    for name, person, day, *_ in rows:
+        value = G.NO_VALUE if sizes[name] is None else sizes[name]
+        earlier = [sizes[o] for o, p, d, *_ in rows if p == person and d < day and sizes[o] is not None]
+        want[person, day, value] = (len(earlier), statistics.median(earlier) if earlier else None, sum(v < value for v in earlier), sum(v == value for v in earlier))
+    assert got.keys() == want.keys()
+    for key, r in got.items():
+        assert (r["prior_n"], r["prior_median"], r["less"], r["same"]) == want[key]
+
+
+def test_one_politician_with_very_many_sizes_spreads_over_tasks(spark):
+    from civicledger.operators import signals as G
+    from pyspark.sql.functions import spark_partition_id
+
+    n = 20_000
+    rows = spark.range(n).select(F.lit(1).cast("long").alias("politician_id"), F.expr("date_add(DATE '2000-01-01', CAST(id % 200 AS int))").alias("transaction_date"),
+                                 F.lit(None).cast("date").alias("disclosure_date"), (F.col("id") * 7919 % n).alias("amount_min"), (F.col("id") * 7919 % n).alias("amount_max"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        history = G.size_history(rows, "2010-01-01")
+        per_task = [r["count"] for r in history.groupBy(spark_partition_id()).count().collect()]
+        last = history.filter("transaction_date = DATE '2000-07-18'").agg(F.min("prior_n"), F.max("prior_n"), F.min("prior_median")).first()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert sum(per_task) == n and max(per_task) < n / 2
+    assert last[0] == last[1] == 19_900 and abs(last[2] - n / 2) < n / 100
