@@ -7,8 +7,6 @@ helpers below cut groups into bins first, or reduce them to one row per distinct
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .order_stats import with_moments
-
 
 def numbered(df: DataFrame, keys, tie_break, out="number", ways=4096) -> DataFrame:
     """Number the rows of each group 0, 1, 2, … without one task seeing a whole group.
@@ -39,11 +37,13 @@ def earlier_rank(cells: DataFrame, group, moment, value, weight) -> DataFrame:
     ``cells`` has one row per (group, moment, value). The moments of a group are ranked, and "everything before rank r"
     is read as one aligned block of ranks per set bit of r: where bit k of a cell's rank is set it asks the block just
     before its own on level k, where it is clear it is held by its own block. Each cell so emits one row per bit, a
-    group of g moments is cut into g blocks on its lowest level, and no pair of rows of a group is ever formed.
+    group of g moments is cut into g blocks on its lowest level, and no pair of rows of a group is ever formed. Moments are ranked within
+    one task per group; for groups that are too large for that there is :func:`order_stats.earlier_ranks`.
     """
-    kept = [c for c in cells.columns if c not in (group, moment, value, "_rank", "_moments", "_cells")]
-    ranked = cells if "_rank" in cells.columns else with_moments(cells, group, moment, weight).drop("prior")
-    ranked = ranked.withColumn("_bits", F.length(F.bin(F.col("_moments") - 1)))
+    in_group = Window.partitionBy(group)
+    kept = [c for c in cells.columns if c not in (group, moment, value)]
+    rank = (F.dense_rank().over(in_group.orderBy(moment)) - 1).cast("long")
+    ranked = cells.withColumn("_rank", rank).withColumn("_bits", F.length(F.bin(F.max("_rank").over(in_group))))
 
     def role(k):
         block = F.call_function("shiftright", F.col("_rank"), k)

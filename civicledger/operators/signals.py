@@ -33,17 +33,21 @@ def size_history(trades: DataFrame, today) -> DataFrame:
         .withColumn("weight", F.when(F.col("value") != NO_VALUE, F.col("_n")).otherwise(F.lit(0)).cast("long"))
         .drop("_n")
     )
-    cells = stored(with_moments(cells, "politician_id", "transaction_date", "weight").withColumnRenamed("prior", "prior_n"), "size-cells")
-    largest, highest = cells.agg(F.max("_cells"), F.max("value")).first()
-    usual = _usual_history(cells.filter(F.col("_cells") <= USUAL_CELLS))
-    return usual if (largest or 0) <= USUAL_CELLS else usual.unionByName(_large_history(cells.filter(F.col("_cells") > USUAL_CELLS), highest))
+    most = trades.groupBy("politician_id").count().agg(F.max("count")).first()[0] or 0
+    if most <= USUAL_CELLS:  # nobody has more cells than trades
+        return _usual_history(cells)
+    sized = stored(with_moments(cells, "politician_id", "transaction_date", "weight").withColumnRenamed("prior", "prior_n"), "size-cells")
+    usual = _usual_history(sized.filter(F.col("_cells") <= USUAL_CELLS).select(*cells.columns))
+    large = sized.filter(F.col("_cells") > USUAL_CELLS)
+    return usual.unionByName(_large_history(large, large.agg(F.max("value")).first()[0]))
 
 
 def _usual_history(cells: DataFrame) -> DataFrame:
     earlier = Window.partitionBy("politician_id").orderBy(F.unix_date("transaction_date")).rangeBetween(Window.unboundedPreceding, -1)
-    median = F.percentile(F.when(F.col("weight") > 0, F.col("value")), F.lit(0.5), F.col("weight")).over(earlier)
-    ranked = earlier_rank(cells.withColumn("prior_median", median), "politician_id", "transaction_date", "value", "weight")
-    return ranked.select(*HISTORY)
+    counted = cells.withColumns({
+        "prior_n": F.coalesce(F.sum("weight").over(earlier), F.lit(0)),
+        "prior_median": F.percentile(F.when(F.col("weight") > 0, F.col("value")), F.lit(0.5), F.col("weight")).over(earlier)})
+    return earlier_rank(counted, "politician_id", "transaction_date", "value", "weight").select(*HISTORY)
 
 
 def _large_history(cells: DataFrame, highest) -> DataFrame:
