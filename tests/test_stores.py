@@ -172,3 +172,16 @@ def test_context_store_writes_changes_only(spark, tmp_path):
         store.save(rows(("b", f"n{k}")), proof(("b", f"z{k}")))
     assert sorted((r["trade_id"], r["result_digest"]) for r in store.load("context", mappings).collect()) == [("a", "1"), ("b", "n7")]
     assert sorted(r["description"] for r in store.load("evidence", mappings).collect()) == ["x", "z7"]
+
+
+def test_a_local_session_without_a_shared_folder_gets_its_own():
+    from types import SimpleNamespace as Stub
+
+    from civicledger.session import work_dir
+
+    spark = lambda master, app, shared=None: Stub(conf=Stub(get=lambda key, default: shared or default), sparkContext=Stub(master=master, applicationId=app))
+    own = work_dir(spark("local[2]", "app-a"))
+    assert own == work_dir(spark("local[2]", "app-a")) != work_dir(spark("local[2]", "app-b"))
+    assert work_dir(spark("yarn", "app-c", "hdfs://x/shared/")) == "hdfs://x/shared"
+    with pytest.raises(RuntimeError):
+        work_dir(spark("yarn", "app-c"))
