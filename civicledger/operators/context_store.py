@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..streaming.ledger import Ledger, Table
-from .context import VERSION_KEY, merge_context
+from .context import VERSION_KEY, context_actions
 
 TABLES = {"context": Table(keys=tuple(VERSION_KEY)), "evidence": Table(keys=tuple(VERSION_KEY))}
 
@@ -27,10 +27,11 @@ class ContextStore:
         newest = mappings.agg(F.max("mapping_version")).first()[0]
         return self.ledger(version, newest).read(table)
 
-    def save(self, new: DataFrame, evidence: DataFrame, force=False) -> DataFrame:
+    def save(self, new: DataFrame, evidence, force=False) -> DataFrame:
         """Store a run's rows of one version; (action, rows, evidence) tells what became of all rows of that version.
 
-        Evidence of new and changed rows is replaced, that of all others stays as it is.
+        Evidence of new and changed rows is replaced, that of all others stays as it is. ``evidence`` is a table, or a function that
+        derives it from context rows: then only that of the changed rows is worked out, and needs no join.
         """
         versions = new.select("context_version", "mapping_version").distinct().limit(2).collect()
         if not versions:
@@ -39,13 +40,19 @@ class ContextStore:
         ledger = self.ledger(*version)
         change = ledger.begin()
         old = change.base.read("context")
-        merged = change.staged(merge_context(new, new.limit(0) if old is None else old, force))
-        changed = merged.filter("action IN ('inserted', 'updated')").drop("action")
-        some = not changed.isEmpty()
+        if old is None:
+            merged, changed = new.select(*VERSION_KEY, F.lit("inserted").alias("action")), new
+        else:
+            # only keys and actions are staged; the rows are read where they lie
+            merged = change.staged(context_actions(new, old, force))
+            changed = new.join(merged.filter("action IN ('inserted', 'updated')").select(*VERSION_KEY), VERSION_KEY, "left_semi")
+        some = old is None or not merged.filter("action IN ('inserted', 'updated')").isEmpty()
         if some:
-            change.add("context", changed)
-            proofs = evidence.join(changed.select(*VERSION_KEY), VERSION_KEY, "left_semi")
-            change.add("evidence", proofs, gone=changed.select(*VERSION_KEY).join(proofs, VERSION_KEY, "left_anti"))
+            changed = change.add("context", changed.drop("action"))
+            proofs = evidence(changed) if callable(evidence) else evidence.join(changed.select(*VERSION_KEY), VERSION_KEY, "left_semi")
+            # only a changed row may have had evidence that it has no more
+            gone = None if old is None else merged.filter("action = 'updated'").select(*VERSION_KEY).join(proofs, VERSION_KEY, "left_anti")
+            change.add("evidence", proofs, gone=gone)
         proofs = change.preview().read("evidence")
         counts = proofs.groupBy("trade_id").agg(F.count("*").alias("n"))
         out = merged.select("trade_id", "action").join(counts, "trade_id", "left").groupBy("action").agg(

@@ -40,3 +40,20 @@ def test_shuffles_follow_the_size_of_the_input(spark, tmp_path):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+
+
+def test_evidence_is_derived_for_the_changed_rows_only(spark, tmp_path):
+    from civicledger.operators.context_store import ContextStore
+
+    def rows(*digests):
+        return spark.createDataFrame([(f"t{i}", "v", "m", d) for i, d in enumerate(digests)], "trade_id string, context_version string, mapping_version string, result_digest string")
+
+    def proofs(df):
+        asked.append(sorted(r.trade_id for r in df.collect()))
+        return df.filter("result_digest <> 'none'").select("trade_id", "context_version", "mapping_version")
+
+    store, asked = ContextStore(spark, str(tmp_path)), []
+    assert [tuple(r) for r in store.save(rows("a", "b"), proofs).collect()] == [("inserted", 2, 2)]
+    out = store.save(rows("a", "none", "c"), proofs)
+    assert sorted(map(tuple, out.collect())) == [("inserted", 1, 1), ("unchanged", 1, 1), ("updated", 1, 0)]
+    assert asked == [["t0", "t1"], ["t1", "t2"]]
