@@ -39,12 +39,17 @@ def code_segments(mappings: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     Codes have four digits, so there are at most 10,000 cuts, and the one window over all of them is bounded.
     """
-    ranges = usable_mappings(mappings).select("mapping_id", "sic_start", F.expr("sic_end + 1").alias("_past"))
+    return range_segments(usable_mappings(mappings), ["mapping_id"])
+
+
+def range_segments(ranges: DataFrame, key) -> tuple[DataFrame, DataFrame]:
+    """:func:`code_segments` of any ranges with a key."""
+    ranges = ranges.select(*{c: 0 for c in (*key, "sic_start")}, F.expr("sic_end + 1").alias("_past"))
     cuts = ranges.select(F.explode(F.array("sic_start", "_past")).alias("_cut")).distinct()
     cuts = cuts.withColumn("segment", F.row_number().over(Window.orderBy("_cut")))
     first, past = cuts.select(F.col("_cut").alias("sic_start"), F.col("segment").alias("_first")), cuts.select(F.col("_cut").alias("_past"), F.col("segment").alias("_end"))
     spans = ranges.filter("_past > sic_start").join(first, "sic_start").join(past, "_past")
-    return cuts, spans.select("mapping_id", F.explode(F.sequence("_first", F.col("_end") - 1)).alias("segment"))
+    return cuts, spans.select(*key, F.explode(F.sequence("_first", F.col("_end") - 1)).alias("segment"))
 
 
 def with_segment(subjects: DataFrame, cuts: DataFrame) -> DataFrame:
@@ -248,16 +253,34 @@ def security_descriptions(mappings, trades, securities) -> DataFrame:
         "mapping_id", "sic_code", F.coalesce("industry", F.lit("")).alias("industry")).agg(F.count("*").alias("securities"))
 
 
-def mapping_overlaps(mappings: DataFrame) -> DataFrame:
-    """Pairs of rows of different committees whose ranges share a code, once per label."""
+def mapping_overlaps(mappings: DataFrame, committees: DataFrame | None = None) -> DataFrame:
+    """Pairs of rows of different committees whose ranges share a code, once per label.
+
+    ``mapping_id`` is the key of the mappings. A draft repeats ranges and labels, so pairs are formed of distinct ranges and distinct
+    labels and then meet the mappings; nothing is shuffled or made distinct after that. ``committees`` (committee_code and what else is
+    known of it) adds its columns and leaves out the mappings of other committees; it too meets ranges.
+    """
     live = usable_mappings(mappings)
+    span = ["sic_start", "sic_end"]
     label = F.format_string(
         "%s %04d-%04d (%s)", F.concat_ws("/", "committee_code", "subcommittee_code"), "sic_start", "sic_end", "relevance_level")
-    # two ranges share a code exactly where they share a stretch between two cuts
-    _, covered = code_segments(mappings)
-    mine = live.select("mapping_id", "committee_code").join(covered, "mapping_id")
-    other = live.select("mapping_id", F.col("committee_code").alias("o_code"), label.alias("overlaps_with")).join(covered, "mapping_id").drop("mapping_id")
-    return mine.join(other, "segment").filter("o_code <> committee_code").select("mapping_id", "overlaps_with").distinct()
+    # two ranges share a code exactly where they share a stretch between two cuts; the first one they share stands for the pair
+    _, covered = range_segments(live.select(*span).distinct(), span)
+    covered = covered.withColumn("_from", F.min("segment").over(Window.partitionBy(*span)))
+    other = covered.select(*[F.col(c).alias(f"o_{c}") for c in span], "segment", F.col("_from").alias("_o_from"))
+    meet = covered.join(other, "segment").filter("segment = greatest(_from, _o_from)").select(*span, "o_sic_start", "o_sic_end")
+    # a label is one row per range, with the committees that read so
+    labels = live.select(F.col("committee_code").alias("_code"), *[F.col(c).alias(f"o_{c}") for c in span], label.alias("overlaps_with")).groupBy(
+        "o_sic_start", "o_sic_end", "overlaps_with").agg(F.collect_set("_code").alias("_codes"))
+    mine = live.select("committee_code", *span).distinct()
+    if committees is not None:
+        mine = mine.join(committees, "committee_code")
+    known = [c for c in mine.columns if c != "committee_code" and c not in span]
+    pairs = mine.join(meet, span).join(labels, ["o_sic_start", "o_sic_end"]).filter("exists(_codes, c -> c <> committee_code)")
+    # few ranges make many pairs, which are dealt over as many tasks as their own size asks for
+    pairs = pairs.select("committee_code", *span, "overlaps_with", *known).repartition("committee_code", *span)
+    return live.select("mapping_id", "committee_code", *span).distinct().join(pairs, ["committee_code", *span]).select(
+        "mapping_id", "overlaps_with", *known)
 
 
 def with_titles(stats: DataFrame, sic_titles: DataFrame) -> DataFrame:

@@ -505,8 +505,7 @@ def security_descriptions(t):
 def mapping_overlaps(t):
     """Overlapping ranges of different committees in the draft, and how many members the committee of each has."""
     members = t.seats.groupBy("committee_code").agg(F.count_distinct("politician_id").alias("members"))
-    of_mapping = t.part_ranges.select("mapping_id", "committee_code").join(members, "committee_code").select("mapping_id", "members")
-    return V.mapping_overlaps(t.part_ranges).join(of_mapping, "mapping_id")
+    return V.mapping_overlaps(t.part_ranges, members)
 
 
 @query

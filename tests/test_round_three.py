@@ -57,3 +57,36 @@ def test_evidence_is_derived_for_the_changed_rows_only(spark, tmp_path):
     out = store.save(rows("a", "none", "c"), proofs)
     assert sorted(map(tuple, out.collect())) == [("inserted", 1, 1), ("unchanged", 1, 1), ("updated", 1, 0)]
     assert asked == [["t0", "t1"], ["t1", "t2"]]
+
+
+DRAFT = "mapping_id long, committee_code string, subcommittee_code string, sic_start int, sic_end int, relevance_level string, review_status string, reviewed_at string"
+
+
+def test_overlaps_are_paired_by_distinct_range_and_not_shuffled_after_that(spark):
+    from civicledger.operators import relevance as V
+
+    ranges = [("A", 10, 19), ("B", 15, 30), ("A", 20, 25), ("C", 30, 30), ("B", 40, 39), ("C", 10, 60)]
+    rows = [(i, *ranges[i % 6][:1], "S" if i % 4 == 0 else None, *ranges[i % 6][1:], "none" if i % 7 == 0 else "direct", "reviewed", "x") for i in range(120)]
+    drafts = spark.createDataFrame(rows, DRAFT)
+    label = lambda r: f"{r[1]}{'/' + r[2] if r[2] else ''} {r[3]:04d}-{r[4]:04d} ({r[5]})"
+    live = [r for r in rows if r[5] != "none"]
+    want = {(m[0], label(o)) for m in live for o in live if m[1] != o[1] and max(m[3], o[3]) <= min(m[4], o[4])}
+    found = V.mapping_overlaps(drafts)
+    got = [tuple(r) for r in found.collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    # rows of the result are as many as mappings times labels: none of them goes through an exchange
+    assert "Aggregate" not in found._jdf.queryExecution().optimizedPlan().toString().split("Join")[0]
+    members = spark.createDataFrame([("A", 3), ("B", 4)], "committee_code string, members long")
+    code = {r[0]: r[1] for r in rows}
+    assert {tuple(r) for r in V.mapping_overlaps(drafts, members).collect()} == {(*w, {"A": 3, "B": 4}[code[w[0]]]) for w in want if code[w[0]] != "C"}
+
+
+def test_no_task_holds_the_seats_of_all_people(spark, table):
+    from civicledger.operators import history as H
+
+    seats = table("politician_id long, committee_code string, subcommittee_code string, temporal_precision string, congress_number int, start_date date, "
+                  "end_date date, verified_through date, history_complete boolean", (1, "A", None, "exact_date", 106, "2000-01-01", "2000-06-01", None, True))
+    days = table("politician_id long, transaction_date date", (1, "2000-02-01"), (1, "2000-07-01"), (2, "2000-02-01"))
+    out = H.effective_seats(days, seats)
+    assert [str(r.transaction_date) for r in out.collect()] == ["2000-02-01"]
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
