@@ -87,7 +87,10 @@ def seats_on_date(trades: DataFrame, seats: DataFrame) -> DataFrame:
 
 
 def held_seats(seats: DataFrame) -> DataFrame:
-    """One row per politician with ``_held``, their seats and what of them no day changes; the seats of one person are few."""
+    """One row per politician with ``_held``, their seats and what of them no day changes; the seats of one person are few.
+
+    All people's seats together are not: their size, which no file tells, must not make every task hold them.
+    """
     is_exact = is_true(F.col("temporal_precision") == K.PRECISION_EXACT)
     is_congress = is_true(F.col("temporal_precision") == K.PRECISION_CONGRESS)
     no_sub = F.coalesce("subcommittee_code", F.lit("")) == ""
@@ -97,7 +100,7 @@ def held_seats(seats: DataFrame) -> DataFrame:
         "_starts": is_exact & no_sub & F.col("start_date").isNotNull(), "_whole": is_congress & no_sub,
     }
     return seats.withColumns(known).groupBy("politician_id").agg(
-        F.collect_list(F.struct(*[c for c in seats.columns if c != "politician_id"], *known)).alias("_held"))
+        F.collect_list(F.struct(*[c for c in seats.columns if c != "politician_id"], *known)).alias("_held")).hint("merge")
 
 
 def with_standing(days: DataFrame) -> DataFrame:
