@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions.rules import date_problem, day, direction, ret, spread_null
 from ..functions.text import legacy_value
+from ..session import stored
 from .asof import asof_backward, forward_days, price_series, repeat_days, with_first_day
 from .ordered import newest_per
 
@@ -85,7 +86,8 @@ def trade_performance(trades, bars, benchmark, today, horizon_days=None, legs=("
     series = price_series(bars)
     latest = series.groupBy(F.col("ticker").alias("_ticker")).agg(
         F.max("date").alias("latest_date"), F.max_by("price", "date").alias("latest_price"))
-    grid = leg_days(bars, benchmark, horizon_days)
+    # written once: its size tells Spark whether trades have to be dealt anew to meet it
+    grid = stored(leg_days(bars, benchmark, horizon_days), "leg-days")
     out = trades.withColumn("_ticker", spread_null("ticker", "id")).join(latest, "_ticker", "left")
     for name in legs:
         out = _leg(out, grid, f"{name}_date", today, name)

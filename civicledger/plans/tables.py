@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.identity import politician_key
 from ..functions.rules import congress_of, sic_division
-from ..session import fit_shuffles
+from ..session import fit_shuffles, stored
 
 TODAY = "2001-06-30"
 NOW = "2001-06-30 12:00:00"
@@ -159,11 +159,11 @@ class Tables:
     @cached_property
     def bars(self) -> DataFrame:
         brands = self.source("part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("ticker"))
-        return self._daily(self.lines.join(brands, "l_partkey"), ["ticker"])
+        return stored(self._daily(self.lines.join(brands, "l_partkey"), ["ticker"]), "bars")  # a row per ticker and day, read many times
 
     @cached_property
     def benchmark(self) -> DataFrame:
-        return self._daily(self.lines, []).select(F.lit(BENCHMARK).alias("ticker"), "*")
+        return stored(self._daily(self.lines, []).select(F.lit(BENCHMARK).alias("ticker"), "*"), "benchmark")
 
     @cached_property
     def politicians(self) -> DataFrame:
@@ -202,7 +202,7 @@ class Tables:
         covered = no % 5 > 1
         start, end = F.lit("1995-01-02").cast("date"), F.lit(TODAY).cast("date")
         now = F.lit(NOW).cast("timestamp_ntz")
-        return (
+        listed = (
             self.source("part").select(F.col("p_brand").alias("ticker")).distinct()
             .withColumn("no", F.substring("ticker", 7, 10).cast("int")).withColumn("sic_code", sic)
             .select(
@@ -218,6 +218,7 @@ class Tables:
                 F.lit(None).cast("string").alias("cik_code"), F.lit(None).cast("string").alias("exchange"),
             )
         )
+        return stored(listed, "securities")
 
     @cached_property
     def mappings(self) -> DataFrame:

@@ -90,3 +90,16 @@ def test_no_task_holds_the_seats_of_all_people(spark, table):
     out = H.effective_seats(days, seats)
     assert [str(r.transaction_date) for r in out.collect()] == ["2000-02-01"]
     assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_trades_meet_small_price_tables_without_an_exchange(spark, table, tmp_path):
+    from civicledger.operators import performance as P
+
+    trades = table("id string, ticker string, transaction_type string, transaction_date date, disclosure_date date", ("a", "X", "buy", "2000-01-03", "2000-01-05"), ("b", None, "buy", "2000-01-03", None))
+    bars = table("ticker string, date date, close double, adj_close double", ("X", "2000-01-03", 10.0, 10.0), ("X", "2000-01-10", 11.0, 11.0))
+    bars.write.parquet(str(tmp_path / "bars"))
+    bars = spark.read.parquet(str(tmp_path / "bars"))
+    perf = P.trade_performance(trades, bars, bars, "2001-01-01", None, ("transaction",))
+    # the days' outcomes are a table whose size is known
+    assert "SortMergeJoin" not in perf._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.id, r.status) for r in perf.collect()) == [("a", "ok"), ("b", "no_ticker")]
