@@ -103,3 +103,21 @@ def test_trades_meet_small_price_tables_without_an_exchange(spark, table, tmp_pa
     # the days' outcomes are a table whose size is known
     assert "SortMergeJoin" not in perf._jdf.queryExecution().executedPlan().toString()
     assert sorted((r.id, r.status) for r in perf.collect()) == [("a", "ok"), ("b", "no_ticker")]
+
+
+def test_an_audit_keeps_a_trade_in_one_row(spark):
+    from civicledger.operators import audit as A
+
+    facts = spark.createDataFrame(
+        [("t1", [1.0], [("Committee on Sea Ports", None)], "Ada Mc", True), ("t2", [1.0], [], "Ben Mc", True), ("t3", [1.0], [], "Cora Mc", True)],
+        "trade_id string, numbers array<double>, committees array<struct<committee_name:string,subcommittee_name:string>>, own_names string, flagged boolean")
+    good = [("committee_relevance", "See.")]
+    texts = spark.createDataFrame(
+        [("t1", "A", "It belongs to sea ports.", "C", good), ("t2", "A", "It belongs to sea ports.", "C", good), ("t3", "A", "B", "C", None)],
+        "trade_id string, headline string, summary string, limitations string, signals array<struct<type:string,explanation:string>>")
+    known = spark.createDataFrame([("Committee on Sea Ports",)], "committee_name string")
+    out = A.explanation_audit(texts, facts, known)
+    assert {r.trade_id: r.problems for r in out.collect()} == {
+        "t1": [], "t2": ["summary mentions sea ports, which is not in the evidence"], "t3": ["no signal explanations"]}
+    # texts are not multiplied for all rules: only the search for names takes them apart
+    assert out._jdf.queryExecution().analyzed().toString().count("explode(") == 2
