@@ -105,6 +105,23 @@ def test_trades_meet_small_price_tables_without_an_exchange(spark, table, tmp_pa
     assert sorted((r.id, r.status) for r in perf.collect()) == [("a", "ok"), ("b", "no_ticker")]
 
 
+def test_screens_write_no_evidence(spark):
+    import glob
+    import os
+
+    import pytest
+
+    from civicledger.plans.queries import QUERIES
+    from civicledger.session import work_dir
+    from test_queries import FOLDER
+
+    if not os.path.isdir(FOLDER):
+        pytest.skip("no test tables")
+    before = set(glob.glob(f"{work_dir(spark)}/civicledger/*evidence*"))
+    assert QUERIES["screen_rule_balanced"](spark, FOLDER).count() > 0
+    assert set(glob.glob(f"{work_dir(spark)}/civicledger/*evidence*")) == before
+
+
 def test_an_audit_keeps_a_trade_in_one_row(spark):
     from civicledger.operators import audit as A
 
