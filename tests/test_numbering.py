@@ -39,3 +39,32 @@ def test_two_runs_over_a_feed_clean_it_once(spark):
     assert [(str(r.transaction_date), r.occurrence) for r in new.collect()] == [("2026-02-01", 0)]
     want = Counter((r.fingerprint, r.occurrence) for r in I.dedupe_trades(trades).collect())
     assert want == Counter((r.fingerprint, r.occurrence) for r in I.dedupe_trades(lines).collect())
+
+
+def variants(spark):
+    people = spark.createDataFrame([(1, "John J Mc", "house"), (2, "John Mc", "house"), (3, "John Mc", "senate"), (4, "Dan Ray", "house"), (5, "Eve", None)], "id long, name string, chamber string")
+    who = [1, 2, 2, 3, 4, 4, 5, 9, 9, None]  # 9 is nobody known, 5 has no key
+    trades = spark.range(60).select(
+        "id", F.element_at(F.array(*[F.lit(w).cast("long") for w in who]), (F.col("id") % 10 + 1).cast("int")).alias("politician_id"), F.lit("x").alias("politician_name"), F.lit("house").alias("chamber"), F.lit("T").alias("ticker"),
+        F.lit(None).cast("string").alias("asset_name"), F.lit("buy").alias("transaction_type"), F.lit("2026-01-01").cast("date").alias("transaction_date"), F.lit(None).cast("date").alias("disclosure_date"),
+        (F.col("id") % 2).alias("amount_min"), F.lit(2).cast("long").alias("amount_max"), F.lit("old").alias("fingerprint"))
+    return people, trades
+
+
+def test_variants_are_numbered_alike_with_and_without_busy_names(spark):
+    people, trades = variants(spark)
+    results = [I.merge_variants(people, trades, full=full)[1] for full in (1 << 18, 20, 1)]
+    rows = [Counter((r.politician_name, r.amount_min, r.occurrence, r.fingerprint) for r in moved.collect()) for moved in results]
+    assert rows[0] == rows[1] == rows[2] and sum(rows[0].values()) == 60
+    # one chamber in the trades: the senate's and the house's John Mc have the same lines, and so share their numbers
+    assert sorted(o for (name, low, o, _), n in rows[0].items() if name == "John Mc" and low == 0 for _ in range(n)) == list(range(12))
+    assert len({f for *_, f in rows[0]}) == 60
+
+
+def test_variants_key_names_once_per_politician(spark):
+    people, trades = variants(spark)
+    moved = I.merge_variants(people, trades)[1]
+    text = moved._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("row_number") == 1  # no bins where no name is busy
+    window = text[:text.index("Join")]
+    assert "[^a-z0-9]+" not in window  # a trade's identity is put together from its politician's key
