@@ -68,3 +68,35 @@ def test_variants_key_names_once_per_politician(spark):
     assert text.count("row_number") == 1  # no bins where no name is busy
     window = text[:text.index("Join")]
     assert "[^a-z0-9]+" not in window  # a trade's identity is put together from its politician's key
+
+
+def test_files_of_many_pages_are_streamed_line_by_line(spark, tmp_path):
+    from civicledger.streaming import ingest as S
+    from test_stores import pages, rec
+
+    old = [rec(n) for n in range(40, 0, -1)]
+    old[19:19] = [old[19]] * 2  # three identical lines, cut by the end of a file
+    feed = pages(spark, tmp_path / "feed", old, 4, chunk=5)
+    store = S.TradeStore(spark, tmp_path / "tables")
+    S.catch_up(S.page_stream(spark, f"{feed.path}/chunk=*", files_per_batch=1, lines=True), store, tmp_path / "checkpoint", now="2026-01-01")
+    assert store.read("trades").count() == 42 and store.read("batches").count() == 3
+    assert sorted(r.occurrence for r in store.read("trades").collect() if r.occurrence) == [1, 2]
+
+
+def test_pages_of_a_feed_stay_small_however_large_it_is(spark, monkeypatch):
+    import os
+
+    import pytest
+
+    from civicledger.plans import queries
+    from test_queries import FOLDER
+
+    if not os.path.isdir(FOLDER):
+        pytest.skip("no test tables")
+    seen, stream = [], queries.page_stream
+    monkeypatch.setattr(queries, "PAGE", 20)
+    monkeypatch.setattr(queries, "page_stream", lambda spark, path, **more: seen.append(path) or stream(spark, path, **more))
+    rows = queries.QUERIES["stream_pages"](spark, FOLDER)
+    read = spark.read.json(seen[0])
+    assert read.agg(F.max(F.size("trades"))).first()[0] <= 20 and len(read.inputFiles()) == 12
+    assert rows.count() == I.dedupe_trades(normalize_disclosures(queries.Tables(spark, FOLDER).feed)[0]).count()
