@@ -1,7 +1,10 @@
 """Per-trade signals: unusual size, late disclosure, large excess return."""
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .. import constants as K
 from ..functions.rules import date_problem, delay_signal, is_true, trade_size
@@ -13,11 +16,14 @@ from .performance import trade_performance
 
 #: trades up to which a politician's history is carried along by one window over the trades themselves
 CARRIED_TRADES = 256
+#: trades up to which a politician is one group of a task's batches
+GROUPED_TRADES = 1 << 18
 #: cells up to which a politician's history is worked out by windows in one task; beyond it, by digits in many
 USUAL_CELLS = 4096
 #: sizes are whole or half dollars
 PER_DOLLAR = 2
 HISTORY = ["politician_id", "transaction_date", "value", "weight", "prior_n", "prior_median", "less", "same"]
+NO_DAY = -(1 << 31)  # a trade without a date is earlier than all others, as in the windows
 NO_VALUE = -1.0  # stands for "no usable range" in the size key; disclosed amounts are never negative
 
 
@@ -89,6 +95,78 @@ def _with_carried_history(trades: DataFrame, today) -> DataFrame:
     return carried.withColumn("same", F.col("prior_n") - F.col("less") - F.when(known, larger)).drop("_value", "_earlier", "_own")
 
 
+def grouped_history():
+    """(earlier_order, history of a group). Made here, they travel with the job: workers need not have this package."""
+
+    def earlier_order(day, value, counts):
+        """Per row: how many counted rows have an earlier day, their median, and how many of them are smaller than and equal to the row's value.
+
+        Counted values, as ranks in order of days, are sorted bit by bit, highest first and zeros before ones. Per bit the zeros before a place
+        tell where a run of earlier rows goes on, for all rows at once: the run of a value's own bits, and the runs of the two in the middle.
+        """
+        order = np.flatnonzero(counts)[np.argsort(day[counts], kind="stable")]
+        levels, ranks = np.unique(value[order], return_inverse=True)
+        n = np.searchsorted(day[order], day, side="left")
+        own = np.searchsorted(levels, value)
+        known = (own < len(levels)) & (levels[np.minimum(own, len(levels) - 1)] == value) if len(levels) else np.zeros(len(day), bool)
+        less, found = np.zeros(len(day), np.int64), np.zeros((2, len(day)), np.int64)
+        # the run of own values, and for the two in the middle the run and the place looked for in it
+        runs = [(np.zeros_like(n), n.copy()) for _ in range(3)]
+        places = [np.maximum(n - 1, 0) // 2, n // 2]
+        top = int(len(levels)).bit_length()  # one beyond the greatest rank, for values larger than all
+        for bit in reversed(range(top)):
+            ones = ranks >> bit & 1
+            before = np.concatenate([[0], np.cumsum(1 - ones)])  # zeros before a place
+            zeros = before[-1]
+            for k, (low, high) in enumerate(runs):
+                z_low, z_high = before[low], before[high]
+                up = own >> bit & 1 == 1 if k == 0 else places[k - 1] >= z_high - z_low
+                if k == 0:
+                    less += np.where(up, z_high - z_low, 0)
+                else:
+                    places[k - 1] -= np.where(up, z_high - z_low, 0)
+                    found[k - 1] |= up.astype(np.int64) << bit
+                runs[k] = (np.where(up, zeros + low - z_low, z_low), np.where(up, zeros + high - z_high, z_high))
+            ranks = np.concatenate([ranks[ones == 0], ranks[ones == 1]])
+        same = np.where(known, runs[0][1] - runs[0][0], 0)
+        at = np.minimum(found, max(len(levels) - 1, 0))
+        median = (levels[at[0]] + levels[at[1]]) / 2 if len(levels) else np.zeros(len(day))
+        return n, median, less, same
+
+    def history(group: pa.Table) -> pa.Table:
+        day, sizes = group["_day"].combine_chunks(), group["_value"].combine_chunks()
+        known = np.asarray(day.is_valid()) & np.asarray(group["politician_id"].combine_chunks().is_valid())
+        sized = np.asarray(sizes.is_valid())
+        n, median, less, same = earlier_order(
+            np.asarray(day.fill_null(NO_DAY)), np.asarray(sizes.fill_null(NO_VALUE)), np.asarray(group["_counts"].combine_chunks()))
+        out = group.drop_columns(["_day", "_value", "_counts"])
+        for name, kind, values, there in (("prior_n", pa.int64(), n, known), ("prior_median", pa.float64(), median, known & (n > 0)), ("less", pa.int64(), less, known & sized), ("same", pa.int64(), same, known & sized)):
+            out = out.append_column(name, pa.array(values, kind, mask=~there))
+        return out
+
+    return earlier_order, history
+
+
+def _with_grouped_history(trades: DataFrame, today) -> DataFrame:
+    """The same for politicians of up to GROUPED_TRADES trades: they are dealt by politician once, and a politician is one group of rows."""
+    value, _ = trade_size("amount_min", "amount_max")
+    usable = date_problem("transaction_date", "disclosure_date", today).isNull()
+    # what is added is added behind the exchange
+    dealt = trades.repartition("politician_id").withColumns({"_day": F.unix_date("transaction_date"), "_value": value.cast("double"), "_counts": F.coalesce(usable & value.isNotNull(), F.lit(False))})
+    added = "prior_n long, prior_median double, less long, same long"
+    schema = StructType(trades.schema.fields + StructType.fromDDL(added).fields)
+    return dealt.groupBy("politician_id").applyInArrow(grouped_history()[1], schema)
+
+
+def _with_joined_history(trades: DataFrame, today, most) -> DataFrame:
+    """The same for politicians of any number of trades: trades meet the history of their politician's days and sizes."""
+    value, _ = trade_size("amount_min", "amount_max")
+    history = size_history(trades, today, most).select(
+        "politician_id", "transaction_date", F.col("value").alias("_size_key"), "prior_n", "prior_median", "less", "same")
+    return trades.withColumn("_size_key", F.coalesce(value, F.lit(NO_VALUE))).join(
+        history, ["politician_id", "transaction_date", "_size_key"], "left").drop("_size_key")
+
+
 def size_signal(trades: DataFrame, today, size_percentile=90.0, min_history=10) -> DataFrame:
     """Adds the size columns of a trade's context. The signal uses the unrounded percentile."""
     value, basis = trade_size("amount_min", "amount_max")
@@ -96,11 +174,12 @@ def size_signal(trades: DataFrame, today, size_percentile=90.0, min_history=10)
     most = _most_trades(trades)
     if most <= CARRIED_TRADES:
         joined = _with_carried_history(trades, today)
+    elif most <= GROUPED_TRADES:
+        joined = _with_grouped_history(trades, today)
     else:
-        history = size_history(trades, today, most).select(
-            "politician_id", "transaction_date", F.col("value").alias("_size_key"), "prior_n", "prior_median", "less", "same")
-        joined = trades.withColumn("_size_key", F.coalesce(value, F.lit(NO_VALUE))).join(
-            history, ["politician_id", "transaction_date", "_size_key"], "left").drop("_size_key")
+        busy = stored(trades.groupBy("politician_id").count().filter(F.col("count") > GROUPED_TRADES).select("politician_id"), "busy-politicians")
+        joined = _with_grouped_history(trades.join(busy, "politician_id", "left_anti"), today).unionByName(
+            _with_joined_history(trades.join(busy, "politician_id", "left_semi"), today, most))
     has_value = date_ok & value.isNotNull()
     enough = has_value & (F.col("prior_n") >= min_history)
     percentile = F.when(

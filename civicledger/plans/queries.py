@@ -305,15 +305,20 @@ def trade_size_values(t):
         F.count("*").alias("trades"), F.sum("value").alias("total"))
 
 
+def _sized(t):
+    """What sizes are judged by: trades are dealt with these columns."""
+    return t.trades.select("id", "politician_id", "transaction_date", "disclosure_date", "amount_min", "amount_max")
+
+
 @query
 def size_percentile_prior(t):
-    return G.size_signal(t.trades, TODAY).select(
+    return G.size_signal(_sized(t), TODAY).select(
         "id", "trade_size_anomaly", "trade_size_value", "trade_size_basis", "trade_size_percentile", "trade_size_sample_size")
 
 
 @query
 def prior_median(t):
-    return G.size_signal(t.trades, TODAY).select("id", "trade_size_sample_size", "trade_size_median")
+    return G.size_signal(_sized(t), TODAY).select("id", "trade_size_sample_size", "trade_size_median")
 
 
 @query
