@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 import pytest
 import xxhash
 from llm_data import prose
+from pyspark.sql import functions as F
 
 from civicledger.llm import jaccard_join, line_dedup, suffix_dedup
 from civicledger.llm.graph import components
@@ -149,6 +150,38 @@ def test_line_dedup_is_native(documents):
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
+def test_simhashes_within_the_row(documents):
+    texts = [prose(900 + n, n, words=3000) for n in (1, 3, 7, 8, 20, 300, 700, 2500)]
+    got = line_dedup.simhashes(line_dedup.lines_of(documents(list(enumerate(texts))), "doc_id", "text"))
+    assert {r["id"]: r["sim"] for r in got.collect()} == {k: simhash(normal(t)) for k, t in enumerate(texts)}
+    assert "Exchange" not in got._jdf.queryExecution().toString()  # words of a line are not shuffled to meet
+
+
+def test_majority_of_every_width(spark):
+    rng = random.Random(7)
+    lists = [[rng.getrandbits(64) - (1 << 63) for _ in range(n)] for n in (1, 2, 7, 14, 63, 254, 255)]
+    words = spark.createDataFrame([(h,) for h in lists], "words array<long>")
+    counts = [line_dedup._counted_by_sevens(F.col("words")), *[line_dedup._counted(F.col("words"), width) for width in line_dedup.LANES[1:]]]
+    out = words.select("words", *[line_dedup._majority(c, F.size("words"), width) for c, width in zip(counts, line_dedup.LANES)])
+    for h, *sims in out.collect():
+        assert sims == [sum((2 * sum(w >> b & 1 for w in h) > len(h)) << b for b in range(63))] * 3
+
+
+def test_edits_are_bounded_exactly(spark):
+    rng, base = random.Random(11), prose(41, 30).lower().split(" ")
+    pairs = [("a b", "b a"), ("a", "a a"), ("a a a", "a a"), ("x y", "x q y"), ("tail here", "other tail here"), ("ab c", "abc")]
+    for n in range(60):
+        words = list(base)
+        for _ in range(rng.randint(1, 9)):
+            at = rng.randrange(len(words))
+            words[at : at + rng.randint(0, 2)] = rng.choice([[], ["new"], [words[at] + "s"], [words[at], words[at]]])
+        pairs.append((" ".join(base), " ".join(words)))
+    pairs = [(p, q, n) for p, q in pairs if p != q for d in [edits(p, q)] for n in {max(d - 1, 0), d, d + 1, 2 * d}]
+    table = spark.createDataFrame(pairs, "p string, q string, n int")
+    for p, q, n, within in table.select("p", "q", "n", line_dedup._with([F.col("p"), F.col("q"), F.col("n")], line_dedup._within)).collect():
+        assert within == (edits(p, q) <= n), (p, q, n)
+
+
 def test_line_dedup_without_ids_and_rows(documents):
     got = line_dedup.dedup(documents([(None, "a b c"), (1, "a b c\nd"), (1, "a b c\nd")])).select("doc_id", "text").collect()
     assert Counter(map(tuple, got)) == Counter({(None, "a b c"): 1, (1, "d"): 2})
