@@ -111,3 +111,20 @@ def test_an_audit_reads_the_words_of_a_text_once(spark):
     assert out.first().problems == [
         "summary names a committee that is not in the evidence: air", "summary speaks of a flag, but the trade is not flagged",
         "summary states 21, which was not supplied", "summary uses insider outside a denial"]
+
+
+def test_a_commit_packs_its_rows_and_leaves_no_shuffle(spark, tmp_path):
+    from civicledger.streaming.ledger import Ledger, Table
+
+    before = shuffle_files(spark)
+    ledger = Ledger(spark, f"file://{tmp_path}/store", {"rows": Table(keys=("id",))})
+    change = ledger.begin()
+    change.add("rows", change.staged(spark.range(500).repartition(3, "id")).repartition(4, "id"))
+    change.commit()
+    for _ in range(50):
+        if shuffle_files(spark) <= before:
+            break
+        time.sleep(0.2)
+    assert shuffle_files(spark) <= before
+    kept = ledger.read("rows")
+    assert kept.count() == 500 and all("zstd" in name for name in kept.inputFiles())
